@@ -1,9 +1,11 @@
 """Queries of this subpackage, and the SQL for those that SQL can express."""
 
-from lexmill.llm import media, token_store
+from lexmill.llm import archive, media, mixing, token_store
 
 QUERIES = {
     "op5_token_store": token_store.query,
     "op7_audio_features": media.query,
+    "op9_arc_to_warc": archive.query,
+    "op10_mixing": mixing.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_arc_to_warc": archive.ORACLE, "op10_mixing": mixing.ORACLE}

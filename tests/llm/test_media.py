@@ -17,16 +17,20 @@ def test_resample_equals_direct_filter():
     assert len(got) == len(want) and np.allclose(got, want, atol=1e-4)
 
 
-def test_segments_hysteresis():
-    e = np.full(40, -30.0)
-    e[5:12] = -30 + M.LOW + 0.1
-    e[8] = -29
-    e[20:22] = -20
-    e[30:39] = -25
-    e[:5] = -31
-    e[12:20] = e[22:30] = -31
-    spans = M.segments(e)
-    assert [5, 12] in spans.tolist() and [20, 22] not in spans.tolist()
+def test_segments_equal_a_state_machine():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        e = np.repeat(rng.normal(-30, 1.5, 30), rng.integers(1, 6, 30))
+        m, want, start, high = np.median(e), [], None, False
+        for k, x in enumerate([*(e - m), -99.0]):
+            if x > M.LOW:
+                start, high = (k if start is None else start), high or x > M.HIGH
+            elif start is not None:
+                if high and k - start >= M.LEAST:
+                    want.append([start, k])
+                start, high = None, False
+        assert M.segments(e).tolist() == (want or [[0, len(e)]])
+    assert len(M.segments(np.full(5, -90.0))) == 0
 
 
 def test_rows(spark):
