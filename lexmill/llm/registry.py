@@ -1,8 +1,9 @@
 """Queries of this subpackage, and the SQL for those that SQL can express."""
 
-from lexmill.llm import archive, media, mixing, token_store
+from lexmill.llm import archive, media, mixing, token_store, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op5_token_store": token_store.query,
     "op7_audio_features": media.query,
     "op9_arc_to_warc": archive.query,

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 from lexmill.llm import common as C
 
 MAGIC = b"LMTOKID1"
-#: Entries that a worker keeps of pieces it has encoded; it starts anew when they are so many.
-CACHE = 250_000
+#: Pieces whose ids a worker keeps: this many at most, and as many again of those before.
+CACHE = 400_000
 
-# White space whose neighbours a cut at spaces could change; texts with such go to the library whole.
-_ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+# White space whose neighbours a cut at spaces could change, and the mark below; texts with such go to the library whole.
+_ODD = re.compile("[\\x01\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+# A comma or full stop that stands alone after a letter or digit is a word of its own to both splitters.
+_MARK = re.compile(rb"(?<=[A-Za-z0-9])([,.])(?=[ \n])")
 
 
 class Encoder(dict):
@@ -39,8 +42,8 @@ class Encoder(dict):
 
     The library splits a text into words before it merges within each, so a text may be cut where its
     splitter always cuts, and the ids of a piece seen before are looked up. kind "byte": pieces begin at a
-    space or newline that has no white space beside it. kind "word": white space only parts pieces. Other
-    texts, and every piece the first time, are encoded by the library.
+    space or newline that has no white space beside it. kind "word": white space only parts pieces and A-Z
+    are a-z. Other texts, and every piece the first time, are encoded by the library.
     """
 
     def __init__(self, path: str, kind: str):
@@ -49,18 +52,32 @@ class Encoder(dict):
         super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kind = kind
+        self.kind, self.model, self.older = kind, self.tok.model, {}
 
     def library(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
+    def word(self, text: str) -> bytes:
+        """A word that the splitter leaves whole: the library's model alone."""
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        if self.kind == "byte" and piece[:1] != "\n":
-            ids = self.library(" " + piece)
+        ids = self.older.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
+        text = piece.decode()
+        plain = text.isascii() and text.isalpha()
+        if self.kind == "word":
+            ids = self.word(text) if plain else self.library(text) if text else b""
+        elif plain:
+            ids = self.word("\u0120" + text)  # how the byte-level splitter writes a space
         else:
-            ids = self.library(piece) if piece else b""
+            ids = self.library(text if text[:1] == "\n" else text[1:] if text[:1] == "\x01" else " " + text)
         if len(piece) < 64:
             self[piece] = ids
         return ids
@@ -69,11 +86,11 @@ class Encoder(dict):
         if not text:
             return b""
         if self.kind == "word":
-            return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+            return b"".join(map(self.__getitem__, _MARK.sub(rb" \1", text.encode().lower()).replace(b"\n", b" ").split(b" ")))
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1] in " \n" or text[0] in " \n" or _ODD.search(text):
             return self.library(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.library(first) + b"".join(map(self.__getitem__, rest))
+        first, *rest = _MARK.sub(b" \x01\\1", text.encode()).replace(b"\n", b" \n").split(b" ")
+        return self.library(first.decode()) + b"".join(map(self.__getitem__, rest))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

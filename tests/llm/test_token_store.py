@@ -8,7 +8,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from lexmill.llm import common as C  # noqa: E402
 from lexmill.llm import token_store as S  # noqa: E402
 
-TEXTS = ["", " ", "a", "a  b", "a \nb", "a\n \nb", "Hello, world.\nNew line", "x y z", "tab\tand space ", "\nlead", "don't <|endoftext|> stop", "É é ́x", "line\n\nline", "ÜBER straße 12 345", "a b c", "x" * 5000]
+TEXTS = ["", " ", "a", "a  b", "a \nb", "a\n \nb", "Hello, world.\nNew line", "x y z", "tab\tand space ", "\nlead", "don't <|endoftext|> stop", "É é ́x", "line\n\nline", "ÜBER straße 12 345", "a b c", "x" * 5000, "one, two. three.. four., five's. six,\nseven.\nEight \x01, é, ü. a,", "3,000. 4."]
 
 
 @pytest.mark.parametrize(("file", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
