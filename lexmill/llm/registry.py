@@ -1,13 +1,14 @@
 """Queries of this subpackage, and the SQL for those that SQL can express."""
 
-from lexmill.llm import archive, jaccard, media, mixing, token_store, toxicity
+from lexmill.llm import archive, jaccard, media, mixing, substring, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_jaccard_join": jaccard.query,
     "op5_token_store": token_store.query,
+    "op6_substring_dedup": substring.query,
     "op7_audio_features": media.query,
     "op9_arc_to_warc": archive.query,
     "op10_mixing": mixing.query,
 }
-ORACLES: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE, "op9_arc_to_warc": archive.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE, "op6_substring_dedup": substring.ORACLE, "op9_arc_to_warc": archive.ORACLE, "op10_mixing": mixing.ORACLE}
