@@ -1,11 +1,12 @@
 """Queries of this subpackage, and the SQL for those that SQL can express."""
 
-from lexmill.llm import archive, forest, jaccard, media, mixing, substring, token_store, toxicity
+from lexmill.llm import archive, forest, jaccard, media, mixing, packing, substring, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_jaccard_join": jaccard.query,
     "op3_prefix_forest": forest.query,
+    "op4_bm25_packing": packing.query,
     "op5_token_store": token_store.query,
     "op6_substring_dedup": substring.query,
     "op7_audio_features": media.query,
