@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL for those that SQL can express."""
 
-from lexmill.llm import archive, forest, jaccard, media, mixing, packing, substring, token_store, toxicity
+from lexmill.llm import archive, forest, jaccard, katz, media, mixing, packing, substring, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_store": token_store.query,
     "op6_substring_dedup": substring.query,
     "op7_audio_features": media.query,
+    "op8_katz_backoff": katz.query,
     "op9_arc_to_warc": archive.query,
     "op10_mixing": mixing.query,
 }
