@@ -271,8 +271,8 @@ def score_votes(votes: DataFrame, model: Model) -> DataFrame:
     return votes.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
 
 
-def score(docs: DataFrame, model: Model, cols: list[str]) -> DataFrame:
-    """docs -> cols and score (of the whole text)."""
+def score(docs: DataFrame, model: Model, cols: list[str], name: str = "score") -> DataFrame:
+    """docs -> cols and the score of the whole text, under the given name."""
     n = len(cols)
     entries, w, b0 = model.entries, model.w, model.b
 
@@ -280,11 +280,17 @@ def score(docs: DataFrame, model: Model, cols: list[str]) -> DataFrame:
         lex = Lexicon(entries)
         for b in batches:
             z = np.array([b0 + sum(w[k] for k in lex.of(t)) for t in b.column(n).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], [*cols, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], [*cols, name])
 
     picked = docs.select(*cols, F.col("text").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:n])
-    return picked.mapInArrow(run, f"{schema}, score double")
+    return picked.mapInArrow(run, f"{schema}, `{name}` double")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """docs' rows and columns without the texts that score threshold or more."""
+    model = fit(docs, labels)
+    return score(docs, model, docs.columns, "__toxicity").where(F.col("__toxicity") < threshold).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
