@@ -23,6 +23,7 @@ null. Rows that repeat link like any copies. Columns other than doc_id and the t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ LONGEST, HEAVY, TILE = 8, 192, 512
 #: What verifying a candidate costs against scanning a posting, for each shingle of the set.
 VERIFY = 0.05
 
-_NODES = "doc_id long, n_shingles long, node binary, least int, prefix array<long>, items binary"
+_NODES = "doc_id long, text_md5 string, n_shingles long, node binary, least int, prefix array<long>, items binary"
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -89,7 +90,7 @@ def nodes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         for i, text in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), strict=True):
             s = shingle_set(text, k)
             node = node_of(s)
-            rows.append([i, len(s), node, None, None, None])
+            rows.append([i, hashlib.md5((text or "").encode("utf-8", "surrogatepass")).hexdigest(), len(s), node, None, None, None])
             if node is not None and node not in sets:
                 sets[node] = (s, rows[-1])
         if sets:
@@ -99,10 +100,10 @@ def nodes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 d = df[np.searchsorted(u, s)]
                 if den * int((d > 1).sum()) >= num * len(s):
                     l, p = prefix_of(s, d, num, den)
-                    row[3:] = l, p.view(np.int64).tolist(), s.tobytes()
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-        return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("doc_id", "n_shingles", "node", "least", "prefix", "items"), cols, kinds, strict=True)})
+                    row[4:] = l, p.view(np.int64).tolist(), s.tobytes()
+        cols = list(zip(*rows, strict=True)) or [[]] * 7
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+        return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("doc_id", "text_md5", "n_shingles", "node", "least", "prefix", "items"), cols, kinds, strict=True)})
 
     out = C.materialize(dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(look, _NODES), "jaccard-nodes")
     C.drop(replies)
@@ -199,15 +200,30 @@ def links(known: DataFrame, num: int, den: int) -> DataFrame:
     return found
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs(doc_id, text) -> a row a row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     known = nodes(docs.select("doc_id", "text"), k, num, den)
     tied = graph.components(links(known, num, den))
-    mine = known.select("doc_id", "n_shingles", "node").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return known.select("doc_id", "text_md5", "n_shingles", "node").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs(doc_id, text) -> a row a row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    mine = _classes(docs, k, num, den)
     least = mine.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return mine.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs' rows and columns without near copies: of each component the row of the smallest doc_id (null last, ties by text) stays, once; rows without words stay, once for each doc_id."""
+    mine = _classes(docs, k, num, den)
+    name = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_md5").alias("t"))
+    first = mine.where("root is not null").groupBy("root").agg(F.min(name).alias("k"))
+    stay = first.select(F.col("k.i").alias("__i"), F.col("k.t").alias("__t")).union(mine.where("root is null").select("doc_id", "text_md5").distinct())
+    rows = docs.withColumn("__md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["__i"]) & (rows["__md5"] == stay["__t"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__md5"]).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: three-word shingles, similarity 0.9."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=90, den=100)

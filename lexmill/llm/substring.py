@@ -24,6 +24,7 @@ Nulls are empty texts; a text of fewer than width words loses nothing. Other col
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,7 +96,7 @@ class _Chunk:
 
 
 def spans(docs: DataFrame, width: int = 20) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_words, n_removed, starts, ends (word positions of maximal repeated spans), kept (the rest, words joined by one space)."""
+    """docs(doc_id, text) -> doc_id, n_words, n_removed, starts, ends (word positions of maximal repeated spans), kept (the rest, words joined by one space), text_md5."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     edge = bounds(docs)
@@ -148,12 +149,23 @@ def spans(docs: DataFrame, width: int = 20) -> DataFrame:
             else:
                 begin, end = [], []
             got[o, text] = (n, n - len(w), begin, end, b" ".join(w).decode("utf-8", "surrogatepass"))
-        out = [(i, *got[_order(i), x or ""]) for i, x in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), strict=True)]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string())
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        return pa.table({name: pa.array(x, k) for name, x, k in zip(("doc_id", "n_words", "n_removed", "starts", "ends", "kept"), cols, kinds, strict=True)})
-
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, starts array<int>, ends array<int>, kept string")
+        out = [(i, *got[_order(i), x or ""], hashlib.md5((x or "").encode("utf-8", "surrogatepass")).hexdigest()) for i, x in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), strict=True)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.string())
+        cols = list(zip(*out, strict=True)) or [[]] * 7
+        return pa.table({name: pa.array(x, k) for name, x, k in zip(("doc_id", "n_words", "n_removed", "starts", "ends", "kept", "text_md5"), cols, kinds, strict=True)})
+
+    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, starts array<int>, ends array<int>, kept string, text_md5 string")
+
+
+def deduplicate(docs: DataFrame, width: int = 50) -> DataFrame:
+    """docs' rows and columns, repeated spans cut out of text (n_chars follows if there is one); rows of which nothing is left go."""
+    cut = spans(docs, width).where("n_removed > 0").select(F.col("doc_id").alias("__i"), F.col("text_md5").alias("__t"), F.col("kept").alias("__kept")).dropDuplicates(["__i", "__t"])
+    rows = docs.withColumn("__md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    out = rows.join(cut, rows["doc_id"].eqNullSafe(cut["__i"]) & (rows["__md5"] == cut["__t"]), "left").where("__kept is null or __kept <> ''")
+    new = {"text": F.coalesce("__kept", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast(docs.schema["n_chars"].dataType))
+    return out.withColumns(new).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
