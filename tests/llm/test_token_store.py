@@ -8,7 +8,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from lexmill.llm import common as C  # noqa: E402
 from lexmill.llm import token_store as S  # noqa: E402
 
-TEXTS = ["", " ", "a", "a  b", "a \nb", "a\n \nb", "Hello, world.\nNew line", "x y z", "tab\tand space ", "\nlead", "don't <|endoftext|> stop", "É é ́x", "line\n\nline", "ÜBER straße 12 345", "a b c", "x" * 5000, "one, two. three.. four., five's. six,\nseven.\nEight \x01, é, ü. a,", "3,000. 4."]
+TEXTS = ["", " ", "a", "a  b", "a \nb", "a\n \nb", "Hello, world.\nNew line", "x y z", "tab\tand space ", "\nlead", "don't <|endoftext|> stop", "É é ́x", "line\n\nline", "ÜBER straße 12 345", "a b c", "x" * 5000, "one, two. three.. four., five's. six,\nseven.\nEight \x01, é, ü. a,", "3,000. 4.", "thre*** of%%% Été, straße. ﬁx İstanbul, ΣΑΣ. naïve's x_y_ ñ—a «b» Ǆ, ŉ", "\nStart\nof_line, \x01x"]
 
 
 @pytest.mark.parametrize(("file", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
@@ -21,6 +21,17 @@ def test_encoder_equals_library(file, kind):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize(("file", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_ranked_merges_equal_library_on_random_words(file, kind):
+    import random
+
+    enc, rng = S.Encoder(public_tokenizers.path(file), kind), random.Random(2)
+    tokens = [t for t in enc.tok.get_vocab() if t.replace("</w>", "").isascii()]
+    for _ in range(3000):
+        text = " ".join("".join(rng.choice(tokens).replace("</w>", "") for _ in range(rng.randint(1, 4))) for _ in range(3))
+        assert enc.encode(text) == enc.library(text), text
+
+
 def test_mph_is_minimal_and_perfect():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     f = S.Mph.build(keys)
