@@ -31,19 +31,50 @@ MAGIC = b"LMTOKID1"
 #: Pieces whose ids a worker keeps: this many at most, and as many again of those before.
 CACHE = 400_000
 
-# White space whose neighbours a cut at spaces could change, and the mark below; texts with such go to the library whole.
+# White space and control characters that libraries may take differently; texts with such go to the tokenizers library whole.
 _ODD = re.compile("[\\x01\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-# A comma or full stop that stands alone after a letter or digit is a word of its own to both splitters.
-_MARK = re.compile(rb"(?<=[A-Za-z0-9])([,.])(?=[ \n])")
+# Letters, then marks other than an apostrophe: two words to both splitters.
+_TAIL = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level models write bytes: printable ones of Latin-1 as themselves, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _ranked(tok, kind: str):
+    """The file's merges as ranks, for the faster merging of the tiktoken library; it gives the same ids (tests compare them).
+
+    A token's id is its rank. Tokens that end a word are written with a last byte that no text has.
+    """
+    import tiktoken
+
+    byte = {_LETTERS.get(b, chr(b)): b for b in range(256)}
+    special = {t.content for t in tok.get_added_tokens_decoder().values()}
+    ranks = {}
+    for t, i in tok.get_vocab(with_added_tokens=True).items():
+        if t not in special:
+            end = kind == "word" and t.endswith("</w>")
+            ranks[bytes(byte[c] for c in (t[:-4] if end else t)) + b"\xff" * end] = i
+    return tiktoken.Encoding(kind, pat_str=GPT2, mergeable_ranks=ranks, special_tokens={})
+
+
+#: How byte-level vocabularies of this kind part a text (fixed value).
+GPT2 = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Encoder(dict):
-    """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as the tokenizers library gives them, as little-endian unsigned 32-bit bytes.
 
-    The library splits a text into words before it merges within each, so a text may be cut where its
-    splitter always cuts, and the ids of a piece seen before are looked up. kind "byte": pieces begin at a
-    space or newline that has no white space beside it. kind "word": white space only parts pieces and A-Z
-    are a-z. Other texts, and every piece the first time, are encoded by the library.
+    kind "byte" (byte-level, no normaliser): texts without unusual white space or control characters go through
+    the ranked merges, others through the library. kind "word" (lower case, word ends): white space only
+    parts pieces and A-Z are a-z, so a text is cut at spaces and the ids of a piece seen before are looked up;
+    new pieces of plain letters go through the ranked merges, all others through the library.
     """
 
     def __init__(self, path: str, kind: str):
@@ -52,14 +83,14 @@ class Encoder(dict):
         super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kind, self.model, self.older = kind, self.tok.model, {}
+        self.kind, self.ranked, self.older = kind, _ranked(self.tok, kind), {}
 
     def library(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, text: str) -> bytes:
-        """A word that the splitter leaves whole: the library's model alone."""
-        ids = [t.id for t in self.model.tokenize(text)]
+        """A lower-case word that the splitter leaves whole."""
+        ids = self.ranked._encode_single_piece(text.encode() + b"\xff")
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, piece: bytes) -> bytes:
@@ -71,13 +102,12 @@ class Encoder(dict):
             self[piece] = ids
             return ids
         text = piece.decode()
-        plain = text.isascii() and text.isalpha()
-        if self.kind == "word":
-            ids = self.word(text) if plain else self.library(text) if text else b""
-        elif plain:
-            ids = self.word("\u0120" + text)  # how the byte-level splitter writes a space
+        if text.isalpha() and max(text) < "\u0130":  # Latin letters: composed, and lower() goes letter by letter
+            ids = self.word(text.lower())
+        elif (m := _TAIL.fullmatch(piece)) and m[1].decode().isalpha():
+            ids = self[m[1]] + self[m[2]]
         else:
-            ids = self.library(text if text[:1] == "\n" else text[1:] if text[:1] == "\x01" else " " + text)
+            ids = self.library(text) if text else b""
         if len(piece) < 64:
             self[piece] = ids
         return ids
@@ -86,11 +116,8 @@ class Encoder(dict):
         if not text:
             return b""
         if self.kind == "word":
-            return b"".join(map(self.__getitem__, _MARK.sub(rb" \1", text.encode().lower()).replace(b"\n", b" ").split(b" ")))
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1] in " \n" or text[0] in " \n" or _ODD.search(text):
-            return self.library(text)
-        first, *rest = _MARK.sub(b" \x01\\1", text.encode()).replace(b"\n", b" \n").split(b" ")
-        return self.library(first.decode()) + b"".join(map(self.__getitem__, rest))
+            return b"".join(map(self.__getitem__, text.encode().lower().replace(b"\n", b" ").split(b" ")))
+        return self.library(text) if _ODD.search(text) else np.array(self.ranked.encode_ordinary(text), "<u4").tobytes()
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
