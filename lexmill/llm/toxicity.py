@@ -211,7 +211,7 @@ def _sums(votes: DataFrame, model: LabelModel, labelled_only: bool) -> np.ndarra
     return sum((np.frombuffer(r["s"], float) for r in rows), np.zeros(2 * (2 + j + j * j))).reshape(2, -1)
 
 
-def fit_linear(ids: list[list[int]], y: np.ndarray, width: int, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_linear(ids: list[list[int]], y: np.ndarray, width: int, l2: float = 1e-5, steps: int = 6000) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton-scaled gradient steps with momentum; deterministic."""
     row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     col = np.fromiter((k for x in ids for k in x), np.int64, len(row))
