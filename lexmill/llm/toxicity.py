@@ -14,7 +14,8 @@
    by itself, but a text without any lexicon vote has its own ratio.
    What is gathered for it are sums over votes: some VOTERS^2 numbers.
 4. Classifier. A logistic regression over all entries and patterns, trained on the label model's posteriors
-   of at most FIT_ROWS documents (the lowest by hash), scores every whole text.
+   of at most FIT_ROWS documents (the lowest by hash) and of each lexicon voter's vote alone, scores every
+   whole text.
 
 A score sees the text alone. A null or empty text has no entry and gets the classifier's intercept. Rows
 that repeat get the same score. Without labels, or without any toxic one, every score is the prior, 0.
@@ -211,7 +212,7 @@ def _sums(votes: DataFrame, model: LabelModel, labelled_only: bool) -> np.ndarra
     return sum((np.frombuffer(r["s"], float) for r in rows), np.zeros(2 * (2 + j + j * j))).reshape(2, -1)
 
 
-def fit_linear(ids: list[list[int]], y: np.ndarray, width: int, l2: float = 1e-5, steps: int = 6000) -> tuple[np.ndarray, float]:
+def fit_linear(ids: list[list[int]], y: np.ndarray, width: int, l2: float = 1e-5, steps: int = 4000) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton-scaled gradient steps with momentum; deterministic."""
     row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     col = np.fromiter((k for x in ids for k in x), np.int64, len(row))
@@ -258,7 +259,7 @@ def fit_votes(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: C.fold(do
         model.set(_sums(votes, model, labelled_only=False))
     total = votes.count()
     got = bounded(votes, FIT_ROWS, total).select("ids", "label").toArrow()
-    ids = got.column("ids").to_pylist()
+    ids = got.column("ids").to_pylist() + [[k] for k in model.at if k < len(entries)]  # and, for each lexicon voter, a text that has its vote alone
     y = model.posterior(model.matrix(ids)) if ids else np.zeros(0)
     w, b = fit_linear(ids, y, len(entries) + len(PATTERNS)) if len(ids) else (np.zeros(len(entries) + len(PATTERNS)), -30.0)
     return Model(entries, w, b, model), votes
