@@ -111,7 +111,7 @@ def question_key(c: Column | str) -> Column:
 def snippet(text: Column | str, phrase: Column | str, size: int) -> Column:
     """size characters around the first hit, with ellipses where cut; the beginning where there is no hit."""
     t, p = col(text), col(phrase)
-    at = F.greatest(F.locate_column(p, t) if hasattr(F, "locate_column") else F.position(p, t), F.lit(1))
+    at = F.greatest(F.position(p, t), F.lit(1))
     start = F.greatest(at - F.lit(size // 2), F.lit(1))
     end = start + F.lit(size)
     return F.concat(F.when(start > 1, "...").otherwise(""), F.substring(t, start, F.lit(size)), F.when(end <= F.length(t), "...").otherwise(""))
