@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import chunking, citations, collection, metrics, retrieval, routing
+from lexmill.operators import audits, chunking, citations, collection, metrics, retrieval, routing
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -508,3 +508,78 @@ def failure_labels(spark, sf):
     j = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     why = F.array_compact(F.array(F.when(F.col("quality").isNull(), "unknown"), F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("quality") == 0, "low"), F.when(F.col("lang") != "en", "foreign")))
     return j.select("doc_id", F.array_join(why, " | ").alias("reasons")).where("reasons <> ''")
+
+
+@query("""WITH d AS (SELECT DISTINCT lang, doc_id FROM documents), n AS (SELECT lang, doc_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS nx FROM d)
+SELECT lang, doc_id + 1 AS gap_start, nx - 1 AS gap_end FROM n WHERE nx > doc_id + 1""")
+def number_gaps(spark, sf):
+    return audits.number_gaps(table(spark, sf, "documents"), "lang", "doc_id")
+
+
+@query("SELECT source, n_chars, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
+def repeated_labels(spark, sf):
+    return audits.repeated_labels(table(spark, sf, "documents"), "source", "n_chars")
+
+
+@query(_TWO + """, x AS (SELECT query_id, list(id ORDER BY rank) AS x FROM r WHERE rank <= 5 GROUP BY 1), y AS (SELECT query_id, list(id ORDER BY rank) AS y FROM c WHERE rank <= 5 GROUP BY 1)
+SELECT query_id, x = y AS same_order, CAST(len(list_intersect(x, y)) AS BIGINT) AS shared FROM x JOIN y USING (query_id)""")
+def prefix_comparison(spark, sf):
+    full, half = _two(spark, sf)
+    return audits.same_prefix(full, half, 5).select("query_id", "same_order", F.col("shared").cast("long").alias("shared"))
+
+
+@query(_TWO + " SELECT r.query_id, bool_and(r.id = c.id) AS same_ids, bool_and(r.id = c.id AND abs(r.distance - c.distance) <= 1e-7) AS within_tolerance FROM r JOIN c ON c.query_id = r.query_id AND c.rank = r.rank WHERE r.rank <= 5 GROUP BY 1")
+def drift_check(spark, sf):
+    full, half = _two(spark, sf)
+    return audits.drift(full, half, 5)
+
+
+@query(_METRICS + """, t AS (SELECT query_id, k, array_to_string(list_filter([CASE WHEN NOT source_any THEN 'complete_miss' END, CASE WHEN source_any AND NOT source_all THEN 'partial' END, CASE WHEN document_hit AND NOT source_any THEN 'right_document_wrong_source' END, CASE WHEN intrusion > 0.5 THEN 'intrusion' END], lambda x: x IS NOT NULL), '|') AS problems
+FROM a JOIN d USING (query_id, k) JOIN i USING (query_id, k)) SELECT query_id, k, problems FROM t""")
+def failure_taxonomy(spark, sf):
+    m = _scored(spark, sf)
+    return m.select("query_id", "k", F.array_join(audits.taxonomy(F.col("source_any"), F.col("source_all"), F.col("document_hit"), F.col("intrusion")), "|").alias("problems"))
+
+
+@query(_METRICS + """, s1 AS (SELECT 'k' || k AS variant, k AS position, avg(source_any::INT) AS any_rate, avg(source_all::INT) AS all_rate FROM a GROUP BY k), b AS (SELECT any_rate AS ba, all_rate AS bl FROM s1 WHERE variant = 'k1')
+SELECT variant AS recommended FROM s1, b WHERE any_rate >= ba AND all_rate >= bl ORDER BY all_rate DESC, any_rate DESC, position LIMIT 1""")
+def recommendation(spark, sf):
+    s = _scored(spark, sf).groupBy("k").agg(F.avg(F.col("source_any").cast("double")).alias("any_rate"), F.avg(F.col("source_all").cast("double")).alias("all_rate"))
+    return audits.recommend(s.select(F.concat(F.lit("k"), F.col("k").cast("string")).alias("variant"), F.col("k").alias("position"), "any_rate", "all_rate"), "k1")
+
+
+@query("""SELECT doc_id AS question_id, doc_id % 7 AS part, CASE WHEN doc_id % 7 = 0 THEN 'no_source' WHEN NOT contains(text, CASE WHEN doc_id % 5 = 0 THEN upper(substr(text, 3, 30)) || '#' ELSE substr(text, 3, 30) END) THEN 'not_literal' ELSE 'ok' END AS audit FROM documents""")
+def gold_excerpt_audit(spark, sf):
+    d = table(spark, sf, "documents")
+    cut = F.substring("text", 3, 30)
+    gold = d.select(F.col("doc_id").alias("question_id"), F.when(F.col("doc_id") % 7 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("key"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.upper(cut), F.lit("#"))).otherwise(cut).alias("excerpt"))
+    return audits.excerpt_audit(gold, d.select(F.col("doc_id").alias("key"), "text")).select("question_id", (F.col("question_id") % 7).alias("part"), "audit")
+
+
+@query("""WITH l AS (SELECT conv_id, turn, unnest([turn % 2 + 1, 2]) AS rank FROM conversations), o AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS rank FROM conversations)
+SELECT l.conv_id, turn, CAST(l.rank AS BIGINT) AS rank, md5(o.text) AS digest FROM l JOIN o ON o.conv_id = l.conv_id AND o.rank = l.rank WHERE l.conv_id IN (SELECT conv_id FROM o WHERE rank = 2)""")
+def citation_copy(spark, sf):
+    c = table(spark, sf, "conversations")
+    blocks = c.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("rank"), F.md5(F.col("text").cast("binary")).alias("chunk_id"))
+    answers = c.select("conv_id", "turn").join(blocks.where("rank = 2").select("conv_id"), "conv_id", "left_semi").withColumn("answer_id", F.struct("conv_id", "turn"))
+    labels = answers.select("answer_id", F.array((F.col("turn") % 2 + 1).cast("int"), F.lit(2)).alias("labels"))
+    out = audits.copied_citations(labels, answers.join(blocks, "conv_id").select("answer_id", "rank", "chunk_id"))
+    return out.select("answer_id.conv_id", "answer_id.turn", F.col("rank").cast("long").alias("rank"), F.col("chunk_id").alias("digest"))
+
+
+@query("""SELECT doc_id, '{"lang":"' || lang || '","n_chars":' || n_chars || CASE WHEN quality IS NULL THEN '' ELSE ',"quality":' || quality END || ',"source":"' || source || '"}' AS metadata FROM documents LEFT JOIN labels USING (doc_id)""")
+def metadata_json(spark, sf):
+    return audits.metadata(table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left"), "doc_id", ["lang", "n_chars", "quality", "source"])
+
+
+@query("""SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN false WHEN doc_id % 3 = 1 THEN true ELSE false END AS valid FROM documents""")
+def router_prediction_validate(spark, sf):
+    p = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("a"), F.lit("a"), F.lit("b"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("c"), F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    return table(spark, sf, "documents").select("doc_id", "lang", audits.valid_prediction(p, ["a", "b", "c"]).alias("valid"))
+
+
+@query("""WITH b AS (SELECT CASE label WHEN 0 THEN 'x' ELSE 'y' END AS grp, vec_id FROM embeddings), e AS (SELECT label AS gold, label FROM embeddings)
+SELECT grp, count(*) AS n, CAST(min(vec_id) AS BIGINT) AS first_id, CAST(max(vec_id) AS BIGINT) AS last_id FROM b GROUP BY 1""")
+def collection_distribution(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn("grp", F.when(F.col("label") == 0, "x").otherwise("y"))
+    return e.groupBy("grp").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
