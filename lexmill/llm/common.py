@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import math
+import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -26,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not path:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            path = _own["dir"] = "file://" + tempfile.mkdtemp(prefix="lexmill-")
+            own = tempfile.mkdtemp(prefix="lexmill-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            path = _own["dir"] = f"file://{own}"
     return path.rstrip("/")
 
 
@@ -34,11 +40,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: With it Spark deletes an execution's shuffle files when the execution ends; what is written doesn't need them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives the loss of executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexmill_path = path  # for drop()
     return out
@@ -56,10 +71,10 @@ def drop(*dfs: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files go when the driver's JVM collects the garbage that refers to them; a long driver program should say when."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def filesystem(path: str):

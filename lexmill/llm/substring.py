@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lexmill.llm import chunks
 from lexmill.llm import common as C
 
-PREFIX, GROUP = 12, 3_000_000
+PREFIX, GROUP = 12, 1_500_000
 _LOW = np.uint64((1 << (64 - PREFIX)) - 1)
 
 
@@ -100,7 +100,7 @@ def spans(docs: DataFrame, width: int = 20) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     edge = bounds(docs)
-    dealt, _ = chunks.deal(docs, 16 << 20)
+    dealt, _ = chunks.deal(docs, 8 << 20)
 
     def pack(key, t):
         c = _Chunk(t, width)
@@ -176,12 +176,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-v AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM w WHERE len(w) >= 20),
-h AS (SELECT doc_id, s, row_number() OVER (PARTITION BY md5(array_to_string(w[s:s + 19], ' ')) ORDER BY doc_id, s) AS k FROM v),
+v AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS s, unnest(w) AS word, len(w) AS n FROM w WHERE len(w) >= 20),
+g AS (SELECT doc_id, s, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS t FROM v),
+h AS (SELECT doc_id, s, row_number() OVER (PARTITION BY md5(t) ORDER BY doc_id, s) AS k FROM g WHERE s <= n - 19),
 c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM h WHERE k > 1),
-l AS (SELECT doc_id, list(p) AS p FROM c GROUP BY doc_id),
-k AS (SELECT w.doc_id, len(w) AS n, coalesce(len(l.p), 0) AS r,
-  CASE WHEN l.p IS NULL THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(l.p, i)] END AS kept
-  FROM w LEFT JOIN l USING (doc_id))
-SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM w),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.p) AS kept, count(*) AS n FROM x ANTI JOIN c ON c.doc_id = x.doc_id AND c.p = x.p GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
 """
