@@ -113,7 +113,7 @@ def _rows(t: pa.Table, kind: int) -> list[dict]:
     return sorted((r for r in t.select(["kind", "range", "a", "b"]).to_pylist() if r["kind"] == kind), key=lambda r: r["range"])
 
 
-def score(docs: DataFrame, chunk_bytes: int = 14 << 20) -> DataFrame:
+def score(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     spark = docs.sparkSession
     dealt, ranges = chunks.deal(docs.select("doc_id", "text"), chunk_bytes)
