@@ -35,7 +35,7 @@ FRACTION, EPOCHS, SEED = 0.5, 2, 17
 DOMAIN_WEIGHTS = {"d0": 5.0, "d1": 3.0, "d2": 2.0}
 LANGUAGE_WEIGHTS = {"en": 4.0, "de": 3.0, "fr": 2.0, "es": 2.0}
 SOURCE_WEIGHTS = {"src0": 2.0}
-BUCKET_ROWS = 4096
+BUCKET_ROWS, BROADCAST_LEAVES = 4096, 100_000
 
 
 def weight(col: str, weights: dict[str, float]) -> Column:
@@ -100,18 +100,21 @@ def select(docs: DataFrame, fraction: float = FRACTION, epochs: int = EPOCHS, se
     b = budgets(leaves, F.lit(float(fraction)) * F.col("all_tokens"), epochs, weights)
     b = b.withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + F.lit(1e-9))).otherwise(0).cast("int"))
     b = b.withColumn("rest", F.greatest(F.lit(0.0), F.col("budget") - F.col("full") * F.col("tokens"))).withColumn("rest", F.when(F.col("rest") < 1e-6 * F.col("tokens"), 0.0).otherwise(F.col("rest")))
+    b = C.materialize(b.select(*LEVELS, "budget", "full", "rest"), "mix-budgets")
+    b = F.broadcast(b) if b.count() <= BROADCAST_LEAVES else b  # else a join by leaf, which the adaptive planner splits where one is hot
     if digits is None:
         digits, n = 1, keyed.count()
         while 16**digits * BUCKET_ROWS < n:
             digits += 1
     place = F.md5(F.concat(F.lit(f"{seed}:"), (F.col("full") + 1).cast("string"), F.lit(":"), F.col("id")).cast("binary"))
-    rows = keyed.join(b.select(*LEVELS, "budget", "full", "rest"), list(LEVELS)).withColumn("place", place).withColumn("bucket", F.substring("place", 1, digits))
-    sums = rows.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("bucket_tokens"))
+    rows = keyed.join(b, list(LEVELS)).withColumn("place", place).withColumn("bucket", F.substring("place", 1, digits))
+    rows = rows.withColumn("cell", F.concat_ws("\x1f", *LEVELS, "bucket"))  # one key, or a partitioning by leaf would do for what follows
+    sums = rows.groupBy("cell").agg(F.sum("tokens").alias("bucket_tokens"), *(F.first(c).alias(c) for c in (*LEVELS, "bucket")))
     before = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("bucket_tokens").over(before), F.lit(0))).drop("bucket_tokens")
-    inside = Window.partitionBy(*LEVELS, "bucket").orderBy("place", "tie").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy(*LEVELS, "bucket", "place", "tie")
-    rows = rows.join(sums, [*LEVELS, "bucket"])
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("bucket_tokens").over(before), F.lit(0))).select("cell", "ahead")
+    inside = Window.partitionBy("cell").orderBy("place", "tie").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("cell", "place", "tie")
+    rows = rows.join(sums, "cell")
     start = F.col("ahead") + F.sum("tokens").over(inside) - F.sum("tokens").over(same)
     picked = rows.withColumn("copies", F.col("full") + (start < F.col("rest")).cast("int"))
     return picked.select("doc_id", "tie", F.col("domain").alias("mix_domain"), F.col("language").alias("mix_language"), F.col("source").alias("mix_source"), F.col("tokens").alias("mix_tokens"), F.col("budget").alias("mix_budget"), F.col("copies").alias("mix_copies"))
