@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from lexmill.llm import chunks, graph
 from lexmill.llm import common as C
 
-LONGEST, HEAVY, TILE = 8, 192, 512
+LONGEST, HEAVY, TILE = 12, 192, 512
 #: What verifying a candidate costs against scanning a posting, for each shingle of the set.
-VERIFY = 0.05
+VERIFY = 0.3
 
 _NODES = "doc_id long, text_md5 string, n_shingles long, node binary, least int, prefix array<long>, items binary"
 
@@ -94,10 +94,10 @@ def nodes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             if node is not None and node not in sets:
                 sets[node] = (s, rows[-1])
         if sets:
-            u = np.unique(np.concatenate([s for s, _ in sets.values()]))
-            df = chunks.reply(r, "r0", np.uint32)
+            _, at = np.unique(np.concatenate([s for s, _ in sets.values()]), return_inverse=True)
+            df = chunks.reply(r, "r0", np.uint32)[at]
             for s, row in sets.values():
-                d = df[np.searchsorted(u, s)]
+                d, df = df[: len(s)], df[len(s) :]
                 if den * int((d > 1).sum()) >= num * len(s):
                     l, p = prefix_of(s, d, num, den)
                     row[4:] = l, p.view(np.int64).tolist(), s.tobytes()
