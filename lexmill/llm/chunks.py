@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import common as C
 
-CHUNK_BYTES = 20 << 20
+CHUNK_BYTES, LEAST_CHUNKS = 12 << 20, 16
 
 
 def deal(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """docs(doc_id, text) -> (those with their chunk, number of chunks)."""
-    n = C.parts_for(C.text_bytes(docs), chunk_bytes)
+    n = C.parts_for(C.text_bytes(docs), chunk_bytes, least=LEAST_CHUNKS)
     return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text"), n
 
 
