@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,20 +15,24 @@ from lexmill.functions import text as T
 K1, B, RRF_K, POOL = 1.5, 0.75, 60, 20
 #: Rows of a block of queries and of a shard of the collection: what one task holds.
 QUERY_BLOCK, SHARD_ROWS = 4096, 50_000
+#: Question terms (over all questions) up to which a block of questions is scored in one pass over documents; beyond, by joins.
+ASKED = 500_000
 
 
-def dense_topk(queries: DataFrame, collection: DataFrame, k: int, metric: str = "l2", exclude_self: bool = True) -> DataFrame:
+def dense_topk(queries: DataFrame, collection: DataFrame, k: int, metric: str = "l2", exclude_self: bool = True, within: str | None = None) -> DataFrame:
     """queries(query_id, q), collection(id, v) -> query_id, rank, id, distance.
 
     Squared L2 or cosine distance in double precision; ascending, ties (of distances rounded to 9 places) by
     id; fewer than k rows where there are fewer. Filter the collection before: the filter reaches the scan.
     Both sides are cut into blocks of bounded size; each pair of blocks is one task's matrix product and
     keeps k rows a query, so the shuffle carries vectors once a block and the rank sees k rows a shard.
+    within: a column of longs on both sides; a query meets only rows of its own value and is ranked by value.
     """
+    keys = ["block", "shard", *([within] if within else [])]
     blocks, shards = max(1, math.ceil(queries.count() / QUERY_BLOCK)), max(1, math.ceil(collection.count() / SHARD_ROWS))
     pairs = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("query_id", F.col("q").cast("array<double>").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", pairs(shards))
-    c = collection.select("id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", pairs(blocks))
+    q = queries.select(*keys[2:], "query_id", F.col("q").cast("array<double>").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", pairs(shards))
+    c = collection.select(*keys[2:], "id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", pairs(blocks))
 
     def compare(key, left, right):
         out = ([], [], [])
@@ -47,15 +52,18 @@ def dense_topk(queries: DataFrame, collection: DataFrame, k: int, metric: str =
                 out[0].extend([qid[i]] * len(few))
                 out[1].extend(ids[few].tolist())
                 out[2].extend(d[few].tolist())
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())})
+        made = {"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())}
+        if within:
+            made[within] = pa.array([key[2].as_py()] * len(out[0]), pa.int64())
+        return pa.table(made)
 
-    near = q.groupBy("block", "shard").cogroup(c.groupBy("block", "shard")).applyInArrow(compare, "query_id long, id long, distance double")
-    return rank(near, [F.round("distance", 9).asc(), F.col("id").asc()], k)
+    near = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(compare, "query_id long, id long, distance double" + (f", {within} long" if within else ""))
+    return rank(near, [F.round("distance", 9).asc(), F.col("id").asc()], k, "query_id", *keys[2:])
 
 
-def rank(scored: DataFrame, order: list[Column], k: int | None = None, by: str = "query_id") -> DataFrame:
+def rank(scored: DataFrame, order: list[Column], k: int | None = None, *by: str) -> DataFrame:
     """Adds rank (from 1) in each query's order; the first k."""
-    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or ("query_id",))).orderBy(*order)))
     return out if k is None else out.where(F.col("rank") <= k)
 
 
@@ -69,6 +77,12 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.coalesce(F.col(text), F.lit("")))).cast("double")).alias("avgdl"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a table in one small file would be one task. Large inputs, whose splits are many, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int = POOL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """queries(query_id, question) x docs -> query_id, rank, id, score: distinct question terms, score > 0, ties by id.
 
@@ -76,16 +90,54 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = POOL, doc_id: str = "doc_
     shuffle), so the postings that are joined grow with the questions' terms, not with the vocabulary.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens("question"))).alias("term"))
+    docs = spread(docs.select(doc_id, text))
     cut = docs.select(F.col(doc_id).alias("id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms").cast("double"))
     whole = cut.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = F.lit(float(whole["n"])), F.lit(float(whole["avgdl"] or 1.0))
     tf = cut.select("id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").cast("double").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    scored = tf.join(df, "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
+    weighted = tf.join(df, "term").select("id", "term", weight.alias("w"))
+    pairs = asked.limit(ASKED + 1).toPandas()
+    if len(pairs) <= ASKED:
+        scored = _score_block(weighted, pairs, k)
+    else:
+        scored = weighted.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
     return rank(scored, [F.col("score").desc(), F.col("id").asc()], k)
 
 
+def _score_block(weighted: DataFrame, pairs, k: int) -> DataFrame:
+    """Scores of one block of questions: a document's weights times the incidence of terms and questions, k rows a question and task."""
+    terms = {t: i for i, t in enumerate(sorted(set(pairs["term"])))}
+    names = np.array(sorted(set(pairs["query_id"])), np.int64)
+    asks: list[list[int]] = [[] for _ in terms]
+    for q, t in zip(np.searchsorted(names, pairs["query_id"].to_numpy()), pairs["term"], strict=True):
+        asks[terms[t]].append(int(q))
+    which = [np.array(x) for x in asks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, int]]] = [[] for _ in names]
+        floor = np.zeros(len(names))
+        for b in batches:
+            for i, ts, ws in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = np.zeros(len(names))
+                for t, w in zip(ts, ws, strict=True):
+                    s[which[terms[t]]] += w
+                s = np.round(s, 6)
+                for q in np.flatnonzero((s > 0) & (s >= floor)):
+                    best[q].append((-float(s[q]), i))
+                    if len(best[q]) >= 4 * k:
+                        best[q] = sorted(best[q])[:k]
+                        floor[q] = -best[q][-1][0]
+        out = [(int(names[q]), i, -s) for q, x in enumerate(best) for s, i in sorted(x)[:k]]
+        c = list(zip(*out, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], kind), pa.array(c[2], pa.float64())], ["query_id", "id", "score"])
+
+    kind = pa.string() if dict(weighted.dtypes)["id"] == "string" else pa.int64()
+    grouped = weighted.groupBy("id").agg(F.collect_list("term").alias("t"), F.collect_list("w").alias("w"))
+    return grouped.mapInArrow(run, f"query_id long, id {weighted.schema['id'].dataType.simpleString()}, score double")
+
+
 def rrf(*rankings: DataFrame) -> DataFrame:
     """Rankings (query_id, id, rank) -> query_id, id, score, rank: sum of 1 / (60 + rank) over the lists that have the id."""
     every = rankings[0].select("query_id", "id", "rank")

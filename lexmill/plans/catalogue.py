@@ -254,12 +254,9 @@ def router_margin(spark, sf):
 def routed_topk(spark, sf):
     q, c = vectors(spark, sf)
     routes = _routes(spark, sf).where("rank <= 2").select("query_id", "label", F.col("rank").alias("route"))
-    out = None
-    for label in range(10):
-        asked = q.join(routes.where(F.col("label") == label), "query_id", "left_semi")
-        part = retrieval.dense_topk(asked, c.where(F.col("label") == label), 5).withColumn("label", F.lit(label))
-        out = part if out is None else out.union(part)
-    out = out.join(routes.select("query_id", F.col("label").cast("int").alias("label"), "route"), ["query_id", "label"]).withColumn("documents", F.explode(F.sequence("route", F.lit(2))))
+    routed = routes.select("query_id", F.col("label").cast("long").alias("label"), "route")
+    near = retrieval.dense_topk(q.join(routed, "query_id"), c.withColumn("label", F.col("label").cast("long")), 5, within="label")
+    out = near.join(routed, ["query_id", "label"]).withColumn("documents", F.explode(F.sequence("route", F.lit(2))))
     w = Window.partitionBy("query_id", "documents").orderBy(F.round("distance", 9), "id")
     return out.withColumn("r", F.row_number().over(w)).where("r <= 5").select("query_id", F.col("documents").cast("long").alias("documents"), F.col("r").cast("long").alias("rank"), "id")
 
@@ -457,7 +454,7 @@ def group_summary_rollup(spark, sf):
 @query(f"""WITH d AS (SELECT lang, {_TOK.format("text")} AS t FROM documents), c AS (SELECT lang, len(t) AS n, CAST(len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS BIGINT) AS hits FROM d)
 SELECT lang, CAST(sum(hits) AS BIGINT) AS hits, count(*) FILTER (hits > 0) AS documents, round(10000.0 * sum(hits) / sum(n), 6) AS per_10k FROM c GROUP BY 1""")
 def phrase_stats(spark, sf):
-    d = table(spark, sf, "documents").select("lang", T.tokens("text").alias("t")).withColumn("n", F.size("t"))
+    d = retrieval.spread(table(spark, sf, "documents").select("lang", "text")).select("lang", T.tokens("text").alias("t")).withColumn("n", F.size("t"))
     pairs = F.zip_with("t", F.slice("t", F.lit(2), F.greatest(F.col("n"), F.lit(1))), lambda a, b: (a == "of") & F.coalesce(b == "the", F.lit(False)))
     c = d.withColumn("hits", F.size(F.filter(pairs, lambda x: x)).cast("long"))
     return c.groupBy("lang").agg(F.sum("hits").alias("hits"), F.count_if(F.col("hits") > 0).alias("documents"), F.round(10000.0 * F.sum("hits") / F.sum("n"), 6).alias("per_10k"))
