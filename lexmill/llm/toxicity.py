@@ -99,13 +99,12 @@ def learn_lexicon(fit: DataFrame) -> list[str]:
                     found.update(entries_of(w))
                 got[y].update(found)
                 rows[y] += 1
-        # an entry that no toxic row has can't be chosen
-        names = ["", *got[1]]
+        # clean rows' entries too: whether some toxic row has an entry is known only over all tasks
+        names = ["", *(got[0] | got[1])]
         for at in range(0, len(names), 50_000):
             part = names[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([rows[1] if not x else got[1][x] for x in part], pa.int64()), pa.array([rows[0] if not x else got[0][x] for x in part], pa.int64())], ["entry", "toxic", "clean"])
 
-    # entries that some tasks saw in clean rows only are missing there: count those again, by name
     counted = fit.select("text", "toxic").mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     total = counted.where("entry = ''").first()
     if total is None or not total["a"]:

@@ -43,3 +43,14 @@ def test_no_labels_and_no_documents(spark):
     model = T.fit(d, none)
     assert [round(r.score, 6) for r in T.score(d, model, ["doc_id"]).collect()] == [0.0]
     assert T.score(d.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_lexicon_is_the_same_for_any_partitions(spark):
+    docs, labels = corpus(1600)
+    rng = np.random.default_rng(6)
+    y = dict(labels)
+    # a neutral word of 6% of both classes; toxic rows come first, so most tasks hold clean ones only
+    rows = sorted(((t + (" neutralo" if rng.random() < 0.06 else ""), y[i]) for i, t in docs), key=lambda r: -r[1])
+    d = spark.createDataFrame(spark.sparkContext.parallelize(rows, 200), "text string, toxic int")
+    one, many = T.learn_lexicon(d.coalesce(1)), T.learn_lexicon(d)
+    assert one == many and "grum*" in one and not any(x.startswith("neut") for x in one)
