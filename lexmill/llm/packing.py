@@ -2,8 +2,9 @@
 
 1. Every document is encoded (token_store.Encoder) and ends with an end id. Whole windows of a long document
    are sequences by themselves; what is left, at most WINDOW - 1 tokens, is a unit to be packed.
-2. Token ids are the index's terms, so the vocabulary bounds the statistics: units, their mean length and
-   each id's document frequency are counted over all units of the corpus.
+2. Token ids are the index's terms, so the vocabulary bounds the statistics: documents, their mean length and
+   each id's document frequency are counted over the whole texts of the corpus. A unit is found and searched
+   for by its document's whole text too (its bag: distinct ids and counts), however little of it is left.
 3. Units are dealt to shards by hash of doc_id, SHARD tokens each. A shard builds its inverted index with BM25
    weights from the corpus-wide statistics. Seeds are taken in ascending order of doc_id; a seed's TERMS
    terms of highest idf score all units of the shard, and unused ones, best first (ties to the smaller
@@ -34,58 +35,67 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def units(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, doc_tokens, crcs (of its whole windows), tail (ids of the rest, 4 bytes each)."""
+    """docs(doc_id, text) -> doc_id, doc_tokens, crcs (of its whole windows), tail (ids of the rest, 4 bytes each), bag (distinct ids of the whole text, then their counts; empty where the tail is all)."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, step = encoder(tokenizer, kind), 4 * WINDOW
         for b in batches:
-            n, crcs, tails = [], [], []
+            n, crcs, tails, bags = [], [], [], []
             for t in b.column(1).to_pylist():
                 ids = enc.encode(t) + end
                 whole = len(ids) // step
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[k * step : (k + 1) * step]) for k in range(whole)])
                 tails.append(C.pack_planes(np.frombuffer(ids[whole * step :], "<u4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), C.binary_array(tails)], ["doc_id", "doc_tokens", "crcs", "tail"])
+                bags.append(C.pack_planes(np.concatenate(np.unique(np.frombuffer(ids, "<u4"), return_counts=True)).astype("<u4")) if whole else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), C.binary_array(tails), C.binary_array(bags)], ["doc_id", "doc_tokens", "crcs", "tail", "bag"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, doc_tokens long, crcs array<long>, tail binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, doc_tokens long, crcs array<long>, tail binary, bag binary")
 
 
-def statistics(made: DataFrame) -> tuple[int, float, np.ndarray]:
-    """(units, their mean length, document frequencies by id) over the whole corpus."""
+def bag_of(tail: np.ndarray, bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, their counts) of a document's whole text."""
+    if not bag:
+        return np.unique(tail, return_counts=True)
+    x = C.unpack_planes(bag, "<u4")
+    return x[: len(x) // 2], x[len(x) // 2 :]
+
+
+def statistics(made: DataFrame) -> tuple[int, float, np.ndarray, int]:
+    """(documents, their mean length, document frequencies by id, ids in all tails) over the whole corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, total = np.zeros(0, np.int64), 0, 0
+        df, n, total, left = np.zeros(0, np.int64), 0, 0, 0
         for b in batches:
-            for x in b.column(0).to_pylist():
-                ids = C.unpack_planes(x, "<u4")
-                if len(ids):
-                    found = np.unique(ids)
-                    if int(found[-1]) >= len(df):
-                        df = np.concatenate([df, np.zeros(int(found[-1]) + 1 - len(df), np.int64)])
-                    df[found] += 1
-                    n, total = n + 1, total + len(ids)
+            for x, bag in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found, tf = bag_of(C.unpack_planes(x, "<u4"), bag)
+                if int(found[-1]) >= len(df):
+                    df = np.concatenate([df, np.zeros(int(found[-1]) + 1 - len(df), np.int64)])
+                df[found] += 1
+                n, total, left = n + 1, total + int(tf.sum()), left + len(x) // 4
         seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, seen], pa.int64()), pa.array(np.r_[n, total, df[seen]], pa.int64())], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-3, -2, -1, seen], pa.int64()), pa.array(np.r_[left, n, total, df[seen]], pa.int64())], ["id", "n"])
 
-    rows = made.select("tail").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary
+    rows = made.select("tail", "bag").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary
     got = {r["id"]: r["n"] for r in rows}
-    n, total = got.pop(-2, 0), got.pop(-1, 0)
+    left, n, total = got.pop(-3, 0), got.pop(-2, 0), got.pop(-1, 0)
     df = np.zeros(max(got, default=0) + 1, np.int64)
     for k, v in got.items():
         df[k] = v
-    return n, total / max(1, n), df
+    return n, total / max(1, n), df, left
 
 
 class Index:
     """A shard's inverted index: for each id its units and their BM25 weights."""
 
-    def __init__(self, tails: list[np.ndarray], n: int, mean: float, df: np.ndarray):
-        length = np.array([len(x) for x in tails])
-        key = np.concatenate([x.astype(np.int64) for x in tails]) * len(tails) + np.repeat(np.arange(len(tails)), length)
-        key, tf = np.unique(key, return_counts=True)
-        self.ids, self.unit = key // len(tails), key % len(tails)
+    def __init__(self, tails: list[np.ndarray], n: int, mean: float, df: np.ndarray, bags: list[bytes] | None = None):
+        self.bags = [bag_of(x, b) for x, b in zip(tails, bags or [b""] * len(tails), strict=True)]
+        length = np.array([int(tf.sum()) for _, tf in self.bags])
+        ids, tf = (np.concatenate([x[k] for x in self.bags]) for k in (0, 1))
+        order = np.argsort(ids, kind="stable")
+        self.ids, tf = ids[order].astype(np.int64), tf[order]
+        self.unit = np.repeat(np.arange(len(tails)), [len(x) for x, _ in self.bags])[order]
         self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         self.weight = (self.idf[self.ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.unit] / mean))).astype(np.float32)
         self.at = np.searchsorted(self.ids, np.arange(len(df) + 1))
@@ -130,7 +140,7 @@ def fill(tails: list[np.ndarray], index: Index, window: int = WINDOW) -> list[li
                     u = first
                 else:
                     tried_scores = True
-                    s = index.score(tails[seed])
+                    s = index.score(index.bags[seed][0])
                     s[used] = 0
                     near = np.flatnonzero(s)
                     if len(near) > 256:
@@ -172,24 +182,24 @@ def _powers(pieces: list[tuple[int, int, int]], total: int) -> list[list[tuple[i
 def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 1) -> DataFrame:
     """docs(doc_id, text) -> pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     made = C.materialize(units(docs, tokenizer, kind, end_id), "pack-units")
-    n, mean, df = statistics(made)
-    shards = C.parts_for(int(n * mean), SHARD)
+    n, mean, df, left = statistics(made)
+    shards = C.parts_for(left, SHARD)
 
     def run(key, t):
         base = key[0].as_py() << 32
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "tail", "crcs")), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "tail", "crcs", "bag")), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
         out, seq = [], 0
-        for doc_id, total, _, crcs in rows:
+        for doc_id, total, _, crcs, _ in rows:
             for k, crc in enumerate(crcs):
                 out.append((doc_id, k * WINDOW, WINDOW, crc, total, base + seq, 0))
                 seq += 1
         kept = [r for r in rows if r[2]]
         tails = [C.unpack_planes(r[2], "<u4") for r in kept]
         if tails:
-            for pieces in fill(tails, Index(tails, n, mean, df)):
+            for pieces in fill(tails, Index(tails, n, mean, df, [r[4] for r in kept])):
                 offset = 0
                 for u, s, m in pieces:
-                    doc_id, total, _, crcs = kept[u]
+                    doc_id, total, _, crcs, _ = kept[u]
                     out.append((doc_id, len(crcs) * WINDOW + s, m, zlib.crc32(tails[u][s : s + m].tobytes()), total, base + seq, offset))
                     offset += m
                 seq += 1

@@ -55,3 +55,18 @@ def test_index_scores_are_bm25_and_best_neighbour_follows():
     near = [u for u in np.argsort(-np.array(want)) if u != 0]
     first = P.fill(tails, index, window=7)[0]
     assert [u for u, _, _ in first][:2] == [0, near[0]]
+
+
+def test_long_documents_take_part_by_their_whole_text(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    topic, rest = "zebra quagga okapi giraffe ", "plain other filler words "
+    rows = [(1, topic * 600 + rest * 200), (2, "some thing else"), (3, "one more line"), (4, topic * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    made = P.units(df, path, "byte", 1)
+    n, mean, counted, left = P.statistics(made)
+    ids = [[*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 1] for _, t in rows]
+    assert (n, mean, left) == (4, np.mean([len(x) for x in ids]), sum(len(x) % P.WINDOW for x in ids))
+    assert all(counted[k] == sum(k in x for x in ids) for x in ids for k in x[:50])
+    got = sorted(P.pack(df, path).collect(), key=lambda r: (r.sequence_id, r.offset))
+    order = list(dict.fromkeys(r.doc_id for r in got if r.doc_id != 1))
+    assert order[0] == 4
