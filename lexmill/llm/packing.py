@@ -6,8 +6,8 @@
    each id's document frequency are counted over the whole texts of the corpus. A unit is found and searched
    for by its document's whole text too (its bag: distinct ids and counts), however little of it is left.
 3. Units are dealt to shards by hash of doc_id, SHARD tokens each. A shard builds its inverted index with BM25
-   weights from the corpus-wide statistics. Seeds are taken in ascending order of doc_id; a seed's TERMS
-   terms of highest idf score all units of the shard, and unused ones, best first (ties to the smaller
+   weights from the corpus-wide statistics. Seeds are taken in ascending order of doc_id; all of a seed's
+   distinct ids score all units of the shard, and unused ones, best first (ties to the smaller
    doc_id), fill the seed's window; when no scored unit is left, the next unused one follows. The unit that
    doesn't fit is cut, and what is left of it is the next seed. So every window but a shard's last is full;
    that one is cut into sequences whose lengths are powers of two, which need no padding either.
@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from lexmill.llm import common as C
 from lexmill.llm.token_store import encoder
 
-WINDOW, SHARD, TERMS, K1, B = 2048, 3_000_000, 24, 1.2, 0.75
+WINDOW, SHARD, K1, B = 2048, 3_000_000, 1.2, 0.75
+
+#: An id in more than one of so many units of a shard is kept as a row over all of them.
+COMMON = 8
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -98,22 +101,38 @@ class Index:
         self.unit = np.repeat(np.arange(len(tails)), [len(x) for x, _ in self.bags])[order]
         self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         self.weight = (self.idf[self.ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.unit] / mean))).astype(np.float32)
-        self.at = np.searchsorted(self.ids, np.arange(len(df) + 1))
         self.n = len(tails)
+        self.at = np.searchsorted(self.ids, np.arange(len(df) + 1))
 
-    def terms(self, ids: np.ndarray) -> np.ndarray:
-        """The distinct ids of highest idf."""
-        t = np.unique(ids)
-        return t[np.lexsort((t, -self.idf[t]))[:TERMS]]
+        # ids of many units as rows over all units, which add up faster than postings; under COMMON values a posting
+        often = np.flatnonzero(np.diff(self.at) * COMMON > self.n)
+        self.row = np.full(len(df), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n), np.float32)
+        mine = self.row[self.ids] >= 0
+        self.dense[self.row[self.ids[mine]], self.unit[mine]] = self.weight[mine]
 
     def score(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n, np.float32)
-        for t in self.terms(ids):
-            s = slice(self.at[t], self.at[t + 1])
+        """Every unit's BM25 score by all distinct ids."""
+        t = np.unique(ids)
+        row = self.row[t]
+        out = self.dense[row[row >= 0]].sum(axis=0)
+        for k in t[row < 0].tolist():
+            s = slice(self.at[k], self.at[k + 1])
             out[self.unit[s]] += self.weight[s]
         return out
 
 
+def ranked(s: np.ndarray, block: int = 256) -> Iterator[int]:
+    """Units of positive score, best first, ties to the smaller; sorted a block at a time."""
+    near = np.flatnonzero(s)
+    while len(near):
+        least = -np.partition(-s[near], block - 1)[block - 1] if len(near) > block else 0
+        first = near[s[near] >= least]
+        yield from first[np.lexsort((first, -s[first]))].tolist()
+        near = near[s[near] < least]
+
+
 def fill(tails: list[np.ndarray], index: Index, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (unit, start, length). Units have 1 to window - 1 ids."""
     start, used, out, first = [0] * len(tails), np.zeros(len(tails), bool), [], 0
@@ -142,10 +161,7 @@ def fill(tails: list[np.ndarray], index: Index, window: int = WINDOW) -> list[li
                     tried_scores = True
                     s = index.score(index.bags[seed][0])
                     s[used] = 0
-                    near = np.flatnonzero(s)
-                    if len(near) > 256:
-                        near = near[np.argpartition(-s[near], 255)[:256]]
-                    order = iter(near[np.lexsort((near, -s[near]))].tolist())
+                    order = ranked(s)
                     continue
             elif u != seed and used[u]:
                 continue

@@ -70,3 +70,15 @@ def test_long_documents_take_part_by_their_whole_text(spark):
     got = sorted(P.pack(df, path).collect(), key=lambda r: (r.sequence_id, r.offset))
     order = list(dict.fromkeys(r.doc_id for r in got if r.doc_id != 1))
     assert order[0] == 4
+
+
+def test_all_ids_score_and_all_scored_units_come_first():
+    # ids 50 to 89 are the seed's alone and rarer than id 5, by which 300 units further on are its neighbours
+    tails = [np.array([5, *range(50, 90)], "<u4"), *[np.array([9, 10], "<u4")] * 350, *(np.array([5, 100 + k], "<u4") for k in range(300))]
+    df = np.bincount(np.concatenate(tails))
+    index = P.Index(tails, len(tails), np.mean([len(x) for x in tails]), df)
+    assert np.flatnonzero(index.score(tails[0])).tolist() == [0, *range(351, 651)]
+    first = P.fill(tails, index, window=41 + 600)[0]
+    assert [u for u, _, _ in first] == [0, *range(351, 651)]
+    s = np.random.default_rng(1).integers(0, 40, 3000).astype(np.float32)
+    assert list(P.ranked(s)) == [u for u in np.lexsort((np.arange(3000), -s)) if s[u]]
