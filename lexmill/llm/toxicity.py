@@ -4,7 +4,7 @@
    doc_id), words and their beginnings of 4 to 9 letters are counted by label; those that tell toxic rows
    best (a binomial log-likelihood ratio, at least LEAST and SHARE of the toxic rows, a ratio of odds of at least ODDS)
    become lexicon entries, up to ENTRIES; of a word and its beginnings that mark the same rows one is kept.
-2. Voters. The VOTERS best entries each vote "toxic" where they occur and abstain elsewhere; PATTERNS
+2. Voters. All entries each vote "toxic" where they occur and abstain elsewhere; PATTERNS
    (shouting, runs of marks, ...) vote too. Votes are made for every document.
 3. Label model. A document's class is hidden; given the class, voters vote at rates mu[class] (their
    accuracies) and with a common covariance, which gives their correlations rho. The parameters start from
@@ -12,10 +12,11 @@
    with a learning label keep it). A vote counts log(mu1 / mu0), divided by 1 + its correlations with the
    other votes cast, so that voters that repeat each other share one weight; an abstention counts nothing
    by itself, but a text without any lexicon vote has its own ratio.
-   What is gathered for it are sums over votes: some VOTERS^2 numbers.
-4. Classifier. A logistic regression over all entries and patterns, trained on the label model's posteriors
-   of at most FIT_ROWS documents (the lowest by hash) and of each lexicon voter's vote alone, scores every
-   whole text.
+   What is gathered for it are sums over votes and over pairs of votes that are cast together: at most
+   some ENTRIES^2 numbers.
+4. Classifier. A logistic regression over all entries and patterns, trained on at most FIT_ROWS documents
+   (the lowest by hash; learning labels where known, else the label model's posteriors) and on the posterior
+   of each lexicon voter's vote alone, scores every whole text.
 
 A score sees the text alone. A null or empty text has no entry and gets the classifier's intercept. Rows
 that repeat get the same score. Without labels, or without any toxic one, every score is the prior, 0.
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import common as C
 
-#: Documented bounds of what is fitted: rows of a sample, lexicon entries, voters; rounds of the label model.
-FIT_ROWS, ENTRIES, VOTERS, ROUNDS = 12_000, 1024, 64, 3
+#: Documented bounds of what is fitted: rows of a sample, lexicon entries; rounds of the label model.
+FIT_ROWS, ENTRIES, ROUNDS = 12_000, 1024, 3
+PAIRS = 2_000_000  # pairs of votes that are in memory at once
 LEAST, SHARE, ODDS = 4, 0.01, 40.0
 STEMS = (4, 5, 6, 7, 8, 9)
 
@@ -141,41 +143,60 @@ def votes_of(docs: DataFrame, entries: list[str], cols: list[str]) -> DataFrame:
     return picked.mapInArrow(vote, f"{schema}, ids array<int>")
 
 
+class Votes:
+    """Some texts' votes as flat arrays: the row and the voter of each vote, and the pairs of votes of one row."""
+
+    def __init__(self, ids: list[list[int]]):
+        size = np.array([len(x) for x in ids], np.int64)
+        self.n = len(ids)
+        self.row = np.repeat(np.arange(self.n), size)
+        self.col = np.fromiter((k for x in ids for k in x), np.int64, len(self.row))
+        mates = size[self.row]
+        self.left = np.repeat(np.arange(len(self.row)), mates)
+        self.right = np.arange(len(self.left)) + np.repeat((np.cumsum(size) - size)[self.row] - np.cumsum(mates) + mates, mates)
+
+    @staticmethod
+    def cut(ids: list[list[int]]) -> Iterator[slice]:
+        """Slices of at most PAIRS pairs, or of one row."""
+        first, total = 0, 0
+        for k, x in enumerate(ids):
+            if k > first and total + len(x) ** 2 > PAIRS:
+                yield slice(first, k)
+                first, total = k, 0
+            total += len(x) ** 2
+        if ids:
+            yield slice(first, len(ids))
+
+
 class LabelModel:
     """Hidden class, voters' means by class, common covariance."""
 
     def __init__(self, n_entries: int):
-        self.at = [*range(min(VOTERS, n_entries)), *range(n_entries, n_entries + len(PATTERNS))]
-        self.column = {k: j for j, k in enumerate(self.at)}
-
-    def matrix(self, ids: list[list[int]]) -> np.ndarray:
-        m = np.zeros((len(ids), len(self.at)))
-        for i, row in enumerate(ids):
-            for k in row:
-                if (j := self.column.get(k)) is not None:
-                    m[i, j] = 1
-        return m
-
-    def voted(self, m: np.ndarray) -> np.ndarray:
-        """Whether any lexicon voter voted."""
-        return m[:, : len(self.at) - len(PATTERNS)].any(axis=1)
+        self.n_entries, self.width = n_entries, n_entries + len(PATTERNS)
 
-    def posterior(self, m: np.ndarray) -> np.ndarray:
-        share = 1 + m @ self.rho
-        z = (m * self.w / share).sum(axis=1) + np.where(self.voted(m), self.b, self.b_none)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def voted(self, v: Votes) -> np.ndarray:
+        """Whether any lexicon voter voted."""
+        return np.bincount(v.row[v.col < self.n_entries], minlength=v.n) > 0
+
+    def posterior(self, ids: list[list[int]]) -> np.ndarray:
+        out = np.zeros(len(ids))
+        for at in Votes.cut(ids):
+            v = Votes(ids[at])
+            share = 1 + np.bincount(v.left, self.rho[v.col[v.left], v.col[v.right]], len(v.col))
+            z = np.bincount(v.row, self.w[v.col] / share, v.n) + np.where(self.voted(v), self.b, self.b_none)
+            out[at] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return out
 
     def set(self, s: np.ndarray) -> None:
         """From sums by class: [count, votes, votes x votes, rows without a vote]."""
-        j = len(self.at)
+        j = self.width
         n = np.maximum(s[:, 0], 1e-9)
         mu = (s[:, 1 : 1 + j] + 0.1) / (n[:, None] + 1)
         second = s[:, 1 + j : -1].reshape(2, j, j)
         sigma = sum(second[y] - n[y] * np.outer(mu[y], mu[y]) for y in (0, 1)) / n.sum()
         d = np.sqrt(np.maximum(np.diag(sigma), 1e-9))
         self.mu, self.prior = mu, n[1] / n.sum()
-        self.correlations = np.clip(sigma / np.outer(d, d), -1, 1)
-        self.rho = np.maximum(self.correlations, 0)
+        self.rho = np.clip(sigma / np.outer(d, d), 0, 1)  # voters that never vote together have none
         np.fill_diagonal(self.rho, 0)
         self.w = np.log(mu[1] / mu[0])
         self.b = np.log(n[1] / n[0])
@@ -185,30 +206,35 @@ class LabelModel:
 
 def _sums(votes: DataFrame, model: LabelModel, labelled_only: bool) -> np.ndarray:
     """Sums by class over votes(ids, label): label where known, else the posterior."""
-    j = len(model.at)
+    j = model.width
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.zeros((2, 2 + j + j * j))
         for b in batches:
-            m = model.matrix(b.column(0).to_pylist())
-            y = np.array([np.nan if v is None else v for v in b.column(1).to_pylist()], float)
-            known = ~np.isnan(y)
+            ids, label = b.column(0).to_pylist(), b.column(1).to_pylist()
             if labelled_only:
-                m, y = m[known], y[known]
-            else:
-                y[~known] = model.posterior(m[~known])
-            for c, p in ((0, 1 - y), (1, y)):
-                s[c] += np.concatenate([[p.sum()], p @ m, ((m * p[:, None]).T @ m).ravel(), [p[~model.voted(m)].sum()]])
-        yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], ["s"])
-
-    # one row of a fixed size a task, added up in groups and then in one
-    def total(key, t):
-        return pa.table({"g": pa.array([0], pa.int64()), "s": pa.array([sum(np.frombuffer(x, float) for x in t.column("s").to_pylist()).tobytes()], pa.binary())})
-
-    part = votes.select("ids", "label").mapInArrow(add, "s binary").select((F.rand(1) * 64).cast("long").alias("g"), "s")
-    part = part.groupBy("g").applyInArrow(total, "g long, s binary")
-    rows = part.select("s").collect()
-    return sum((np.frombuffer(r["s"], float) for r in rows), np.zeros(2 * (2 + j + j * j))).reshape(2, -1)
+                ids, label = [x for x, y in zip(ids, label, strict=True) if y is not None], [y for y in label if y is not None]
+            y = np.array([np.nan if x is None else x for x in label], float)
+            if not labelled_only:
+                unknown = np.flatnonzero(np.isnan(y))
+                y[unknown] = model.posterior([ids[k] for k in unknown.tolist()])
+            for at in Votes.cut(ids):
+                v = Votes(ids[at])
+                pair, none = v.col[v.left] * j + v.col[v.right], ~model.voted(v)
+                kinds, of = np.unique(pair, return_inverse=True)
+                for c, p in ((0, 1 - y[at]), (1, y[at])):
+                    s[c, 0] += p.sum()
+                    s[c, 1 : 1 + j] += np.bincount(v.col, p[v.row], j)
+                    s[c, 1 + j + kinds] += np.bincount(of, p[v.row[v.left]], len(kinds))
+                    s[c, -1] += p[none].sum()
+        flat = s.ravel()
+        k = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(flat[k])], ["k", "s"])
+
+    got = votes.select("ids", "label").mapInArrow(add, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).toArrow()  # pairs of voters that vote together
+    out = np.zeros(2 * (2 + j + j * j))
+    out[got.column("k").to_numpy()] = got.column("s").to_numpy()
+    return out.reshape(2, -1)
 
 
 def fit_linear(ids: list[list[int]], y: np.ndarray, width: int, l2: float = 1e-5, steps: int = 4000) -> tuple[np.ndarray, float]:
@@ -258,8 +284,11 @@ def fit_votes(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: C.fold(do
         model.set(_sums(votes, model, labelled_only=False))
     total = votes.count()
     got = bounded(votes, FIT_ROWS, total).select("ids", "label").toArrow()
-    ids = got.column("ids").to_pylist() + [[k] for k in model.at if k < len(entries)]  # and, for each lexicon voter, a text that has its vote alone
-    y = model.posterior(model.matrix(ids)) if ids else np.zeros(0)
+    ids = got.column("ids").to_pylist() + [[k] for k in range(len(entries))]  # and, for each lexicon voter, a text that has its vote alone
+    y = model.posterior(ids)
+    for k, label in enumerate(got.column("label").to_pylist()):
+        if label is not None:
+            y[k] = label
     w, b = fit_linear(ids, y, len(entries) + len(PATTERNS)) if len(ids) else (np.zeros(len(entries) + len(PATTERNS)), -30.0)
     return Model(entries, w, b, model), votes
 

@@ -54,3 +54,26 @@ def test_lexicon_is_the_same_for_any_partitions(spark):
     d = spark.createDataFrame(spark.sparkContext.parallelize(rows, 200), "text string, toxic int")
     one, many = T.learn_lexicon(d.coalesce(1)), T.learn_lexicon(d)
     assert one == many and "grum*" in one and not any(x.startswith("neut") for x in one)
+
+
+def test_every_entry_votes(spark):
+    # 80 toxic words of 16 rows each
+    rows = [(k, f"plain words here {k % 80:03d}toxic", 1) for k in range(1280)] + [(k, f"plain words here c{k % 7}", 0) for k in range(1280, 5280)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = T.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic"), lambda doc_id: T.F.lit(True))
+    assert len(model.entries) == 80
+    got = {r.doc_id: r.score for r in T.score(d, model, ["doc_id"]).collect()}
+    assert all((got[i] >= 0.5) == bool(y) for i, _, y in rows)
+
+
+def test_posterior_and_pairs_of_votes():
+    m = T.LabelModel(3)
+    j = m.width
+    m.w, m.b, m.b_none, m.rho = np.arange(1.0, j + 1), -1.0, -2.0, np.random.default_rng(2).random((j, j))
+    np.fill_diagonal(m.rho, 0)
+    ids = [[0, 2, 4], [], [1], [3, 5]]
+    want = []
+    for x in ids:
+        z = sum(m.w[k] / (1 + sum(m.rho[k, l] for l in x)) for k in x) + (m.b if any(k < 3 for k in x) else m.b_none)
+        want.append(1 / (1 + np.exp(-z)))
+    assert np.allclose(m.posterior(ids), want)
