@@ -94,8 +94,8 @@ def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers).encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
 
 
-def convert(arc: bytes, original: dict[str, tuple[str, str]] | None = None) -> Iterator[bytes]:
-    """WARC records of an ARC file's records. original: by location, (location, url) of the record whose payload it repeats."""
+def convert(arc: bytes, original: dict[tuple[str, str], tuple[str, str]] | None = None) -> Iterator[bytes]:
+    """WARC records of an ARC file's records. original: by location and payload's SHA-1 (hex), (location, url) of the record whose payload it repeats."""
     for f, content in parse_arc(arc):
         url, date, where = f["url"], iso_date(f["date"]), f.get("location", "-")
         if url.startswith("filedesc://"):
@@ -107,7 +107,7 @@ def convert(arc: bytes, original: dict[str, tuple[str, str]] | None = None) -> I
             cut = len(content)
         payload = content[cut:]
         digest = hashlib.sha1(payload).digest()
-        to = (original or {}).get(where) if http else None
+        to = (original or {}).get((where, digest.hex())) if http else None
         kind = ("revisit" if to else "response") if http else "resource"
         headers = [("WARC-Type", kind), ("WARC-Record-ID", record_id(url, date, where, digest.hex())), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-IP-Address", f["ip"]), ("WARC-Payload-Digest", b32(digest)), ("WARC-Block-Digest", b32(hashlib.sha1(content[:cut] if to else content).digest())), ("X-Source-Location", where), ("X-Payload-Length", str(len(payload)))]
         if to:
@@ -188,9 +188,10 @@ def write_archives(pages: DataFrame, root: str, version: int = 2, batch: int = 5
                 arc.write(arc_head(version, f"{name}.arc"))
                 for r in rows:
                     where = f"page:{r['page_id']}"
-                    arc.write(arc_record(version, clean_url(r["url"], r["page_id"]), r["html"].encode("utf-8", "surrogatepass"), arc.tell(), f"{name}.arc", where))
+                    payload = r["html"].encode("utf-8", "surrogatepass")
+                    arc.write(arc_record(version, clean_url(r["url"], r["page_id"]), payload, arc.tell(), f"{name}.arc", where))
                     if r["refers_to"] is not None:
-                        original[where] = (f"page:{r['refers_to']}", clean_url(r["refers_url"], r["refers_to"]))
+                        original[where, hashlib.sha1(payload).hexdigest()] = (f"page:{r['refers_to']}", clean_url(r["refers_url"], r["refers_to"]))
                 out = out or fs.open_output_stream(tmp, compression=None)
                 for x in convert(arc.getvalue(), original):
                     out.write(gz(x))

@@ -46,3 +46,12 @@ def test_pages(spark):
         to = {1: 9, 2: 9, None: 9, 10: 11}.get(r.page_id)
         assert (r.record_type, r.refers_to) == (("revisit", to) if to else ("response", None)) and (r.payload == html or to)
     assert A.read_archives(A.write_archives(A.with_originals(df.limit(0)), C.new_path(spark, "w")), 1).count() == 0
+
+
+def test_rows_of_one_page_id_keep_their_own_payloads(spark):
+    same, other, third = "x" * 1200, "y" * 1300, "z" * 1400
+    rows = [(1, "u1", same), (1, "u1", other), (1, "u1", "short"), (9, "u9", same), (None, "n", same), (None, "n", third)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = A.read_archives(A.write_archives(A.with_originals(df), C.new_path(spark, "w")), 1).collect()
+    want = [(i, hashlib.sha1(h.encode()).hexdigest(), *((9, None) if h == same and i != 9 else (None, h.encode()))) for i, _, h in rows]
+    assert sorted(((r.page_id, r.payload_digest, r.refers_to, r.payload and bytes(r.payload)) for r in got), key=repr) == sorted(want, key=repr)
