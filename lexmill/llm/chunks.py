@@ -42,17 +42,26 @@ def packets(chunk: int, ranges: int, hashes: np.ndarray, *columns: np.ndarray) -
     return pa.table(out)
 
 
+def add_up(at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of unsigned 64-bit counts by position, exact beyond 2^53."""
+    if counts.sum(dtype=np.float64) < 2**52:
+        return np.bincount(at, counts).astype(np.uint64)
+    out = np.zeros(int(at.max()) + 1, np.uint64)
+    np.add.at(out, at, counts)
+    return out
+
+
 PACKETS = "range int, chunk int, hashes binary"
 
 
 def totals(packed: DataFrame) -> DataFrame:
-    """packets with c0: counts (unsigned 32 bit) -> replies (chunk, range, r0: the corpus-wide sums)."""
+    """packets with c0: counts (unsigned 64 bit) -> replies (chunk, range, r0: the corpus-wide sums)."""
 
     def add(key, t):
         parts = [C.unpack_sorted(x) for x in t.column("hashes").to_pylist()]
-        counts = np.concatenate([C.unpack_planes(x, np.uint32) for x in t.column("c0").to_pylist()])
+        counts = np.concatenate([C.unpack_planes(x, np.uint64) for x in t.column("c0").to_pylist()])
         _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(inverse, counts)[inverse].astype(np.uint32)
+        total = add_up(inverse, counts)[inverse]
         split = np.split(total, np.cumsum([len(x) for x in parts])[:-1])
         return pa.table({"chunk": t.column("chunk").cast(pa.int32()), "range": t.column("range").cast(pa.int32()), "r0": C.binary_array([C.pack_planes(x) for x in split])})
 

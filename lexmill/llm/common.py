@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import ctypes
 import math
 import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,30 @@ from pyspark.sql import functions as F
 #: The bytes that part words: space and tab to carriage return. bytes.split() parts by the same.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+#: Arrays of at least so many bytes get pages of their own, which go back when they are freed.
+OWN_PAGES = 1 << 20
+
+
+def _bounded_heap() -> None:
+    """Python workers live on from task to task; without a fixed threshold glibc keeps what large arrays have used."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, OWN_PAGES)  # M_MMAP_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_bounded_heap()
+
+
+def give_back() -> None:
+    """At the end of a task's large group: free pages go back to the machine."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 _own: dict[str, str] = {}
 
 
@@ -69,14 +93,6 @@ def drop(*dfs: DataFrame) -> None:
             p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go when the driver's JVM collects the garbage that refers to them; a long driver program should say when."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def filesystem(path: str):
     """(pyarrow file system, path in it) of a folder that all machines share."""
     from pyarrow import fs
@@ -84,6 +100,45 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], nbytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about nbytes (one row at least), so that Python objects exist for a slice at a time."""
+    for b in batches:
+        step = max(1, b.num_rows * nbytes // max(nbytes, b.get_total_buffer_size()))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like those wanted that df doesn't have (whatever their case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for w in wanted:
+        name = w
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Keys that spread_lookup() broadcasts at most.
+HOT_KEYS = 10_000
+
+
+def spread_lookup(rows: DataFrame, key: str, table: DataFrame, n_rows: int) -> DataFrame:
+    """rows left join table (a row a key: key, rows_of_key, other columns), however many rows a key has.
+
+    A key with more than n_rows / HOT_KEYS rows is hot. There are at most HOT_KEYS of those: they are broadcast,
+    so their rows stay where they are. No other key has more than that share of the rows.
+    """
+    least = max(1, -(-n_rows // HOT_KEYS))
+    cols = [c for c in table.columns if c not in (key, "rows_of_key")]
+    hot = table.where(F.col("rows_of_key") > least).select(key, F.lit(True).alias("is_hot"), *cols)
+    known = rows.join(F.broadcast(hot), key, "left")
+    done = known.where("is_hot").drop("is_hot")
+    rest = known.where("is_hot is null").select(*rows.columns).join(table.where(F.col("rows_of_key") <= least).select(key, *cols), key, "left")
+    return done.unionByName(rest)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5

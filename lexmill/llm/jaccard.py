@@ -80,10 +80,9 @@ def nodes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 sets[node_of(s)] = s
         all_ = np.concatenate(list(sets.values())) if sets else np.zeros(0, np.uint64)
         u, c = np.unique(all_, return_counts=True)
-        return chunks.packets(t.column("chunk")[0].as_py(), n, u, c.astype(np.uint32))
+        return chunks.packets(t.column("chunk")[0].as_py(), n, u, c.astype(np.uint64))
 
     replies = C.materialize(chunks.totals(dealt.groupBy("chunk").applyInArrow(pack, chunks.PACKETS + ", c0 binary")), "jaccard-df")
-    C.free_shuffles(docs.sparkSession)
 
     def look(key, t, r):
         rows, sets = [], {}
@@ -95,7 +94,7 @@ def nodes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 sets[node] = (s, rows[-1])
         if sets:
             _, at = np.unique(np.concatenate([s for s, _ in sets.values()]), return_inverse=True)
-            df = chunks.reply(r, "r0", np.uint32)[at]
+            df = chunks.reply(r, "r0", np.uint64)[at]
             for s, row in sets.values():
                 d, df = df[: len(s)], df[len(s) :]
                 if den * int((d > 1).sum()) >= num * len(s):
@@ -107,7 +106,6 @@ def nodes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     out = C.materialize(dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(look, _NODES), "jaccard-nodes")
     C.drop(replies)
-    C.free_shuffles(docs.sparkSession)
     return out
 
 
@@ -154,7 +152,9 @@ def links(known: DataFrame, num: int, den: int) -> DataFrame:
     one = C.materialize(one, "jaccard-sets")
     posts = one.select("node", "n", "least", F.explode("prefix").alias("token"))
     sizes = C.materialize(posts.groupBy("token").count().where("count > 1"), "jaccard-postings")
-    light = posts.join(sizes.where(F.col("count") <= HEAVY), "token").select("token", "node", "n", "least")
+    # a token of very many sets meets its count without gathering them
+    counted = C.spread_lookup(posts, "token", sizes.select("token", F.col("count").alias("rows_of_key"), "count"), sizes.agg(F.sum("count")).first()[0] or 0)
+    light = counted.where(F.col("count") <= HEAVY).select("token", "node", "n", "least")
     x, y = light, light.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "least")))
     near = (F.col("node") < F.col("node_b")) & (F.least("n", "n_b") * den >= F.greatest("n", "n_b") * num)
     pairs = x.join(y, "token").where(near).groupBy(F.col("node").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("least", "least_b")).alias("l")).where("c >= l").select("a", "b")
@@ -173,12 +173,16 @@ def links(known: DataFrame, num: int, den: int) -> DataFrame:
 
     heavy = sizes.where(F.col("count") > HEAVY)
     if not heavy.isEmpty():
-        of = posts.join(heavy, "token").select("node", "token")
-        first = of.groupBy("node").agg(F.min("token").alias("first"))
-        tied = graph.components(of.join(first, "node").select(F.col("first").alias("a"), F.col("token").alias("b")))
-        block = first.join(tied, F.col("first") == tied["node"], "left").select(first["node"], F.coalesce("root", "first").alias("block"))
-        tiles = block.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-        member = one.select("node", "n", "items").join(block, "node").join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        of = C.materialize(counted.where(F.col("count") > HEAVY).select("node", "token"), "jaccard-heavy")
+        first = C.materialize(of.groupBy("node").agg(F.min("token").alias("first")), "jaccard-first")
+        n = first.count()
+        token_of = C.spread_lookup(of, "node", first.select("node", F.lit(1).alias("rows_of_key"), "first"), n)
+        tied = graph.components(token_of.select(F.col("first").alias("a"), F.col("token").alias("b")).distinct())
+        uses = first.groupBy("first").agg(F.count("*").alias("rows_of_key"))
+        roots = uses.join(tied.withColumnRenamed("node", "first"), "first", "left")
+        block = C.materialize(C.spread_lookup(first, "first", roots, n).select("node", F.coalesce("root", "first").alias("block")), "jaccard-blocks")
+        tiles = block.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("rows_of_key"))
+        member = C.spread_lookup(block, "block", tiles, n).join(one.select("node", "n", "items"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "items")
 
         def tile(key, t):
@@ -203,25 +207,28 @@ def links(known: DataFrame, num: int, den: int) -> DataFrame:
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     known = nodes(docs.select("doc_id", "text"), k, num, den)
     tied = graph.components(links(known, num, den))
-    return known.select("doc_id", "text_md5", "n_shingles", "node").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return C.materialize(known.select("doc_id", "text_md5", "n_shingles", "node").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"), "jaccard-classes")
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs(doc_id, text) -> a row a row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    mine = _classes(docs, k, num, den)
-    least = mine.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return mine.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    mine = _classes(docs, k, num, den).drop("text_md5")
+    least = mine.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows_of_key"))
+    alone = mine.where("root is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    tied = C.spread_lookup(mine.where("root is not null"), "root", least, mine.count())
+    return tied.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).union(alone)
 
 
 def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs' rows and columns without near copies: of each component the row of the smallest doc_id (null last, ties by text) stays, once; rows without words stay, once for each doc_id."""
+    """docs' rows and columns without near copies: of each component the row of the smallest doc_id (null last, ties by text) stays, once; rows without words stay, once for each doc_id. Of equal doc_id and text any row's other columns stay. Names added on the way are ones that docs doesn't have."""
     mine = _classes(docs, k, num, den)
     name = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_md5").alias("t"))
     first = mine.where("root is not null").groupBy("root").agg(F.min(name).alias("k"))
-    stay = first.select(F.col("k.i").alias("__i"), F.col("k.t").alias("__t")).union(mine.where("root is null").select("doc_id", "text_md5").distinct())
-    rows = docs.withColumn("__md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["__i"]) & (rows["__md5"] == stay["__t"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__md5"]).select(*docs.columns)
+    md5, i, t = C.free_names(docs, "text_md5", "kept_id", "kept_md5")
+    stay = first.select(F.col("k.i").alias(i), F.col("k.t").alias(t)).union(mine.where("root is null").select("doc_id", "text_md5").distinct())
+    rows = docs.withColumn(md5, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(md5) == F.col(t)), "left_semi")
+    return kept.dropDuplicates(["doc_id", md5]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

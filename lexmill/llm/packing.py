@@ -5,12 +5,16 @@
 2. Token ids are the index's terms, so the vocabulary bounds the statistics: documents, their mean length and
    each id's document frequency are counted over the whole texts of the corpus. A unit is found and searched
    for by its document's whole text too (its bag: distinct ids and counts), however little of it is left.
-3. Units are dealt to shards by hash of doc_id, SHARD tokens each. A shard builds its inverted index with BM25
-   weights from the corpus-wide statistics. Seeds are taken in ascending order of doc_id; all of a seed's
-   distinct ids score all units of the shard, and unused ones, best first (ties to the smaller
-   doc_id), fill the seed's window; when no scored unit is left, the next unused one follows. The unit that
-   doesn't fit is cut, and what is left of it is the next seed. So every window but a shard's last is full;
-   that one is cut into sequences whose lengths are powers of two, which need no padding either.
+3. Shards hold SHARD tokens of units that are alike: a unit's heads are the HEADS ids of its whole text that weigh
+   most by BM25; units are ordered by their heads, the rarest first, and cut into ranges. A shard builds its
+   inverted index with weights from the corpus-wide statistics. Documents that share their most
+   telling ids (copies, documents with one passage or topic) are thereby in one shard, wherever they come
+   from and however many shards there are; neighbours in other shards aren't found (README: the share found).
+4. Seeds are taken in that order; all of a seed's distinct ids score all units of the shard, and unused ones,
+   best first (ties to the smaller in that order), fill the seed's window; when no scored unit is left, the next unused
+   one follows. The unit that doesn't fit is cut, and what is left of it is the next seed. So every window
+   but a shard's last is full; that one is cut into sequences whose lengths are powers of two, which need
+   no padding either.
 
 A null text is empty: its end id alone. Rows that repeat a doc_id are documents of their own. Other columns
 are ignored. No document, or an empty table, gives no piece.
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from lexmill.llm import common as C
 from lexmill.llm.token_store import encoder
 
-WINDOW, SHARD, K1, B = 2048, 3_000_000, 1.2, 0.75
+WINDOW, SHARD, HEADS, K1, B = 2048, 3_000_000, 4, 1.2, 0.75
 
 #: An id in more than one of so many units of a shard is kept as a row over all of them.
 COMMON = 8
@@ -43,10 +47,10 @@ def units(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, step = encoder(tokenizer, kind), 4 * WINDOW
-        for b in batches:
+        for b in C.slices(batches):
             n, crcs, tails, bags = [], [], [], []
-            for t in b.column(1).to_pylist():
-                ids = enc.encode(t) + end
+            for x in enc.encode_all(b.column(1).to_pylist()):
+                ids = x + end
                 whole = len(ids) // step
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[k * step : (k + 1) * step]) for k in range(whole)])
@@ -89,6 +93,31 @@ def statistics(made: DataFrame) -> tuple[int, float, np.ndarray, int]:
     return n, total / max(1, n), df, left
 
 
+def idf_of(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def heads_of(found: np.ndarray, tf: np.ndarray, mean: float, df: np.ndarray, idf: np.ndarray) -> list[int]:
+    """The HEADS ids of a document that weigh most and that others have too, the rarest first; -1 where there are no more."""
+    w = np.where(df[found] > 1, idf[found] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * int(tf.sum()) / mean)), 0.0)
+    best = found[np.lexsort((found, -w))[:HEADS]]
+    best = best[df[best] > 1]
+    return [*best[np.lexsort((best, df[best]))].tolist(), *[-1] * HEADS][:HEADS]
+
+
+def by_heads(made: DataFrame, n: int, mean: float, df: np.ndarray) -> DataFrame:
+    """units() + head0, head1, ...: what they are ordered by."""
+    idf, names = idf_of(n, df), [f"head{k}" for k in range(HEADS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.slices(batches):
+            heads = [heads_of(*bag_of(C.unpack_planes(x, "<u4"), bag), mean, df, idf) for x, bag in zip(b.column("tail").to_pylist(), b.column("bag").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int32()) for c in zip(*heads, strict=True))], [*b.schema.names, *names])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema.fields)
+    return made.mapInArrow(run, f"{schema}, " + ", ".join(f"{x} int" for x in names))
+
+
 class Index:
     """A shard's inverted index: for each id its units and their BM25 weights."""
 
@@ -99,7 +128,7 @@ class Index:
         order = np.argsort(ids, kind="stable")
         self.ids, tf = ids[order].astype(np.int64), tf[order]
         self.unit = np.repeat(np.arange(len(tails)), [len(x) for x, _ in self.bags])[order]
-        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        self.idf = idf_of(n, df)
         self.weight = (self.idf[self.ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.unit] / mean))).astype(np.float32)
         self.n = len(tails)
         self.at = np.searchsorted(self.ids, np.arange(len(df) + 1))
@@ -200,30 +229,47 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 1) -
     made = C.materialize(units(docs, tokenizer, kind, end_id), "pack-units")
     n, mean, df, left = statistics(made)
     shards = C.parts_for(left, SHARD)
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
-    def run(key, t):
-        base = key[0].as_py() << 32
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "tail", "crcs", "bag")), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
-        out, seq = [], 0
-        for doc_id, total, _, crcs, _ in rows:
+    def sequences(rows: list[tuple], seq: int) -> tuple[pa.RecordBatch, int]:
+        """Pieces of a shard's units (doc_id, doc_tokens, crcs, tail, bag), numbered from seq on."""
+        out = []
+        for doc_id, total, crcs, _, _ in rows:
             for k, crc in enumerate(crcs):
-                out.append((doc_id, k * WINDOW, WINDOW, crc, total, base + seq, 0))
+                out.append((doc_id, k * WINDOW, WINDOW, crc, total, seq, 0))
                 seq += 1
-        kept = [r for r in rows if r[2]]
-        tails = [C.unpack_planes(r[2], "<u4") for r in kept]
+        kept = [r for r in rows if r[3]]
+        tails = [C.unpack_planes(r[3], "<u4") for r in kept]
         if tails:
             for pieces in fill(tails, Index(tails, n, mean, df, [r[4] for r in kept])):
                 offset = 0
                 for u, s, m in pieces:
-                    doc_id, total, _, crcs, _ = kept[u]
-                    out.append((doc_id, len(crcs) * WINDOW + s, m, zlib.crc32(tails[u][s : s + m].tobytes()), total, base + seq, offset))
+                    doc_id, total, crcs, _, _ = kept[u]
+                    out.append((doc_id, len(crcs) * WINDOW + s, m, zlib.crc32(tails[u][s : s + m].tobytes()), total, seq, offset))
                     offset += m
                 seq += 1
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(names, zip(*out, strict=True), strict=True)})
-
-    dealt = made.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long"))
-    return dealt.groupBy("shard").applyInArrow(run, PIECES)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names), seq
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A range of units may hold more than a shard (ties of heads, uneven ranges): it is cut into shards as it comes."""
+        from pyspark import TaskContext
+
+        seq, rows, size = TaskContext.get().partitionId() << 40, [], 0
+        for b in C.slices(batches):
+            for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "crcs", "tail", "bag")), strict=True):
+                rows.append(r)
+                size += len(r[3]) // 4
+                if size >= 1.25 * SHARD:
+                    out, seq = sequences(rows, seq)
+                    yield out
+                    rows, size = [], 0
+        if rows:
+            yield sequences(rows, seq)[0]
+        C.give_back()
+
+    order = [*(f"head{k}" for k in range(HEADS)), F.col("doc_id").asc_nulls_first(), F.col("doc_tokens"), F.xxhash64("tail", "crcs")]
+    dealt = by_heads(made, n, mean, df).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "doc_tokens", "crcs", "tail", "bag").mapInArrow(run, PIECES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,18 @@
 """Token ids in binary shards with a minimal perfect hash index for keyed access.
 
-Format. A shard is two files. NAME.ids: 8 bytes magic, then the ids of its documents in ascending doc_id
+Format. A shard is three files. NAME.ids: 8 bytes magic, then the ids of its documents in ascending doc_id
 order as little-endian unsigned integers of 2 bytes (4 if the vocabulary needs them), nothing between
 documents. NAME.mph: an .npz of the hash function's levels and, by its slots, each key's fingerprint, first
-unit, length and number of copies. A key is a doc_id (null is a key of its own); rows that repeat a doc_id
-lie side by side, ordered by text, and their slot says how many they are. Looking up a key takes a constant
-number of steps: hash, compare the fingerprint, seek.
+row and number of copies, and by rows their starts and lengths; it holds no key. NAME.keys: the keys in
+ascending order, for those who want all of them. A key is a doc_id. Rows without one have no key: they
+are the first rows, and the index has their number. Rows that repeat a doc_id lie side by side, ordered by a
+hash of the text and by the text, and their slot says how many they are; a key of very many rows may go on in the
+next shard. The manifest has each shard's least and greatest key: lookup() finds a key's shards there, then
+takes a constant number of steps: hash, compare the fingerprint, seek.
+
+Ids come from the tokenizers library alone. As its pre-tokenizers never join what a single space parts,
+a text is cut there, and pieces that a worker has met lately aren't encoded again; where white space is not so
+simple, the whole text is one piece.
 
 Nulls and edges: a null text is the empty text and has the end id alone; an empty table gives no shard;
 columns other than the id and the text are ignored whatever they are called.
@@ -14,110 +21,78 @@ columns other than the id and the text are ignored whatever they are called.
 from __future__ import annotations
 
 import io
+import os
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm import common as C
 
 MAGIC = b"LMTOKID1"
-#: Pieces whose ids a worker keeps: this many at most, and as many again of those before.
-CACHE = 400_000
-
-# White space and control characters that libraries may take differently; texts with such go to the tokenizers library whole.
-_ODD = re.compile("[\\x01\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-# Letters, then marks other than an apostrophe: two words to both splitters.
-_TAIL = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
-
-
-def _byte_letters() -> dict[int, str]:
-    """How byte-level models write bytes: printable ones of Latin-1 as themselves, the others from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(0x100 + k) for k, b in enumerate(hidden)}
-
-
-_LETTERS = _byte_letters()
-
-
-def _ranked(tok, kind: str):
-    """The file's merges as ranks, for the faster merging of the tiktoken library; it gives the same ids (tests compare them).
-
-    A token's id is its rank. Tokens that end a word are written with a last byte that no text has.
-    """
-    import tiktoken
-
-    byte = {_LETTERS.get(b, chr(b)): b for b in range(256)}
-    special = {t.content for t in tok.get_added_tokens_decoder().values()}
-    ranks = {}
-    for t, i in tok.get_vocab(with_added_tokens=True).items():
-        if t not in special:
-            end = kind == "word" and t.endswith("</w>")
-            ranks[bytes(byte[c] for c in (t[:-4] if end else t)) + b"\xff" * end] = i
-    return tiktoken.Encoding(kind, pat_str=GPT2, mergeable_ranks=ranks, special_tokens={})
+#: Pieces whose ids a worker keeps: this many at most, and as many again of those before; none longer than LONG.
+CACHE, LONG = 200_000, 64
 
+#: A space after which white space or nothing follows: the pre-tokenizer of byte-level vocabularies may take it with what is before it.
+_GAP = re.compile(r" (?=\s|\Z)")
 
-#: How byte-level vocabularies of this kind part a text (fixed value).
-GPT2 = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-
-class Encoder(dict):
+class Encoder:
     """Ids of whole texts as the tokenizers library gives them, as little-endian unsigned 32-bit bytes.
 
-    kind "byte" (byte-level, no normaliser): texts without unusual white space or control characters go through
-    the ranked merges, others through the library. kind "word" (lower case, word ends): white space only
-    parts pieces and A-Z are a-z, so a text is cut at spaces and the ids of a piece seen before are looked up;
-    new pieces of plain letters go through the ranked merges, all others through the library.
+    kind "byte" (byte-level, no normaliser; a space belongs to the word after it) or "word" (lower case, word
+    ends, white space dropped).
     """
 
     def __init__(self, path: str, kind: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kind, self.ranked, self.older = kind, _ranked(self.tok, kind), {}
+        self.kind, self.known, self.older = kind, {}, {}
 
     def library(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, text: str) -> bytes:
-        """A lower-case word that the splitter leaves whole."""
-        ids = self.ranked._encode_single_piece(text.encode() + b"\xff")
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older.get(piece)
-        if ids is not None:
-            self[piece] = ids
-            return ids
-        text = piece.decode()
-        if text.isalpha() and max(text) < "\u0130":  # Latin letters: composed, and lower() goes letter by letter
-            ids = self.word(text.lower())
-        elif (m := _TAIL.fullmatch(piece)) and m[1].decode().isalpha():
-            ids = self[m[1]] + self[m[2]]
-        else:
-            ids = self.library(text) if text else b""
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
+    def pieces(self, text: str | None) -> list[str]:
         if not text:
-            return b""
+            return []
         if self.kind == "word":
-            return b"".join(map(self.__getitem__, text.encode().lower().replace(b"\n", b" ").split(b" ")))
-        return self.library(text) if _ODD.search(text) else np.array(self.ranked.encode_ordinary(text), "<u4").tobytes()
+            return text.replace("\n", " ").split(" ")
+        if _GAP.search(text):
+            return [text]
+        first, *rest = text.split(" ")
+        return [first, *(" " + x for x in rest)]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self.pieces(t) for t in texts]
+        if len(self.known) > CACHE:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for x in set().union(*cut).difference(known):
+            ids = older.get(x)
+            if ids is None:
+                new.append(x)
+            else:
+                known[x] = ids
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for x, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
+                known[x] = np.array(e.ids, "<u4").tobytes()
+        out = [b"".join(map(known.__getitem__, x)) for x in cut]
+        for x in new:
+            if len(x) > LONG:
+                del known[x]
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -126,6 +101,7 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 def encoder(path: str, kind: str) -> Encoder:
     """The worker's own encoder; it outlives a task, as the worker does."""
     if (path, kind) not in _encoders:
+        _encoders.clear()
         _encoders[path, kind] = Encoder(path, kind)
     return _encoders[path, kind]
 
@@ -149,7 +125,9 @@ class Mph:
 
     @classmethod
     def build(cls, keys: np.ndarray, gamma: float = 1.7) -> Mph:
-        """keys: distinct unsigned 64-bit numbers."""
+        """keys: distinct unsigned 64-bit numbers (equal ones would never part: an error)."""
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("keys must be distinct")
         levels, rest = [], keys
         while len(rest):
             m = max(64, int(gamma * len(rest)))
@@ -174,35 +152,38 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_hash(keys, 10_007) >> np.uint64(32)).astype(np.uint32)
 
 
-def key_of(doc_id: int | None) -> int:
-    """doc_id as an unsigned key; null has a key that no long has after mixing with the flag."""
-    return 0x6E756C6C_6E756C6C if doc_id is None else doc_id & 0xFFFFFFFFFFFFFFFF
-
-
 # writing ------------------------------------------------------------------------
 
-_MANIFEST = "shard int, n_docs long, n_tokens long, path string"
+_MANIFEST = "shard int, n_docs long, n_tokens long, n_null long, least long, greatest long, path string"
 
 
-def _write(path: str, data: bytes) -> None:
+class _File:
     """All or nothing: a lost attempt leaves no half file under the final name, and each attempt writes the same bytes."""
-    fs, at = C.filesystem(path)
-    tmp = f"{at}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(tmp) as f:
-        f.write(data)
-    fs.move(tmp, at)
+
+    def __init__(self, path: str):
+        self.fs, self.at = C.filesystem(path)
+        self.tmp = f"{self.at}.{uuid.uuid4().hex}.tmp"
+        self.out = self.fs.open_output_stream(self.tmp, compression=None)
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+
+    def close(self) -> None:
+        self.out.close()
+        self.fs.move(self.tmp, self.at)
 
 
 def write_store(docs: DataFrame, root: str, tokenizer: str, kind: str, end_id: int, wide: bool = False, shard_bytes: int = 24 << 20) -> DataFrame:
     """Encodes docs(doc_id, text) and writes shards under root in ascending doc_id order (nulls first).
 
-    Returns the manifest, one row a shard: shard, n_docs, n_tokens, path, start (ids in all shards before).
-    Texts are shuffled by ranges of doc_id, so one shard never holds more than a range; the driver sees
-    one row a shard.
+    Returns the manifest, one row a shard: shard, n_docs, n_tokens, n_null, least, greatest (doc_id), path, start
+    (ids in all shards before). Texts are shuffled by ranges of doc_id and of the text's hash, so a key of very many
+    rows is spread too; ids go to the file as they come.
     """
-    spark = docs.sparkSession
     n = C.parts_for(C.text_bytes(docs), shard_bytes)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), F.col("h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     unit = "<u4" if wide else "<u2"
     tail = np.array([end_id], "<u4").tobytes()
     fs, at = C.filesystem(root)
@@ -212,40 +193,50 @@ def write_store(docs: DataFrame, root: str, tokenizer: str, kind: str, end_id: i
         from pyspark import TaskContext
 
         enc, k = encoder(tokenizer, kind), TaskContext.get().partitionId()
-        keys, lengths, payload = [], [], [MAGIC]
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(enc.encode(t) + tail, "<u4")
-                if not wide and len(ids) and ids.max() > 0xFFFF:
+        path, ids_file, keys, lengths, n_null = f"{root}/{k:06d}", None, [], [], 0
+        for b in C.slices(batches):
+            if ids_file is None:
+                ids_file = _File(f"{path}.ids")
+                ids_file.write(MAGIC)
+            n_null += b.column(0).null_count
+            keys.append(b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
+            for x in enc.encode_all(b.column(1).to_pylist()):
+                ids = np.frombuffer(x + tail, "<u4")
+                if not wide and ids.max() > 0xFFFF:
                     raise ValueError("an id needs 4 bytes: pass wide=True")
-                keys.append(key_of(i))
                 lengths.append(len(ids))
-                payload.append(ids.astype(unit).tobytes())
-        if not keys:
+                ids_file.write(ids.astype(unit).tobytes())
+        if ids_file is None:
             return
-        path = f"{root}/{k:06d}"
-        _write(f"{path}.ids", b"".join(payload))
-        all_keys, length = np.array(keys, np.uint64), np.array(lengths, np.int64)
-        start = np.cumsum(length) - length
-        new = np.r_[True, all_keys[1:] != all_keys[:-1]]
-        first = np.flatnonzero(new)
-        copies = np.diff(np.r_[first, len(all_keys)])
-        key = all_keys[first]
-        f = Mph.build(key)
-        slot = f.slots(key)
+        ids_file.close()
+        length = np.array(lengths, np.int64)
+        key, first, copies = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+        f = Mph.build(key.view(np.uint64))
+        slot = f.slots(key.view(np.uint64))
         index = {"fingerprint": np.zeros(len(key), np.uint32), "first": np.zeros(len(key), np.int64), "copies": np.zeros(len(key), np.int64)}
-        index["fingerprint"][slot], index["first"][slot], index["copies"][slot] = fingerprints(key), first, copies
+        index["fingerprint"][slot], index["first"][slot], index["copies"][slot] = fingerprints(key.view(np.uint64)), first + n_null, copies
         out = io.BytesIO()
-        np.savez(out, **index, start=start, length=length, keys=key, sizes=np.array([len(x) for x in f.levels]), **{f"level{i}": np.packbits(x) for i, x in enumerate(f.levels)})
-        _write(f"{path}.mph", out.getvalue())
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "n_docs": [len(keys)], "n_tokens": [int(length.sum())], "path": [path]})
+        np.savez(out, **index, n_null=n_null, start=np.cumsum(length) - length, length=length, sizes=np.array([len(x) for x in f.levels], np.int64), **{f"level{i}": np.packbits(x) for i, x in enumerate(f.levels)})
+        for end, data in ((".mph", out.getvalue()), (".keys", key.astype("<i8").tobytes())):
+            file = _File(path + end)
+            file.write(data)
+            file.close()
+        span = [[int(key[i])] if len(key) else [None] for i in (0, -1)]
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "n_docs": [len(lengths)], "n_tokens": [int(length.sum())], "n_null": [n_null], "least": pa.array(span[0], pa.int64()), "greatest": pa.array(span[1], pa.int64()), "path": [path]})
 
-    rows = sorted(C.materialize(dealt.mapInArrow(shard, _MANIFEST), "token-manifest").collect())
-    start, out = 0, []
-    for r in rows:
-        out.append((*r, start))
-        start += r["n_tokens"]
-    return spark.createDataFrame(out, _MANIFEST + ", start long")
+    return C.materialize(starts(dealt.mapInArrow(shard, _MANIFEST)), "token-manifest")
+
+
+def starts(manifest: DataFrame, group: int = 1024) -> DataFrame:
+    """Adds start, the ids in all shards before: sums by groups of shards first, then within each."""
+    m = C.materialize(manifest, "token-shards").withColumn("g", F.floor(F.col("shard") / group))
+    ahead = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # a row for each `group` shards
+    sums = m.groupBy("g").agg(F.sum("n_tokens").alias("s")).select("g", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return m.join(sums, "g").withColumn("start", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).drop("g", "ahead")
+
+
+# reading ------------------------------------------------------------------------
 
 
 class Shard:
@@ -254,51 +245,108 @@ class Shard:
     def __init__(self, path: str, wide: bool = False):
         fs, at = C.filesystem(path)
         self.unit = np.dtype("<u4" if wide else "<u2")
+        self.fs, self.at = fs, at
         self.file = fs.open_input_file(at + ".ids")
         if self.file.read(8) != MAGIC:
             raise ValueError(f"{path} is no shard of ids")
         with fs.open_input_file(at + ".mph") as f:
             x = np.load(io.BytesIO(f.read()))
-        self.index = {k: x[k] for k in ("fingerprint", "first", "copies", "start", "length", "keys")}
+        self.n_null = int(x["n_null"])
+        self.index = {k: x[k] for k in ("fingerprint", "first", "copies", "start", "length")}
         self.mph = Mph([np.unpackbits(x[f"level{i}"], count=int(m)).astype(bool) for i, m in enumerate(x["sizes"])])
 
+    def keys(self) -> np.ndarray:
+        with self.fs.open_input_file(self.at + ".keys") as f:
+            return np.frombuffer(f.read(), "<i8")
+
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Slot of each key, -1 where the fingerprint says that it isn't here."""
+        """Slot of each key (int64), -1 where the fingerprint says that it isn't here."""
+        keys = np.ascontiguousarray(keys, np.int64).view(np.uint64)
         slot = self.mph.slots(keys)
         ok = slot >= 0
         ok[ok] = self.index["fingerprint"][slot[ok]] == fingerprints(keys[ok])
         return np.where(ok, slot, -1)
 
+    def rows(self, slot: int) -> range:
+        return range(int(self.index["first"][slot]), int(self.index["first"][slot] + self.index["copies"][slot]))
+
     def ids(self, doc_id: int | None) -> list[np.ndarray]:
-        """Ids of all documents with this key."""
-        s = int(self.find(np.array([key_of(doc_id)], np.uint64))[0])
-        return [] if s < 0 else [self.row(i) for i in range(self.index["first"][s], self.index["first"][s] + self.index["copies"][s])]
+        """Ids of all documents with this key; of null: of all without one."""
+        if doc_id is None:
+            return [self.row(i) for i in range(self.n_null)]
+        s = int(self.find(np.array([doc_id]))[0])
+        return [] if s < 0 else [self.row(i) for i in self.rows(s)]
 
     def row(self, i: int) -> np.ndarray:
         self.file.seek(8 + int(self.index["start"][i]) * self.unit.itemsize)
         return np.frombuffer(self.file.read(int(self.index["length"][i]) * self.unit.itemsize), self.unit)
 
+    def digest(self, doc_id: int | None, i: int, start: int) -> tuple:
+        return doc_id, start + int(self.index["start"][i]), int(self.index["length"][i]), zlib.crc32(self.row(i).astype("<u4").tobytes())
+
+
+_DIGESTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def _batches(rows: Iterator[tuple], size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    out = []
+    names = [x.split()[0] for x in _DIGESTS.split(", ")]
+    for r in rows:
+        out.append(r)
+        if len(out) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
+
 
 def read_store(manifest: DataFrame, wide: bool = False) -> DataFrame:
     """Reads every key of every shard through its index: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
-    n = manifest.count()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        null = key_of(None)
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for r in b.to_pylist():
+                    s = Shard(r["path"], wide)
+                    keys = s.keys()
+                    slots = s.find(keys)
+                    if (slots < 0).any():
+                        raise ValueError(f"{r['path']}: the index misses a key")
+                    yield from (s.digest(None, i, r["start"]) for i in range(s.n_null))
+                    for key, k in zip(keys.tolist(), slots.tolist(), strict=True):
+                        yield from (s.digest(key, i, r["start"]) for i in s.rows(k))
+
+        yield from _batches(rows())
+
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(read, _DIGESTS)
+
+
+def lookup(ids: DataFrame, manifest: DataFrame, wide: bool = False) -> DataFrame:
+    """ids(doc_id) -> a row for each document with one of these keys, read by key: doc_id, start, n_tokens, ids_crc32; keys that aren't there give none.
+
+    Keys are sent to the shards whose span has them: the spans, 16 bytes a shard of 24 MB of text, are what tasks get.
+    """
+    spans = manifest.where("least is not null").select("shard", "least", "greatest").orderBy("least", "shard").toArrow()
+    shard, least, greatest = (spans.column(c).to_numpy() for c in ("shard", "least", "greatest"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                s = Shard(r["path"], wide)
-                slot, out = s.find(s.index["keys"]), []
-                if (slot < 0).any():
-                    raise ValueError(f"{r['path']}: the index misses a key")
-                for key, k in zip(s.index["keys"].tolist(), slot.tolist(), strict=True):
-                    doc_id = None if key == null else key - (1 << 64) if key >> 63 else key
-                    for i in range(int(s.index["first"][k]), int(s.index["first"][k] + s.index["copies"][k])):
-                        out.append((doc_id, r["start"] + int(s.index["start"][i]), int(s.index["length"][i]), zlib.crc32(s.row(i).astype("<u4").tobytes())))
-                for at in range(0, len(out), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[at : at + 20_000], strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return manifest.repartition(max(1, n)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            keys = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            lo, hi = np.searchsorted(greatest, keys, "left"), np.searchsorted(least, keys, "right")
+            n = np.maximum(hi - lo, 0)
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, n)), pa.array(shard[at].astype(np.int32))], ["doc_id", "shard"])
+
+    def read(key, t, m):
+        found = []
+        if m.num_rows and t.num_rows:
+            r = m.to_pylist()[0]
+            s, keys = Shard(r["path"], wide), np.unique(t.column("doc_id").to_numpy())
+            found = [s.digest(k, i, r["start"]) for k, x in zip(keys.tolist(), s.find(keys).tolist(), strict=True) if x >= 0 for i in s.rows(x)]
+        return pa.table({x.split()[0]: pa.array(c, pa.int64()) for x, c in zip(_DIGESTS.split(", "), list(zip(*found, strict=True)) or [[]] * 4, strict=True)})
+
+    sent = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(route, "doc_id long, shard int")
+    return sent.groupBy("shard").cogroup(manifest.groupBy("shard")).applyInArrow(read, _DIGESTS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,14 +22,16 @@ def test_encoder_equals_library(file, kind):
 
 
 @pytest.mark.parametrize(("file", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
-def test_ranked_merges_equal_library_on_random_words(file, kind):
+def test_pieces_give_the_ids_of_whole_texts(file, kind, monkeypatch):
     import random
 
+    monkeypatch.setattr(S, "CACHE", 50)
     enc, rng = S.Encoder(public_tokenizers.path(file), kind), random.Random(2)
-    tokens = [t for t in enc.tok.get_vocab() if t.replace("</w>", "").isascii()]
-    for _ in range(3000):
-        text = " ".join("".join(rng.choice(tokens).replace("</w>", "") for _ in range(rng.randint(1, 4))) for _ in range(3))
-        assert enc.encode(text) == enc.library(text), text
+    tokens = [t.replace("</w>", "") for t in enc.tok.get_vocab() if t.isascii()]
+    space = [" ", " ", " ", "  ", "   ", "\n", "\n\n", " \n", "\n ", "\t", "\u00a0", "\x1c", "\u0301", "'s ", "\u2028", "\x85", "\u3000 "]
+    texts = ["".join(rng.choice(tokens) + rng.choice(space) for _ in range(rng.randint(1, 6))) for _ in range(3000)]
+    for at in range(0, 3000, 100):
+        assert enc.encode_all(texts[at : at + 100]) == [enc.library(t) for t in texts[at : at + 100]]
 
 
 def test_mph_is_minimal_and_perfect():
@@ -37,6 +39,8 @@ def test_mph_is_minimal_and_perfect():
     f = S.Mph.build(keys)
     assert sorted(f.slots(keys).tolist()) == list(range(5000))
     assert len(S.Mph.build(keys[:0]).slots(keys)) == 5000
+    with pytest.raises(ValueError, match="distinct"):
+        S.Mph.build(keys[[0, 1, 0]])
 
 
 def test_round_trip(spark):
@@ -48,14 +52,30 @@ def test_round_trip(spark):
     got = [tuple(r) for r in S.read_store(manifest).orderBy("start").collect()]
     tok = Tokenizer.from_file(path)
     want, start = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    hashed = {r.text: r.h for r in docs.selectExpr("coalesce(text, '') text", "xxhash64(coalesce(text, '')) h").collect()}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1] or ""])):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
-    shard = S.Shard([r.path for r in manifest.collect()][-1])
+    shard = S.Shard([r.path for r in manifest.orderBy("shard").collect()][-1])
     assert shard.ids(129)[0].tolist() == [*tok.encode("word " * 29, add_special_tokens=False).ids, 2]
     assert shard.ids(10**12) == []
+    asked = spark.createDataFrame([(5,), (5,), (-3,), (None,), (120,), (77,), (10**12,)], "doc_id long")
+    assert sorted(map(tuple, S.lookup(asked, manifest).collect())) == sorted(w for w in want if w[0] in (5, -3, 120))
+
+
+def test_a_key_of_many_rows_is_spread_and_null_is_no_key(spark):
+    null = 0x6E756C6C6E756C6C
+    rows = [(7, f"text {k} " * 20) for k in range(200)] + [(None, "none"), (null, "a key as any"), (-(2**63), "least"), (2**63 - 1, "greatest")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, shard string, h int").repartition(4)
+    manifest = S.write_store(docs, C.new_path(spark, "t"), public_tokenizers.path("word_bpe_49k.json"), "word", 2, shard_bytes=4000)
+    m = manifest.orderBy("shard").collect()
+    assert sum(r.least <= 7 <= r.greatest for r in m if r.least is not None) > 2 and sum(r.n_null for r in m) == 1
+    got = [tuple(r) for r in S.read_store(manifest).orderBy("start").collect()]
+    assert [g[0] for g in got] == [None, -(2**63), *[7] * 200, null, 2**63 - 1]
+    assert [g[1] for g in got] == np.cumsum([0, *(g[2] for g in got)])[:-1].tolist()
+    assert S.lookup(docs, manifest).count() == 203
 
 
 def test_empty_table(spark):
