@@ -14,7 +14,8 @@ holds `want` vectors by itself, since the common ascent never passes it.
 
 Equal vectors are one point of the forest with its k + 1 smallest ids: as many as any query can need.
 Vectors that are null, zero, of another length than most or hold null or non-finite components take no part.
-Rows that repeat a vec_id and vector are one. Other columns are ignored.
+Rows that repeat a vec_id and vector are one; of several vectors of one vec_id each is a candidate, and the one of
+the least bytes is the query. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import common as C
 
-TREES, BITS, COARSE = 16, 30, 8
+#: Short prefixes have COARSE bits at least and DEEPEST at most, so that a tree can have 16 times as many as it needs shards.
+TREES, BITS, COARSE, DEEPEST = 16, 30, 8, 20
 SHARD = 50_000
 #: Bounds of what is fitted: vectors of the sample for medians, queries for `want`; recall aimed at.
 SAMPLE, TRIALS, RECALL = 8192, 48, 0.96
@@ -73,7 +75,8 @@ class Layout:
     """Shards of each tree by short prefixes, and how many vectors each short prefix has."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts  # trees x 2^COARSE
+        self.counts = counts  # trees x short prefixes
+        self.coarse = counts.shape[1].bit_length() - 1
         self.shard = np.zeros(counts.shape, np.int64)
         self.n = 0
         for t in range(len(counts)):
@@ -89,9 +92,9 @@ class Layout:
 
     def visited(self, t: int, short: int, want: int) -> list[int]:
         """Shards under the deepest short prefix with `want` vectors."""
-        for depth in range(COARSE, -1, -1):
-            a = short >> (COARSE - depth) << (COARSE - depth)
-            b = a + (1 << (COARSE - depth))
+        for depth in range(self.coarse, -1, -1):
+            a = short >> (self.coarse - depth) << (self.coarse - depth)
+            b = a + (1 << (self.coarse - depth))
             if depth == 0 or self.counts[t, a:b].sum() >= want:
                 return np.unique(self.shard[t, a:b]).tolist()
         return []
@@ -118,14 +121,17 @@ class Forest:
         sample = matrix(some.select("vec").toArrow().column(0)) if share < 1 else matrix(self.members.select("vec").toArrow().column(0))
         hashes = self.hashes = Hashes(sample if len(sample) else matrix(self.members.limit(1).select("vec").toArrow().column(0)))
 
+        coarse = self.coarse = min(DEEPEST, max(COARSE, (self.size // SHARD).bit_length() + 4))
+
         def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = np.zeros((TREES, 1 << COARSE), np.int64)
+            n = np.zeros((TREES, 1 << coarse), np.int64)
             for b in batches:
                 for t, c in enumerate(hashes.codes(matrix(b.column(0)))):
-                    n[t] += np.bincount(c >> (BITS - COARSE), minlength=1 << COARSE)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n.size)), pa.array(n.ravel())], ["at", "n"])
+                    n[t] += np.bincount(c >> (BITS - coarse), minlength=1 << coarse)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.ravel()[at])], ["at", "n"])
 
-        counts = np.zeros(TREES << COARSE, np.int64)
+        counts = np.zeros(TREES << coarse, np.int64)
         for r in self.members.select("vec").mapInArrow(histogram, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
             counts[r["at"]] = r["n"]
         layout = self.layout = Layout(counts.reshape(TREES, -1))
@@ -133,7 +139,7 @@ class Forest:
         def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for t, c in enumerate(hashes.codes(matrix(b.column(1)))):
-                    shard = layout.shard[t, c >> (BITS - COARSE)]
+                    shard = layout.shard[t, c >> (BITS - coarse)]
                     yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(c), b.column(0), b.column(1)], ["shard", "code", "uid", "vec"])
 
         trees = self.members.select("uid", "vec").mapInArrow(grow, "shard int, code long, uid long, vec binary")
@@ -141,12 +147,12 @@ class Forest:
 
     def routed(self, queries: DataFrame, want: int) -> DataFrame:
         """queries(id, vec) -> shard, tree, qid, code, q: a row for each shard that a query visits."""
-        hashes, layout = self.hashes, self.layout
+        hashes, layout, coarse = self.hashes, self.layout, self.coarse
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids, vecs = b.column(0).to_pylist(), b.column(1).to_pylist()
-                out = [(s, i, int(c[j]), v) for t, c in enumerate(hashes.codes(matrix(b.column(1)))) for j, (i, v) in enumerate(zip(ids, vecs, strict=True)) for s in layout.visited(t, int(c[j]) >> (BITS - COARSE), want)]
+                out = [(s, i, int(c[j]), v) for t, c in enumerate(hashes.codes(matrix(b.column(1)))) for j, (i, v) in enumerate(zip(ids, vecs, strict=True)) for s in layout.visited(t, int(c[j]) >> (BITS - coarse), want)]
                 for at in range(0, len(out), 4000):
                     x = list(zip(*out[at : at + 4000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int32()), pa.array(x[1], pa.int64()), pa.array(x[2], pa.int64()), C.binary_array(list(x[3]))], ["shard", "qid", "code", "q"])
@@ -250,7 +256,12 @@ class Forest:
         return named.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select(F.col("qid").alias("query_id"), "rank", "vec_id", "score")
 
 
+def asked(points: DataFrame, each: int) -> DataFrame:
+    """The points whose ids `each` divides, one vector an id."""
+    return points.where(F.col("id") % each == 0).groupBy("id").agg(F.min("vec").alias("vec"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every hundredth vector against all."""
     points = C.materialize(valid(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding"), "forest-vectors")
-    return Forest(points, 10).search(points.where("id % 100 = 0").dropDuplicates(["id"]))
+    return Forest(points, 10).search(asked(points, 100))

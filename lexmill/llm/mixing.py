@@ -121,11 +121,11 @@ def select(docs: DataFrame, fraction: float = FRACTION, epochs: int = EPOCHS, se
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """docs' own rows and columns, each as many times as it is taken."""
-    key = select(docs, **how).where("mix_copies > 0").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("mix_copies").alias("__copies")).dropDuplicates(["__id", "__tie"])
-    tie = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
-    out = docs.join(key, docs["doc_id"].eqNullSafe(key["__id"]) & (tie == key["__tie"]))
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """docs' own rows and columns, each as many times as it is taken. Names added on the way are ones that docs doesn't have."""
+    id_, tie, copies, n = C.free_names(docs, "mix_id", "mix_tie", "mix_copies", "mix_nth")
+    key = select(docs, **how).where("mix_copies > 0").select(F.col("doc_id").alias(id_), F.col("tie").alias(tie), F.col("mix_copies").alias(copies)).dropDuplicates([id_, tie])
+    out = docs.join(key, docs["doc_id"].eqNullSafe(key[id_]) & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == key[tie]))
+    return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

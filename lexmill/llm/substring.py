@@ -159,12 +159,13 @@ def spans(docs: DataFrame, width: int = 20) -> DataFrame:
 
 def deduplicate(docs: DataFrame, width: int = 50) -> DataFrame:
     """docs' rows and columns, repeated spans cut out of text (n_chars follows if there is one); rows of which nothing is left go."""
-    cut = spans(docs, width).where("n_removed > 0").select(F.col("doc_id").alias("__i"), F.col("text_md5").alias("__t"), F.col("kept").alias("__kept")).dropDuplicates(["__i", "__t"])
-    rows = docs.withColumn("__md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    out = rows.join(cut, rows["doc_id"].eqNullSafe(cut["__i"]) & (rows["__md5"] == cut["__t"]), "left").where("__kept is null or __kept <> ''")
-    new = {"text": F.coalesce("__kept", "text")}
+    i, t, kept, md5 = C.free_names(docs, "cut_id", "cut_md5", "cut_text", "text_md5")
+    cut = spans(docs, width).where("n_removed > 0").select(F.col("doc_id").alias(i), F.col("text_md5").alias(t), F.col("kept").alias(kept)).dropDuplicates([i, t])
+    rows = docs.withColumn(md5, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    out = rows.join(cut, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(md5) == F.col(t)), "left").where(F.col(kept).isNull() | (F.col(kept) != ""))
+    new = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast(docs.schema["n_chars"].dataType))
+        new["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
     return out.withColumns(new).select(*docs.columns)
 
 

@@ -37,6 +37,7 @@ from lexmill.llm import common as C
 
 #: Documented bounds of what is fitted: rows of a sample, lexicon entries; rounds of the label model.
 FIT_ROWS, ENTRIES, ROUNDS = 12_000, 1024, 3
+CACHE = 100_000  # words whose entries a task keeps
 PAIRS = 2_000_000  # pairs of votes that are in memory at once
 LEAST, SHARE, ODDS = 4, 0.01, 40.0
 STEMS = (4, 5, 6, 7, 8, 9)
@@ -68,7 +69,7 @@ class Lexicon(dict):
         self.ids = {x: k for k, x in enumerate(entries)}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > CACHE:
             self.clear()
         out = self[word] = tuple(k for x in entries_of(word) if (k := self.ids.get(x)) is not None)
         return out
@@ -83,9 +84,11 @@ class Lexicon(dict):
 
 
 def bounded(df: DataFrame, rows: int, total: int) -> DataFrame:
-    """About `rows` rows with the lowest hashes of doc_id; all when there are no more."""
-    share = min(1.0, rows / max(1, total))
-    return df if share == 1.0 else df.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    """At most `rows` rows, those of the lowest hashes of all columns; all when there are no more. Hashes are cut off first, so that few rows are sorted; equal rows may all be cut off."""
+    if total <= rows:
+        return df
+    h = F.pmod(F.xxhash64(F.lit("fit"), *df.columns), F.lit(1 << 40))
+    return df.where(h < int((1 << 40) * min(1.0, 1.5 * rows / total))).orderBy(h, *df.columns).limit(rows)
 
 
 def learn_lexicon(fit: DataFrame) -> list[str]:
@@ -94,7 +97,7 @@ def learn_lexicon(fit: DataFrame) -> list[str]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: tuple[Counter, Counter] = (Counter(), Counter())
         rows = [0, 0]
-        for b in batches:
+        for b in C.slices(batches):
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = set()
                 for w in words(text or ""):
@@ -134,7 +137,7 @@ def votes_of(docs: DataFrame, entries: list[str], cols: list[str]) -> DataFrame:
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(entries)
-        for b in batches:
+        for b in C.slices(batches):
             ids = pa.array([lex.of(t) for t in b.column(n).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], ids], [*cols, "ids"])
 
@@ -283,7 +286,7 @@ def fit_votes(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: C.fold(do
     for _ in range(ROUNDS):
         model.set(_sums(votes, model, labelled_only=False))
     total = votes.count()
-    got = bounded(votes, FIT_ROWS, total).select("ids", "label").toArrow()
+    got = bounded(votes.select("doc_id", "ids", "label"), FIT_ROWS, total).select("ids", "label").toArrow()
     ids = got.column("ids").to_pylist() + [[k] for k in range(len(entries))]  # and, for each lexicon voter, a text that has its vote alone
     y = model.posterior(ids)
     for k, label in enumerate(got.column("label").to_pylist()):
@@ -307,19 +310,21 @@ def score(docs: DataFrame, model: Model, cols: list[str], name: str = "score") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(entries)
-        for b in batches:
+        for b in C.slices(batches):
             z = np.array([b0 + sum(w[k] for k in lex.of(t)) for t in b.column(n).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], [*cols, name])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], [*b.schema.names[:n], name])
 
-    picked = docs.select(*cols, F.col("text").alias("__text"))
+    cols = [f"`{c}`" for c in cols]
+    picked = docs.select(*cols, F.col("text").alias(*C.free_names(docs.select(*cols), "whole_text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:n])
     return picked.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs' rows and columns without the texts that score threshold or more."""
+    """docs' rows and columns without the texts that score threshold or more. The score's name on the way is one that docs doesn't have."""
     model = fit(docs, labels)
-    return score(docs, model, docs.columns, "__toxicity").where(F.col("__toxicity") < threshold).select(*docs.columns)
+    (name,) = C.free_names(docs, "toxicity")
+    return score(docs, model, docs.columns, name).where(F.col(name) < threshold).select(*(f"`{c}`" for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

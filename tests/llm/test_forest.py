@@ -12,7 +12,7 @@ def test_recall_and_exact_scores(spark):
     odd = [(5000, None), (5001, [0.0] * 16), (5002, [1.0] * 3), (5003, [float("nan")] * 16), (5004, [None] + [1.0] * 15), (5005, [float("inf")] * 16), (7, rows[7][1])]
     df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<float>").repartition(4)
     points = A.valid(df, "vec_id", "embedding")
-    got = A.Forest(points, 10).search(points.where("id % 50 = 0").dropDuplicates(["id"])).collect()
+    got = A.Forest(points, 10).search(A.asked(points, 50)).collect()
     hits = total = 0
     for q in range(0, 1500, 50):
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
@@ -44,3 +44,33 @@ def test_layout_visits_enough():
     layout = A.Layout(counts)
     assert layout.shard[0, 2] in layout.visited(0, 2, 50_000) and len(layout.visited(0, 0, 1)) == 1
     assert set(layout.visited(0, 0, 10**9)) == set(range(layout.n))
+
+
+def test_recall_on_the_test_table(spark):
+    import os
+
+    import pytest
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(path)
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    points = A.valid(df, "vec_id", "embedding")
+    got = {}
+    for r in A.Forest(points, 10).search(A.asked(points, 100)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in got:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        hits += len(got[q] & {int(i) for i in ids[np.lexsort((ids, d))] if i != q and len(got[q]) == 10 and d[ids == i][0] <= np.sort(d[ids != q])[9]})
+    assert len(got) == sum(i % 100 == 0 for i in ids) and hits / (10 * len(got)) >= 0.9
+
+
+def test_clashing_columns_and_two_vectors_of_one_id(spark):
+    rows = [(100, [1.0, 0.0], 1, [9.0]), (100, [0.5, 0.0], 1, [9.0]), (1, [1.0, 0.1], 2, [9.0]), (2, [0.0, 5.0], 3, [9.0])]
+    p = A.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, vec array<double>"), "vec_id", "embedding")
+    assert p.count() == 4
+    got = A.Forest(p, 10).search(A.asked(p, 100)).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(100, 1), (100, 2)]
