@@ -1,15 +1,17 @@
 """Corpus-wide counts of hashes, exchanged as packed arrays.
 
-Documents are dealt to chunks by hash of doc_id, a chunk being as much text as one task should hold. Each
+Documents are dealt to chunks by hash of doc_id, a chunk being as much text as one task should hold, and stay there. Each
 chunk reduces its hashes to sorted distinct ones with counts and cuts them into ranges; a packet (range, chunk)
 is one row of packed bytes. A range adds up what all chunks say about a hash and replies to every chunk with
 the answers in the order in which that chunk sent its hashes, so a reply needs no keys. A hash that is
-everywhere is one entry a chunk, so nothing is skewed whatever the texts hold. There are about as many ranges
-as chunks; packets never outnumber their entries.
+everywhere is one entry a chunk, so nothing is skewed whatever the texts hold. Packets number chunks times ranges,
+but never more than the entries.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,9 +23,25 @@ CHUNK_BYTES, LEAST_CHUNKS = 12 << 20, 16
 
 
 def deal(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """docs(doc_id, text) -> (those with their chunk, number of chunks)."""
+    """docs(doc_id, text) -> (those with their chunk, number of chunks).
+
+    Texts are shuffled once: they are written as a table bucketed by chunk, so that each pass over the chunks
+    reads a bucket where the last one did and only packets and replies move. A document without an id is dealt by its
+    text. Pass the table to C.drop() when no pass is left.
+    """
+    spark = docs.sparkSession
     n = C.parts_for(C.text_bytes(docs), chunk_bytes, least=LEAST_CHUNKS)
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text"), n
+    of = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    dealt = docs.select(F.pmod(of, F.lit(n)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    buckets = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path, name = C.new_path(spark, "chunks"), f"chunks_{uuid.uuid4().hex[:12]}"
+    with C.cleaned(spark):
+        dealt.repartition(buckets, "chunk").write.option("compression", "zstd").option("path", path).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved; the files stay when the catalogue forgets them
+    spark.sql(f"DROP TABLE {name}")
+    out._lexmill_path = path
+    return out, n
 
 
 def cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:

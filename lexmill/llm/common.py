@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import math
 import shutil
@@ -68,16 +69,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+@contextlib.contextmanager
+def cleaned(spark: SparkSession):
+    """Shuffle files of what is written in here go when it is written."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives the loss of executors."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexmill_path = path  # for drop()
     return out

@@ -105,7 +105,7 @@ def nodes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("doc_id", "text_md5", "n_shingles", "node", "least", "prefix", "items"), cols, kinds, strict=True)})
 
     out = C.materialize(dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(look, _NODES), "jaccard-nodes")
-    C.drop(replies)
+    C.drop(replies, dealt)
     return out
 
 
