@@ -93,7 +93,7 @@ class Chunk:
         # runs: first window, windows, anchor, the anchor's gram
         self.lo, self.m = self.window[first], np.diff(np.r_[first, len(anchor)])
         self.anchor = anchor[first]
-        self.key = grams[self.anchor] if len(first) else np.zeros(0, U)
+        self.key = C.mix(grams[self.anchor] + U(1)) if len(first) else np.zeros(0, U)  # anchors' hashes are small ones: spread them
         self.doc = doc[first]
         self.grams, self.of, self.times = np.unique(self.key, return_inverse=True, return_counts=True)
 
