@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lexmill.llm import common as C
 from lexmill.llm.token_store import encoder
 
-WINDOW, SHARD, HEADS, K1, B = 2048, 3_000_000, 4, 1.2, 0.75
+WINDOW, SHARD, HEADS, K1, B = 2048, 1_000_000, 4, 1.2, 0.75
 
 #: An id in more than one of so many units of a shard is kept as a row over all of them.
 COMMON = 8
@@ -42,7 +42,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def units(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, doc_tokens, crcs (of its whole windows), tail (ids of the rest, 4 bytes each), bag (distinct ids of the whole text, then their counts; empty where the tail is all)."""
+    """docs(doc_id, text) -> doc_id, doc_tokens, crcs (of its whole windows), tail (ids of the rest, 4 bytes each), bag (distinct ids of the whole text, then their counts)."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,16 +55,14 @@ def units(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFrame:
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[k * step : (k + 1) * step]) for k in range(whole)])
                 tails.append(C.pack_planes(np.frombuffer(ids[whole * step :], "<u4")))
-                bags.append(C.pack_planes(np.concatenate(np.unique(np.frombuffer(ids, "<u4"), return_counts=True)).astype("<u4")) if whole else b"")
+                bags.append(C.pack_planes(np.concatenate(np.unique(np.frombuffer(ids, "<u4"), return_counts=True)).astype("<u4")))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), C.binary_array(tails), C.binary_array(bags)], ["doc_id", "doc_tokens", "crcs", "tail", "bag"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, doc_tokens long, crcs array<long>, tail binary, bag binary")
 
 
-def bag_of(tail: np.ndarray, bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+def bag_of(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(distinct ids, their counts) of a document's whole text."""
-    if not bag:
-        return np.unique(tail, return_counts=True)
     x = C.unpack_planes(bag, "<u4")
     return x[: len(x) // 2], x[len(x) // 2 :]
 
@@ -75,16 +73,16 @@ def statistics(made: DataFrame) -> tuple[int, float, np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total, left = np.zeros(0, np.int64), 0, 0, 0
         for b in batches:
-            for x, bag in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found, tf = bag_of(C.unpack_planes(x, "<u4"), bag)
+            for tail, bag in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found, tf = bag_of(bag)
                 if int(found[-1]) >= len(df):
                     df = np.concatenate([df, np.zeros(int(found[-1]) + 1 - len(df), np.int64)])
                 df[found] += 1
-                n, total, left = n + 1, total + int(tf.sum()), left + len(x) // 4
+                n, total, left = n + 1, total + int(tf.sum()), left + tail
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-3, -2, -1, seen], pa.int64()), pa.array(np.r_[left, n, total, df[seen]], pa.int64())], ["id", "n"])
 
-    rows = made.select("tail", "bag").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary
+    rows = made.select((F.octet_length("tail") / 4).cast("int"), "bag").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary
     got = {r["id"]: r["n"] for r in rows}
     left, n, total = got.pop(-3, 0), got.pop(-2, 0), got.pop(-1, 0)
     df = np.zeros(max(got, default=0) + 1, np.int64)
@@ -111,7 +109,7 @@ def by_heads(made: DataFrame, n: int, mean: float, df: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
-            heads = [heads_of(*bag_of(C.unpack_planes(x, "<u4"), bag), mean, df, idf) for x, bag in zip(b.column("tail").to_pylist(), b.column("bag").to_pylist(), strict=True)]
+            heads = [heads_of(*bag_of(bag), mean, df, idf) for bag in b.column("bag").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int32()) for c in zip(*heads, strict=True))], [*b.schema.names, *names])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema.fields)
@@ -122,7 +120,7 @@ class Index:
     """A shard's inverted index: for each id its units and their BM25 weights."""
 
     def __init__(self, tails: list[np.ndarray], n: int, mean: float, df: np.ndarray, bags: list[bytes] | None = None):
-        self.bags = [bag_of(x, b) for x, b in zip(tails, bags or [b""] * len(tails), strict=True)]
+        self.bags = [bag_of(b) for b in bags] if bags else [np.unique(x, return_counts=True) for x in tails]
         length = np.array([int(tf.sum()) for _, tf in self.bags])
         ids, tf = (np.concatenate([x[k] for x in self.bags]) for k in (0, 1))
         order = np.argsort(ids, kind="stable")

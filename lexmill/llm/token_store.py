@@ -36,10 +36,14 @@ from lexmill.llm import common as C
 
 MAGIC = b"LMTOKID1"
 #: Pieces whose ids a worker keeps: this many at most, and as many again of those before; none longer than LONG.
-CACHE, LONG = 200_000, 64
+CACHE, LONG = 400_000, 64
 
 #: A space after which white space or nothing follows: the pre-tokenizer of byte-level vocabularies may take it with what is before it.
 _GAP = re.compile(r" (?=\s|\Z)")
+_ODD = re.compile(r"\s")
+_MARKS = ".,;:!?"
+#: Marks that aren't between a letter or digit and white space, line ends beside white space.
+_INNER = re.compile(r"[.,;:!?\n](?:(?<=[.,;:!?])(?:(?![ \n]|\Z)|(?<![^\W_].))|(?<=\n)(?:(?=\s|\Z)|(?<!\S\n)))")
 
 
 class Encoder:
@@ -56,19 +60,45 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.kind, self.known, self.older = kind, {}, {}
+        self.mark, self.between = ("\n", "\n") if kind == "byte" else ("|", " | ")
+        (self.mark_id,) = self.tok.encode(self.mark, add_special_tokens=False).ids
 
     def library(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def pieces(self, text: str | None) -> list[str]:
+        """Pieces that the pre-tokenizer parts anyway: at single spaces and, where all of them stand plainly, at marks and line ends."""
         if not text:
             return []
+        plain = not _INNER.search(text) and "\u0130" not in text  # which has a mark of its own in lower case
         if self.kind == "word":
-            return text.replace("\n", " ").split(" ")
-        if _GAP.search(text):
+            text = text.replace("\n", " ")
+            for m in _MARKS if plain else "":
+                text = text.replace(m, " " + m)
+            return text.split(" ")
+        if _GAP.search(text) or "\0" in text:
             return [text]
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
+        text = text.replace(" ", "\0 ")
+        if plain:
+            text = text.replace("\n", "\0\n\0")
+            for m in _MARKS:
+                text = text.replace(m, "\0" + m)
+        return text.split("\0")
+
+    def encode_new(self, new: list[str]) -> None:
+        """Adds ids of pieces. Those without inner white space are encoded as one text, parted by a mark that none of them has and that is one token by itself."""
+        mark, known = self.mark, self.known
+        odd = [x for x in new if mark in x or not x or _ODD.search(x, 1)]
+        plain = set(new).difference(odd)
+        if plain:
+            (e,) = self.tok.encode_batch_fast([self.between.join(plain) + self.between], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            at, data = 0, ids.tobytes()
+            for x, e in zip(plain, (4 * np.flatnonzero(ids == self.mark_id)).tolist(), strict=True):
+                known[x] = data[at:e]
+                at = e + 4
+        for x, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False), strict=True):
+            known[x] = np.array(e.ids, "<u4").tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
@@ -81,10 +111,7 @@ class Encoder:
                 new.append(x)
             else:
                 known[x] = ids
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for x, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u4").tobytes()
+        self.encode_new(new)
         out = [b"".join(map(known.__getitem__, x)) for x in cut]
         for x in new:
             if len(x) > LONG:
