@@ -1,28 +1,31 @@
 """Katz backoff: Good-Turing discounted counts, exactly normalised backoff weights, evaluated recursively per token.
 
-Tokens: lower-cased words (A-Z), then one end per document; the first token's history is a start mark. With
+Tokens: lower-cased words (A-Z), then one end per document; before the first token stands a start mark. The model has
+n-grams of up to ORDER tokens; the first tokens of a document have the start mark and what follows it as history. With
 N training tokens of V kinds and one more kind, "unknown", for all the rest,
 
-    p(w)     = d1(c(w)) c(w) / N                          c(w) > 0
-             = 1 - the sum of those                       unknown
-    p(w | v) = d2(c(v w)) c(v w) / c(v)                   c(v w) > 0
-             = a(v) p(w)                                  else
-    a(v)     = (1 - sum of p(w | v) over seen w) / (1 - sum of p(w) over the same w)
-    p(w | v) = p(w)                                       c(v) = 0
+    p(w)      = d1(c(w)) c(w) / N                           c(w) > 0
+              = 1 - the sum of those                        unknown
+    p(w | h)  = dk(c(h w)) c(h w) / c(h)                    c(h w) > 0, h of k - 1 tokens
+              = a(h) p(w | h')                              else; h' is h without its first token
+    a(h)      = (1 - sum of p(w | h) over seen w) / (1 - sum of p(w | h') over the same w)
+    p(w | h)  = p(w | h')                                   c(h) = 0
 
-so that each distribution sums to one over the V + 1 kinds. d(r) for r <= CUT is Good-Turing's, renormalised
-after Katz; where counts of counts can't give one in (0, 1), (r - 1/2) / r. A history all of whose followers
-occur more often than CUT has no mass to give; there c(v) + 1 replaces c(v), and likewise N + 1 replaces N.
+so that each distribution sums to one over the V + 1 kinds. dk(r) for r <= CUT is Good-Turing's for that order,
+renormalised after Katz; where counts of counts can't give one in (0, 1), (r - 1/2) / r. A history all of whose
+followers occur more often than CUT has no mass to give; there c(h) + 1 replaces c(h), and likewise N + 1 replaces N.
 
-Tables. Counts live in tables partitioned by ranges of the hash of the word (unigrams) and of the history
-(bigrams, with the history's totals). Documents are dealt to chunks (chunks.py); a chunk sends each partition its
-distinct n-grams with counts and gets back, in the same order, the corpus-wide counts and for each history what
-its backoff weight is made of. Each n-gram is one entry a chunk however often it occurs, so a frequent word is
-no hot key; of bigrams, no partition holds more than a chunk's distinct followers of a history from each chunk.
+Tables. For each order there is a table partitioned by ranges of the hash of the history (of the word, for order one).
+Documents are dealt to chunks (chunks.py); a chunk sends each partition its distinct n-grams with counts and gets back,
+in the same order, the corpus-wide counts and for each history what its backoff weight is made of. Each n-gram is
+one entry a chunk however often it occurs, so a frequent word is no hot key. A partition also says whether another chunk
+has an n-gram too; one that no other chunk has needs no partition as a history, as all that follows it is at hand.
+With tables=True the partitions are kept as rows (order, range, packed n-grams and counts) that Tables reads again.
 
 A null text is empty: the end alone. A null doc_id has the fold of the empty text. Rows that repeat a doc_id
 count as often as they occur. Without training rows nothing is known and every token has probability 1 as
-the one kind there is. Words are told apart by 64-bit hashes, followers of one history by 48 bits of theirs.
+the one kind there is. Columns other than doc_id and text are ignored. Words and histories are told apart by 64-bit
+hashes, followers of one history by 40 bits of theirs. Counts have 64 bits.
 """
 
 from __future__ import annotations
@@ -37,9 +40,10 @@ from pyspark.sql import functions as F
 from lexmill.llm import chunks
 from lexmill.llm import common as C
 
-CUT = 5
-_END, _START = np.uint64(0x454E44454E44454E), np.uint64(0xFFFFFFFFFFFFFFFF)
-_REPLY = "kind int, chunk int, range int, a binary, b binary, stats array<long>"
+CUT, ORDER, CHUNK_BYTES = 5, 3, 8 << 20
+U = np.uint64
+_END, _START = U(0x454E44454E44454E), U(0xFFFFFFFFFFFFFFFF)
+_LOW = U(24)  # bits of a follower's hash that are not sent
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -57,7 +61,7 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Unigrams:
-    """p(w) from a count; stats: [kinds, tokens, n_1 .. n_(CUT + 1), ...]."""
+    """p(w) from a count; stats: [kinds, tokens, n_1 .. n_(CUT + 1)]."""
 
     def __init__(self, stats: list[int]):
         self.kinds, self.tokens = stats[0], stats[1]
@@ -68,11 +72,20 @@ class Unigrams:
         self.unknown = 1 - mass / self.total if self.total else 1.0
 
     def p(self, c: np.ndarray) -> np.ndarray:
-        known = np.where(c <= CUT, self.d[np.minimum(c, CUT)], 1.0) * c / max(1, self.total)
-        return np.where(c > 0, known, self.unknown)
+        return np.where(c > 0, discounted(c, self.d) / max(1, self.total), self.unknown)
+
+
+def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(c <= CUT, d[np.minimum(c, CUT).astype(np.int64)], 1.0) * c
+
+
+def history_hash(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a history that goes on with a word."""
+    with np.errstate(over="ignore"):
+        return C.mix(C.mix(history) + word)
 
 
-class _Part:
+class Part:
     """A chunk: its tokens as numbers of its sorted distinct hashes, by document."""
 
     def __init__(self, t: pa.Table):
@@ -83,17 +96,59 @@ class _Part:
         self.n = np.array([len(h) + 1 for h in each[::2]], np.int64)
         self.word, self.token = np.unique(np.concatenate(each), return_inverse=True)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.start = np.cumsum(self.n) - self.n
         self.weight = (~np.array([held_out(i) for i in self.ids]))[self.doc]
 
-    def pairs(self) -> None:
-        """Distinct (history, word) in the order of the history's and the word's hash."""
-        kinds = len(self.word) + 1
-        history = np.r_[kinds - 1, self.token[:-1]]
-        history[np.cumsum(self.n)[:-1]] = kinds - 1
-        key, self.pair = np.unique(history * kinds + self.token, return_inverse=True)
-        self.first, self.second = key // kinds, key % kinds
-        self.history, self.followers = np.unique(self.first, return_counts=True)
-        self.history_hash = np.r_[self.word, _START][self.history]
+
+class Level:
+    """A chunk's distinct n-grams of one order, in the order of their histories' hashes."""
+
+    def __init__(self, p: Part, below: Level | None, shared: np.ndarray):
+        """below: the order before (None for bigrams); shared: of its n-grams (of the words), whether another chunk has them too."""
+        gram, hashes = (p.token, p.word) if below is None else (below.gram, history_hash(below.hash[below.history], p.word[below.second]))
+        history = np.r_[len(hashes), gram[:-1]]
+        history[p.start] = len(hashes)  # the start mark
+        hashes, shared = np.r_[hashes, _START], np.r_[shared, True]
+        # histories are numbered by hash, those of this chunk alone last
+        used = np.unique(history)
+        used = used[np.lexsort((hashes[used], ~shared[used]))]
+        number = np.empty(len(hashes), np.int64)
+        number[used] = np.arange(len(used))
+        self.hash, self.sent = hashes[used], int(shared[used].sum())
+        kinds = len(p.word)
+        key, at, self.gram = np.unique(number[history] * kinds + p.token, return_index=True, return_inverse=True)
+        self.history, self.second = key // kinds, key % kinds
+        self.lower = gram_of(p, below)[at]  # the same token's n-gram of the order before
+        self.followers = np.bincount(self.history, minlength=len(used))
+        self.n = np.bincount(self.gram, p.weight, len(key)).astype(np.int64)
+        self.n_sent = int(self.followers[: self.sent].sum())
+
+    def summary(self, count: np.ndarray, lower: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the histories first..last: sum of lower-order probabilities of seen followers; c(h) and followers by count 1..CUT."""
+        s = slice(int(self.followers[:first].sum()), int(self.followers[:last].sum()))
+        return summary(self.history[s] - first, count[s], lower[s], last - first)
+
+
+def gram_of(p: Part, level: Level | None) -> np.ndarray:
+    return p.token if level is None else level.gram
+
+
+def summary(history: np.ndarray, count: np.ndarray, lower: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    seen = count > 0
+    h, r = history[seen], count[seen]
+    whole = np.zeros(m, U)
+    np.add.at(whole, h, r.astype(U))
+    return np.bincount(h, lower[seen], m), np.stack([whole, *(np.bincount(h[r == k], minlength=m).astype(U) for k in range(1, CUT + 1))])
+
+
+def weights(mass: np.ndarray, whole: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(total that counts are divided by, backoff weight) of histories."""
+    whole = whole.astype(np.float64)
+    c = whole[0]
+    low = sum(k * whole[k] for k in range(1, CUT + 1))
+    given = sum(d[k] * k * whole[k] for k in range(1, CUT + 1)) + c - low
+    total = np.where(given < c * (1 - 1e-12), c, c + 1)
+    return total, np.where(c > 0, (1 - given / total) / np.maximum(1 - mass, 1e-300), 1.0)
 
 
 def _stats(c: np.ndarray) -> list[int]:
@@ -101,117 +156,219 @@ def _stats(c: np.ndarray) -> list[int]:
     return [int((c > 0).sum()), int(c.sum()), *n[1 : CUT + 2].tolist()]
 
 
-def _total(replies: DataFrame, kind: int) -> list[int]:
-    rows = replies.where(F.col("kind") == kind).select(F.posexplode("stats").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
+def _total(replies: DataFrame) -> list[int]:
+    rows = replies.select(F.posexplode("stats").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
     out = [0] * (3 + CUT)
     for r in rows:
         out[r["k"]] = r["n"]
     return out
 
 
-def _rows(t: pa.Table, kind: int) -> list[dict]:
-    return sorted((r for r in t.select(["kind", "range", "a", "b"]).to_pylist() if r["kind"] == kind), key=lambda r: r["range"])
+_SENT = "range int, chunk int, history binary, followers binary, word binary, n binary, lower binary, total binary, stats array<long>"
+_REPLY = "kind int, chunk int, range int, a binary, b binary, stats array<long>"
 
 
-def score(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
-    spark = docs.sparkSession
+def _replies(kind: int, t: pa.Table, a: list[bytes], b: list[bytes], stats: list[int]) -> dict:
+    n = t.num_rows
+    return {"kind": [kind] * n, "chunk": t.column("chunk").to_pylist(), "range": t.column("range").to_pylist(), "a": a, "b": b, "stats": [stats] + [None] * (n - 1)}
+
+
+def _reply_table(cols: dict) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(cols.items(), kinds, strict=True)})
+
+
+class Chunk:
+    """A chunk with what it has been told so far (replies by kind: the order), as counts, totals, weights and log10 probabilities by order."""
+
+    def __init__(self, t: pa.Table, r: pa.Table, uni: Unigrams, d: list[np.ndarray]):
+        rows: dict[int, list] = {}
+        for x in sorted(zip(*(r.column(c).to_pylist() for c in ("kind", "range", "a", "b")), strict=True), key=lambda x: x[:2]):
+            rows.setdefault(x[0], []).append(x)
+        p = self.p = Part(t)
+        told = np.concatenate([C.unpack_planes(x[2], U) for x in rows[1]]) if 1 in rows else np.zeros(0, U)
+        self.c = (told >> U(1)).astype(np.int64)
+        self.prob, self.level = [uni.p(self.c)], None
+        self.count, self.total = self.c, np.full(len(p.word), max(1, uni.total))
+        self.seen_prob = np.where(self.c > 0, self.prob[0], 0.0)
+        self.shared = (told & U(1)).astype(bool)
+        for k, dk in enumerate(d, 2):
+            level = self.next_level()
+            told, mass, whole = [np.zeros(0, U)], [np.zeros(0)], [np.zeros((1 + CUT, 0), U)]
+            for _, _, a, b in rows.get(k, []):
+                told.append(C.unpack_planes(a, U))
+                m = len(b) // (8 * (2 + CUT))
+                mass.append(np.frombuffer(b, np.float64, m))
+                whole.append(C.unpack_planes(b[8 * m :], U).reshape(1 + CUT, m))
+            told = np.concatenate(told)
+            count = np.r_[(told >> U(1)).astype(np.int64), level.n[level.n_sent :]]
+            own = level.summary(count, self.seen_prob[level.lower], level.sent, len(level.hash))
+            total, alpha = weights(np.r_[np.concatenate(mass), own[0]], np.concatenate([*whole, own[1]], axis=1), dk)
+            lower = self.prob[-1][level.lower]
+            seen = discounted(count, dk) / np.maximum(total, 1)[level.history]
+            self.prob.append(np.where(count > 0, seen, alpha[level.history] * lower))
+            self.level, self.count, self.total = level, count, np.maximum(total, 1)[level.history]
+            self.seen_prob = np.where(count > 0, seen, 0.0)
+            self.shared = np.r_[(told & U(1)).astype(bool), np.zeros(len(count) - len(told), bool)]
+
+    def next_level(self) -> Level:
+        return Level(self.p, self.level, self.shared)
+
+
+def send(key, t: pa.Table, r: pa.Table, uni: Unigrams, d: list[np.ndarray], ranges: int) -> pa.Table:
+    """What a chunk sends of the next order."""
+    c = Chunk(t, r, uni, d)
+    v = c.next_level()
+    chunk = key[0].as_py()
+    at = chunks.cuts(v.hash[: v.sent], ranges)
+    to = np.r_[0, np.cumsum(v.followers)]
+    out = {x: [] for x in ("range", "chunk", "history", "followers", "word", "n", "lower", "total", "stats")}
+    count, total = c.count[v.lower].astype(U), c.total[v.lower].astype(U)
+    for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        if j > i:
+            s = slice(to[i], to[j])
+            known = v.n[s] > 0
+            row = (k, chunk, C.pack_sorted(v.hash[i:j]), C.pack_planes(v.followers[i:j].astype(U)), C.pack_planes(c.p.word[v.second[s]] >> _LOW), C.pack_planes(v.n[s].astype(U)), C.pack_planes(np.where(known, count[s], U(0))), C.pack_planes(np.where(known, total[s], U(0))), None)
+            for name, x in zip(out, row, strict=True):
+                out[name].append(x)
+    own = _stats(v.n[v.n_sent :])  # of histories that no other chunk has
+    for name, x in zip(out, (-1 - chunk % 1024, chunk, b"", b"", b"", b"", b"", b"", own), strict=True):
+        out[name].append(x)
+    C.give_back()
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64())]
+    return pa.table({k: pa.array(x, kind) for (k, x), kind in zip(out.items(), kinds, strict=True)})
+
+
+def count(t: pa.Table, order: int, d: np.ndarray, tables: bool) -> pa.Table:
+    """A partition: adds up what all chunks sent of its histories and answers each. d: discounts of the order before."""
+    if t.column("range")[0].as_py() < 0:
+        total = np.array(t.column("stats").to_pylist()).sum(axis=0).tolist()
+        return _reply_table({"kind": [-order], "chunk": [-1], "range": [t.column("range")[0].as_py()], "a": [None], "b": [None], "stats": [total]})
+    history = [C.unpack_sorted(x) for x in t.column("history").to_pylist()]
+    followers = [C.unpack_planes(x, U).astype(np.int64) for x in t.column("followers").to_pylist()]
+    word, n, lower, total = (np.concatenate([C.unpack_planes(x, U) for x in t.column(c).to_pylist()]) for c in ("word", "n", "lower", "total"))
+    names, of = np.unique(np.concatenate(history), return_inverse=True)
+    entry = np.repeat(of, np.concatenate(followers))
+    order_ = np.lexsort((word, entry))
+    new = np.r_[True, (entry[order_][1:] != entry[order_][:-1]) | (word[order_][1:] != word[order_][:-1])]
+    gram = np.empty(len(entry), np.int64)
+    gram[order_] = np.cumsum(new) - 1
+    c = chunks.add_up(gram, n)
+    shared = np.bincount(gram) > 1
+    first = order_[new]
+    # any chunk with a training row of it knows the lower order's count and total
+    best = np.zeros(len(c), np.int64)
+    best[gram[n > 0]] = np.flatnonzero(n > 0)
+    p = discounted(lower[best].astype(np.int64), d) / np.maximum(total[best], 1)
+    mass, whole = summary(entry[first], c.astype(np.int64), p, len(names))
+    a = np.split((c << U(1) | shared.astype(U))[gram], np.cumsum([int(x.sum()) for x in followers])[:-1])
+    b = np.split(of, np.cumsum([len(x) for x in history])[:-1])
+    out = _replies(order, t, [C.pack_planes(x) for x in a], [mass[x].tobytes() + C.pack_planes(np.ascontiguousarray(whole[:, x]).ravel()) for x in b], _stats(c.astype(np.int64)))
+    if tables:
+        kept = (C.pack_sorted(names), C.pack_planes(np.bincount(entry[first], minlength=len(names)).astype(U)), C.pack_planes(word[first]), C.pack_planes(c), mass.tobytes(), C.pack_planes(whole.ravel()))
+        for k, x in zip(("kind", "chunk", "range", "a", "b", "stats"), (order, -1, t.column("range")[0].as_py(), b"".join(kept), None, [len(x) for x in kept]), strict=True):
+            out[k].append(x)
+    C.give_back()
+    return _reply_table(out)
+
+
+def sender(*how):
+    return lambda key, t, r: send(key, t, r, *how)
+
+
+def counter(*how):
+    return lambda key, t: count(t, *how)
+
+
+def fit(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, tables: bool = False) -> tuple[DataFrame, DataFrame, Unigrams, list[np.ndarray], list[DataFrame]]:
+    """(documents by chunk, replies of all orders, unigrams, discounts of the orders above, tables to drop)."""
     dealt, ranges = chunks.deal(docs.select("doc_id", "text"), chunk_bytes)
     by_chunk = dealt.groupBy("chunk")
 
     def send_words(key, t):
-        p = _Part(t)
-        return chunks.packets(t.column("chunk")[0].as_py(), ranges, p.word, np.bincount(p.token, p.weight, len(p.word)).astype(np.uint32))
+        p = Part(t)
+        return chunks.packets(t.column("chunk")[0].as_py(), ranges, p.word, np.bincount(p.token, p.weight, len(p.word)).astype(U))
 
     def count_words(key, t):
         parts = [C.unpack_sorted(x) for x in t.column("hashes").to_pylist()]
-        n = np.concatenate([C.unpack_planes(x, np.uint32) for x in t.column("c0").to_pylist()])
-        _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        c = np.bincount(inverse, n).astype(np.int64)
-        split = np.split(c[inverse].astype(np.uint32), np.cumsum([len(x) for x in parts])[:-1])
-        rows = len(parts)
-        return pa.table({"kind": pa.array([1] * rows, pa.int32()), "chunk": t.column("chunk").cast(pa.int32()), "range": t.column("range").cast(pa.int32()), "a": C.binary_array([C.pack_planes(x) for x in split]), "b": C.binary_array([b""] * rows), "stats": pa.array([_stats(c)] + [None] * (rows - 1), pa.list_(pa.int64()))})
-
-    unigrams = C.materialize(by_chunk.applyInArrow(send_words, chunks.PACKETS + ", c0 binary").groupBy("range").applyInArrow(count_words, _REPLY), "katz-unigrams")
-    C.free_shuffles(spark)
-    model = Unigrams(_total(unigrams, 1))
-
-    def word_counts(t) -> np.ndarray:
-        got = [C.unpack_planes(r["a"], np.uint32) for r in _rows(t, 1)]
-        return np.concatenate(got).astype(np.int64) if got else np.zeros(0, np.int64)
-
-    def send_pairs(key, t, r):
-        p = _Part(t)
-        p.pairs()
-        c = word_counts(r)
-        n = np.bincount(p.pair, p.weight, len(p.first)).astype(np.uint32)
-        at = chunks.cuts(p.history_hash, ranges)
-        to = np.r_[0, np.cumsum(p.followers)]
-        out = {x: [] for x in ("range", "history", "followers", "word", "n", "c")}
-        for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            if j > i:
-                s = slice(to[i], to[j])
-                out["range"].append(k)
-                out["history"].append(C.pack_sorted(p.history_hash[i:j]))
-                out["followers"].append(C.pack_planes(p.followers[i:j].astype(np.uint32)))
-                out["word"].append(C.pack_planes(p.word[p.second[s]] >> np.uint64(16)))
-                out["n"].append(C.pack_planes(n[s]))
-                out["c"].append(C.pack_planes(c[p.second[s]].astype(np.uint32)))
-        return pa.table({"range": pa.array(out.pop("range"), pa.int32()), "chunk": pa.array([t.column("chunk")[0].as_py()] * len(out["n"]), pa.int32()), **{k: C.binary_array(v) for k, v in out.items()}})
-
-    def count_pairs(key, t):
-        history = [C.unpack_sorted(x) for x in t.column("history").to_pylist()]
-        followers = [C.unpack_planes(x, np.uint32) for x in t.column("followers").to_pylist()]
-        word, n, c = (np.concatenate([C.unpack_planes(x, kind) for x in t.column(name).to_pylist()]) for name, kind in (("word", np.uint64), ("n", np.uint32), ("c", np.uint32)))
-        histories, of = np.unique(np.concatenate(history), return_inverse=True)
-        entry = np.repeat(of, np.concatenate(followers))
-        with np.errstate(over="ignore"):
-            name = C.mix(C.mix(histories[entry]) + word)
-        _, first, pair = np.unique(name, return_index=True, return_inverse=True)
-        count = np.bincount(pair, n).astype(np.int64)
-        seen = count > 0
-        v, r = entry[first][seen], count[seen]
-        m = len(histories)
-        parts = [np.bincount(v, r, m), np.bincount(v, model.p(c[first][seen].astype(np.int64)), m), *(np.bincount(v[r == k], minlength=m) for k in range(1, CUT + 1))]
-        whole = np.stack([parts[0].astype(np.uint32), *(x.astype(np.uint32) for x in parts[2:])])
-        mass = parts[1]
-        a = np.split(count[pair].astype(np.uint32), np.cumsum([int(x.sum()) for x in followers])[:-1])
-        b = np.split(of, np.cumsum([len(x) for x in history])[:-1])
-        rows = len(history)
-        return pa.table({"kind": pa.array([2] * rows, pa.int32()), "chunk": t.column("chunk").cast(pa.int32()), "range": t.column("range").cast(pa.int32()), "a": C.binary_array([C.pack_planes(x) for x in a]), "b": C.binary_array([mass[x].tobytes() + C.pack_planes(np.ascontiguousarray(whole[:, x]).ravel()) for x in b]), "stats": pa.array([_stats(count)] + [None] * (rows - 1), pa.list_(pa.int64()))})
-
-    sent = by_chunk.cogroup(unigrams.groupBy("chunk")).applyInArrow(send_pairs, "range int, chunk int, history binary, followers binary, word binary, n binary, c binary")
-    bigrams = C.materialize(sent.groupBy("range").applyInArrow(count_pairs, _REPLY), "katz-bigrams")
-    C.free_shuffles(spark)
-    d2 = discounts(_total(bigrams, 2)[2 : 3 + CUT])
+        n = np.concatenate([C.unpack_planes(x, U) for x in t.column("c0").to_pylist()])
+        words, of = np.unique(np.concatenate(parts), return_inverse=True)
+        c = chunks.add_up(of, n)
+        split = np.split((c << U(1) | (np.bincount(of) > 1).astype(U))[of], np.cumsum([len(x) for x in parts])[:-1])
+        out = _replies(1, t, [C.pack_planes(x) for x in split], [b""] * len(parts), _stats(c.astype(np.int64)))
+        if tables:
+            kept = (C.pack_sorted(words), C.pack_planes(c))
+            for k, x in zip(out, (1, -1, t.column("range")[0].as_py(), b"".join(kept), None, [len(x) for x in kept]), strict=True):
+                out[k].append(x)
+        return _reply_table(out)
+
+    told = [C.materialize(by_chunk.applyInArrow(send_words, chunks.PACKETS + ", c0 binary").groupBy("range").applyInArrow(count_words, _REPLY), "katz-1")]
+    replies = told[0]
+    uni, d = Unigrams(_total(replies.where("b is not null"))), []
+    for k in range(2, order + 1):
+        sent = by_chunk.cogroup(replies.where("chunk >= 0").drop("stats").groupBy("chunk")).applyInArrow(sender(uni, list(d), ranges), _SENT)
+        made = sent.groupBy("range").applyInArrow(counter(k, d[-1] if d else uni.d, tables), _REPLY)
+        told.append(C.materialize(made, f"katz-{k}"))
+        d.append(discounts(_total(told[-1].where("b is not null or kind < 0"))[2 : 3 + CUT]))
+        replies = replies.union(told[-1])
+    return dealt, replies, uni, d, [dealt, *told]
+
+
+class Tables:
+    """The partitions that fit(tables=True) keeps, opened where a lookup needs one."""
+
+    def __init__(self, replies: DataFrame):
+        self.kept = replies.where("chunk = -1 and kind > 0")
+        self.ranges = {r["kind"]: r["n"] for r in replies.where("kind > 0").groupBy("kind").agg((F.max("range") + 1).alias("n")).collect()}
+        self.open: dict[tuple[int, int], list[np.ndarray]] = {}
+
+    def partition(self, order: int, key: int) -> list[np.ndarray]:
+        """Hashes of the words or histories of a partition, and what it has of them."""
+        at = next(k for k in range(self.ranges[order]) if key < (((k + 1) << 64) // self.ranges[order]))
+        if (order, at) not in self.open:
+            row = self.kept.where((F.col("kind") == order) & (F.col("range") == at)).first()
+            parts, begin = [], 0
+            for n in row["stats"] if row else []:
+                parts.append(bytes(row["a"][begin : begin + n]))
+                begin += n
+            self.open[order, at] = [C.unpack_sorted(parts[0]), *(np.frombuffer(x, np.float64) if order > 1 and k == 4 else C.unpack_planes(x, U) for k, x in enumerate(parts[1:], 1))] if row else [np.zeros(0, U)] * 6
+        return self.open[order, at]
+
+    def count(self, words: list[bytes | None]) -> int:
+        """c(w) of one word in lower case (None: the end)."""
+        h = _END if words[0] is None else C.hash_words(words)[0]
+        names, c, *_ = self.partition(1, int(h))
+        k = int(np.searchsorted(names, h))
+        return int(c[k]) if k < len(names) and names[k] == h else 0
+
+    def history(self, words: list[bytes]) -> int | None:
+        """c(h) of a history of several words; None if no two chunks have it."""
+        h = C.hash_words(words)
+        name = h[:1]
+        for w in h[1:]:
+            name = history_hash(name, np.array([w]))
+        names, *_, whole = self.partition(len(words) + 1, int(name[0]))
+        k = int(np.searchsorted(names, name[0]))
+        return int(whole.reshape(1 + CUT, -1)[0, k]) if k < len(names) and names[k] == name[0] else None
+
+
+def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, order: int = ORDER) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
+    dealt, replies, uni, d, used = fit(docs, order, chunk_bytes)
 
     def evaluate(key, t, r):
-        p = _Part(t)
-        p.pairs()
-        c = word_counts(r)
-        p1 = np.log10(np.maximum(model.p(c), 1e-300))
-        rows = _rows(r, 2)
-        cvw = np.concatenate([C.unpack_planes(x["a"], np.uint32) for x in rows]).astype(np.int64)
-        mass, whole = [], []
-        for x in rows:
-            m = len(x["b"]) // (8 + 4 * (1 + CUT))
-            mass.append(np.frombuffer(x["b"], np.float64, m))
-            whole.append(C.unpack_planes(x["b"][8 * m :], np.uint32).reshape(1 + CUT, m))
-        mass, whole = np.concatenate(mass), np.concatenate(whole, axis=1).astype(np.float64)
-        cv = whole[0]
-        low = sum(k * whole[k] for k in range(1, CUT + 1))
-        given = sum(d2[k] * k * whole[k] for k in range(1, CUT + 1)) + cv - low
-        total = np.where(given < cv * (1 - 1e-12), cv, cv + 1)
-        alpha = np.where(cv > 0, (1 - given / total) / np.maximum(1 - mass, 1e-300), 1.0)
-        at = np.repeat(np.arange(len(p.history)), p.followers)
-        d = np.where(cvw <= CUT, d2[np.minimum(cvw, CUT)], 1.0)
-        with np.errstate(divide="ignore"):
-            logp = np.where(cvw > 0, np.log10(d * np.maximum(cvw, 1) / np.maximum(total[at], 1)), np.log10(alpha)[at] + p1[p.second])
-        m = len(p.n)
-        base = np.bincount(p.doc, np.log10(c + 0.5)[p.token], m) - p.n * np.log10(model.tokens + 0.5 * (model.kinds + 1))
-        return pa.table({"doc_id": pa.array(p.ids, pa.int64()), "held_out": pa.array([held_out(i) for i in p.ids], pa.bool_()), "n_tokens": pa.array(p.n), "n_known": pa.array(np.bincount(p.doc, (c > 0)[p.token], m).astype(np.int64)), "train_tokens": pa.array([model.tokens] * m, pa.int64()), "base_score": pa.array(base), "score": pa.array(np.bincount(p.doc, logp[p.pair], m))})
-
-    return by_chunk.cogroup(unigrams.union(bigrams).select("kind", "chunk", "range", "a", "b").groupBy("chunk")).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        x = Chunk(t, r, uni, d)
+        p, m = x.p, len(x.p.n)
+        logp = np.log10(np.maximum(x.prob[-1], 1e-300))[gram_of(p, x.level)]
+        base = np.bincount(p.doc, np.log10(x.c + 0.5)[p.token], m) - p.n * np.log10(uni.tokens + 0.5 * (uni.kinds + 1))
+        out = pa.table({"doc_id": pa.array(p.ids, pa.int64()), "held_out": pa.array([held_out(i) for i in p.ids], pa.bool_()), "n_tokens": pa.array(p.n), "n_known": pa.array(np.bincount(p.doc, (x.c > 0)[p.token], m).astype(np.int64)), "train_tokens": pa.array([uni.tokens] * m, pa.int64()), "base_score": pa.array(base), "score": pa.array(np.bincount(p.doc, logp, m))})
+        C.give_back()
+        return out
+
+    out = dealt.groupBy("chunk").cogroup(replies.where("chunk >= 0").drop("stats").groupBy("chunk")).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = C.materialize(out, "katz-scores")
+    C.drop(*used)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@
 2. Token ids are the index's terms, so the vocabulary bounds the statistics: documents, their mean length and
    each id's document frequency are counted over the whole texts of the corpus. A unit is found and searched
    for by its document's whole text too (its bag: distinct ids and counts), however little of it is left.
-3. Shards hold SHARD tokens of units that are alike: a unit's heads are the HEADS ids of its whole text that weigh
-   most by BM25; units are ordered by their heads, the rarest first, and cut into ranges. A shard builds its
+3. Shards hold SHARD tokens of units that are alike: a unit's heads are the two ids of its whole text that weigh
+   most by BM25; units are ordered by their heads, the rarer first, and cut into ranges. A shard builds its
    inverted index with weights from the corpus-wide statistics. Documents that share their most
    telling ids (copies, documents with one passage or topic) are thereby in one shard, wherever they come
    from and however many shards there are; neighbours in other shards aren't found (README: the share found).
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lexmill.llm import common as C
 from lexmill.llm.token_store import encoder
 
-WINDOW, SHARD, HEADS, K1, B = 2048, 1_000_000, 4, 1.2, 0.75
+WINDOW, SHARD, K1, B = 2048, 1_000_000, 1.2, 0.75
 
 #: An id in more than one of so many units of a shard is kept as a row over all of them.
 COMMON = 8
@@ -95,25 +95,49 @@ def idf_of(n: int, df: np.ndarray) -> np.ndarray:
     return np.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def heads_of(found: np.ndarray, tf: np.ndarray, mean: float, df: np.ndarray, idf: np.ndarray) -> list[int]:
-    """The HEADS ids of a document that weigh most and that others have too, the rarest first; -1 where there are no more."""
-    w = np.where(df[found] > 1, idf[found] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * int(tf.sum()) / mean)), 0.0)
-    best = found[np.lexsort((found, -w))[:HEADS]]
-    best = best[df[best] > 1]
-    return [*best[np.lexsort((best, df[best]))].tolist(), *[-1] * HEADS][:HEADS]
+def heads_of(bags: list[bytes], mean: float, df: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """For each document its two ids that weigh most and that others have too, the rarer first, as one number: those ids plus one, 0 where there is none."""
+    split = [bag_of(x) for x in bags]
+    size = np.array([len(f) for f, _ in split])
+    doc, found, tf = np.repeat(np.arange(len(bags)), size), np.concatenate([f for f, _ in split]).astype(np.int64), np.concatenate([c for _, c in split])
+    length = np.bincount(doc, tf, len(bags))
+    w = np.where(df[found] > 1, idf[found] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean)), 0.0)
+    out, left = np.zeros((2, len(bags)), np.int64), w
+    for head in out:  # the best by reduction, then the best of the others; ties to the smaller id, which stands first
+        best = np.maximum.reduceat(left, np.cumsum(size) - size)
+        at = np.flatnonzero((left == best[doc]) & (left > 0))
+        at = at[np.unique(doc[at], return_index=True)[1]]
+        head[doc[at]] = found[at] + 1
+        left = left.copy()
+        left[at] = 0
+    a, b = out
+    swap = (b > 0) & (df[b - 1] < df[a - 1])
+    return np.where(swap, b, a) << 32 | np.where(swap, a, b)
 
 
-def by_heads(made: DataFrame, n: int, mean: float, df: np.ndarray) -> DataFrame:
-    """units() + head0, head1, ...: what they are ordered by."""
-    idf, names = idf_of(n, df), [f"head{k}" for k in range(HEADS)]
+#: Heads that are sampled to set the bounds of parts.
+SAMPLE = 1_000_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches):
-            heads = [heads_of(*bag_of(bag), mean, df, idf) for bag in b.column("bag").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int32()) for c in zip(*heads, strict=True))], [*b.schema.names, *names])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema.fields)
-    return made.mapInArrow(run, f"{schema}, " + ", ".join(f"{x} int" for x in names))
+def by_heads(made: DataFrame, n: int, mean: float, df: np.ndarray, parts: int) -> DataFrame:
+    """units() + heads, what they are ordered by, and part, a range of that order; units of very common heads are spread over the parts that those fill."""
+    idf = idf_of(n, df)
+    names = [*made.columns, "heads", "part"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema.fields) + ", heads long, part int"
+
+    def run(made: DataFrame, bounds: np.ndarray) -> DataFrame:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in C.slices(batches):
+                heads = heads_of(b.column("bag").to_pylist(), mean, df, idf)
+                lo, hi = np.searchsorted(bounds, heads, "left"), np.searchsorted(bounds, heads, "right")
+                part = lo + b.column("h").to_numpy() % (hi - lo + 1)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-2]), pa.array(heads), pa.array(part.astype(np.int32))], names)
+
+        return made.withColumn("h", F.pmod(F.xxhash64("doc_id", "tail"), F.lit(1 << 31))).mapInArrow(add, schema)
+
+    each = max(1, n // min(SAMPLE, 200 * parts))
+    some = run(made.where(F.pmod(F.xxhash64("tail", "doc_id"), F.lit(each)) == 0), np.zeros(0, np.int64)).select("heads").toArrow().column(0).to_numpy()
+    return run(made, np.sort(some)[len(some) * np.arange(1, parts) // parts] if len(some) else np.zeros(0, np.int64))
 
 
 class Index:
@@ -265,8 +289,9 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 1) -
             yield sequences(rows, seq)[0]
         C.give_back()
 
-    order = [*(f"head{k}" for k in range(HEADS)), F.col("doc_id").asc_nulls_first(), F.col("doc_tokens"), F.xxhash64("tail", "crcs")]
-    dealt = by_heads(made, n, mean, df).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    order = ["part", "heads", F.col("doc_id").asc_nulls_first(), F.col("doc_tokens"), F.xxhash64("tail", "crcs")]
+    parts = max(1, -(-shards // 4))  # each cut into shards
+    dealt = by_heads(made, n, mean, df, parts).repartition(parts, "part").sortWithinPartitions(*order)
     return dealt.select("doc_id", "doc_tokens", "crcs", "tail", "bag").mapInArrow(run, PIECES)
 
 

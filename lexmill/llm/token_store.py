@@ -36,7 +36,7 @@ from lexmill.llm import common as C
 
 MAGIC = b"LMTOKID1"
 #: Pieces whose ids a worker keeps: this many at most, and as many again of those before; none longer than LONG.
-CACHE, LONG = 400_000, 64
+CACHE, LONG = 600_000, 64
 
 #: A space after which white space or nothing follows: the pre-tokenizer of byte-level vocabularies may take it with what is before it.
 _GAP = re.compile(r" (?=\s|\Z)")

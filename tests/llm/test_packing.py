@@ -137,3 +137,19 @@ def test_neighbours_meet_in_many_shards(spark, monkeypatch):
     assert shard.nunique() > 5
     topic = shard.groupby(shard.index % 40)
     assert topic.agg(lambda x: x.value_counts().iloc[0] / len(x)).mean() > 0.7
+
+
+def test_heads_are_the_ids_that_weigh_most():
+    rng = np.random.default_rng(2)
+    docs = [np.unique(rng.integers(0, 30, rng.integers(1, 40)), return_counts=True) for _ in range(50)]
+    df = np.bincount(np.concatenate([f for f, _ in docs]), minlength=31)
+    df[7] = 1  # of one document only: no head
+    n, mean = len(docs), np.mean([c.sum() for _, c in docs])
+    idf = P.idf_of(n, df)
+    got = P.heads_of([P.C.pack_planes(np.concatenate(x).astype("<u4")) for x in docs], mean, df, idf)
+    for (found, tf), g in zip(docs, got.tolist(), strict=True):
+        w = {int(i): idf[i] * c * (P.K1 + 1) / (c + P.K1 * (1 - P.B + P.B * tf.sum() / mean)) for i, c in zip(found, tf, strict=True) if df[i] > 1}
+        best = sorted(w, key=lambda i: (-w[i], i))[:2]
+        if len(best) == 2 and df[best[1]] < df[best[0]]:
+            best.reverse()
+        assert [g >> 32, g & (2**32 - 1)] == [*(i + 1 for i in best), 0, 0][:2]
