@@ -22,26 +22,32 @@ from lexmill.llm import common as C
 CHUNK_BYTES, LEAST_CHUNKS = 12 << 20, 16
 
 
-def deal(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """docs(doc_id, text) -> (those with their chunk, number of chunks).
-
-    Texts are shuffled once: they are written as a table bucketed by chunk, so that each pass over the chunks
-    reads a bucket where the last one did and only packets and replies move. A document without an id is dealt by its
-    text. Pass the table to C.drop() when no pass is left.
-    """
-    spark = docs.sparkSession
+def assign(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
+    """docs(doc_id, text) -> (those with their chunk, number of chunks). A document without an id is dealt by its text."""
     n = C.parts_for(C.text_bytes(docs), chunk_bytes, least=LEAST_CHUNKS)
     of = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    dealt = docs.select(F.pmod(of, F.lit(n)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.select(F.pmod(of, F.lit(n)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text"), n
+
+
+def store(assigned: DataFrame, n: int, made=lambda df: df) -> DataFrame:
+    """Chunks, or what is made of each of them, as a table bucketed by chunk: texts are shuffled once, each pass over the
+    chunks reads a bucket where the last one did, and only packets and replies move. Pass the table to C.drop() when no pass is left."""
+    spark = assigned.sparkSession
     buckets = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path, name = C.new_path(spark, "chunks"), f"chunks_{uuid.uuid4().hex[:12]}"
     with C.cleaned(spark):
-        dealt.repartition(buckets, "chunk").write.option("compression", "zstd").option("path", path).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
+        made(assigned.repartition(buckets, "chunk")).write.option("compression", "zstd").option("path", path).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved; the files stay when the catalogue forgets them
     spark.sql(f"DROP TABLE {name}")
     out._lexmill_path = path
-    return out, n
+    return out
+
+
+def deal(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
+    """docs(doc_id, text) -> (those with their chunk, stored, number of chunks)."""
+    assigned, n = assign(docs, chunk_bytes)
+    return store(assigned, n), n
 
 
 def cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:

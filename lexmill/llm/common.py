@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -246,3 +247,12 @@ def unpack_planes(b: bytes, dtype) -> np.ndarray:
 
 def binary_array(items: list[bytes]) -> pa.Array:
     return pa.array(items, pa.binary())
+
+
+def squeeze(b: bytes) -> bytes:
+    """Bytes for a shuffle, whose own codec has no entropy coding."""
+    return zstandard.ZstdCompressor(level=1).compress(b)
+
+
+def expand(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)

@@ -89,15 +89,31 @@ class Part:
     """A chunk: its tokens as numbers of its sorted distinct hashes, by document."""
 
     def __init__(self, t: pa.Table):
-        self.ids = t.column("doc_id").to_pylist()
-        each = []
-        for text in t.column("text").to_pylist():
-            each += [C.hash_words(C.words_of(text)), np.array([_END])]
-        self.n = np.array([len(h) + 1 for h in each[::2]], np.int64)
-        self.word, self.token = np.unique(np.concatenate(each), return_inverse=True)
-        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        """t: the chunk's row of tokenised()."""
+        self.ids = t.column("ids")[0].as_py()
+        self.n = C.unpack_planes(t.column("n")[0].as_py(), U).astype(np.int64)
+        self.word = C.unpack_sorted(t.column("word")[0].as_py())
+        self.token = C.unpack_planes(t.column("token")[0].as_py(), np.uint32).astype(np.int32)
         self.start = np.cumsum(self.n) - self.n
-        self.weight = (~np.array([held_out(i) for i in self.ids]))[self.doc]
+        self.weight = np.repeat(~np.array([held_out(i) for i in self.ids]), self.n)
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+
+
+_TOKENS = "chunk int, ids array<long>, n binary, word binary, token binary"
+
+
+def tokenise(key, t):
+    """A chunk's documents as one row of arrays, by which all passes go on."""
+    each = []
+    for text in t.column("text").to_pylist():
+        each += [C.hash_words(C.words_of(text)), np.array([_END])]
+    word, token = np.unique(np.concatenate(each), return_inverse=True)
+    n = np.array([len(h) + 1 for h in each[::2]], U)
+    del each
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([t.column("doc_id").to_pylist()], pa.list_(pa.int64())), "n": C.binary_array([C.pack_planes(n)]), "word": C.binary_array([C.pack_sorted(word)]), "token": C.binary_array([C.pack_planes(token.astype(np.uint32))])})
 
 
 class Level:
@@ -117,7 +133,8 @@ class Level:
         self.hash, self.sent = hashes[used], int(shared[used].sum())
         kinds = len(p.word)
         key, at, self.gram = np.unique(number[history] * kinds + p.token, return_index=True, return_inverse=True)
-        self.history, self.second = key // kinds, key % kinds
+        self.gram = self.gram.astype(np.int32)
+        self.history, self.second = (key // kinds).astype(np.int32), (key % kinds).astype(np.int32)
         self.lower = gram_of(p, below)[at]  # the same token's n-gram of the order before
         self.followers = np.bincount(self.history, minlength=len(used))
         self.n = np.bincount(self.gram, p.weight, len(key)).astype(np.int64)
@@ -228,7 +245,7 @@ def send(key, t: pa.Table, r: pa.Table, uni: Unigrams, d: list[np.ndarray], rang
         if j > i:
             s = slice(to[i], to[j])
             known = v.n[s] > 0
-            row = (k, chunk, C.pack_sorted(v.hash[i:j]), C.pack_planes(v.followers[i:j].astype(U)), C.pack_planes(c.p.word[v.second[s]] >> _LOW), C.pack_planes(v.n[s].astype(U)), C.pack_planes(np.where(known, count[s], U(0))), C.pack_planes(np.where(known, total[s], U(0))), None)
+            row = (k, chunk, *map(C.squeeze, (C.pack_sorted(v.hash[i:j]), C.pack_planes(v.followers[i:j].astype(U)), C.pack_planes(c.p.word[v.second[s]] >> _LOW), C.pack_planes(v.n[s].astype(U)), C.pack_planes(np.where(known, count[s], U(0))), C.pack_planes(np.where(known, total[s], U(0))))), None)
             for name, x in zip(out, row, strict=True):
                 out[name].append(x)
     own = _stats(v.n[v.n_sent :])  # of histories that no other chunk has
@@ -244,18 +261,16 @@ def count(t: pa.Table, order: int, d: np.ndarray, tables: bool) -> pa.Table:
     if t.column("range")[0].as_py() < 0:
         total = np.array(t.column("stats").to_pylist()).sum(axis=0).tolist()
         return _reply_table({"kind": [-order], "chunk": [-1], "range": [t.column("range")[0].as_py()], "a": [None], "b": [None], "stats": [total]})
-    history = [C.unpack_sorted(x) for x in t.column("history").to_pylist()]
-    followers = [C.unpack_planes(x, U).astype(np.int64) for x in t.column("followers").to_pylist()]
-    word, n, lower, total = (np.concatenate([C.unpack_planes(x, U) for x in t.column(c).to_pylist()]) for c in ("word", "n", "lower", "total"))
+    history = [C.unpack_sorted(C.expand(x)) for x in t.column("history").to_pylist()]
+    followers = [C.unpack_planes(C.expand(x), U).astype(np.int64) for x in t.column("followers").to_pylist()]
+    word, n, lower, total = (np.concatenate([C.unpack_planes(C.expand(x), U) for x in t.column(c).to_pylist()]) for c in ("word", "n", "lower", "total"))
     names, of = np.unique(np.concatenate(history), return_inverse=True)
     entry = np.repeat(of, np.concatenate(followers))
-    order_ = np.lexsort((word, entry))
-    new = np.r_[True, (entry[order_][1:] != entry[order_][:-1]) | (word[order_][1:] != word[order_][:-1])]
-    gram = np.empty(len(entry), np.int64)
-    gram[order_] = np.cumsum(new) - 1
+    if len(names) >> 24:
+        raise ValueError("more histories than a partition can number: take smaller chunks")
+    _, first, gram = np.unique(entry.astype(U) << U(40) | word, return_index=True, return_inverse=True)
     c = chunks.add_up(gram, n)
     shared = np.bincount(gram) > 1
-    first = order_[new]
     # any chunk with a training row of it knows the lower order's count and total
     best = np.zeros(len(c), np.int64)
     best[gram[n > 0]] = np.flatnonzero(n > 0)
@@ -282,7 +297,8 @@ def counter(*how):
 
 def fit(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, tables: bool = False) -> tuple[DataFrame, DataFrame, Unigrams, list[np.ndarray], list[DataFrame]]:
     """(documents by chunk, replies of all orders, unigrams, discounts of the orders above, tables to drop)."""
-    dealt, ranges = chunks.deal(docs.select("doc_id", "text"), chunk_bytes)
+    assigned, ranges = chunks.assign(docs.select("doc_id", "text"), chunk_bytes)
+    dealt = chunks.store(assigned, ranges, lambda df: df.groupBy("chunk").applyInArrow(tokenise, _TOKENS))
     by_chunk = dealt.groupBy("chunk")
 
     def send_words(key, t):

@@ -26,6 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from lexmill.llm import common as C
 
 MAGIC = b"LMTOKID1"
-#: Pieces whose ids a worker keeps: this many at most, and as many again of those before; none longer than LONG.
-CACHE, LONG = 600_000, 64
+#: Pieces whose ids a worker keeps before it starts anew (and eight times as many ids).
+CACHE = 1_000_000
 
 #: A space after which white space or nothing follows: the pre-tokenizer of byte-level vocabularies may take it with what is before it.
 _GAP = re.compile(r" (?=\s|\Z)")
@@ -59,7 +60,8 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kind, self.known, self.older = kind, {}, {}
+        self.kind = kind
+        self.clear()
         self.mark, self.between = ("\n", "\n") if kind == "byte" else ("|", " | ")
         (self.mark_id,) = self.tok.encode(self.mark, add_special_tokens=False).ids
 
@@ -85,37 +87,56 @@ class Encoder:
                 text = text.replace(m, "\0" + m)
         return text.split("\0")
 
+    def clear(self) -> None:
+        """Forgets all pieces: known has their numbers, ids, begin and length what they are."""
+        self.known: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def add(self, pieces: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        """Pieces with their ids, one after another."""
+        n, at = len(self.known), self.used
+        while len(self.ids) < at + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), "<u4")])
+        while len(self.begin) < n + len(pieces):
+            self.begin, self.length = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.begin, self.length))
+        self.ids[at : at + len(ids)] = ids
+        self.begin[n : n + len(pieces)], self.length[n : n + len(pieces)] = at + np.cumsum(length) - length, length
+        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.used += len(ids)
+
     def encode_new(self, new: list[str]) -> None:
-        """Adds ids of pieces. Those without inner white space are encoded as one text, parted by a mark that none of them has and that is one token by itself."""
-        mark, known = self.mark, self.known
-        odd = [x for x in new if mark in x or not x or _ODD.search(x, 1)]
-        plain = set(new).difference(odd)
+        """Adds pieces. Those without inner white space are encoded as one text, parted by a mark that none of them has and that is one token by itself."""
+        odd = [x for x in new if self.mark in x or not x or _ODD.search(x, 1)]
+        rest = set(odd)
+        plain = [x for x in new if x not in rest]
         if plain:
             (e,) = self.tok.encode_batch_fast([self.between.join(plain) + self.between], add_special_tokens=False)
             ids = np.array(e.ids, "<u4")
-            at, data = 0, ids.tobytes()
-            for x, e in zip(plain, (4 * np.flatnonzero(ids == self.mark_id)).tolist(), strict=True):
-                known[x] = data[at:e]
-                at = e + 4
-        for x, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
+            end = np.flatnonzero(ids == self.mark_id)
+            self.add(plain, ids[ids != self.mark_id], np.diff(end, prepend=-1) - 1)
+        if odd:
+            each = [np.array(e.ids, "<u4") for e in self.tok.encode_batch(odd, add_special_tokens=False)]
+            self.add(odd, np.concatenate(each), np.array([len(x) for x in each]))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > CACHE or self.used > 8 * CACHE:
+            self.clear()
         cut = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.older, self.known = self.known, {}
-        known, older, new = self.known, self.older, []
-        for x in set().union(*cut).difference(known):
-            ids = older.get(x)
-            if ids is None:
-                new.append(x)
-            else:
-                known[x] = ids
-        self.encode_new(new)
-        out = [b"".join(map(known.__getitem__, x)) for x in cut]
-        for x in new:
-            if len(x) > LONG:
-                del known[x]
+        flat = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self.encode_new(list(dict.fromkeys(flat[i] for i in missing)))
+            at[missing] = [self.known[flat[i]] for i in missing]
+        n = self.length[at]
+        to = np.cumsum(n)
+        ids = self.ids[np.repeat(self.begin[at] - to + n, n) + np.arange(int(to[-1]) if len(to) else 0)]
+        ends = np.r_[0, to][np.cumsum([len(x) for x in cut])].tolist() if cut else []
+        data, out, a = ids.tobytes(), [], 0
+        for b in ends:
+            out.append(data[4 * a : 4 * b])
+            a = b
         return out
 
     def encode(self, text: str | None) -> bytes:

@@ -97,7 +97,9 @@ def test_tables_hold_the_counts(spark):
 
 
 def test_counts_pass_32_bits():
-    t = pa.table({"range": [0, 0], "chunk": [0, 1], "history": [K.C.pack_sorted(np.array([7], np.uint64))] * 2, "followers": [K.C.pack_planes(np.array([1], np.uint64))] * 2, "word": [K.C.pack_planes(np.array([9], np.uint64))] * 2, "n": [K.C.pack_planes(np.array([x], np.uint64)) for x in (2**40, 5)], "lower": [K.C.pack_planes(np.array([2**41], np.uint64))] * 2, "total": [K.C.pack_planes(np.array([2**42], np.uint64))] * 2, "stats": pa.array([None, None], pa.list_(pa.int64()))})
+    sq = K.C.squeeze
+    one = lambda x: sq(K.C.pack_planes(np.array([x], np.uint64)))
+    t = pa.table({"range": [0, 0], "chunk": [0, 1], "history": [sq(K.C.pack_sorted(np.array([7], np.uint64)))] * 2, "followers": [one(1)] * 2, "word": [one(9)] * 2, "n": [one(x) for x in (2**40, 5)], "lower": [one(2**41)] * 2, "total": [one(2**42)] * 2, "stats": pa.array([None, None], pa.list_(pa.int64()))})
     r = K.count(t, 2, np.ones(K.CUT + 1), False).to_pylist()
     assert [int(K.C.unpack_planes(x["a"], np.uint64)[0]) for x in r] == [2 * (2**40 + 5) + 1] * 2
     assert np.frombuffer(r[0]["b"], np.float64, 1)[0] == 0.5 and int(K.C.unpack_planes(r[0]["b"][8:], np.uint64)[0]) == 2**40 + 5

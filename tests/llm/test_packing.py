@@ -129,7 +129,7 @@ def test_neighbours_meet_in_many_shards(spark, monkeypatch):
     topics = [[f"{a}{k}" for a in ("zebra", "quark", "fjord")] for k in range(40)]
     rows = [(k * 40 + t, " ".join(rng.choice(common) if rng.random() < 0.6 else rng.choice(topics[t]) for _ in range(60)), 1, "x") for k in range(12) for t in range(40)]
     rows += [rows[0], rows[0]]
-    monkeypatch.setattr(P, "SHARD", 4000)
+    monkeypatch.setattr(P, "SHARD", 1000)
     docs = spark.createDataFrame(rows, "doc_id long, text string, head0 int, tail string").repartition(5)
     got = P.pack(docs, path).toPandas()
     assert (got.groupby(["doc_id"]).length.sum().loc[1] == got[got.doc_id == 1].doc_tokens.iloc[0]) and got.doc_id.nunique() == 480
