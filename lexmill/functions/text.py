@@ -81,8 +81,53 @@ def amendment_note(rest: Column | str) -> Column:
 
 
 def article_label(article_type: Column | str, number: Column | str) -> Column:
+    """Madde 5, Ek Madde 1, ...; a type that isn't one raises."""
     m = F.create_map(*(F.lit(x) for kv in ARTICLE_LABELS.items() for x in kv))
-    return F.concat_ws(" ", F.element_at(m, col(article_type)), col(number))
+    t = col(article_type)
+    name = F.when(t.isin(*ARTICLE_TYPES), F.element_at(m, t)).otherwise(F.raise_error(F.concat(F.lit("no article type: "), F.coalesce(t, F.lit("null")))).cast("string"))
+    return F.concat_ws(" ", name, col(number))
+
+
+def annex_label(number: Column | str, subpart: Column | str) -> Column:
+    """EK-77 or EK-77/A; EK-? of a number that is none."""
+    n, sub = col(number).cast("string"), col(subpart)
+    fine = n.rlike(r"^[1-9]\d*$") & (sub.isNull() | sub.rlike(r"^\p{Lu}$"))
+    return F.when(F.coalesce(fine, F.lit(False)), F.concat(F.lit("EK-"), n, F.coalesce(F.concat(F.lit("/"), sub), F.lit("")))).otherwise("EK-?")
+
+
+def display_label(source_type: Column | str, article: Column | str, annex_no: Column | str, subpart: Column | str) -> Column:
+    """What a result is shown as: the annex's label, else its article."""
+    return F.when(col(source_type) == "annex", annex_label(annex_no, subpart)).otherwise(F.concat(F.lit("Madde "), F.coalesce(col(article).cast("string"), F.lit("?"))))
+
+
+def citation(title: Column | str, law: Column | str, article_type: Column | str, number: Column | str, annex: Column | str, label: Column | str) -> Column:
+    """A citation from trusted fields: the title, else the law's number; then the article or the annex; parts that aren't there are left out, and without any the label stands in brackets."""
+    t, l = F.nullif(col(title), F.lit("")), F.nullif(col(law), F.lit(""))
+    head = F.coalesce(t, F.concat(l, F.lit(" sayılı Kanun")))
+    known = F.create_map(*(F.lit(x) for kv in ARTICLE_LABELS.items() for x in kv))
+    article = F.when(F.nullif(col(number), F.lit("")).isNotNull(), F.concat_ws(" ", F.coalesce(F.try_element_at(known, F.coalesce(col(article_type), F.lit(""))), F.lit("Madde")), col(number)))
+    parts = F.array_compact(F.array(head, F.coalesce(article, F.nullif(col(annex), F.lit("")))))
+    made = F.when(t.isNotNull(), F.array_join(parts, " — ")).otherwise(F.array_join(parts, ", "))
+    return F.when(F.size(parts) > 0, made).otherwise(F.concat(F.lit("["), col(label), F.lit("]")))
+
+
+def annex_text(title: Column | str, label: Column | str, text: Column | str) -> Column:
+    """What of an annex chunk is embedded: title and label by lines, an empty line, the exact text."""
+    return F.concat(col(title), F.lit("\n"), col(label), F.lit("\n\n"), col(text))
+
+
+def enriched_question(title: Column | str, question: Column | str) -> Column:
+    return F.concat(col(title), F.lit("\n\n"), col(question))
+
+
+def lexical_text(title: Column | str, section: Column | str, text: Column | str) -> Column:
+    """What is searched by words: title, section and text by lines, absent ones left out."""
+    return F.concat_ws("\n", F.nullif(col(title), F.lit("")), F.nullif(col(section), F.lit("")), col(text))
+
+
+def percent(x: Column | str, digits: int = 1) -> Column:
+    """0.875 as 87.5%; a rate over nothing as n/a."""
+    return F.when(col(x).isNotNull(), F.format_string(f"%.{digits}f%%", col(x) * 100)).otherwise("n/a")
 
 
 def embedding_text(title: Column | str, label: Column | str, article_title: Column | str, text: Column | str) -> Column:

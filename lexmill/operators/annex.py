@@ -5,16 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as T
 from lexmill.operators.chunking import greedy_groups
 
-HEADING = r"(?iuU)^\s*EK\s*[-–—]\s*([1-9]\d*)(?:\s*/\s*(\p{L}))?\s*(?:\(.*\))?\s*$"
-LOOSE = r"(?iuU)^\s*EK\s*[-–—]\s*([1-9]\d*)(?:\s*/\s*(\p{L}))?\b"
+HEADING = r"(?iuU)^\s*EK\s*[-–—]?\s*[1-9]\d*(?:\s*/\s*\p{L})?\b"
+LABEL = r"(?iuU)\bEK\s*[-–—]?\s*([1-9]\d*)(?:\s*/\s*(\p{L})\b)?"
+FILE_LABEL = r"(?iuU)(?:^|[/\\ _(-])EK\s*[-–—_ ]?\s*([1-9]\d*)(?:\s*[/_-]\s*(\p{L})(?=$|[^\p{L}]))?"
+#: What tells versions of one text (fixed values).
+VERSION_MARKS = ("version", "eski metin", "yeni metin", "yürürlük tarihi", "değişik")
+SAME = ("SINGLE", "EXACT_DUPLICATE", "WHITESPACE_EQUIVALENT", "STRUCTURALLY_EQUIVALENT")
+
+
+def _key(text: Column, pattern: str) -> Column:
+    n, sub = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    return F.when(n != "", F.concat(n, F.when(sub != "", F.concat(F.lit("/"), F.upper(sub))).otherwise("")))
 
 
 def heading_key(text: Column) -> Column:
-    """n or n/X of a heading; a longer line of up to 120 characters counts if it cites the gazette (RG-)."""
-    pick = lambda p: F.concat(F.regexp_extract(text, p, 1), F.when(F.regexp_extract(text, p, 2) != "", F.concat(F.lit("/"), F.upper(F.regexp_extract(text, p, 2)))).otherwise(""))
-    return F.when(text.rlike(HEADING), pick(HEADING)).when((F.length(text) <= 120) & text.contains("RG-") & text.rlike(LOOSE), pick(LOOSE))
+    """n or n/X of a heading (EK-77, EK 77/A); a line of up to 120 characters that cites the gazette (RG-) counts wherever the label stands in it."""
+    t = F.trim(text)
+    return F.when(t.rlike(HEADING) | ((F.length(t) <= 120) & F.contains(F.upper(t), F.lit("RG-"))), _key(t, LABEL))
+
+
+def member_key(member: Column) -> Column:
+    """n or n/X of a member's file name; null where it has none."""
+    stem = F.regexp_replace(F.element_at(F.split(member, "/"), -1), r"\.[^.]*$", "")
+    return _key(stem, FILE_LABEL)
 
 
 def render(kind: Column, text: Column, rows: Column, sheet: Column, cells: Column) -> Column:
@@ -25,47 +41,80 @@ def render(kind: Column, text: Column, rows: Column, sheet: Column, cells: Colum
 
 
 def segments(blocks: DataFrame) -> DataFrame:
-    """Adds annex: the last heading at or above each block of its member; blocks above the first heading have none."""
+    """Adds annex: the last heading at or above each block of its member, above the first one the file name's; a member whose name has no label raises."""
     w = Window.partitionBy("path", "member").orderBy("source_order").rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("annex", F.last(heading_key(F.col("text")), ignorenulls=True).over(w)).where("annex is not null")
+    own = member_key(F.col("member"))
+    none = F.raise_error(F.concat(F.lit("no annex label in "), F.col("member"))).cast("string")
+    here = F.when(F.col("kind") == "paragraph", heading_key(F.col("text")))
+    return blocks.withColumn("annex", F.coalesce(F.last(here, ignorenulls=True).over(w), own)).withColumn("annex", F.when(own.isNull(), none).otherwise(F.col("annex")))
+
+
+def relation(texts: Column) -> Column:
+    """How an annex's contributors go together, by their texts: SINGLE, EXACT_DUPLICATE, WHITESPACE_EQUIVALENT,
+    STRUCTURALLY_EQUIVALENT (each holds another or is held by one, case aside), CONFLICTING (two with version marks and
+    none repealed), COMPLEMENTARY (all have text) or UNKNOWN."""
+    loose = F.transform(texts, lambda t: F.regexp_replace(T.strip(t), r"(?U)\s+", " "))
+    low = F.transform(texts, T.fold)
+    held = F.forall(low, lambda t: (t != "") & F.exists(low, lambda o: (o != t) & (o.contains(t) | t.contains(o))))
+    marked = F.size(F.filter(low, lambda t: F.greatest(*(F.instr(t, m) for m in VERSION_MARKS)) > 0))
+    return (
+        F.when(F.size(texts) == 1, "SINGLE")
+        .when(F.size(F.array_distinct(texts)) == 1, "EXACT_DUPLICATE")
+        .when(F.size(F.array_distinct(loose)) == 1, "WHITESPACE_EQUIVALENT")
+        .when(held, "STRUCTURALLY_EQUIVALENT")
+        .when((marked >= 2) & ~F.exists(low, lambda t: t.contains("mülga")), "CONFLICTING")
+        .when(F.forall(texts, lambda t: t != ""), "COMPLEMENTARY")
+        .otherwise("UNKNOWN")
+    )
 
 
 def units(blocks: DataFrame) -> DataFrame:
     """annex, members, relation, canonical, rendered.
 
-    Relation of an annex's contributors, by texts and markers: SINGLE, EXACT_DUPLICATE, WHITESPACE_EQUIVALENT,
-    STRUCTURALLY_EQUIVALENT (one holds the others), CONFLICTING (two with version marks and none repealed),
-    COMPLEMENTARY. Duplicates are rendered as the canonical member; others one after another with headers.
+    Duplicates are rendered as the canonical member (one whose file name is this annex's first, then docx and xlsx, then by
+    name); others one after another with headers, those without text left out.
     """
     b = segments(blocks).withColumn("r", render(F.col("kind"), F.col("text"), F.col("rows"), F.col("sheet_name"), F.col("cells")))
-    m = b.groupBy("annex", "path", "member").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_order", "r"))), lambda x: x["r"]), "\n").alias("text"), F.first("detected").alias("detected"))
-    dedicated = F.col("member").rlike(r"(?iu)(?:^|/)ek[-_ ]?\d+")
-    m = m.withColumn("place", F.struct((~dedicated).alias("a"), (~F.col("detected").isin("docx", "xlsx")).alias("b"), F.col("member").alias("m"))).withColumn("loose", F.regexp_replace("text", r"(?U)\s+", " "))
-    g = m.groupBy("annex").agg(F.array_sort(F.collect_list(F.struct("place", "member", "text", "loose"))).alias("s"))
-    texts, loose = F.transform("s", lambda x: x["text"]), F.transform("s", lambda x: x["loose"])
-    longest = F.array_max(F.transform(loose, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    marks = F.size(F.filter(texts, lambda t: t.contains("RG-")))
-    repealed = F.exists(texts, lambda t: t.rlike(r"(?iu)mülga"))
-    relation = (
-        F.when(F.size("s") == 1, "SINGLE")
-        .when(F.size(F.array_distinct(texts)) == 1, "EXACT_DUPLICATE")
-        .when(F.size(F.array_distinct(loose)) == 1, "WHITESPACE_EQUIVALENT")
-        .when(F.forall(loose, lambda t: longest.contains(t)), "STRUCTURALLY_EQUIVALENT")
-        .when((marks >= 2) & ~repealed, "CONFLICTING")
-        .otherwise("COMPLEMENTARY")
-    )
-    g = g.withColumn("relation", relation).withColumn("canonical", F.col("s")[0]["member"])
-    joined = F.array_join(F.transform("s", lambda x: F.concat(F.lit("SOURCE_MEMBER | "), x["member"], F.lit("\n"), x["text"])), "\n\n")
-    same = F.col("relation").isin("SINGLE", "EXACT_DUPLICATE", "WHITESPACE_EQUIVALENT", "STRUCTURALLY_EQUIVALENT")
-    return g.select("annex", F.transform("s", lambda x: x["member"]).alias("members"), "relation", "canonical", F.when(same, F.col("s")[0]["text"]).otherwise(joined).alias("rendered"))
+    lines = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("source_order", "r"))), lambda x: x["r"]), lambda r: r != "")
+    m = b.groupBy("annex", "path", "member").agg(F.array_join(lines, "\n").alias("text"), F.first("detected").alias("detected"), F.min("source_order").alias("at"))
+    dedicated = F.coalesce(member_key(F.col("member")) == F.col("annex"), F.lit(False))
+    m = m.withColumn("place", F.struct((~dedicated).alias("a"), (~F.col("detected").isin("docx", "xlsx")).alias("b"), F.col("member").alias("m")))
+    g = m.groupBy("annex").agg(F.array_sort(F.collect_list(F.struct("place", "member", "text"))).alias("s"))
+    by_name = F.array_sort("s", lambda x, y: F.when(x["member"] < y["member"], -1).when(x["member"] > y["member"], 1).otherwise(0))
+    g = g.withColumn("relation", relation(F.transform("s", lambda x: x["text"])))
+    joined = F.array_join(F.transform(F.filter(by_name, lambda x: x["text"] != ""), lambda x: F.concat(F.lit("SOURCE_MEMBER | "), x["member"], F.lit("\n"), x["text"])), "\n")
+    return g.select("annex", F.transform(by_name, lambda x: x["member"]).alias("members"), "relation", F.col("s")[0]["member"].alias("canonical"), F.when(F.col("relation").isin(*SAME), F.col("s")[0]["text"]).otherwise(joined).alias("rendered"))
+
+
+def diagnostics(blocks: DataFrame, made: DataFrame) -> DataFrame:
+    """One row over units(): members, units, annexes of several members, units without text, storage ids of several annexes."""
+    storage = F.lower(F.regexp_replace("annex", "/", "-"))
+    clash = made.groupBy(storage.alias("s")).count().where("count > 1").agg(F.count("*").alias("storage_collisions"))
+    members = blocks.agg(F.countDistinct("path", "member").alias("members"))
+    of = made.agg(F.count("*").alias("units"), F.count_if(F.size("members") > 1).alias("multi_source"), F.count_if(F.col("rendered") == "").alias("empty"), F.count_if(F.col("relation").isin("CONFLICTING", "UNKNOWN")).alias("unresolved"))
+    return members.crossJoin(F.broadcast(of)).crossJoin(F.broadcast(clash))  # one row each
+
+
+def resolved(made: DataFrame) -> DataFrame:
+    """made in annex order, or an error where contributors are unresolved or an annex is there twice."""
+    bad = F.col("relation").isin("CONFLICTING", "UNKNOWN")
+    m = made.withColumn("n", F.count("*").over(Window.partitionBy("annex")))
+    text = F.when(bad, F.raise_error(F.concat(F.lit("unresolved contributors of annex "), F.col("annex"))).cast("string")).when(F.col("n") > 1, F.raise_error(F.concat(F.lit("annex twice: "), F.col("annex"))).cast("string")).otherwise(F.col("rendered"))
+    return m.withColumn("rendered", text).drop("n")
 
 
 def chunks(made: DataFrame, limit: int = 4000) -> DataFrame:
-    """Lines of each unit packed in order: annex, chunk_no (from 1), text, char_start, char_end, oversized. Texts joined without anything between give `rendered` again: a newline belongs to the chunk that follows it."""
-    lines = made.select("annex", F.split("rendered", "\n", -1).alias("l"))
-    atoms = lines.select("annex", F.transform("l", lambda x, i: F.when(i > 0, F.concat(F.lit("\n"), x)).otherwise(x)).alias("a"))
-    p = atoms.withColumn("g", greedy_groups(F.transform("a", F.length), limit, 0)).select("annex", F.posexplode(F.arrays_zip("g", "a")).alias("pos", "x"))
-    c = p.groupBy("annex", F.col("x.g").alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x.a").alias("a")))), lambda x: x["a"]), "").alias("text"))
+    """Lines of each unit packed in order: annex, chunk_no (from 1), text, char_start, char_end, oversized. Texts joined without anything between give `rendered` again: a newline belongs to the chunk that follows it, a SOURCE_MEMBER line to what follows it too, and a member begins a chunk. Unresolved or repeated annexes raise."""
+    lines = resolved(made).select("annex", F.split("rendered", "\n", -1).alias("l"))
+    numbered = F.transform("l", lambda x, i: F.when(i > 0, F.concat(F.lit("\n"), x)).otherwise(x))
+    head = lambda x: F.regexp_replace(x, "^\n", "").startswith("SOURCE_MEMBER | ")
+    start = F.struct(F.array().cast("array<struct<part:int,a:string>>").alias("out"), F.lit(0).alias("part"), F.lit("").alias("held"))
+    # a header waits for the line after it
+    step = lambda s, x: F.when(head(x), F.struct(s["out"].alias("out"), (s["part"] + 1).alias("part"), F.concat(s["held"], x).alias("held"))).otherwise(F.struct(F.concat(s["out"], F.array(F.struct(s["part"].alias("part"), F.concat(s["held"], x).alias("a")))).alias("out"), s["part"].alias("part"), F.lit("").alias("held")))
+    atoms = lines.select("annex", F.aggregate(numbered, start, step, lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["part"].alias("part"), s["held"].alias("a")))))).alias("s"))
+    parts = atoms.select("annex", F.posexplode("s").alias("at", "x")).groupBy("annex", F.col("x.part").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("x.a").alias("a")))), lambda x: x["a"]).alias("a"))
+    p = parts.withColumn("g", greedy_groups(F.transform("a", F.length), limit, 0)).select("annex", "part", F.posexplode(F.arrays_zip("g", "a")).alias("pos", "x"))
+    c = p.groupBy("annex", F.struct("part", F.col("x.g").alias("g")).alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x.a").alias("a")))), lambda x: x["a"]), "").alias("text"))
     w = Window.partitionBy("annex").orderBy("g")
     n = F.length("text")
-    return c.select("annex", (F.col("g") + 1).alias("chunk_no"), "text", (F.sum(n).over(w) - n).alias("char_start"), F.sum(n).over(w).alias("char_end"), (n > limit).alias("oversized"))
+    return c.select("annex", F.row_number().over(w).alias("chunk_no"), "text", (F.sum(n).over(w) - n).alias("char_start"), F.sum(n).over(w).alias("char_end"), (n > limit).alias("oversized"))

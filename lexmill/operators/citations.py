@@ -14,10 +14,12 @@ def context(ranked: DataFrame, by: str, rank: str, text: str) -> DataFrame:
 
 
 def envelope(answer: Column) -> Column:
-    """struct(status, body): DURUM and CEVAP, else status FORMAT_ERROR and no body."""
-    p = r"(?s)^\s*DURUM:\s*(YETERLI|YETERSIZ)\s*\n+\s*CEVAP:\s*(.*\S)\s*$"
-    s = F.regexp_extract(answer, p, 1)
-    return F.struct(F.when(s != "", s).otherwise("FORMAT_ERROR").alias("status"), F.when(s != "", F.regexp_extract(answer, p, 2)).alias("body"))
+    """struct(status, body): DURUM (in any case, once white space around all is gone) and CEVAP, else status FORMAT_ERROR and no body."""
+    p = r"(?s)^DURUM:\s*(\S+)\s*\n+CEVAP:[ \t]*\n?(.*)$"
+    t = F.regexp_replace(answer, r"(?U)^\s+|\s+$", "")
+    s, body = F.upper(F.regexp_extract(t, p, 1)), F.regexp_replace(F.regexp_extract(t, p, 2), r"(?U)^\s+|\s+$", "")
+    fine = s.isin("YETERLI", "YETERSIZ") & (body != "")
+    return F.struct(F.when(fine, s).otherwise("FORMAT_ERROR").alias("status"), F.when(fine, body).alias("body"))
 
 
 def labels(answer: Column) -> Column:

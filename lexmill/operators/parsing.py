@@ -10,11 +10,14 @@ from lexmill.functions import text as T
 #: Ordinals and levels of headings (fixed values of the language).
 ORDINALS = ("BİRİNCİ", "İKİNCİ", "ÜÇÜNCÜ", "DÖRDÜNCÜ", "BEŞİNCİ", "ALTINCI", "YEDİNCİ", "SEKİZİNCİ", "DOKUZUNCU", "ONUNCU", "ONBİRİNCİ", "ONİKİNCİ", "ONÜÇÜNCÜ")
 SECTIONS = ("KİTAP", "KISIM", "BÖLÜM", "AYIRIM")
-_NO = r"(\d+(?:\s*/\s*[A-ZÇĞİÖŞÜa-zçğıöşü])?)"
-EK, GECICI, MADDE = (r"(?iuU)^\s*" + head + r"\s+" + _NO + r"\s*[-–—]" for head in ("EK\\s+MADDE", "GEÇİCİ\\s+MADDE", "MADDE"))
+_NO, _PLAIN = r"(\d+(?:\s*/\s*[A-ZÇĞİÖŞÜa-zçğıöşü])?)", r"(\d+)"
+EK, GECICI, MADDE = (r"(?iuU)^\s*" + head + r"\s+" + no + r"\s*[-–—]" for head, no in (("EK\\s+MADDE", _PLAIN), ("GEÇİCİ\\s+MADDE", _PLAIN), ("MADDE", _NO)))
+#: How letters are spelt in ids, and what each article type is called there (fixed values).
+SPELT = (("Ç", "c-cedilla"), ("Ğ", "g-breve"), ("İ", "i-dotted"), ("Ö", "o-umlaut"), ("Ş", "s-cedilla"), ("Ü", "u-umlaut"))
+PREFIXES = {"normal": "madde", "ek": "ek-madde", "gecici": "gecici-madde", "islenemeyen_hukum": "islenemeyen-hukum-gecici-madde"}
 HISTORY = r"(?iuU)^\d+\s+SAYILI\s+KANUNA\s+EK\s+VE\s+DEĞİŞİKLİK"
 SPECIAL = r"(?U)^\d+\s+SAYILI\s+KANUNA\s+İŞLENEMEYEN\s+HÜKÜMLER$"
-SECTION = "^(" + "|".join(ORDINALS) + ") (" + "|".join(SECTIONS) + ")$"
+SECTION = r"(?U)^\s*(" + "|".join(ORDINALS) + r")\s+(" + "|".join(SECTIONS) + r")\s*$"
 
 
 def heading_type(c: Column) -> Column:
@@ -23,7 +26,7 @@ def heading_type(c: Column) -> Column:
 
 def heading_number(c: Column) -> Column:
     n = F.coalesce(*(F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in (EK, GECICI, MADDE)))
-    return F.upper(F.regexp_replace(n, r"(?U)\s", ""))
+    return F.upper(F.translate(F.regexp_replace(n, r"(?U)\s", ""), "iı", "İI"))  # i is upper-cased with its dot
 
 
 def is_title(c: Column) -> Column:
@@ -75,6 +78,11 @@ def articles(paragraphs: DataFrame) -> DataFrame:
     parts = body.groupBy("document_id", "part").agg(F.array_sort(F.collect_list(F.struct("index", "text", "footnotes"))).alias("s"))
     out = heads.join(parts, ["document_id", "part"])
     notes = F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.concat(F.array("title_notes"), F.transform("s", lambda x: x["footnotes"]))))))
-    slug = F.translate(F.lower(F.translate("article_no", "İI", "iı")), "/", "-")
-    prefix = F.when(F.col("article_type") == "normal", "madde").when(F.col("article_type") == "ek", "ek-madde").when(F.col("article_type") == "gecici", "gecici-madde").otherwise("islenemeyen-madde")
-    return out.select("document_id", F.concat_ws("-", "document_id", prefix, slug).alias("article_id"), "article_no", "article_type", "article_title", "section_context", F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("text"), F.col("first").alias("start"), F.element_at("s", -1)["index"].alias("end"), "amendment_note", F.when(F.size(notes) > 0, notes).alias("footnotes"))
+    slug = F.translate("article_no", "/", "-")
+    for letter, name in SPELT:
+        slug = F.replace(slug, F.lit(letter), F.lit(name))
+    prefix = F.element_at(F.create_map(*(F.lit(x) for kv in PREFIXES.items() for x in kv)), F.col("article_type"))
+    name = F.coalesce("legislation_number", "document_id") if "legislation_number" in paragraphs.columns else F.col("document_id")
+    if "legislation_number" in paragraphs.columns:
+        out = out.join(paragraphs.groupBy("document_id").agg(F.max("legislation_number").alias("legislation_number")), "document_id")
+    return out.select("document_id", F.concat_ws("-", name, prefix, F.lower(slug)).alias("article_id"), "article_no", "article_type", "article_title", "section_context", F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("text"), F.col("first").alias("start"), F.element_at("s", -1)["index"].alias("end"), "amendment_note", F.when(F.size(notes) > 0, notes).alias("footnotes"))

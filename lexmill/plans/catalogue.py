@@ -604,3 +604,6 @@ def article_chunks_lossless(spark, sf):
     c = chunking.article_chunks(a, 300).groupBy("article_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), "\n").alias("again"))
     j = a.join(c, "article_id", "left")
     return j.groupBy("document_id").agg(F.count("*").alias("articles"), F.bool_and(F.coalesce(F.col("again") == F.col("text"), F.lit(False))).alias("lossless"))
+
+
+from lexmill.plans import evaluations  # noqa: E402,F401  adds its queries to those above

@@ -72,13 +72,13 @@ def docx_paragraphs(data: bytes) -> list[tuple[int, str, str, list[int] | None]]
 
 
 def docx_blocks(data: bytes) -> list[dict]:
-    """Paragraphs and tables in the order of the file."""
+    """Paragraphs (as they are, blank ones too) and tables in the order of the file."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(W + "body")
     out = []
     for x in body:
-        if x.tag == W + "p" and (t := normalize(_text(x))):
-            out.append({"kind": "paragraph", "text": t})
+        if x.tag == W + "p":
+            out.append({"kind": "paragraph", "text": _text(x)})
         elif x.tag == W + "tbl":
             out.append({"kind": "table", "rows": [[" ".join(filter(None, (normalize(_text(p)) for p in c.iter(W + "p")))) for c in r.findall(W + "tc")] for r in x.findall(W + "tr")]})
     return out
@@ -96,7 +96,7 @@ def xlsx_blocks(data: bytes) -> list[dict]:
         for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(S + "sheet"):
             at = target[s.get(R + "id")]
             cells = []
-            for c in ElementTree.fromstring(z.read(at[1:] if at.startswith("/") else "xl/" + at)).iter(S + "c"):
+            for c in ElementTree.fromstring(z.read(at.lstrip("/") if at.lstrip("/").startswith("xl/") else "xl/" + at)).iter(S + "c"):
                 v, f = c.find(S + "v"), c.find(S + "f")
                 value = v.text if v is not None else None
                 if c.get("t") == "s" and value is not None:
@@ -112,7 +112,8 @@ def xlsx_blocks(data: bytes) -> list[dict]:
 
 
 _RTF = re.compile(rb"\\([a-z]{1,32})(-?\d{1,10})?[ ]?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[\r\n]+|(.)", re.I | re.S)
-_SKIP = {b"fonttbl", b"colortbl", b"stylesheet", b"info", b"pict", b"header", b"footer", b"themedata", b"datastore", b"generator", b"listtable", b"listoverridetable", b"rsidtbl"}
+#: Groups without text of the document (fixed values of the format).
+_SKIP = {b"fonttbl", b"colortbl", b"stylesheet", b"info", b"pict", b"object", b"header", b"footer", b"themedata", b"datastore", b"generator", b"listtable", b"listoverridetable", b"rsidtbl"}
 
 
 def rtf_text(data: bytes, codepage: str = "cp1252") -> str:
@@ -162,7 +163,7 @@ def blocks_of(data: bytes) -> tuple[str, list[dict], str | None]:
     if kind == "xlsx":
         return kind, xlsx_blocks(data), None
     if kind == "rtf":
-        return kind, [{"kind": "paragraph", "text": t} for line in rtf_text(data).split("\n") if (t := line.strip())], None
+        return kind, [{"kind": "paragraph", "text": rtf_text(data)}], None  # one block: its lines aren't paragraphs of their own
     return kind, [], f"can't read a {kind} file"
 
 

@@ -162,16 +162,50 @@ def test_office_sources(spark, tmp_path):
     assert [(r["index"], r.text, r.footnotes) for r in got] == [(0, "bir", [4]), (2, "iki", None)]
     assert office.rtf_text(b"{\\rtf1\\ansi EK-48\\par Unicode: \\u304?}") == "EK-48\nUnicode: İ"
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
-        z.writestr("ek-48.rtf", b"{\\rtf1\\ansi EK-48\\par metin\\par EK-48/A\\par alt}")
-        z.writestr("kopya.docx", docx([("EK-48", False), ("metin", False)]))
-        z.writestr("old.doc", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1...")
+        z.writestr("ek-48.rtf", b"{\\rtf1\\ansi EK-48\\par metin}")
+        z.writestr("EK 48 kopya.docx", docx([("EK-48", False), ("metin", False), ("EK-48/A", False), ("alt", False)]))
+        z.writestr("ek/EK-7.docx", docx([("giris", False), ("govde EK-80 geçer", False)]))
+        z.writestr("ek-9-b.docx", docx([("önce", False), ("(Değişik:RG-1/1/2020-1) EK 77/A", False), ("sonra", False)]))
+        z.writestr("ek-3.doc", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1...")
     b = office.read_archive(spark, str(tmp_path / "x.zip"))
     assert b.where("warning is not null").count() == 1
-    u = {r.annex: r for r in annex.units(b).collect()}
-    assert u["48"].canonical == "ek-48.rtf" and u["48"].relation == "STRUCTURALLY_EQUIVALENT" or u["48"].relation == "COMPLEMENTARY"
-    assert u["48/A"].relation == "SINGLE" and u["48/A"].rendered == "EK-48/A\nalt"
-    c = annex.chunks(annex.units(b), 8).orderBy("annex", "chunk_no").collect()
-    assert "".join(r.text for r in c if r.annex == "48/A") == "EK-48/A\nalt" and all(r.char_end - r.char_start == len(r.text) for r in c)
+    made, table = annex.units(b), "\nTABLE | h | "
+    u = {r.annex: r for r in made.collect()}
+    assert set(u) == {"48", "48/A", "7", "9/B", "77/A", "3"}
+    assert u["48"].canonical == "EK 48 kopya.docx" and u["48"].relation == "EXACT_DUPLICATE" and u["48"].rendered == "EK-48\nmetin"
+    assert u["48/A"].relation == "SINGLE" and u["48/A"].rendered == "EK-48/A\nalt" + table
+    assert u["7"].rendered == "giris\ngovde EK-80 geçer" + table and u["9/B"].rendered == "önce" and u["77/A"].rendered.endswith("EK 77/A\nsonra" + table)
+    c = annex.chunks(made, 8).orderBy("annex", "chunk_no").collect()
+    assert "".join(r.text for r in c if r.annex == "48/A") == "EK-48/A\nalt" + table and all(r.char_end - r.char_start == len(r.text) for r in c)
+    d = annex.diagnostics(b, made).first()
+    assert (d.members, d.units, d.multi_source, d.empty, d.unresolved, d.storage_collisions) == (5, 6, 1, 1, 0, 0)
+    with zipfile.ZipFile(tmp_path / "y.zip", "w") as z:
+        z.writestr("kopya.docx", docx([("EK-48", False)]))
+    with pytest.raises(Exception, match="no annex label"):
+        annex.units(office.read_archive(spark, str(tmp_path / "y.zip"))).collect()
+
+
+def test_annex_relations_and_chunks(spark):
+    rel = lambda *t: spark.range(1).select(annex.relation(F.array(*map(F.lit, t))).alias("r")).first().r
+    assert rel("a") == "SINGLE" and rel("a b", "a b") == "EXACT_DUPLICATE" and rel("a  b ", "a b") == "WHITESPACE_EQUIVALENT"
+    assert rel("Uzun METİN burada", "metin") == "STRUCTURALLY_EQUIVALENT"
+    assert rel("Eski metin: x", "Yeni metin: y") == "CONFLICTING" and rel("Eski metin: x", "Yeni metin: y, mülga") == "COMPLEMENTARY"
+    assert rel("bir", "iki") == "COMPLEMENTARY" and rel("bir", "") == "UNKNOWN"
+    text = "SOURCE_MEMBER | a\nbir iki\nüç\nSOURCE_MEMBER | b\ndört"
+    made = spark.createDataFrame([("5", ["a", "b"], "COMPLEMENTARY", "a", text)], "annex string, members array<string>, relation string, canonical string, rendered string")
+    c = annex.chunks(made, 30).orderBy("chunk_no").collect()
+    assert [r.text for r in c] == ["SOURCE_MEMBER | a\nbir iki\nüç", "\nSOURCE_MEMBER | b\ndört"] and [r.chunk_no for r in c] == [1, 2]
+    with pytest.raises(Exception, match="unresolved"):
+        annex.chunks(made.withColumn("relation", F.lit("CONFLICTING"))).collect()
+    with pytest.raises(Exception, match="annex twice"):
+        annex.chunks(made.union(made)).collect()
+
+
+def test_article_ids_and_numbers(spark):
+    p = [("k", 0, "MADDE 42/i- metin", "5326"), ("k", 1, "Madde  7- x", "5326"), ("k", 2, "EK MADDE 1- y", "5326"), ("k", 3, "GEÇİCİ\tMADDE 2 – z", "5326"), ("k", 4, "MADDE 9/Ç- w", "5326"), ("k", 5, "5326 SAYILI KANUNA İŞLENEMEYEN HÜKÜMLER", "5326"), ("k", 6, "Başlık", "5326"), ("k", 7, "Geçici Madde 1- v", "5326")]
+    df = spark.createDataFrame(p, "document_id string, index int, text string, legislation_number string").withColumn("footnotes", F.lit(None).cast("array<int>"))
+    got = [(r.article_no, r.article_type, r.article_id) for r in parsing.articles(df).orderBy("start").collect()]
+    assert got == [("42/İ", "normal", "5326-madde-42-i-dotted"), ("7", "normal", "5326-madde-7"), ("1", "ek", "5326-ek-madde-1"), ("2", "gecici", "5326-gecici-madde-2"), ("9/Ç", "normal", "5326-madde-9-c-cedilla"), ("1", "islenemeyen_hukum", "5326-islenemeyen-hukum-gecici-madde-1")]
 
 
 def test_files(spark, tmp_path):
