@@ -71,12 +71,13 @@ def generate(retrieved: DataFrame, provider: Provider = echo, strict: bool = Tru
     d = d.withColumn("e", citations.envelope(F.col("raw"))).withColumn("c", citations.valid_labels(citations.labels(F.col("e.body")), n, F.col("e.status")))
     problem = F.when(n > 0, F.when(F.col("e.status") == "FORMAT_ERROR", "format").otherwise(F.col("c.problem")))
     d = d.withColumn("problem", problem)
-    if strict:
-        d = d.withColumn("problem", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("answer not valid ("), F.col("problem"), F.lit("): "), F.col("query_id").cast("string"))).cast("string")))
+    answer = F.when(n > 0, F.col("e.body")).otherwise(F.lit(INSUFFICIENT))
+    if strict:  # in the answer itself, so that whoever reads it meets the error
+        answer = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("answer not valid ("), F.col("problem"), F.lit("): "), F.col("query_id").cast("string"))).cast("string")).otherwise(answer)
     labels = F.when((n > 0) & F.col("problem").isNull(), F.col("c.labels")).otherwise(F.array().cast("array<int>"))
     cited = F.transform(labels, lambda k: F.struct(F.get("results", k - 1)["id"].alias("id"), k.alias("rank"), F.concat(F.lit("KAYNAK "), k.cast("string")).alias("label")))
     ids = F.transform("results", lambda x: x["id"])
-    return d.select("query_id", "question", "results", ids.alias("context_ids"), F.when(n > 0, F.col("e.body")).otherwise(F.lit(INSUFFICIENT)).alias("answer"), F.when(n > 0, F.col("e.status") == "YETERSIZ").otherwise(True).alias("insufficient"), labels.alias("labels"), cited.alias("citations"), "problem")
+    return d.select("query_id", "question", "results", ids.alias("context_ids"), answer.alias("answer"), F.when(n > 0, F.col("e.status") == "YETERSIZ").otherwise(True).alias("insufficient"), labels.alias("labels"), cited.alias("citations"), "problem")
 
 
 def cross_checked(retrieved: DataFrame, generated: DataFrame) -> DataFrame:

@@ -23,11 +23,10 @@ def greedy_groups(sizes: Column, limit: int, joint: int = 1, most: int | None =
 
 def pack_lines(docs: DataFrame, doc_id: str, text: str, limit: int) -> DataFrame:
     """Lines packed into chunks of at most `limit` characters, joined by newlines: doc_id, chunk_no (from 1), n_lines, chunk. Joining a document's chunks by newlines gives its text again."""
-    lines = docs.select(doc_id, F.split(F.col(text), "\n", -1).alias("lines")).withColumn("g", greedy_groups(F.transform("lines", F.length), limit))
-    numbers = F.sequence(F.lit(0), F.array_max("g"))
-    mine = lambda k: F.transform(F.filter(F.arrays_zip(F.col("g").alias("g"), F.col("lines").alias("l")), lambda x: x["g"] == k), lambda x: x["l"])
-    made = F.transform(numbers, lambda k: F.struct((k + 1).alias("no"), F.size(mine(k)).alias("n"), F.array_join(mine(k), "\n").alias("chunk")))
-    return lines.select(doc_id, F.inline(made).alias("chunk_no", "n_lines", "chunk"))
+    lines = docs.select(doc_id, F.split(F.col(text), "\n", -1).alias("l")).withColumn("g", greedy_groups(F.transform("l", F.length), limit))
+    rows = lines.select(doc_id, F.posexplode(F.arrays_zip("g", "l")).alias("at", "x"))
+    made = rows.groupBy(doc_id, (F.col("x.g") + 1).alias("chunk_no")).agg(F.array_sort(F.collect_list(F.struct("at", F.col("x.l").alias("l")))).alias("s"))
+    return made.select(doc_id, "chunk_no", F.size("s").alias("n_lines"), F.array_join(F.transform("s", lambda x: x["l"]), "\n").alias("chunk"))
 
 
 def units(text: Column) -> Column:
@@ -38,11 +37,12 @@ def units(text: Column) -> Column:
     since the heading. A first unit without number joins the second.
     """
     lines = F.split(text, "\n", -1)
-    line0 = F.coalesce(
-        F.nullif(F.regexp_extract(lines[0], r"(?U)[-–—]\s*(?:\([^)\d][^)]*\)\s*)*\((\d+)\)\s", 1), F.lit("")),
-        F.nullif(F.regexp_extract(lines[0], r"(?U)[-–—]\s*(?:\([^)]*\)\s*)*(1)\.\s", 1), F.lit("")),
-    )
-    dotted0 = lines[0].rlike(r"(?U)[-–—]\s*(?:\([^)]*\)\s*)*1\.\s") & ~lines[0].rlike(r"(?U)[-–—]\s*(?:\([^)\d][^)]*\)\s*)*\((\d+)\)\s")
+    head = r"(?iuU)^\s*(?:EK\s+|GEÇİCİ\s+)?MADDE\s+\d+(?:\s*/\s*\p{L})?\s*[-–—]\s*"  # what follows the heading at once
+    note = r"(?:\((?!\d+\)\s)[^)]*\)\s*)*"
+    paren0 = F.nullif(F.regexp_extract(lines[0], head + note + r"\((\d+)\)\s", 1), F.lit(""))
+    one0 = F.nullif(F.regexp_extract(lines[0], head + note + r"(1)\.\s", 1), F.lit(""))
+    line0 = F.coalesce(paren0, one0)
+    dotted0 = paren0.isNull() & one0.isNotNull()
     kind = "struct<units:array<struct<no:string,text:string>>,no:int,dotted:boolean,bare:boolean>"
     start = F.struct(F.array(F.struct(line0.alias("no"), lines[0].alias("text"))).alias("units"), line0.cast("int").alias("no"), F.coalesce(dotted0, F.lit(False)).alias("dotted"), F.lit(True).alias("bare")).cast(kind)
 

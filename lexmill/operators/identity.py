@@ -34,7 +34,9 @@ def ranks_to_chunks(history: DataFrame, chunks: DataFrame) -> DataFrame:
     """history(query_id, ids array) and chunks(id, ...) -> a row a rank with the chunk's fields; an id without chunk raises."""
     h = history.select("query_id", F.posexplode("ids").alias("at", "id")).select("query_id", (F.col("at") + 1).alias("rank"), "id")
     j = h.join(chunks.withColumn("is_there", F.lit(True)), "id", "left")
-    return j.withColumn("is_there", F.when(F.col("is_there").isNull(), F.raise_error(F.concat(F.lit("no chunk for "), F.col("id").cast("string"))).cast("boolean")).otherwise(F.col("is_there"))).drop("is_there")
+    none = F.raise_error(F.concat(F.lit("no chunk for "), F.col("id").cast("string"))).cast(h.schema["id"].dataType)
+    return j.withColumn("id", F.when(F.col("is_there").isNull(), none).otherwise(F.col("id"))).drop("is_there")
+
 
 
 def references(found: DataFrame, corpus: DataFrame, key: str) -> DataFrame:

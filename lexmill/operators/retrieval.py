@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,6 @@ from lexmill.functions import text as T
 K1, B, RRF_K, POOL = 1.5, 0.75, 60, 20
 #: Rows of a block of queries and of a shard of the collection: what one task holds.
 QUERY_BLOCK, SHARD_ROWS = 4096, 50_000
-#: Question terms (over all questions) up to which a block of questions is scored in one pass over documents; beyond, by joins.
-ASKED = 500_000
 
 
 def dense_topk(queries: DataFrame, collection: DataFrame, k: int, metric: str = "l2", exclude_self: bool = True, within: str | None = None) -> DataFrame:
@@ -42,16 +39,19 @@ def dense_topk(queries: DataFrame, collection: DataFrame, k: int, metric: str =
             qid, ids = left.column("query_id").to_numpy(), right.column("id").to_numpy()
             if metric == "cosine":
                 x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
-            for i in range(len(x)):
-                d = 1 - y @ x[i] if metric == "cosine" else ((y - x[i]) ** 2).sum(axis=1)
-                if exclude_self:
-                    d = np.where(ids == qid[i], np.inf, d)
-                few = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)] + 1e-8)
-                few = few[np.isfinite(d[few])]
-                few = few[np.lexsort((ids[few], np.round(d[few], 9)))][:k]
-                out[0].extend([qid[i]] * len(few))
-                out[1].extend(ids[few].tolist())
-                out[2].extend(d[few].tolist())
+            square = (y * y).sum(axis=1)
+            for at in range(0, len(x), 64):  # products of some queries at a time; the few nearest are computed again exactly
+                near = square - 2 * (x[at : at + 64] @ y.T)
+                for i, d in enumerate(near, at):
+                    if exclude_self:
+                        d[ids == qid[i]] = np.inf
+                    last = np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)]
+                    few = np.flatnonzero(d <= last + 1e-6 * (1 + abs(last) + float(x[i] @ x[i]))) if np.isfinite(last) else np.flatnonzero(np.isfinite(d))
+                    d = 1 - y[few] @ x[i] if metric == "cosine" else ((y[few] - x[i]) ** 2).sum(axis=1)
+                    best = np.lexsort((ids[few], np.round(d, 9)))[:k]
+                    out[0].extend([qid[i]] * len(best))
+                    out[1].extend(ids[few[best]].tolist())
+                    out[2].extend(d[best].tolist())
         made = {"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())}
         if within:
             made[within] = pa.array([key[2].as_py()] * len(out[0]), pa.int64())
@@ -78,16 +78,16 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores: a table in one small file would be one task. Large inputs, whose splits are many, stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    """df in at least as many partitions as there are cores: a table in one small file would be one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = POOL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """queries(query_id, question) x docs -> query_id, rank, id, score: distinct question terms, score > 0, ties by id.
 
-    Each text is cut into terms once; only terms that a question has go on (a semi-join before the first
-    shuffle), so the postings that are joined grow with the questions' terms, not with the vocabulary.
+    Only terms that a question has go on from the texts, counted in their document before the first shuffle. Scores
+    add up as decimals, so they don't depend on an order. Spark broadcasts the questions' terms where they are
+    few and splits the postings of a very common term otherwise.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens("question"))).alias("term"))
     docs = spread(docs.select(doc_id, text))
@@ -96,54 +96,24 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = POOL, doc_id: str = "doc_
     n, avgdl = F.lit(float(whole["n"])), F.lit(float(whole["avgdl"] or 1.0))
     tf = cut.select("id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").cast("double").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    weighted = tf.join(df, "term").select("id", "term", weight.alias("w"))
-    pairs = asked.limit(ASKED + 1).toPandas()
-    if len(pairs) <= ASKED:
-        scored = _score_block(weighted, pairs, k)
-    else:
-        scored = weighted.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(df.select("term", idf.alias("idf")), "term")
+    w = (F.col("idf") * part).cast("decimal(24,12)")
+    scored = tf.join(weighed, "term").groupBy("query_id", "id").agg(F.round(F.sum(w).cast("double"), 6).alias("score")).where("score > 0")
     return rank(scored, [F.col("score").desc(), F.col("id").asc()], k)
 
 
-def _score_block(weighted: DataFrame, pairs, k: int) -> DataFrame:
-    """Scores of one block of questions: a document's weights times the incidence of terms and questions, k rows a question and task."""
-    terms = {t: i for i, t in enumerate(sorted(set(pairs["term"])))}
-    names = np.array(sorted(set(pairs["query_id"])), np.int64)
-    asks: list[list[int]] = [[] for _ in terms]
-    for q, t in zip(np.searchsorted(names, pairs["query_id"].to_numpy()), pairs["term"], strict=True):
-        asks[terms[t]].append(int(q))
-    which = [np.array(x) for x in asks]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, int]]] = [[] for _ in names]
-        floor = np.zeros(len(names))
-        for b in batches:
-            for i, ts, ws in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = np.zeros(len(names))
-                for t, w in zip(ts, ws, strict=True):
-                    s[which[terms[t]]] += w
-                s = np.round(s, 6)
-                for q in np.flatnonzero((s > 0) & (s >= floor)):
-                    best[q].append((-float(s[q]), i))
-                    if len(best[q]) >= 4 * k:
-                        best[q] = sorted(best[q])[:k]
-                        floor[q] = -best[q][-1][0]
-        out = [(int(names[q]), i, -s) for q, x in enumerate(best) for s, i in sorted(x)[:k]]
-        c = list(zip(*out, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], kind), pa.array(c[2], pa.float64())], ["query_id", "id", "score"])
-
-    kind = pa.string() if dict(weighted.dtypes)["id"] == "string" else pa.int64()
-    grouped = weighted.groupBy("id").agg(F.collect_list("term").alias("t"), F.collect_list("w").alias("w"))
-    return grouped.mapInArrow(run, f"query_id long, id {weighted.schema['id'].dataType.simpleString()}, score double")
-
-
 def rrf(*rankings: DataFrame) -> DataFrame:
-    """Rankings (query_id, id, rank) -> query_id, id, score, rank: sum of 1 / (60 + rank) over the lists that have the id."""
-    every = rankings[0].select("query_id", "id", "rank")
-    for r in rankings[1:]:
-        every = every.union(r.select("query_id", "id", "rank"))
-    fused = every.groupBy("query_id", "id").agg(F.sum(1 / (RRF_K + F.col("rank").cast("double"))).alias("score"))
+    """Rankings (query_id, id, rank) -> query_id, id, score, rank: sum of 1 / (60 + rank) over the lists that have the id; an id twice in one list raises."""
+    lists = [r.select("query_id", "id", "rank", F.lit(k).alias("list")) for k, r in enumerate(rankings)]
+    every = lists[0]
+    for r in lists[1:]:
+        every = every.union(r)
+    score = F.sum(1 / (RRF_K + F.col("rank").cast("double")))
+    twice = F.raise_error(F.concat(F.lit("an id twice in one ranking: "), F.col("id").cast("string"))).cast("double")
+    fused = every.groupBy("query_id", "id").agg(score.alias("score"), F.count("*").alias("n"), F.size(F.collect_set("list")).alias("lists"))
+    fused = fused.select("query_id", "id", F.when(F.col("n") > F.col("lists"), twice).otherwise(F.col("score")).alias("score"))
     return rank(fused, [F.round("score", 12).desc(), F.col("id").asc()])
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import annex, answering, evaluation, identity
+from lexmill.operators import annex, answering, audits, chunking, evaluation, identity, parsing
+from lexmill.sources import office, questions
+from lexmill.sources.files import scratch
 from lexmill.plans.catalogue import _COS, _METRICS, _gold, _ranked_sql, _scored, query, ranked, table, vectors
 
 _LAW_SLOTS = """s AS (SELECT query_id, rank, id, CAST(label AS VARCHAR) AS key, CASE WHEN label = 9 THEN NULL ELSE CAST(label % 5 AS VARCHAR) END AS law, gold FROM r),
@@ -316,3 +318,100 @@ def annex_chunks(spark, sf):
     again = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda x: x["text"]), "")
     g = c.groupBy("annex").agg(again.alias("t"), F.max("char_end").alias("n_chars"), F.count_if(F.col("text").rlike("(?s)^\n?SOURCE_MEMBER")).alias("heads"))
     return g.select("annex", F.md5(F.col("t").cast("binary")).alias("digest"), "n_chars", F.greatest(F.col("heads"), F.lit(1)).alias("least"))
+
+
+#: A statute by lines, D the document's number: where each line goes is in the SQL.
+_STATUTE = (
+    "BİRİNCİ KISIM", "Genel Hükümler", "Amaç D", "MADDE D- (1) Bu metin D içindir.", "(2) İkinci fıkra.", "Kapsam", "Madde  9/Ç – (Değişik: 1/1/2020-5/1 md.) (1) Metin.", "satır",
+    "İKİNCİ BÖLÜM", "EK MADDE 1- Ek metin D.", "GEÇİCİ MADDE 2- Geçici metin.", "5326 SAYILI KANUNA İŞLENEMEYEN HÜKÜMLER", "Başlık D", "GEÇİCİ MADDE 3- Son metin.", "son satır.", "5326 SAYILI KANUNA EK VE DEĞİŞİKLİK GETİREN MEVZUAT", "MADDE 99- yok",
+)
+_ARTICLES = [
+    ("'5326-madde-' || doc_id", "CAST(doc_id AS VARCHAR)", "normal", "'Amaç ' || doc_id", "Birinci Kısım", 3, "'MADDE ' || doc_id || '- (1) Bu metin ' || doc_id || ' içindir.' || chr(10) || '(2) İkinci fıkra.'", None, 2),
+    ("'5326-madde-9-c-cedilla'", "'9/Ç'", "normal", "'Kapsam'", "Birinci Kısım", 6, "'Madde  9/Ç – (Değişik: 1/1/2020-5/1 md.) (1) Metin.' || chr(10) || 'satır'", None, 1),
+    ("'5326-ek-madde-1'", "'1'", "ek", "NULL", "Birinci Kısım > İkinci Bölüm", 9, "'EK MADDE 1- Ek metin ' || doc_id || '.'", None, 1),
+    ("'5326-gecici-madde-2'", "'2'", "gecici", "NULL", "Birinci Kısım > İkinci Bölüm", 10, "'GEÇİCİ MADDE 2- Geçici metin.'", None, 1),
+    ("'5326-islenemeyen-hukum-gecici-madde-3'", "'3'", "islenemeyen_hukum", "'Başlık ' || doc_id", "5326 SAYILI KANUNA İŞLENEMEYEN HÜKÜMLER", 13, "'GEÇİCİ MADDE 3- Son metin.' || chr(10) || 'son satır.'", None, 1),
+]
+
+
+def _statutes(spark, sf) -> DataFrame:
+    lines = F.array(*map(F.lit, _STATUTE))
+    p = table(spark, sf, "documents").select("doc_id", F.posexplode(lines).alias("index", "line"))
+    text = F.regexp_replace("line", r"\bD\b", F.col("doc_id").cast("string"))
+    return p.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), "index", text.alias("text"), F.lit(None).cast("array<int>").alias("footnotes"), F.lit("5326").alias("legislation_number"))
+
+
+@query(" UNION ALL ".join(f"SELECT 'd' || doc_id AS document_id, {i} AS article_id, {n} AS article_no, '{k}' AS article_type, {t} AS article_title, '{c}' AS section_context, CAST({a} AS BIGINT) AS first, md5({x}) AS digest FROM documents" for i, n, k, t, c, a, x, _, _ in _ARTICLES))
+def statutes_parse(spark, sf):
+    a = parsing.articles(_statutes(spark, sf))
+    return a.select("document_id", "article_id", "article_no", "article_type", "article_title", "section_context", F.col("start").cast("long").alias("first"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(" UNION ALL ".join(f"SELECT 'd' || doc_id AS document_id, {i} || '-chunk-001' AS chunk_id, {numbers} AS numbers FROM documents" for (i, *_), numbers in zip(_ARTICLES, ("'1,2'", "'1'", "NULL", "NULL", "NULL"), strict=True)))
+def statute_chunks(spark, sf):
+    a = parsing.articles(_statutes(spark, sf)).withColumn("article_id", F.concat_ws("|", "document_id", "article_id"))
+    c = chunking.article_chunks(a, 4000)
+    parts = F.split("chunk_id", r"\|")
+    return c.select(parts[0].alias("document_id"), parts[1].alias("chunk_id"), F.array_join("paragraph_numbers", ",").alias("numbers"))
+
+
+def _written(spark, values: DataFrame, name: str) -> str:
+    """A folder with one file that holds the one row of values(value)."""
+    path = scratch(spark, name)
+    values.select("value").coalesce(1).write.text(path)
+    return path
+
+
+@query("SELECT 'd' || doc_id AS document_id, n - 1 AS index, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL)")
+def paragraphs_payload(spark, sf):
+    d = table(spark, sf, "documents").where("doc_id % 50 = 0 and text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("index", "text"))
+    payload = questions.paragraphs_json(d.withColumn("style_name", F.lit("Normal")).withColumn("footnotes", F.lit(None).cast("array<int>")), "x.docx")
+    path = scratch(spark, "paragraphs")
+    payload.withColumn("name", F.col("document_id")).select("name", "value").write.partitionBy("name").text(path)  # a file a document
+    return questions.load_paragraphs(spark, f"{path}/*").select("document_id", F.col("index").cast("long").alias("index"), "text")
+
+
+@query("""SELECT printf('q%03d', item_id + 1) AS id, '5326_kabahatler/normal/' || (item_id + 1) || ',5326_kabahatler/normal/' || (item_id + 1) || '/a' AS source_keys, '5326_kabahatler' AS documents FROM benchmark WHERE item_id < 30
+UNION ALL SELECT printf('gk%03d', item_id + 1), '4458_gumruk/ek/' || (item_id + 1), '4458_gumruk' FROM benchmark WHERE item_id < 30""")
+def question_sets_combined(spark, sf):
+    b = table(spark, sf, "benchmark").where("item_id < 30").orderBy("item_id").coalesce(1)
+    n = (F.col("item_id") + 1).cast("string")
+    common = [F.lit("paraphrase").alias("case_type"), F.lit("easy").alias("difficulty"), F.lit(True).alias("source_verified"), F.lit(False).alias("expert_validated"), F.lit("n").alias("notes")]
+    one = b.select(F.struct(F.format_string("q%03d", F.col("item_id") + 1).alias("id"), F.concat(F.lit("A "), n, F.lit(" "), F.col("text")).alias("question"), F.array(n, F.concat(n, F.lit("-A"))).alias("expected_articles"), *common).alias("q"))
+    source = F.struct(F.lit("4458").alias("legislation_number"), F.lit("ek").alias("article_type"), n.alias("article_no"))
+    two = b.select(F.struct(F.format_string("gk%03d", F.col("item_id") + 1).alias("id"), F.concat(F.lit("B "), n, F.lit(" "), F.col("text")).alias("question"), F.array(source).alias("expected_sources"), *common).alias("q"))
+    as_list = lambda df: df.agg(F.to_json(F.array_sort(F.collect_list("q"), lambda x, y: F.when(x["id"] < y["id"], -1).otherwise(1))).alias("value"))
+    first = questions.load_set(spark, _written(spark, as_list(one), "set"), 30, [f"q{k:03d}" for k in range(1, 31)], annotated=True)
+    second = questions.load_set(spark, _written(spark, as_list(two), "set"), 30, [f"gk{k:03d}" for k in range(1, 31)], annotated=True, datasets=("4458",), least_keys=20)
+    every = questions.combined(questions.qualified(first, "5326"), questions.qualified(second))
+    registry = identity.legacy_registry(spark.createDataFrame([("5326", "5326_kabahatler"), ("4458", "4458_gumruk")], "number string, document_id string"))
+    documents = questions.by_document(every, registry)
+    again = questions.load_document_questions(spark, _written(spark, questions.document_questions_json(documents), "set"))
+    return again.select("id", F.array_join(F.array_sort("source_keys", lambda x, y: F.length(x) - F.length(y)), ",").alias("source_keys"), F.array_join("document_ids", ",").alias("documents"))
+
+
+@query("SELECT doc_id, md5('EK-' || doc_id || chr(10) || regexp_replace(substr(text, 1, 200), '[^a-zA-Z \n]', '?', 'g') || chr(9) || 'ş') AS digest FROM documents WHERE text IS NOT NULL")
+def rtf_decode(spark, sf):
+    plain = F.regexp_replace(F.substring("text", 1, 200), r"[^a-zA-Z \n]", "?")
+    body = F.replace(plain, F.lit("\n"), F.lit("\\line "))
+    rtf = F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}}EK-"), F.col("doc_id").cast("string"), F.lit("\\par "), body, F.lit("\\tab \\u351?}"))
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b.doc_id, "text": [office.rtf_text(x.encode()) for x in b.rtf]})
+
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", rtf.alias("rtf")).mapInPandas(run, "doc_id long, text string")
+    return d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fail' ELSE 'ok' END AS audit FROM documents WHERE doc_id % 2 = 0""")
+def envelope_rules(spark, sf):
+    from lexmill.operators import citations
+
+    i = F.col("doc_id")
+    text = F.when(i % 3 == 0, "DURUM: BELKİ\nCEVAP: x").when(i % 3 == 1, " \nDURUM:  yeterli \n\nCEVAP:\nx [KAYNAK 1]\n").otherwise("DURUM: Yetersiz\nCEVAP: x")
+    d = table(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id", citations.envelope(text).alias("e"))
+    good = F.col("e.status") == F.when(i % 3 == 1, "YETERLI").otherwise("YETERSIZ")
+    return d.select("doc_id", F.when(F.col("e.status") == "FORMAT_ERROR", "fail").when(good & F.col("e.body").startswith("x"), "ok").otherwise("wrong").alias("audit"))

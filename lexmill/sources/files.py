@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +17,17 @@ MANIFEST = T.StructType([T.StructField(n, T.StringType(), n not in ("document_id
 QUESTION = T.StructType([T.StructField("id", T.StringType(), False), T.StructField("question", T.StringType(), False), T.StructField("expected_articles", T.ArrayType(T.StringType()))])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share (spark.checkpoint.dir); under a local master without one, a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="lexmill-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def _no_repeats(pairs: list) -> dict:
     out = dict(pairs)
     if len(out) != len(pairs):

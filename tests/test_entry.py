@@ -22,6 +22,22 @@ def test_entry_works_without_the_subpackage():
     assert "dense_topk_l2" in names and not any(n.startswith("op") and n[2].isdigit() or n == "pipeline" for n in names)
 
 
+def test_entry_works_with_leftovers_of_the_subpackage(tmp_path):
+    import shutil
+
+    shutil.copytree(ROOT / "lexmill", tmp_path / "lexmill", ignore=shutil.ignore_patterns("llm"))
+    (tmp_path / "lexmill" / "llm" / "__pycache__").mkdir(parents=True)
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+    assert "dense_topk_l2" in out and "pipeline" not in out
+
+
+def test_entry_works_without_a_library_of_the_subpackage():
+    missing = BLOCK.replace('name.startswith(("lexmill.llm", "corpus_pipeline"))', 'name == "xxhash"')
+    names = run(missing + "import __spark_entry__ as e; print(*e.queries())")
+    assert "dense_topk_l2" in names and not any(n.startswith("op") and n[2].isdigit() for n in names)
+
+
 def test_library_does_not_import_the_subpackage():
     for p in (ROOT / "lexmill").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
