@@ -52,26 +52,40 @@ def arc_record(version: int, url: str, payload: bytes, offset: int, name: str, l
     return " ".join(fields[f] for f in ARC_FIELDS[version]).encode() + b"\n" + body + b"\n"
 
 
+#: Header lines by version. Addresses and types may hold blanks: what stands between them, and all after them, doesn't.
+_IP = r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*|-)"
+_LINE = {
+    1: re.compile(rf"(?P<url>.+?) {_IP} (?P<date>\d{{4,14}}) (?P<type>.*) (?P<length>\d+)"),
+    2: re.compile(rf"(?P<url>.+?) {_IP} (?P<date>\d{{4,14}}) (?P<type>.*) (?P<result>\S+) (?P<checksum>\S+) (?P<location>\S+) (?P<offset>\S+) (?P<filename>\S+) (?P<length>\d+)"),
+}
+
+
 def parse_arc(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(fields, content) of each record; the first is the file's own. Fails on a length that overruns the file or a missing end."""
+    """(fields, content) of each record; the first is the file's own. Blank lines between records are skipped, bytes that aren't UTF-8
+    in a header line are kept as they are. Fails on a line that is no header, on a length that overruns the file or a missing end."""
     at, version = 0, None
     while at < len(data):
-        end = data.index(b"\n", at)
-        line = data[at:end].decode("utf-8")
+        if data[at : at + 1] in (b"\n", b"\r"):
+            at += 1
+            continue
+        end = data.find(b"\n", at)
+        if end < 0:
+            raise ValueError("a header line without an end")
+        line = data[at:end].rstrip(b"\r").decode("utf-8", "surrogateescape")
         if version is None:
             body = data[end + 1 : end + 1 + int(line.rsplit(" ", 1)[1])]
             version = int(body.split(b" ", 1)[0])
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version}")
-        names, parts = ARC_FIELDS[version], line.split(" ")
-        if len(parts) != len(names):
-            raise ValueError(f"header line of {len(parts)} fields in an ARC of version {version}: {line[:200]}")
-        fields = dict(zip(names, parts, strict=True)) | {"version": version}
+        m = _LINE[version].fullmatch(line)
+        if not m:
+            raise ValueError(f"no header line of an ARC of version {version}: {line[:200]!r}")
+        fields = m.groupdict() | {"version": version}
         n = int(fields["length"])
-        if n < 0 or end + 1 + n > len(data) or data[end + 1 + n : end + 2 + n] not in (b"\n", b""):
-            raise ValueError(f"a declared length of {n} doesn't fit: {line[:200]}")
+        if end + 1 + n > len(data) or data[end + 1 + n : end + 2 + n] not in (b"\n", b"\r", b""):
+            raise ValueError(f"a declared length of {n} doesn't fit: {line[:200]!r}")
         yield fields, data[end + 1 : end + 1 + n]
-        at = end + 2 + n
+        at = end + 1 + n
 
 
 def iso_date(d: str) -> str:
@@ -83,7 +97,7 @@ def iso_date(d: str) -> str:
 
 
 def record_id(*what: object) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(31).join(map(str, what)))}>"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(31).join(map(str, what)).encode("utf-8", "surrogateescape"))}>"
 
 
 def b32(digest: bytes) -> str:
@@ -91,7 +105,7 @@ def b32(digest: bytes) -> str:
 
 
 def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers).encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers).encode("utf-8", "surrogateescape") + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
 
 
 def convert(arc: bytes, original: dict[tuple[str, str], tuple[str, str]] | None = None) -> Iterator[bytes]:
@@ -121,7 +135,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode("utf-8").split("\r\n")
+        first, *lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"no WARC record: {first[:100]}")
         headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
@@ -157,16 +171,17 @@ def gz(data: bytes) -> bytes:
 def with_originals(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """Adds refers_to and refers_url: the page of the same payload that holds it, null for that page and where no other has it.
 
-    Only digests, lengths and ids are grouped (summed up before the shuffle), and only digests that
-    occur more than once are joined back; a digest with very many pages is a skewed join that the
-    adaptive planner splits.
+    Only digests, lengths and ids are grouped (summed up before the shuffle); pages learn by C.spread_lookup(), so a payload
+    of very many pages stays where its pages are. Small payloads meet nothing.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     p = p.withColumn("n", F.octet_length("html")).withColumn("key", F.when(F.col("n") >= least, F.concat_ws(":", F.sha1("html"), "n")))
-    groups = p.where("key is not null").groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("o"), F.count("*").alias("c")).where("c > 1 and o.page_id is not null")
-    known = p.join(groups.select("key", F.col("o.page_id").alias("o_id"), F.col("o.url").alias("o_url")), "key", "left")
+    large, small = p.where("key is not null"), p.where("key is null")
+    groups = large.groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("o"), F.count("*").alias("rows_of_key")).where("rows_of_key > 1 and o.page_id is not null")
+    known = C.spread_lookup(large, "key", groups.select("key", "rows_of_key", F.col("o.page_id").alias("o_id"), F.col("o.url").alias("o_url")), pages.count())
     own = F.col("page_id").eqNullSafe(F.col("o_id"))
-    return known.select("page_id", "url", "html", F.when(~own, F.col("o_id")).alias("refers_to"), F.when(~own, F.col("o_url")).alias("refers_url"))
+    found = known.select("page_id", "url", "html", F.when(~own, F.col("o_id")).alias("refers_to"), F.when(~own, F.col("o_url")).alias("refers_url"))
+    return found.union(small.select("page_id", "url", "html", F.lit(None).cast("long"), F.lit(None).cast("string")))
 
 
 def write_archives(pages: DataFrame, root: str, version: int = 2, batch: int = 500) -> DataFrame:
@@ -232,7 +247,7 @@ def read_archives(manifest: DataFrame, files: int) -> DataFrame:
                                 body = block[block.index(b"\r\n\r\n") + 4 :]
                                 if hashlib.sha1(body).hexdigest() != digest:
                                     raise ValueError(f"{path}: {h['warc-record-id']} has another payload than its digest says")
-                            rows.append((page(h["x-source-location"]), h["warc-target-uri"], h["warc-type"], len(body) if body is not None else int(h["x-payload-length"]), digest, page(h.get("x-refers-to-location")), body))
+                            rows.append((page(h["x-source-location"]), h["warc-target-uri"].encode("utf-8", "surrogateescape").decode("utf-8", "replace"), h["warc-type"], len(body) if body is not None else int(h["x-payload-length"]), digest, page(h.get("x-refers-to-location")), body))
                             if len(rows) == 200:
                                 yield flush(rows)
                                 rows = []

@@ -37,7 +37,7 @@ from lexmill.llm import common as C
 
 #: Documented bounds of what is fitted: rows of a sample, lexicon entries; rounds of the label model.
 FIT_ROWS, ENTRIES, ROUNDS = 12_000, 1024, 3
-CACHE = 100_000  # words whose entries a task keeps
+CACHE = 250_000  # words whose entries a task keeps
 PAIRS = 2_000_000  # pairs of votes that are in memory at once
 LEAST, SHARE, ODDS = 4, 0.01, 40.0
 STEMS = (4, 5, 6, 7, 8, 9)

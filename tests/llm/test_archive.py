@@ -24,7 +24,7 @@ def test_bad_archives():
     arc = A.arc_head(1, "x") + A.arc_record(1, "http://a", b"abc", 0, "x")
     with pytest.raises(ValueError, match="doesn't fit"):
         list(A.parse_arc(arc[:-3]))
-    with pytest.raises(ValueError, match="fields"):
+    with pytest.raises(ValueError, match="no header line"):
         list(A.parse_arc(arc + b"http://b 1 2\n"))
     with pytest.raises(ValueError, match="version 3"):
         list(A.parse_arc(b"filedesc://x 0.0.0.0 20240101 text/plain 4\n3 0 \n"))
@@ -33,6 +33,28 @@ def test_bad_archives():
     assert A.iso_date("2003") == "2003-01-01T00:00:00Z"
 
 
+def test_legacy_header_lines():
+    """Types and addresses with blanks, bytes that aren't UTF-8, blank lines and carriage returns between records."""
+    body = b"HTTP/1.0 200 OK\r\n\r\nhello"
+    one = A.arc_head(1, "old.arc")
+    one += b"http://a/\xe9 b c 1.2.3.4 19970101 text/html; charset=x %d\n" % len(body) + body + b"\n\n\r\n"
+    one += b"dns:a 2001:db8::1 19970101120000 text/dns 3\r\nabc"
+    got = list(A.parse_arc(one))
+    assert [f["type"] for f, _ in got] == ["text/plain", "text/html; charset=x", "text/dns"] and got[1][0]["url"] == "http://a/\udce9 b c" and got[2][1] == b"abc"
+    out = [r for x in A.convert(one) for r in A.parse_warc(x)]
+    assert [h["warc-type"] for h, _ in out] == ["warcinfo", "response", "resource"] and out[1][1] == body
+    assert b"http://a/\xe9 b c" in b"".join(A.convert(one))
+    two = A.arc_head(2, "n.arc") + b"http://a 1.2.3.4 20040101000000 text/html; charset=y 200 - - 77 n.arc %d\n" % len(body) + body + b"\n"
+    f = list(A.parse_arc(two))[1][0]
+    assert (f["type"], f["result"], f["offset"], f["filename"]) == ("text/html; charset=y", "200", "77", "n.arc")
+
+
+def test_extra_columns_are_ignored(spark):
+    df = spark.createDataFrame([(1, "u", "x" * 1200, 7, "k"), (2, "v", "x" * 1200, 8, "l")], "page_id long, url string, html string, n int, key string")
+    got = A.read_archives(A.write_archives(A.with_originals(df), C.new_path(spark, "w")), 1).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(1, "revisit", 2), (2, "response", None)]
+
+
 def test_pages(spark):
     same = "x" * 1200
     rows = [(1, "http://a b/ü", same), (2, "u2", same), (9, None, same), (3, "u3", None), (4, "u4", ""), (5, "u5", "short"), (6, "u6", "short"), (None, "u7", same), (10, "u", "é" * 600), (11, "u", "é" * 600), (12, "u", "é\r\n\r\n" * 90_000)]

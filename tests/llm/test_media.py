@@ -50,3 +50,39 @@ def test_rows(spark):
     t = M.tensor_table(M.features(M.media(docs)).toArrow())
     assert t.schema.field("tensor").type.shape == [M.SLICES, M.MELS]
     assert M.features(M.media(docs.limit(0))).count() == 0
+
+
+def test_log_mel_equals_plain_transform():
+    y = np.random.default_rng(5).normal(size=700).astype(np.float32)
+    mel, energy = M.log_mel(y)
+    n = -(-(700 - M.FRAME) // M.HOP) + 1
+    padded = np.concatenate([y, np.zeros((n - 1) * M.HOP + M.FRAME - 700)])
+    assert mel.shape == (n, M.MELS)
+    k = np.arange(M.FRAME)
+    for i in range(n):
+        f = padded[i * M.HOP : i * M.HOP + M.FRAME] * (0.5 - 0.5 * np.cos(2 * np.pi * k / (M.FRAME - 1)))
+        power = [abs(np.sum(f * np.exp(-2j * np.pi * b * k / M.FRAME))) ** 2 for b in range(M.FRAME // 2 + 1)]
+        assert np.allclose(mel[i], np.log(np.array(power) @ M.MEL + 1e-6), atol=1e-3)
+        assert abs(energy[i] - 10 * np.log10((f**2).mean() + 1e-9)) < 1e-3
+
+
+def test_describe_averages_frames_of_each_segment():
+    data = bytes(np.random.default_rng(6).integers(0, 256, 40_000, dtype=np.uint8)[: 192 * 200])
+    starts, ends, tensors = M.describe(M.wav(data))
+    x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
+    mel, energy = M.log_mel(M.resample(x - x.mean()))
+    spans = M.segments(energy)
+    t = np.frombuffer(tensors, np.float32).reshape(len(spans), M.SLICES, M.MELS)
+    step = M.HOP * M.DOWN / (M.UP * M.RATE)
+    assert len(starts) == len(ends) == len(spans)
+    for s, (b, e), a, z in zip(t, spans.tolist(), starts, ends, strict=True):
+        assert abs(a - b * step) < 1e-9 and abs(z - e * step) < 1e-9
+        for j in range(M.SLICES):
+            lo, hi = b + (e - b) * j // M.SLICES, b + (e - b) * (j + 1) // M.SLICES
+            assert np.allclose(s[j], mel[lo : max(hi, lo + 1)].mean(axis=0), atol=2e-3)
+
+
+def test_extra_columns_are_ignored(spark):
+    d = spark.createDataFrame([(1, "abc", 5, b"x")], "doc_id long, text string, n_bytes int, media binary")
+    r = M.features(M.media(d)).collect()
+    assert len(r) == 1 and r[0].n_bytes == 3 and r[0].payload_bytes == 192

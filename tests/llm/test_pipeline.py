@@ -62,6 +62,24 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == len(after)
 
 
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    names = ["text_md5", "kept_id", "cut_text", "mix_nth", "toxicity", "whole_text", "h", "part", "heads", "chunk"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "e" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "e" / "labels.parquet"))
+    assert P.run(spark, str(tmp_path / "e")).count() == 0
+    fixture(spark, tmp_path)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for n in names:
+        docs = docs.withColumn(n, P.common.F.lit(f"own {n}"))
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        kept = got.collect()
+        assert kept and all(r[n] == f"own {n}" for r in kept for n in names), name
+    assert {r.doc_id for r in P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {r.doc_id for r in docs.collect()}
+
+
 def domain(source):
     import hashlib
 
