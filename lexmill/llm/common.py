@@ -9,7 +9,7 @@ import math
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,21 @@ def give_back() -> None:
         pass
 
 
+#: What workers keep from task to task, by owner: how to forget it.
+caches: dict[str, Callable[[], object]] = {}
+_last_owner = [""]
+
+
+def begin(owner: str) -> None:
+    """Called where a task's function begins: what other operators' tasks have left in this worker goes."""
+    if owner != _last_owner[0]:
+        for name, forget in caches.items():
+            if name != owner:
+                forget()
+        _last_owner[0] = owner
+        give_back()
+
+
 _own: dict[str, str] = {}
 
 

@@ -73,6 +73,7 @@ def nodes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     dealt, n = chunks.deal(docs)
 
     def pack(key, t):
+        C.begin("jaccard")
         sets = {}
         for text in t.column("text").to_pylist():
             s = shingle_set(text, k)
@@ -80,11 +81,14 @@ def nodes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 sets[node_of(s)] = s
         all_ = np.concatenate(list(sets.values())) if sets else np.zeros(0, np.uint64)
         u, c = np.unique(all_, return_counts=True)
+        del sets, all_
+        C.give_back()
         return chunks.packets(t.column("chunk")[0].as_py(), n, u, c.astype(np.uint64))
 
     replies = C.materialize(chunks.totals(dealt.groupBy("chunk").applyInArrow(pack, chunks.PACKETS + ", c0 binary")), "jaccard-df")
 
     def look(key, t, r):
+        C.begin("jaccard")
         rows, sets = [], {}
         for i, text in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), strict=True):
             s = shingle_set(text, k)
@@ -95,6 +99,7 @@ def nodes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         if sets:
             _, at = np.unique(np.concatenate([s for s, _ in sets.values()]), return_inverse=True)
             df = chunks.reply(r, "r0", np.uint64)[at]
+            del at, r
             for s, row in sets.values():
                 d, df = df[: len(s)], df[len(s) :]
                 if den * int((d > 1).sum()) >= num * len(s):
@@ -186,6 +191,7 @@ def links(known: DataFrame, num: int, den: int) -> DataFrame:
         member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "items")
 
         def tile(key, t):
+            C.begin("jaccard")
             i, j = key[1].as_py(), key[2].as_py()
             rows = sorted(zip(t.column("tile").to_pylist(), t.column("node").to_pylist(), t.column("items").to_pylist(), strict=True))
             sets = [np.frombuffer(r[2], np.uint64) for r in rows]

@@ -108,6 +108,7 @@ _TOKENS = "chunk int, ids array<long>, n binary, word binary, token binary"
 
 def tokenise(key, t):
     """A chunk's documents as one row of arrays, by which all passes go on."""
+    C.begin("katz")
     each = []
     for text in t.column("text").to_pylist():
         each += [C.hash_words(C.words_of(text)), np.array([_END])]

@@ -75,6 +75,7 @@ class Chunk:
     """A chunk's documents in order, their windows, and the runs of windows of one anchor."""
 
     def __init__(self, t: pa.Table, width: int):
+        C.begin("substring")
         self.width, self.gram = width, min(GRAM, max(1, width // 2))
         ids, texts = t.column("doc_id").to_pylist(), [x or "" for x in t.column("text").to_pylist()]
         self.docs = sorted({self.name(i, x) for i, x in zip(ids, texts, strict=True)})

@@ -144,10 +144,12 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
+C.caches["tokens"] = _encoders.clear
 
 
 def encoder(path: str, kind: str) -> Encoder:
-    """The worker's own encoder; it outlives a task, as the worker does."""
+    """The worker's own encoder; it outlives a task, as the worker does, but not tasks of other operators."""
+    C.begin("tokens")
     if (path, kind) not in _encoders:
         _encoders.clear()
         _encoders[path, kind] = Encoder(path, kind)

@@ -37,7 +37,7 @@ from lexmill.llm import common as C
 
 #: Documented bounds of what is fitted: rows of a sample, lexicon entries; rounds of the label model.
 FIT_ROWS, ENTRIES, ROUNDS = 12_000, 1024, 3
-CACHE = 250_000  # words whose entries a task keeps
+CACHE = 150_000  # words whose entries a task keeps
 PAIRS = 2_000_000  # pairs of votes that are in memory at once
 LEAST, SHARE, ODDS = 4, 0.01, 40.0
 STEMS = (4, 5, 6, 7, 8, 9)
@@ -95,6 +95,7 @@ def learn_lexicon(fit: DataFrame) -> list[str]:
     """fit(text, toxic) -> entries, best first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin("toxicity")
         got: tuple[Counter, Counter] = (Counter(), Counter())
         rows = [0, 0]
         for b in C.slices(batches):
@@ -136,6 +137,7 @@ def votes_of(docs: DataFrame, entries: list[str], cols: list[str]) -> DataFrame:
     n = len(cols)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin("toxicity")
         lex = Lexicon(entries)
         for b in C.slices(batches):
             ids = pa.array([lex.of(t) for t in b.column(n).to_pylist()], pa.list_(pa.int32()))
@@ -309,6 +311,7 @@ def score(docs: DataFrame, model: Model, cols: list[str], name: str = "score") -
     entries, w, b0 = model.entries, model.w, model.b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin("toxicity")
         lex = Lexicon(entries)
         for b in C.slices(batches):
             z = np.array([b0 + sum(w[k] for k in lex.of(t)) for t in b.column(n).to_pylist()], float)
