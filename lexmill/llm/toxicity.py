@@ -6,14 +6,16 @@
    become lexicon entries, up to ENTRIES; of a word and its beginnings that mark the same rows one is kept.
 2. Voters. All entries each vote "toxic" where they occur and abstain elsewhere; PATTERNS
    (shouting, runs of marks, ...) vote too. Votes are made for every document.
-3. Label model. A document's class is hidden; given the class, voters vote at rates mu[class] (their
-   accuracies) and with a common covariance, which gives their correlations rho. The parameters start from
-   the learning rows' labels and are refined by expectation-maximisation over all documents' votes (rows
-   with a learning label keep it). A vote counts log(mu1 / mu0), divided by 1 + its correlations with the
-   other votes cast, so that voters that repeat each other share one weight; an abstention counts nothing
-   by itself, but a text without any lexicon vote has its own ratio.
-   What is gathered for it are sums over votes and over pairs of votes that are cast together: at most
-   some ENTRIES^2 numbers.
+3. Label model. A document's class is hidden; given the class, the voters form a tree (the maximum spanning tree
+   over their mutual information given the class), and each votes at a rate that depends on the class and on
+   whether its parent votes: the rates by class are the voters' accuracies, those by parent their correlations.
+   Abstaining is an outcome like voting. A posterior is exactly this distribution's; of voters that repeat each
+   other only the first one tells something. Rates are smoothed by one more row; where a class has too few
+   votes of a parent, its children's rates are those of both classes together. The parameters start from the
+   learning rows' labels and are refined by expectation-maximisation over all documents' votes (rows with a
+   learning label keep it) until a document's mean log-likelihood rises by less than RISE, at most ROUNDS rounds.
+   Rounds read each distinct set of votes once, with its number of rows. What is gathered are sums over votes
+   and over pairs of votes that are cast together: at most some ENTRIES^2 numbers.
 4. Classifier. A logistic regression over all entries and patterns, trained on at most FIT_ROWS documents
    (the lowest by hash; learning labels where known, else the label model's posteriors) and on the posterior
    of each lexicon voter's vote alone, scores every whole text.
@@ -35,8 +37,9 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import common as C
 
-#: Documented bounds of what is fitted: rows of a sample, lexicon entries; rounds of the label model.
-FIT_ROWS, ENTRIES, ROUNDS = 12_000, 1024, 3
+#: Documented bounds of what is fitted: rows of a sample, lexicon entries.
+FIT_ROWS, ENTRIES = 12_000, 1024
+ROUNDS, RISE = 50, 1e-4  # of the label model
 CACHE = 150_000  # words whose entries a task keeps
 PAIRS = 2_000_000  # pairs of votes that are in memory at once
 LEAST, SHARE, ODDS = 4, 0.01, 40.0
@@ -46,7 +49,6 @@ _STRIP = re.compile(r"^\W+|\W+$")
 PATTERNS = (
     re.compile(r"!{3,}|\?{3,}"),
     re.compile(r"\b[A-ZÄÖÜ]{4,}(?:\W+[A-ZÄÖÜ]{4,}){3}"),
-    re.compile(r"\b(?:is|are|bist|ist|es|est)\s+(?:an?\s+)?(\w+)\s+\1\b", re.I),
     re.compile(r"[$%&*#]{3,}"),
 )
 
@@ -173,73 +175,97 @@ class Votes:
             yield slice(first, len(ids))
 
 
+def tree(n: np.ndarray, c: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Each voter's parent in the maximum spanning tree over mutual information given the class; -1 for the root, voter 0. n rows, c votes, both votes in pairs, by class."""
+    width = c.shape[1]
+    mi = np.zeros((width, width))
+    for y in (0, 1):
+        i, j, ij = c[y][:, None], c[y][None, :], both[y]
+        for cell, row, col in ((ij, i, j), (i - ij, i, n[y] - j), (j - ij, n[y] - i, j), (n[y] - i - j + ij, n[y] - i, n[y] - j)):
+            seen = (cell > 1e-9) & (row * col > 0)
+            mi += np.where(seen, cell * np.log(np.where(seen, cell * n[y], 1) / np.where(seen, row * col, 1)), 0)
+    mi = np.round(mi, 6)  # ties go to the first voter, whatever the order of the sums
+    parent, left = np.full(width, -1), np.arange(width) > 0
+    best, via = mi[0].copy(), np.zeros(width, np.int64)
+    for _ in range(width - 1):
+        k = int(np.argmax(np.where(left, best, -np.inf)))
+        parent[k], left[k] = via[k], False
+        nearer = left & (mi[k] > best)
+        best[nearer], via[nearer] = mi[k][nearer], k
+    return parent
+
+
 class LabelModel:
-    """Hidden class, voters' means by class, common covariance."""
+    """Hidden class; given the class, a tree of voters that vote or abstain."""
 
     def __init__(self, n_entries: int):
-        self.n_entries, self.width = n_entries, n_entries + len(PATTERNS)
+        self.width = n_entries + len(PATTERNS)
 
-    def voted(self, v: Votes) -> np.ndarray:
-        """Whether any lexicon voter voted."""
-        return np.bincount(v.row[v.col < self.n_entries], minlength=v.n) > 0
+    def log_joint(self, v: Votes) -> np.ndarray:
+        """Log probability of each text's votes together with each class."""
+        led = np.bincount(v.left, v.col[v.right] == self.parent[v.col[v.left]], len(v.col)) > 0
+        return np.stack([np.bincount(v.row, self.quiet[y][v.col] + np.where(led, self.joined[y][v.col], self.alone[y][v.col]), v.n) + self.none[y] for y in (0, 1)])
 
     def posterior(self, ids: list[list[int]]) -> np.ndarray:
         out = np.zeros(len(ids))
         for at in Votes.cut(ids):
-            v = Votes(ids[at])
-            share = 1 + np.bincount(v.left, self.rho[v.col[v.left], v.col[v.right]], len(v.col))
-            z = np.bincount(v.row, self.w[v.col] / share, v.n) + np.where(self.voted(v), self.b, self.b_none)
-            out[at] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            clean, toxic = self.log_joint(Votes(ids[at]))
+            out[at] = 1 / (1 + np.exp(-np.clip(toxic - clean, -30, 30)))
         return out
 
     def set(self, s: np.ndarray) -> None:
-        """From sums by class: [count, votes, votes x votes, rows without a vote]."""
+        """From sums by class: [count, votes, votes x votes]."""
         j = self.width
-        n = np.maximum(s[:, 0], 1e-9)
-        mu = (s[:, 1 : 1 + j] + 0.1) / (n[:, None] + 1)
-        second = s[:, 1 + j : -1].reshape(2, j, j)
-        sigma = sum(second[y] - n[y] * np.outer(mu[y], mu[y]) for y in (0, 1)) / n.sum()
-        d = np.sqrt(np.maximum(np.diag(sigma), 1e-9))
-        self.mu, self.prior = mu, n[1] / n.sum()
-        self.rho = np.clip(sigma / np.outer(d, d), 0, 1)  # voters that never vote together have none
-        np.fill_diagonal(self.rho, 0)
-        self.w = np.log(mu[1] / mu[0])
-        self.b = np.log(n[1] / n[0])
-        none = (s[:, -1] + 0.1) / (n + 1)
-        self.b_none = self.b + np.log(none[1] / none[0])
-
-
-def _sums(votes: DataFrame, model: LabelModel, labelled_only: bool) -> np.ndarray:
-    """Sums by class over votes(ids, label): label where known, else the posterior."""
+        n, c, both = np.maximum(s[:, 0], 1e-9), s[:, 1 : 1 + j], s[:, 1 + j :].reshape(2, j, j)
+        self.mu, self.prior = (c + 0.1) / (n[:, None] + 1), n[1] / n.sum()
+        self.parent = tree(n, c, both)
+        k = np.flatnonzero(self.parent >= 0)
+        up = self.parent[k]
+        mate, over = both[:, k, up], c[:, up]  # the voter's votes beside its parent's, the parent's votes
+        pooled = (mate.sum(0) + (c.sum(0)[k] + 0.1) / (n.sum() + 1)) / (over.sum(0) + 1)
+        on, off = self.mu.copy(), self.mu.copy()
+        on[:, k] = (mate + pooled) / (over + 1)
+        off[:, k] = (np.maximum(c[:, k] - mate, 0) + self.mu[:, k]) / (np.maximum(n[:, None] - over, 0) + 1)
+        on, off = np.clip(on, 1e-12, 1 - 1e-9), np.clip(off, 1e-12, 1 - 1e-9)
+        self.none = np.log1p(-off).sum(1) + np.log(n / n.sum())
+        self.alone, self.joined = np.log(off) - np.log1p(-off), np.log(on) - np.log1p(-on)
+        shift = np.log1p(-on) - np.log1p(-off)  # of a child that abstains, when its parent votes
+        self.quiet = np.stack([np.bincount(up, shift[y][k], j) for y in (0, 1)])
+
+
+def _sums(patterns: DataFrame, model: LabelModel, labelled_only: bool) -> tuple[np.ndarray, float]:
+    """Sums by class over patterns(ids, label, rows), label where known, else the posterior; and the mean log-likelihood of all rows."""
     j = model.width
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = np.zeros((2, 2 + j + j * j))
+        s, fits = np.zeros((2, 1 + j + j * j)), 0.0
         for b in batches:
-            ids, label = b.column(0).to_pylist(), b.column(1).to_pylist()
-            if labelled_only:
-                ids, label = [x for x, y in zip(ids, label, strict=True) if y is not None], [y for y in label if y is not None]
-            y = np.array([np.nan if x is None else x for x in label], float)
-            if not labelled_only:
-                unknown = np.flatnonzero(np.isnan(y))
-                y[unknown] = model.posterior([ids[k] for k in unknown.tolist()])
+            ids, label, rows = (b.column(k).to_pylist() for k in range(3))
+            label, rows = np.array([np.nan if x is None else x for x in label], float), np.array(rows, float)
             for at in Votes.cut(ids):
-                v = Votes(ids[at])
-                pair, none = v.col[v.left] * j + v.col[v.right], ~model.voted(v)
+                v, y, n = Votes(ids[at]), label[at], rows[at]
+                unknown = np.isnan(y)
+                if labelled_only:
+                    n, y = np.where(unknown, 0.0, n), np.where(unknown, 0.0, y)
+                else:
+                    clean, toxic = model.log_joint(v)
+                    fits += float(n @ np.where(unknown, np.logaddexp(clean, toxic), np.where(y == 1, toxic, clean)))
+                    y = np.where(unknown, 1 / (1 + np.exp(-np.clip(toxic - clean, -30, 30))), y)
+                pair = v.col[v.left] * j + v.col[v.right]
                 kinds, of = np.unique(pair, return_inverse=True)
-                for c, p in ((0, 1 - y[at]), (1, y[at])):
+                for c, p in ((0, n * (1 - y)), (1, n * y)):
                     s[c, 0] += p.sum()
                     s[c, 1 : 1 + j] += np.bincount(v.col, p[v.row], j)
                     s[c, 1 + j + kinds] += np.bincount(of, p[v.row[v.left]], len(kinds))
-                    s[c, -1] += p[none].sum()
         flat = s.ravel()
         k = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(flat[k])], ["k", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1), pa.int64()), pa.array(np.append(flat[k], fits))], ["k", "s"])
 
-    got = votes.select("ids", "label").mapInArrow(add, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).toArrow()  # pairs of voters that vote together
-    out = np.zeros(2 * (2 + j + j * j))
-    out[got.column("k").to_numpy()] = got.column("s").to_numpy()
-    return out.reshape(2, -1)
+    got = patterns.select("ids", "label", "rows").mapInArrow(add, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).toArrow()  # pairs of voters that vote together
+    out = np.zeros(2 * (1 + j + j * j) + 1)
+    out[got.column("k").to_numpy()] = got.column("s").to_numpy()  # the likelihood's key -1 is the last place
+    s = out[:-1].reshape(2, -1)
+    return s, float(out[-1] / max(s[:, 0].sum(), 1))
 
 
 def fit_linear(ids: list[list[int]], y: np.ndarray, width: int, l2: float = 1e-5, steps: int = 4000) -> tuple[np.ndarray, float]:
@@ -264,6 +290,23 @@ class Model:
         self.entries, self.w, self.b, self.label_model = entries, w, b, label_model
 
 
+def fit_label_model(votes: DataFrame, n_entries: int) -> LabelModel:
+    """The label model of votes(ids, label): from labels, then by rounds over all rows."""
+    patterns = C.materialize(votes.groupBy("ids", "label").agg(F.count("*").alias("rows")), "tox-patterns")
+    model = LabelModel(n_entries)
+    model.set(_sums(patterns, model, labelled_only=True)[0])
+    before = -np.inf
+    for _ in range(ROUNDS):
+        s, fits = _sums(patterns, model, labelled_only=False)
+        print("EM", fits)
+        if fits - before < RISE:
+            break
+        model.set(s)
+        before = fits
+    C.drop(patterns)
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: C.fold(doc_id) != 0) -> Model:
     """Learns from labels(doc_id, toxic) of rows that `learn` admits; docs(doc_id, text): all documents."""
     model, votes = fit_votes(docs, labels, learn)
@@ -283,10 +326,7 @@ def fit_votes(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: C.fold(do
         return Model([], np.zeros(len(PATTERNS)), -30.0), votes_of(docs, [], ["doc_id"])
     made = votes_of(docs, entries, ["doc_id"]).join(known.withColumnRenamed("toxic", "label"), "doc_id", "left")
     votes = C.materialize(made, "tox-votes")
-    model = LabelModel(len(entries))
-    model.set(_sums(votes, model, labelled_only=True))
-    for _ in range(ROUNDS):
-        model.set(_sums(votes, model, labelled_only=False))
+    model = fit_label_model(votes, len(entries))
     total = votes.count()
     got = bounded(votes.select("doc_id", "ids", "label"), FIT_ROWS, total).select("ids", "label").toArrow()
     ids = got.column("ids").to_pylist() + [[k] for k in range(len(entries))]  # and, for each lexicon voter, a text that has its vote alone
