@@ -15,8 +15,10 @@ suffix tree of string depth `width` or more, and for each window of `width` word
    equal suffixes once (the earliest), so a passage that is everywhere is one suffix a chunk in its group.
 3. Subtrees. A group sorts its suffixes by their words and has its tree by the lengths of the prefixes that neighbours
    share (Subtree). A window with `a` words before its anchor stands for the node at depth width - a; windows under
-   one node whose `a` words before the anchor are equal too, word by word, are one repeat: all but
-   the earliest learn that they are later. Chunks get a bit for each window that they sent.
+   one node whose `a` words before the anchor are equal too, word by word, and whose names (64 more bits over the
+   whole window, from all 64 bits of its words' hashes) are equal, are one repeat: all but
+   the earliest learn that they are later. Chunks get a bit for each window that they sent. So windows that differ in
+   a single word are told apart by 32 bits of that word's hash and by 64 of the window's name.
 4. Repeats. Later windows that overlap or touch in a document form one maximal repeated span.
 
 Order: documents without an id first, by hash of the text, then by doc_id; within a document by position; rows that
@@ -130,11 +132,15 @@ class Chunk:
         self.is_first = np.zeros(len(lo), bool)
         self.is_first[first] = True
         self.s_lo, self.s_m, self.s_ahead, self.s_key, self.s_doc = lo[first], m[first], ahead[first], key[first], doc[first]
+        m = self.s_m
+        each = np.repeat(self.s_lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        self.names = spans.name(each, np.full(len(each), self.width))[1]  # by window of the suffixes sent
 
     def packets(self, chunk: int, groups: int) -> pa.Table:
         at = chunks.cuts(self.s_key, groups)
         word = np.maximum((self.h >> U(32)).astype(np.uint32), np.uint32(1))
-        out = {k: [] for k in ("range", "m", "ahead", "words", "owner", "place")}
+        out = {k: [] for k in ("range", "m", "ahead", "words", "names", "owner", "place")}
+        window = np.r_[0, np.cumsum(self.s_m)]
         known = np.array([x for x, _, _ in self.docs], bool)
         owner = np.array([i for _, i, _ in self.docs], U)
         for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
@@ -145,6 +151,7 @@ class Chunk:
                 out["m"].append(C.pack_planes(self.s_m[i:j].astype(np.uint32)))
                 out["ahead"].append(C.pack_planes(self.s_ahead[i:j].astype(np.uint32)))
                 out["words"].append(C.pack_planes(word[flat]))
+                out["names"].append(C.pack_planes(self.names[window[i] : window[j]]))
                 out["owner"].append(C.pack_planes(owner[doc]))
                 out["place"].append(C.pack_planes(known[doc].astype(U) << U(48) | lo.astype(U)))
         ranges = out.pop("range")
@@ -189,12 +196,12 @@ class Subtree:
         return out
 
 
-def later_windows(words: list[np.ndarray], m: np.ndarray, ahead: np.ndarray, rank: np.ndarray, width: int) -> np.ndarray:
+def later_windows(words: list[np.ndarray], m: np.ndarray, ahead: np.ndarray, rank: np.ndarray, width: int, names: np.ndarray) -> np.ndarray:
     """For each window of each suffix, in order, whether an equal one has a lesser (rank, start).
 
     words: those of a suffix's windows together, m + width - 1 of them, of which `ahead` stand before the anchor.
-    A window with a words before the anchor is the window number ahead - a of its suffix. Ranks of suffixes are
-    distinct and in the order of where their anchors stand.
+    A window with a words before the anchor is the window number ahead - a of its suffix; names: a number for each
+    window, equal for equal ones. Ranks of suffixes are distinct and in the order of where their anchors stand.
     """
     n = m + width - 1
     begin = np.cumsum(n) - n
@@ -215,14 +222,15 @@ def later_windows(words: list[np.ndarray], m: np.ndarray, ahead: np.ndarray, ran
         has = a > ahead[mine] - m[mine]  # windows begin ahead, ahead - 1, ..., ahead - m + 1 words before the anchor
         some = mine[has]
         if len(some):
-            _, node = np.unique(tree.below(width - a)[some] * len(m) + left[has], return_inverse=True)
-            first = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(first, node, rank[some])
-            out[at[some] + ahead[some] - a] = rank[some] > first[node]
+            window = at[some] + ahead[some] - a
+            node, name = tree.below(width - a)[some] * len(m) + left[has], names[window]
+            order = np.lexsort((rank[some], name, node))
+            node, name = node[order], name[order]
+            out[window[order[1:]]] = (node[1:] == node[:-1]) & (name[1:] == name[:-1])
     return out
 
 
-_SENT = "range int, chunk int, m binary, ahead binary, words binary, owner binary, place binary"
+_SENT = "range int, chunk int, m binary, ahead binary, words binary, names binary, owner binary, place binary"
 _BITS = "chunk int, range int, n int, bits binary"
 
 
@@ -266,12 +274,13 @@ def spans(docs: DataFrame, width: int = 20, *columns: Column | str) -> DataFrame
         m, ahead, owner, place = ([C.unpack_planes(x, kind) for x in t.column(c).to_pylist()] for c, kind in (("m", np.uint32), ("ahead", np.uint32), ("owner", U), ("place", U)))
         sizes, windows = [len(x) for x in m], [int(x.sum()) for x in m]
         words = [C.unpack_planes(x, np.uint32) for x in t.column("words").to_pylist()]
+        names = np.concatenate([C.unpack_planes(x, U) for x in t.column("names").to_pylist()])
         m, ahead, owner, place = (np.concatenate(x) for x in (m, ahead, owner, place))
         m, ahead = m.astype(np.int64), ahead.astype(np.int64)
         at = (place & U((1 << 48) - 1)).astype(np.int64) + ahead
         rank = np.empty(len(m), np.int64)
         rank[np.lexsort((at, owner, place >> U(48)))] = np.arange(len(m))
-        later = later_windows(words, m, ahead, rank, width)
+        later = later_windows(words, m, ahead, rank, width, names)
         split = np.split(later, np.cumsum(windows)[:-1])
         assert len(sizes) == len(split)
         C.give_back()

@@ -106,15 +106,19 @@ class Encoder:
         self.used += len(ids)
 
     def encode_new(self, new: list[str]) -> None:
-        """Adds pieces. Those without inner white space are encoded as one text, parted by a mark that none of them has and that is one token by itself."""
-        odd = [x for x in new if self.mark in x or not x or _ODD.search(x, 1)]
+        """Adds pieces. Those without white space but one leading space are encoded as one text, parted by a mark that none of
+        them has and that is one token by itself; should a mark have gone into another token, all are encoded alone."""
+        odd = [x for x in new if self.mark in x or not x or x == " " or _ODD.search(x, x[0] == " ")]
         rest = set(odd)
         plain = [x for x in new if x not in rest]
         if plain:
             (e,) = self.tok.encode_batch_fast([self.between.join(plain) + self.between], add_special_tokens=False)
             ids = np.array(e.ids, "<u4")
             end = np.flatnonzero(ids == self.mark_id)
-            self.add(plain, ids[ids != self.mark_id], np.diff(end, prepend=-1) - 1)
+            if len(end) == len(plain) and end[-1] == len(ids) - 1:
+                self.add(plain, ids[ids != self.mark_id], np.diff(end, prepend=-1) - 1)
+            else:
+                odd = new
         if odd:
             each = [np.array(e.ids, "<u4") for e in self.tok.encode_batch(odd, add_special_tokens=False)]
             self.add(odd, np.concatenate(each), np.array([len(x) for x in each]))

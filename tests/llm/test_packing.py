@@ -39,6 +39,17 @@ def test_pieces_cover_documents_and_windows(spark, monkeypatch):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
 
 
+def test_texts_of_white_space(spark):
+    from tests.llm.test_token_store import WHITE
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a normal text", *WHITE, "another", "b", *(f"x{w}" for w in WHITE), "\u00a0"]
+    tok = Tokenizer.from_file(path)
+    got = P.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path).collect()
+    assert sorted((r.doc_id, r.doc_tokens, r.ids_crc32) for r in got if r.length == r.doc_tokens and r.start == 0) == [(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in enumerate(texts) for ids in [[*tok.encode(t, add_special_tokens=False).ids, 1]] if any(r.doc_id == i and r.length == r.doc_tokens for r in got)]
+    assert sum(r.length == r.doc_tokens for r in got) > 60
+
+
 def test_index_scores_are_bm25_and_best_neighbour_follows():
     tails = [np.array(x, "<u4") for x in ([5, 6, 7, 7], [1, 2, 3], [7, 7, 7, 2], [5, 6, 9])]
     n, mean = 4, np.mean([len(x) for x in tails])

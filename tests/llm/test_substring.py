@@ -45,6 +45,18 @@ def test_equals_brute_force(spark, monkeypatch):
         assert got == brute(rows, width)
 
 
+def test_words_of_equal_upper_halves_of_their_hashes(spark):
+    """n6848 and n16623 agree in the upper 32 bits: windows around them are told apart all the same."""
+    from lexmill.llm import common as C
+
+    a, b = C.hash_words([b"n6848", b"n16623"])
+    assert a >> np.uint64(32) == b >> np.uint64(32)
+    head, tail = " ".join(f"h{i}" for i in range(19)), " ".join(f"t{i}" for i in range(19))
+    rows = [(1, f"{head} n6848 {tail}"), (2, f"{head} n16623 {tail}"), (3, f"{head} n6848 {tail}")]
+    got = {r.doc_id: r.n_removed for r in S.spans(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()}
+    assert got == {1: 0, 2: 0, 3: 39}
+
+
 def test_spans_are_maximal_and_cover_what_is_removed(spark):
     df = spark.createDataFrame(corpus(1), "doc_id long, text string")
     for r in S.spans(df, 5).collect():

@@ -34,6 +34,28 @@ def test_pieces_give_the_ids_of_whole_texts(file, kind, monkeypatch):
         assert enc.encode_all(texts[at : at + 100]) == [enc.library(t) for t in texts[at : at + 100]]
 
 
+#: Every character that Python or the libraries take for white space.
+WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\u200b", "\u180e", "\ufeff", "\0"]
+
+
+@pytest.mark.parametrize(("file", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_white_space_alone_first_last_and_between(file, kind):
+    enc = S.Encoder(public_tokenizers.path(file), kind)
+    for w in WHITE:
+        for near in (["a normal text", w, "another"], ["b", w], [w, "c"], [f"{w}a", f"a{w}", f"a{w}b", f" {w}", f"{w} ", f"a {w} b", f"a{w}{w} b"], [w * 3, f"x, {w}y", f"\n{w}", f"{w}\n"]):
+            enc.clear()
+            want = [enc.library(t) for t in near]
+            assert enc.encode_all(near) == want == enc.encode_all(near), repr(w)
+
+
+def test_a_lost_mark_is_noticed(monkeypatch):
+    """Even pieces that ate a mark would be encoded alone."""
+    enc = S.Encoder(public_tokenizers.path("byte_bpe_50k.json"), "byte")
+    enc.between = " "  # so that no mark is found
+    texts = ["one two", "three four"]
+    assert enc.encode_all(texts) == [enc.library(t) for t in texts]
+
+
 def test_mph_is_minimal_and_perfect():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     f = S.Mph.build(keys)
