@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL for those that SQL can express."""
 
-from lexmill.llm import archive, forest, jaccard, katz, media, mixing, packing, substring, token_store, toxicity
+from lexmill.llm import archive, forest, jaccard, katz, media, mixing, packing, substring, token_store, toxicity, trie
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_katz_backoff": katz.query,
     "op9_arc_to_warc": archive.query,
     "op10_mixing": mixing.query,
+    "op13_conversation_trie": trie.query,
 }
-ORACLES: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE, "op6_substring_dedup": substring.ORACLE, "op9_arc_to_warc": archive.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE, "op6_substring_dedup": substring.ORACLE, "op9_arc_to_warc": archive.ORACLE, "op10_mixing": mixing.ORACLE, "op13_conversation_trie": trie.ORACLE}
