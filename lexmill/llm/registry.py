@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL for those that SQL can express."""
 
-from lexmill.llm import align, archive, forest, jaccard, katz, media, mixing, packing, substring, token_store, toxicity, trie
+from lexmill.llm import align, archive, forest, jaccard, katz, media, mixing, odd, packing, substring, token_store, toxicity, trie
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -13,7 +13,8 @@ QUERIES = {
     "op8_katz_backoff": katz.query,
     "op9_arc_to_warc": archive.query,
     "op10_mixing": mixing.query,
+    "op11_odd_sketches": odd.query,
     "op12_tokenizer_alignment": align.query,
     "op13_conversation_trie": trie.query,
 }
-ORACLES: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE, "op6_substring_dedup": substring.ORACLE, "op9_arc_to_warc": archive.ORACLE, "op10_mixing": mixing.ORACLE, "op13_conversation_trie": trie.ORACLE}
+ORACLES: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE, "op6_substring_dedup": substring.ORACLE, "op9_arc_to_warc": archive.ORACLE, "op10_mixing": mixing.ORACLE, "op11_odd_sketches": odd.ORACLE, "op13_conversation_trie": trie.ORACLE}
