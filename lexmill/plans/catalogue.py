@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import audits, chunking, citations, collection, metrics, parsing, retrieval, routing
+from lexmill.operators import audits, chunking, citations, collection, metrics, parsing, retrieval, routing, sequences
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -299,9 +299,8 @@ x AS (SELECT source, n, n_chars AS size, 1 AS k, 0 AS g FROM o WHERE n = 1
  UNION ALL SELECT o.source, o.n, CASE WHEN x.size + o.n_chars > 20000 OR x.k >= 8 THEN o.n_chars ELSE x.size + o.n_chars END, CASE WHEN x.size + o.n_chars > 20000 OR x.k >= 8 THEN 1 ELSE x.k + 1 END, CASE WHEN x.size + o.n_chars > 20000 OR x.k >= 8 THEN x.g + 1 ELSE x.g END FROM x JOIN o ON o.source = x.source AND o.n = x.n + 1)
 SELECT x.source, CAST(g AS BIGINT) AS batch, count(*) AS n, CAST(sum(o.n_chars) AS BIGINT) AS size FROM x JOIN o ON o.source = x.source AND o.n = x.n GROUP BY ALL""")
 def batch_plan(spark, sf):
-    d = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("s"))
-    d = d.withColumn("sizes", F.transform("s", lambda x: x["n_chars"])).withColumn("g", chunking.greedy_groups(F.col("sizes"), 20_000, 0, 8))
-    return d.select("source", F.explode(F.arrays_zip("g", "sizes")).alias("x")).groupBy("source", F.col("x.g").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.sum("x.sizes").alias("size"))
+    d = sequences.cut(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 20_000, most=8)
+    return d.groupBy("source", "batch").agg(F.count("*").alias("n"), F.sum("n_chars").alias("size"))
 
 
 @query("""SELECT doc_id, md5(source || chr(10) || upper(lang) || ' ' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) || 'T' || doc_id END || chr(10) || chr(10) || text) AS digest FROM documents""")
@@ -475,15 +474,14 @@ def snippet(spark, sf):
 @query(f"""WITH b AS (SELECT item_id, list_distinct({_TOK.format("text")}) AS t FROM benchmark), o AS (SELECT item_id, t, lag(t) OVER (ORDER BY item_id) AS p FROM b)
 SELECT item_id, CAST(len(list_intersect(t, p)) AS BIGINT) AS shared, CAST(len(list_filter(t, lambda x: NOT list_contains(p, x))) AS BIGINT) AS own FROM o WHERE p IS NOT NULL""")
 def token_overlap(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.array_distinct(T.tokens("text")).alias("t"))
-    o = b.withColumn("p", F.lag("t").over(Window.orderBy("item_id"))).where("p is not null")
+    b = table(spark, sf, "benchmark").select(F.lit(0).alias("set"), "item_id", F.array_distinct(T.tokens("text")).alias("t"))
+    o = sequences.previous(b, "set", "item_id", "t", "p").where("p is not null")
     return o.select("item_id", F.size(F.array_intersect("t", "p")).cast("long").alias("shared"), F.size(F.array_except("t", "p")).cast("long").alias("own"))
 
 
 @query("SELECT doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS BIGINT) AS char_start, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS char_end FROM documents")
 def running_offsets(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select("doc_id", (F.sum("n_chars").over(w) - F.col("n_chars")).alias("char_start"), F.sum("n_chars").over(w).alias("char_end"))
+    return sequences.running(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", "char_start", "char_end").select("doc_id", "char_start", "char_end")
 
 
 @query("""WITH h AS (SELECT sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}') AS h FROM documents)
@@ -510,7 +508,7 @@ def failure_labels(spark, sf):
 @query("""WITH d AS (SELECT DISTINCT lang, doc_id FROM documents), n AS (SELECT lang, doc_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS nx FROM d)
 SELECT lang, doc_id + 1 AS gap_start, nx - 1 AS gap_end FROM n WHERE nx > doc_id + 1""")
 def number_gaps(spark, sf):
-    return audits.number_gaps(table(spark, sf, "documents"), "lang", "doc_id")
+    return sequences.gaps(table(spark, sf, "documents"), "lang", "doc_id")
 
 
 @query("SELECT source, n_chars, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
