@@ -6,47 +6,74 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators.chunking import greedy_groups
+from lexmill.operators import sequences
 
-HEADING = r"(?iuU)^\s*EK\s*[-–—]?\s*[1-9]\d*(?:\s*/\s*\p{L})?\b"
-LABEL = r"(?iuU)\bEK\s*[-–—]?\s*([1-9]\d*)(?:\s*/\s*(\p{L})\b)?"
-FILE_LABEL = r"(?iuU)(?:^|[/\\ _(-])EK\s*[-–—_ ]?\s*([1-9]\d*)(?:\s*[/_-]\s*(\p{L})(?=$|[^\p{L}]))?"
+_LETTER = "[A-Za-zÇĞİÖŞÜçğıöşü]"
+#: Labels and headings of annexes (fixed values): EK-77, EK 77/A, EK-77-A, EK 77 A; a heading is a line of its own, maybe quoted.
+LABEL = rf"(?iuU)\bEK\s*[-–—]?\s*(\d{{1,3}})(?:(?:\s*[/–—-]\s*|\s+)({_LETTER}))?\b"
+HEADING = rf"(?iuU)^\s*[(\"“]?\s*EK\s*[-–—]?\s*\d{{1,3}}(?:\s*[/–—-]\s*{_LETTER})?\s*[\"”]?\s*$"
 #: What tells versions of one text (fixed values).
 VERSION_MARKS = ("version", "eski metin", "yeni metin", "yürürlük tarihi", "değişik")
 SAME = ("SINGLE", "EXACT_DUPLICATE", "WHITESPACE_EQUIVALENT", "STRUCTURALLY_EQUIVALENT")
 
 
-def _key(text: Column, pattern: str) -> Column:
-    n, sub = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
-    return F.when(n != "", F.concat(n, F.when(sub != "", F.concat(F.lit("/"), F.upper(sub))).otherwise("")))
+def _key(text: Column) -> Column:
+    """n or n/X of the first label; null without one; annex 0 raises."""
+    n, sub = F.regexp_extract(text, LABEL, 1), F.regexp_extract(text, LABEL, 2)
+    number = F.when(n.cast("int") > 0, n.cast("int").cast("string")).otherwise(F.raise_error(F.concat(F.lit("not an annex number: "), n)).cast("string"))
+    return F.when(n != "", F.concat(number, F.when(sub != "", F.concat(F.lit("/"), F.upper(sub))).otherwise("")))
 
 
 def heading_key(text: Column) -> Column:
-    """n or n/X of a heading (EK-77, EK 77/A); a line of up to 120 characters that cites the gazette (RG-) counts wherever the label stands in it."""
-    t = F.trim(text)
-    return F.when(t.rlike(HEADING) | ((F.length(t) <= 120) & F.contains(F.upper(t), F.lit("RG-"))), _key(t, LABEL))
+    """n or n/X of a heading: a line that is a label and nothing else, or one of up to 120 characters that cites the gazette (RG-), wherever the label stands in it."""
+    t = T.strip(text)
+    return F.when(t.rlike(HEADING) | ((F.length(t) <= 120) & F.contains(F.upper(t), F.lit("RG-"))), _key(text))
 
 
 def member_key(member: Column) -> Column:
     """n or n/X of a member's file name; null where it has none."""
-    stem = F.regexp_replace(F.element_at(F.split(member, "/"), -1), r"\.[^.]*$", "")
-    return _key(stem, FILE_LABEL)
+    return _key(F.regexp_replace(F.element_at(F.split(member, "/"), -1), r"(?<=.)\.[^.]*$", ""))
+
+
+def cell_value(c: Column) -> Column:
+    """A cell's value, or its formula and what was cached of it."""
+    return F.coalesce(c["value"], F.concat(F.lit("="), c["formula"], F.lit(" ["), F.coalesce(c["cached_value"], F.lit("")), F.lit("]")))
 
 
 def render(kind: Column, text: Column, rows: Column, sheet: Column, cells: Column) -> Column:
     """A block as text: the paragraph, TABLE lines, or the SHEET's cells."""
     table = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("TABLE | "), F.array_join(r, " | "))), "\n")
-    one = lambda c: F.concat(c["coord"], F.lit("="), F.coalesce(c["value"], F.concat(F.lit("="), c["formula"], F.lit(" ["), F.coalesce(c["cached_value"], F.lit("")), F.lit("]"))))
+    one = lambda c: F.concat(c["coord"], F.lit("="), cell_value(c))
     return F.when(kind == "table", table).when(kind == "spreadsheet", F.array_join(F.concat(F.array(F.concat(F.lit("SHEET | "), sheet)), F.transform(cells, one)), "\n")).otherwise(F.coalesce(text, F.lit("")))
 
 
 def segments(blocks: DataFrame) -> DataFrame:
-    """Adds annex: the last heading at or above each block of its member, above the first one the file name's; a member whose name has no label raises."""
-    w = Window.partitionBy("path", "member").orderBy("source_order").rowsBetween(Window.unboundedPreceding, 0)
+    """Adds annex and part: a member's first part is its file name's annex's, and a heading of another annex than the one before begins the next.
+
+    An annex that comes back is a part of its own. A member whose name has no label raises. Windows are over the blocks of one file.
+    """
+    w = Window.partitionBy("path", "member").orderBy("source_order")
     own = member_key(F.col("member"))
     none = F.raise_error(F.concat(F.lit("no annex label in "), F.col("member"))).cast("string")
     here = F.when(F.col("kind") == "paragraph", heading_key(F.col("text")))
-    return blocks.withColumn("annex", F.coalesce(F.last(here, ignorenulls=True).over(w), own)).withColumn("annex", F.when(own.isNull(), none).otherwise(F.col("annex")))
+    b = blocks.withColumn("own", F.when(own.isNull(), none).otherwise(own)).withColumn("here", here)
+    b = b.withColumn("annex", F.coalesce(F.last("here", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "own"))
+    new = F.col("annex") != F.coalesce(F.lag("annex").over(w), F.col("own"))
+    return b.withColumn("new", new.cast("int")).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new", "here")
+
+
+def contributors(blocks: DataFrame) -> DataFrame:
+    """A row for each part of a member: path, member, member_order, part, annex, detected, warning, text (its blocks rendered, by lines). The file name's own part is there even if nothing stands in it."""
+    order = "member_order" if "member_order" in blocks.columns else None
+    b = segments(blocks if order else blocks.withColumn("member_order", F.lit(0)))
+    r = b.withColumn("r", render(F.col("kind"), F.col("text"), F.col("rows"), F.col("sheet_name"), F.col("cells")))
+    lines = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("source_order", "r"))), lambda x: x["r"]), lambda x: x != "")
+    warning = F.max("warning") if "warning" in blocks.columns else F.lit(None).cast("string")
+    made = r.groupBy("path", "member", "part", "annex").agg(F.array_join(lines, "\n").alias("text"))
+    of = b.groupBy("path", "member").agg(F.first("own").alias("own"), F.min("member_order").alias("member_order"), F.first("detected").alias("detected"), warning.alias("warning"))
+    empty = of.select("path", "member", F.lit(0).alias("part"), F.col("own").alias("annex"), F.lit("").alias("text"))
+    whole = made.union(empty).groupBy("path", "member", "part", "annex").agg(F.max("text").alias("text"))
+    return whole.join(of.drop("own"), ["path", "member"]).select("path", "member", "member_order", "part", "annex", "detected", "warning", "text")
 
 
 def relation(texts: Column) -> Column:
@@ -69,52 +96,120 @@ def relation(texts: Column) -> Column:
 
 
 def units(blocks: DataFrame) -> DataFrame:
-    """annex, members, relation, canonical, rendered.
+    """path, annex, members (of its contributors, in archive order), relation, canonical (member, part), rendered, warnings.
 
-    Duplicates are rendered as the canonical member (one whose file name is this annex's first, then docx and xlsx, then by
-    name); others one after another with headers, those without text left out.
+    Duplicates are rendered as the canonical contributor (one whose file name is this annex's first, then docx and xlsx, then by
+    name); others one after another in archive order with headers, those without text left out.
     """
-    b = segments(blocks).withColumn("r", render(F.col("kind"), F.col("text"), F.col("rows"), F.col("sheet_name"), F.col("cells")))
-    lines = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("source_order", "r"))), lambda x: x["r"]), lambda r: r != "")
-    m = b.groupBy("annex", "path", "member").agg(F.array_join(lines, "\n").alias("text"), F.first("detected").alias("detected"), F.min("source_order").alias("at"))
-    dedicated = F.coalesce(member_key(F.col("member")) == F.col("annex"), F.lit(False))
-    m = m.withColumn("place", F.struct((~dedicated).alias("a"), (~F.col("detected").isin("docx", "xlsx")).alias("b"), F.col("member").alias("m")))
-    g = m.groupBy("annex").agg(F.array_sort(F.collect_list(F.struct("place", "member", "text"))).alias("s"))
-    by_name = F.array_sort("s", lambda x, y: F.when(x["member"] < y["member"], -1).when(x["member"] > y["member"], 1).otherwise(0))
+    m = contributors(blocks)
+    at = F.struct("member_order", "member", "part")
+    dedicated = member_key(F.col("member")) == F.col("annex")
+    place = F.struct((~dedicated).alias("a"), (~F.col("detected").isin("docx", "xlsx")).alias("b"), F.col("member").alias("m"), F.col("part").alias("p"))
+    g = m.groupBy("path", "annex").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "member", "part", "text", "warning"))).alias("s"), F.min(place).alias("c"))
     g = g.withColumn("relation", relation(F.transform("s", lambda x: x["text"])))
-    joined = F.array_join(F.transform(F.filter(by_name, lambda x: x["text"] != ""), lambda x: F.concat(F.lit("SOURCE_MEMBER | "), x["member"], F.lit("\n"), x["text"])), "\n")
-    return g.select("annex", F.transform(by_name, lambda x: x["member"]).alias("members"), "relation", F.col("s")[0]["member"].alias("canonical"), F.when(F.col("relation").isin(*SAME), F.col("s")[0]["text"]).otherwise(joined).alias("rendered"))
+    joined = F.array_join(F.transform(F.filter("s", lambda x: x["text"] != ""), lambda x: F.concat(F.lit("SOURCE_MEMBER | "), x["member"], F.lit("\n"), x["text"])), "\n")
+    own = F.filter("s", lambda x: (x["member"] == F.col("c.m")) & (x["part"] == F.col("c.p")))[0]["text"]
+    return g.select("path", "annex", F.transform("s", lambda x: x["member"]).alias("members"), "relation", F.col("c.m").alias("canonical"), F.col("c.p").alias("canonical_part"), F.when(F.col("relation").isin(*SAME), own).otherwise(joined).alias("rendered"), F.array_distinct(F.array_compact(F.transform("s", lambda x: x["warning"]))).alias("warnings"))
 
 
 def diagnostics(blocks: DataFrame, made: DataFrame) -> DataFrame:
-    """One row over units(): members, units, annexes of several members, units without text, storage ids of several annexes."""
+    """A row an archive, over units(): members, units, multi_source (annexes of several contributors), empty (units without text), unresolved, failures (units
+    with warnings), unreadable (whose warning says that nothing could be read), storage_collisions (storage ids of several annexes), readers (members by how they were read), provenance (every member
+    has its own and the archive's hash) and normalization (every member in a legacy format was converted)."""
+    has = lambda c: F.col(c) if c in blocks.columns else F.lit(None).cast("string")
+    one = blocks.groupBy("path", "member").agg(F.first("detected").alias("detected"), F.max(has("member_sha256")).alias("sha"), F.max(has("archive_sha256")).alias("zip"), F.max(has("normalized")).alias("normalized"), F.max(has("original")).alias("original"))
+    reader = F.when(F.col("normalized").isNotNull(), F.concat(F.lit("normalized_"), F.col("detected"))).when(F.col("detected") == "ole", F.when(F.lower("member").endswith(".xls"), "legacy_xls").otherwise("legacy_doc")).otherwise(F.col("detected"))
+    counts = one.groupBy("path", reader.alias("reader")).agg(F.count("*").alias("n"), F.count_if(F.col("sha").isNull() | F.col("zip").isNull()).alias("bare"), F.count_if((F.coalesce("original", "detected") == "ole") & F.col("normalized").isNull()).alias("legacy"))
+    read = counts.groupBy("path").agg(F.sum("n").alias("members"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("reader", "n")))).alias("readers"), (F.sum("bare") == 0).alias("provenance"), (F.sum("legacy") == 0).alias("normalization"))
     storage = F.lower(F.regexp_replace("annex", "/", "-"))
-    clash = made.groupBy(storage.alias("s")).count().where("count > 1").agg(F.count("*").alias("storage_collisions"))
-    members = blocks.agg(F.countDistinct("path", "member").alias("members"))
-    of = made.agg(F.count("*").alias("units"), F.count_if(F.size("members") > 1).alias("multi_source"), F.count_if(F.col("rendered") == "").alias("empty"), F.count_if(F.col("relation").isin("CONFLICTING", "UNKNOWN")).alias("unresolved"))
-    return members.crossJoin(F.broadcast(of)).crossJoin(F.broadcast(clash))  # one row each
+    clash = made.groupBy("path", storage.alias("s")).count().groupBy("path").agg(F.count_if(F.col("count") > 1).alias("storage_collisions"))
+    of = made.groupBy("path").agg(F.count("*").alias("units"), F.count_if(F.size("members") > 1).alias("multi_source"), F.count_if(F.col("rendered") == "").alias("empty"), F.count_if(F.col("relation").isin("CONFLICTING", "UNKNOWN")).alias("unresolved"), F.count_if(F.size("warnings") > 0).alias("failures"), F.count_if(F.exists("warnings", lambda w: w.contains("can't read"))).alias("unreadable"))
+    return read.join(of, "path").join(clash, "path")
 
 
 def resolved(made: DataFrame) -> DataFrame:
-    """made in annex order, or an error where contributors are unresolved or an annex is there twice."""
+    """made, or an error where contributors are unresolved or an annex is there twice."""
     bad = F.col("relation").isin("CONFLICTING", "UNKNOWN")
-    m = made.withColumn("n", F.count("*").over(Window.partitionBy("annex")))
+    m = made.withColumn("n", F.count("*").over(Window.partitionBy("path", "annex")))
     text = F.when(bad, F.raise_error(F.concat(F.lit("unresolved contributors of annex "), F.col("annex"))).cast("string")).when(F.col("n") > 1, F.raise_error(F.concat(F.lit("annex twice: "), F.col("annex"))).cast("string")).otherwise(F.col("rendered"))
     return m.withColumn("rendered", text).drop("n")
 
 
-def chunks(made: DataFrame, limit: int = 4000) -> DataFrame:
-    """Lines of each unit packed in order: annex, chunk_no (from 1), text, char_start, char_end, oversized. Texts joined without anything between give `rendered` again: a newline belongs to the chunk that follows it, a SOURCE_MEMBER line to what follows it too, and a member begins a chunk. Unresolved or repeated annexes raise."""
-    lines = resolved(made).select("annex", F.split("rendered", "\n", -1).alias("l"))
-    numbered = F.transform("l", lambda x, i: F.when(i > 0, F.concat(F.lit("\n"), x)).otherwise(x))
-    head = lambda x: F.regexp_replace(x, "^\n", "").startswith("SOURCE_MEMBER | ")
-    start = F.struct(F.array().cast("array<struct<part:int,a:string>>").alias("out"), F.lit(0).alias("part"), F.lit("").alias("held"))
-    # a header waits for the line after it
-    step = lambda s, x: F.when(head(x), F.struct(s["out"].alias("out"), (s["part"] + 1).alias("part"), F.concat(s["held"], x).alias("held"))).otherwise(F.struct(F.concat(s["out"], F.array(F.struct(s["part"].alias("part"), F.concat(s["held"], x).alias("a")))).alias("out"), s["part"].alias("part"), F.lit("").alias("held")))
-    atoms = lines.select("annex", F.aggregate(numbered, start, step, lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["part"].alias("part"), s["held"].alias("a")))))).alias("s"))
-    parts = atoms.select("annex", F.posexplode("s").alias("at", "x")).groupBy("annex", F.col("x.part").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("x.a").alias("a")))), lambda x: x["a"]).alias("a"))
-    p = parts.withColumn("g", greedy_groups(F.transform("a", F.length), limit, 0)).select("annex", "part", F.posexplode(F.arrays_zip("g", "a")).alias("pos", "x"))
-    c = p.groupBy("annex", F.struct("part", F.col("x.g").alias("g")).alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x.a").alias("a")))), lambda x: x["a"]), "").alias("text"))
-    w = Window.partitionBy("annex").orderBy("g")
+def fragments(b: DataFrame, limit: int) -> DataFrame:
+    """segments()'s blocks -> a row for each piece that isn't cut: path, member, part, source_order, piece, kind, text, first and last (exclusive) row, cell or character, sheet_name, coordinates.
+
+    A table's rows; a sheet's rows of cells, its cells one by one where a row passes limit; the lines of a paragraph that passes limit; other blocks whole.
+    Pieces joined without anything between are the rendered block: line ends belong to the piece that follows.
+    """
+    keys = ["path", "member", "part", "source_order"]
+    none = F.lit(None).cast("long")
+    whole = render(F.col("kind"), F.col("text"), F.col("rows"), F.col("sheet_name"), F.col("cells"))
+    line = lambda i: F.when(i > 0, "\n").otherwise("")
+    named = lambda text, first, last, coordinates: (text.alias("t"), first.alias("first"), last.alias("last"), F.col("sheet_name"), coordinates.cast("array<string>").alias("coordinates"))
+    k, long_ = F.col("kind"), F.length("text") > limit
+    is_table, is_sheet = (k == "table") & (F.size("rows") > 0), (k == "spreadsheet") & (F.size("cells") > 0)
+    by_line = (k == "paragraph") & long_ & F.contains("text", F.lit("\n"))
+    b = b.where(k.isNotNull())
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    plain = b.where(~yes(is_table) & ~yes(is_sheet) & ~yes(by_line)).select(*keys, "kind", F.lit(0).alias("piece"), *named(whole, none, none, F.lit(None)))
+    rows = b.where(yes(is_table)).select(*keys, "kind", "sheet_name", F.posexplode("rows").alias("piece", "r")).select(*keys, "kind", "piece", *named(F.concat(line(F.col("piece")), F.lit("TABLE | "), F.array_join("r", " | ")), F.col("piece").cast("long"), F.col("piece").cast("long") + 1, F.lit(None)))
+    lines = b.where(yes(by_line)).select(*keys, "kind", "sheet_name", F.posexplode(F.split("text", "\n", -1)).alias("piece", "l")).withColumn("l", F.concat(line(F.col("piece")), "l"))
+    end = F.sum(F.length("l")).over(Window.partitionBy(*keys).orderBy("piece"))
+    lines = lines.withColumn("end", end).select(*keys, "kind", "piece", *named(F.col("l"), F.col("end") - F.length("l"), F.col("end"), F.lit(None)))
+    w = Window.partitionBy(*keys).orderBy("i")
+    cells = b.where(yes(is_sheet)).select(*keys, "kind", "sheet_name", F.posexplode("cells").alias("i", "c")).withColumn("row", F.nullif(F.regexp_extract("c.coord", "^[A-Za-z]+([0-9]+)$", 1), F.lit("")))
+    cells = cells.withColumn("t", F.concat("c.coord", F.lit("="), cell_value(F.col("c")))).withColumn("head", F.when(F.col("i") == 0, F.concat(F.lit("SHEET | "), "sheet_name", F.lit("\n"))).otherwise("\n"))
+    same = F.col("row").isNotNull() & F.coalesce(F.lag("row").over(w) == F.col("row"), F.lit(False))
+    cells = cells.withColumn("same", same).withColumn("g", F.sum((~F.col("same")).cast("int")).over(w))
+    of = Window.partitionBy(*keys, "g")
+    over = F.sum(F.length("t") + 1).over(of) + F.max(F.when(F.col("i") == 0, F.length("head")).otherwise(0)).over(of) > limit
+    cells = cells.withColumn("g2", F.when(over, F.col("i")).otherwise(F.min("i").over(of)))
+    one = F.array_sort(F.collect_list(F.struct("i", "t", "head", F.col("c.coord").alias("coord"))))
+    sheets = cells.groupBy(*keys, "kind", "sheet_name", "g2").agg(one.alias("s")).select(*keys, "kind", F.col("g2").alias("piece"), *named(F.concat(F.col("s")[0]["head"], F.array_join(F.transform("s", lambda x: x["t"]), "\n")), F.col("g2").cast("long"), F.col("g2").cast("long") + F.size("s"), F.transform("s", lambda x: x["coord"])))
+    return plain.union(rows).union(lines).union(sheets).withColumnRenamed("t", "text")
+
+
+def chunks(blocks: DataFrame, limit: int = 4000, document_id: str = "document", made: DataFrame | None = None) -> DataFrame:
+    """blocks -> path, annex, chunk_no (from 1), chunk_id, member, text, char_start, char_end, oversized, pieces (source_order, kind, first, last, sheet_name, coordinates), oversized_pieces.
+
+    Pieces (fragments) of each unit's contributors packed in order, never over limit but where one piece is; a contributor begins a chunk, with its
+    SOURCE_MEMBER line if they are rendered one after another. A unit's chunks joined without anything between are its rendered text, or
+    an error is raised; so it is where contributors are unresolved or limit isn't positive. A unit without blocks is one empty chunk.
+    made: units(blocks), if it is there already.
+    """
+    if isinstance(limit, bool) or not isinstance(limit, int) or limit <= 0:
+        raise ValueError("limit must be a positive whole number")
+    made = resolved(units(blocks) if made is None else made)
+    b = segments(blocks if "member_order" in blocks.columns else blocks.withColumn("member_order", F.lit(0)))
+    of = b.select("path", "member", "part", "annex", "member_order").distinct()
+    unit = made.select("path", "annex", F.col("relation").isin(*SAME).alias("same"), "canonical", "canonical_part", "rendered")
+    use = of.join(unit.drop("rendered"), ["path", "annex"]).where(~F.col("same") | ((F.col("member") == F.col("canonical")) & (F.col("part") == F.col("canonical_part"))))
+    p = fragments(b, limit).join(use, ["path", "member", "part"]).withColumn("section", F.struct("member_order", "member", "part"))
+    # line ends before blocks, headers before contributors: at the first piece with text of each
+    order = F.struct("source_order", "piece")
+    inside = Window.partitionBy("path", "annex", "section").orderBy(order)
+    filled = F.col("text") != ""
+    p = p.withColumn("order", order).withColumn("before", F.coalesce(F.count_if(filled).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = filled & (F.col("before") == 0)
+    sections = p.groupBy("path", "annex", "section").agg(F.bool_or(filled).alias("has_text"))
+    earlier = Window.partitionBy("path", "annex").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    sections = sections.withColumn("follows", F.coalesce(F.bool_or("has_text").over(earlier), F.lit(False)))
+    p = p.join(sections.select("path", "annex", "section", "follows"), ["path", "annex", "section"])
+    header = F.when(~F.col("same"), F.concat(F.when(F.col("follows"), "\n").otherwise(""), F.lit("SOURCE_MEMBER | "), "member", F.lit("\n"))).otherwise("")
+    text = F.when(first, F.concat(header, "text")).when((F.col("piece") == 0) & (F.col("before") > 0) & F.bool_or(filled).over(Window.partitionBy("path", "annex", "section", "source_order")), F.concat(F.lit("\n"), "text")).otherwise(F.col("text"))
+    p = p.withColumn("t", text).withColumn("where", F.to_json(F.struct("path", "annex", "section"))).withColumn("size", F.length("t"))
+    c = sequences.cut(p, "where", "order", "size", limit, name="batch", lone=False)
+    piece = F.struct("order", F.struct("source_order", "kind", "first", "last", "sheet_name", "coordinates").alias("at"), F.col("t").alias("t"))
+    g = c.groupBy("path", "annex", "section", "batch").agg(F.array_sort(F.collect_list(piece), lambda x, y: F.when(x["order"] < y["order"], -1).when(x["order"] > y["order"], 1).otherwise(0)).alias("s"))
+    g = g.select("path", "annex", F.struct("section", "batch").alias("at"), F.col("section.member").alias("member"), F.array_join(F.transform("s", lambda x: x["t"]), "").alias("text"), F.transform("s", lambda x: x["at"]).alias("pieces"), F.transform(F.filter("s", lambda x: x["t"] != ""), lambda x: x["at"]).alias("full"))
+    whole = unit.select("path", "annex", "rendered", F.col("canonical").alias("owner")).join(g, ["path", "annex"], "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("member", F.coalesce("member", "owner"))
+    w = Window.partitionBy("path", "annex").orderBy("at")
     n = F.length("text")
-    return c.select("annex", F.row_number().over(w).alias("chunk_no"), "text", (F.sum(n).over(w) - n).alias("char_start"), F.sum(n).over(w).alias("char_end"), (n > limit).alias("oversized"))
+    end = F.sum(n).over(w)
+    out = whole.withColumn("chunk_no", F.row_number().over(w)).withColumn("char_end", end).withColumn("char_start", end - n)
+    wrong = F.substr(F.col("rendered"), F.col("char_start").cast("int") + 1, n) != F.col("text")
+    short = F.lead("annex").over(w).isNull() & (F.col("char_end") != F.length("rendered"))
+    checked = F.when(wrong | short, F.raise_error(F.concat(F.lit("chunks differ from the rendered annex "), F.col("annex"))).cast("string")).otherwise(F.col("text"))
+    reason = F.when(n > limit, F.transform("full", lambda x: F.struct(F.when(x["kind"] == "table", "table_row").when(x["kind"] == "spreadsheet", "spreadsheet_cell_or_row").otherwise("paragraph").alias("reason"), n.alias("chars"), x["source_order"].alias("source_order"))))
+    ident = F.format_string("%s-ek-%s-chunk-%03d", F.lit(document_id), F.lower(F.regexp_replace("annex", "/", "-")), "chunk_no")
+    return out.select("path", "annex", "chunk_no", ident.alias("chunk_id"), "member", checked.alias("text"), "char_start", "char_end", (n > limit).alias("oversized"), "pieces", reason.alias("oversized_pieces"))

@@ -6,13 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_gaps(df: DataFrame, by: str, number: str) -> DataFrame:
-    """by, first and last number missing inside the range of numbers there are, a row a gap. By neighbours in order, so no range is written out."""
-    w = Window.partitionBy(by).orderBy(number)
-    d = df.select(by, number).where(F.col(number).isNotNull()).distinct().withColumn("next", F.lead(number).over(w))
-    return d.where(F.col("next") > F.col(number) + 1).select(by, (F.col(number) + 1).alias("gap_start"), (F.col("next") - 1).alias("gap_end"))
-
-
 def repeated_labels(df: DataFrame, by: str, label: str) -> DataFrame:
     return df.groupBy(by, label).agg(F.count("*").alias("n")).where("n > 1")
 

@@ -78,12 +78,14 @@ def islands(df: DataFrame, by: str, order: str, key: str, name: str, rows: int |
 # greedy cutting -------------------------------------------------------------------
 
 
-def next_starts(sizes: np.ndarray, limit: int, joint: int = 0, most: int | None = None) -> np.ndarray:
-    """For each item: where the next batch begins if one begins there (len(sizes): not within). One item may be too large by itself."""
+def next_starts(sizes: np.ndarray, limit: int, joint: int = 0, most: int | None = None, lone: bool = True) -> np.ndarray:
+    """For each item: where the next batch begins if one begins there (len(sizes): not within). One item may be too large by itself; lone: also after nothing but items of size 0."""
     m = len(sizes)
     w = np.r_[0, np.cumsum(sizes + joint)]
     i = np.arange(m)
     e = np.searchsorted(w[1:], w[:-1] + joint + limit, "right")
+    if not lone:
+        e = np.minimum(e + (w[np.minimum(e, m)] == w[:-1]), m)
     return np.minimum(np.maximum(e, i + 1), m if most is None else np.minimum(i + most, m))
 
 
@@ -100,14 +102,14 @@ def doubled(nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Part:
     """A run of one key's items in a block."""
 
-    def __init__(self, sizes: np.ndarray, limit: int, joint: int, most: int | None):
-        self.sizes, self.limit, self.joint, self.most = sizes, limit, joint, most
-        self.next = next_starts(sizes, limit, joint, most)
+    def __init__(self, sizes: np.ndarray, limit: int, joint: int, most: int | None, lone: bool = True):
+        self.sizes, self.limit, self.joint, self.most, self.lone = sizes, limit, joint, most, lone
+        self.next = next_starts(sizes, limit, joint, most, lone)
 
     def entries(self) -> list[tuple[int, int, int, int]]:
         """For each place where the first batch of this part may begin (those that an open batch could reach, however little it holds): bytes up to there, batches begun, size and count of the last."""
         w = np.cumsum(self.sizes + self.joint)
-        far = min(int(np.searchsorted(w, self.limit, "right")), len(w) if self.most is None else max(0, self.most - 1))
+        far = min(int(np.searchsorted(w, self.limit, "right")) + (not self.lone), len(w) if self.most is None else max(0, self.most - 1))
         last, count = doubled(self.next)
         j = np.arange(min(far + 1, len(w)))
         total = np.r_[0, w]
@@ -118,6 +120,8 @@ class _Part:
         """Where the first batch begins if an open one has this size and count; len: not within."""
         w = size + np.cumsum(self.sizes + self.joint)
         at = int(np.searchsorted(w, self.limit, "right"))
+        if not self.lone and at < len(w) and (w[at - 1] if at else size) == 0:
+            at += 1
         return at if self.most is None else min(at, max(0, self.most - count))
 
     def numbers(self, first: int, before: int) -> np.ndarray:
@@ -134,10 +138,11 @@ def _runs(keys: list) -> list[tuple[int, int]]:
     return list(zip(at[:-1], at[1:], strict=True))
 
 
-def cut(df: DataFrame, by: str, order: str, size: str, limit: int, joint: int = 0, most: int | None = None, name: str = "batch", allowed: tuple[int, int] | None = None, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, by: str, order: str, size: str, limit: int, joint: int = 0, most: int | None = None, name: str = "batch", allowed: tuple[int, int] | None = None, lone: bool = True, rows: int | None = None) -> DataFrame:
     """df + name: the number (from 0, within by) of the batch that each row falls into when a key's rows are packed in order.
 
-    A new batch begins when the row, with its joint, would take the open one's size over limit, or the open one has `most` rows. Same as
+    A new batch begins when the row, with its joint, would take the open one's size over limit, or the open one has `most` rows; with
+    lone=False (and joint 0) not if the open one has rows of size 0 only. Same as
     chunking.greedy_groups, without a key's rows in one array: a block works out, for every place at which its first batch
     can begin, how its last one ends (next starts by search in prefix sums, then pointer doubling); one pass over a row a
     block settles the places; blocks then number their rows. Sizes that are null, negative or outside `allowed` raise.
@@ -148,7 +153,7 @@ def cut(df: DataFrame, by: str, order: str, size: str, limit: int, joint: int =
     b = blocks(df.withColumn("_size", F.when(s.between(low, high), s).otherwise(bad)).withColumn("_key", F.coalesce(F.col(by).cast("string"), F.lit("\0null"))), by, order, rows)
 
     def part(t: pa.Table, i: int, j: int) -> _Part:
-        return _Part(t.column("_size").to_numpy()[i:j].astype(np.int64), limit, joint, most)
+        return _Part(t.column("_size").to_numpy()[i:j].astype(np.int64), limit, joint, most, lone)
 
     def tell(key, t):
         t = t.sort_by("at")
@@ -166,7 +171,7 @@ def cut(df: DataFrame, by: str, order: str, size: str, limit: int, joint: int =
             goes_on = out and key == x["first"]
             begun = begun if goes_on else 0
             if goes_on:
-                reach = _Part(np.array(x["sizes"], np.int64), limit, joint, most).first(*state)
+                reach = _Part(np.array(x["sizes"], np.int64), limit, joint, most, lone).first(*state)
                 at = reach if reach < len(x["sizes"]) else x["length"]
             else:
                 at = 0

@@ -284,40 +284,47 @@ def chat_messages(spark, sf):
 
 
 def _annex_blocks(spark, sf) -> DataFrame:
-    """Documents by threes as members of one annex: the first as it is, the second the same, with other blanks or other text, the third longer text that holds the first's."""
-    d = table(spark, sf, "documents").select("doc_id", F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^a-z ]", "x"), 1, 60).alias("t"))
-    i = F.col("doc_id")
-    a = F.floor(i / 3) + 1
-    first = d.select((F.floor(i / 3)).alias("f"), i.alias("i"), "t").where("i % 3 = 0").select("f", F.col("t").alias("t0"))
-    j = d.withColumn("f", F.floor(i / 3)).join(first, "f")
-    body = F.when(i % 3 == 0, F.col("t0")).when(a % 4 == 0, F.col("t0")).when(a % 4 == 1, F.concat(F.col("t0"), F.lit("  "))).when(a % 4 == 2, F.concat(F.lit("eski metin "), F.col("t"))).otherwise(F.concat(F.lit("b"), F.col("t")))
-    text = F.concat(F.lit("EK-"), a.cast("string"), F.lit("\n"), F.when((a % 4 == 2) & (i % 3 == 0), F.concat(F.lit("yeni metin "), body)).otherwise(body))
+    """Documents by threes as members of one annex, their lines as blocks: the second has the first's text, the same with other blanks, or its own, as the third has.
+    Every fourth document goes on with another annex and comes back."""
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^a-z \n]", "x").alias("t"))
+    i, a = F.col("doc_id"), F.floor(F.col("doc_id") / 3) + 1
+    j = d.withColumn("f", F.floor(i / 3)).join(d.where("doc_id % 3 = 0").select(F.floor(i / 3).alias("f"), F.col("t").alias("t0")), "f", "left").withColumn("t0", F.coalesce("t0", F.lit("")))
+    body = F.when((i % 3 == 1) & (a % 4 == 0), F.col("t0")).when((i % 3 == 1) & (a % 4 == 1), F.concat("t0", F.lit("  "))).when(a % 4 == 2, F.concat(F.when(i % 3 == 0, "yeni metin ").otherwise("eski metin "), "t")).otherwise(F.col("t"))
+    back = F.when(i % 4 == 0, F.array(F.concat(F.lit("EK-"), a.cast("string"), F.lit("/Z")), F.lit("alt"), F.concat(F.lit("EK-"), a.cast("string")), F.lit("geri"))).otherwise(F.array().cast("array<string>"))
+    lines = j.select(i.alias("i"), a.cast("string").alias("a"), F.posexplode(F.concat(F.split(body, "\n", -1), back)).alias("source_order", "text"))
     nothing = lambda kind: F.lit(None).cast(kind)
     cells = "array<struct<coord:string,value:string,formula:string,cached_value:string>>"
-    return j.where("doc_id % 3 < 2").select(F.lit("z").alias("path"), F.concat(F.lit("EK-"), a.cast("string"), F.lit(" "), (i % 3).cast("string"), F.lit(".docx")).alias("member"), F.lit("docx").alias("detected"), F.lit(0).alias("source_order"), F.lit("paragraph").alias("kind"), text.alias("text"), nothing("array<array<string>>").alias("rows"), nothing("string").alias("sheet_name"), nothing(cells).alias("cells"))
+    return lines.select(F.lit("z").alias("path"), F.concat(F.lit("EK-"), "a", F.lit(" "), (F.col("i") % 3).cast("string"), F.lit(".docx")).alias("member"), (-F.col("i")).cast("int").alias("member_order"), F.lit("docx").alias("detected"), "source_order", F.lit("paragraph").alias("kind"), "text", nothing("array<array<string>>").alias("rows"), nothing("string").alias("sheet_name"), nothing(cells).alias("cells"))
 
 
-_ANNEX = """d AS (SELECT doc_id, doc_id // 3 + 1 AS a, doc_id // 3 AS f, substr(regexp_replace(coalesce(text, ''), '[^a-z ]', 'x', 'g'), 1, 60) AS t FROM documents),
-j AS (SELECT d.*, o.t AS t0 FROM d JOIN d o ON o.f = d.f AND o.doc_id % 3 = 0 WHERE d.doc_id % 3 < 2),
-m AS (SELECT a, doc_id % 3 AS i, 'EK-' || a || ' ' || doc_id % 3 || '.docx' AS member, 'EK-' || a || chr(10) || CASE WHEN a % 4 = 2 AND doc_id % 3 = 0 THEN 'yeni metin ' ELSE '' END || CASE WHEN doc_id % 3 = 0 OR a % 4 = 0 THEN t0 WHEN a % 4 = 1 THEN t0 || '  ' WHEN a % 4 = 2 THEN 'eski metin ' || t ELSE 'b' || t END AS text FROM j),
-u AS (SELECT a, count(*) AS n, list(member ORDER BY member) AS members, list(text ORDER BY member) AS texts FROM m GROUP BY a),
-v AS (SELECT *, CASE WHEN n = 1 THEN 'SINGLE' WHEN texts[1] = texts[2] THEN 'EXACT_DUPLICATE' WHEN trim(regexp_replace(texts[1], '\\s+', ' ', 'g')) = trim(regexp_replace(texts[2], '\\s+', ' ', 'g')) THEN 'WHITESPACE_EQUIVALENT'
-  WHEN contains(texts[1], texts[2]) OR contains(texts[2], texts[1]) THEN 'STRUCTURALLY_EQUIVALENT' WHEN a % 4 = 2 THEN 'CONFLICTING' ELSE 'COMPLEMENTARY' END AS relation FROM u),
-w AS (SELECT CAST(a AS VARCHAR) AS annex, relation, members[1] AS canonical, CASE WHEN relation IN ('CONFLICTING', 'COMPLEMENTARY') THEN array_to_string(list_transform(range(1, n + 1), lambda i: 'SOURCE_MEMBER | ' || members[i] || chr(10) || texts[i]), chr(10)) ELSE texts[1] END AS rendered FROM v)"""
+#: Members stand in archive order by descending doc_id. A part of a member is a contributor; blank lines aren't rendered.
+_ANNEX = """d AS (SELECT doc_id, doc_id // 3 + 1 AS a, doc_id // 3 AS f, regexp_replace(coalesce(text, ''), '[^a-z \n]', 'x', 'g') AS t FROM documents),
+j AS (SELECT d.*, coalesce(o.t, '') AS t0 FROM d LEFT JOIN d o ON o.f = d.f AND o.doc_id % 3 = 0),
+m AS (SELECT a, doc_id, 'EK-' || a || ' ' || doc_id % 3 || '.docx' AS member, CASE WHEN doc_id % 3 = 1 AND a % 4 = 0 THEN t0 WHEN doc_id % 3 = 1 AND a % 4 = 1 THEN t0 || '  ' WHEN a % 4 = 2 THEN CASE WHEN doc_id % 3 = 0 THEN 'yeni metin ' ELSE 'eski metin ' END || t ELSE t END AS text FROM j),
+c AS (SELECT CAST(a AS VARCHAR) AS annex, doc_id, member, 0 AS part, array_to_string(list_filter(string_split(text, chr(10)), lambda l: l <> ''), chr(10)) AS text FROM m
+  UNION ALL SELECT a || '/Z', doc_id, member, 1, 'EK-' || a || '/Z' || chr(10) || 'alt' FROM m WHERE doc_id % 4 = 0 UNION ALL SELECT CAST(a AS VARCHAR), doc_id, member, 2, 'EK-' || a || chr(10) || 'geri' FROM m WHERE doc_id % 4 = 0),
+u AS (SELECT annex, count(*) AS n, list(member ORDER BY doc_id DESC, part) AS members, list(text ORDER BY doc_id DESC, part) AS texts, list(text ORDER BY member, part)[1] AS first, list(member ORDER BY member, part)[1] AS canonical FROM c GROUP BY annex),
+l AS (SELECT *, list_transform(texts, lambda t: lower(translate(t, 'Iİ', 'ıi'))) AS low, len(list_distinct(list_transform(texts, lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))))) AS loose FROM u),
+v AS (SELECT *, CASE WHEN n = 1 THEN 'SINGLE' WHEN len(list_distinct(texts)) = 1 THEN 'EXACT_DUPLICATE' WHEN loose = 1 THEN 'WHITESPACE_EQUIVALENT'
+  WHEN len(list_filter(low, lambda t: t <> '' AND len(list_filter(low, lambda o: o <> t AND (contains(o, t) OR contains(t, o)))) > 0)) = n THEN 'STRUCTURALLY_EQUIVALENT'
+  WHEN len(list_filter(low, lambda t: contains(t, 'version') OR contains(t, 'eski metin') OR contains(t, 'yeni metin') OR contains(t, 'yürürlük tarihi') OR contains(t, 'değişik'))) >= 2 AND len(list_filter(low, lambda t: contains(t, 'mülga'))) = 0 THEN 'CONFLICTING'
+  WHEN len(list_filter(texts, lambda t: t = '')) = 0 THEN 'COMPLEMENTARY' ELSE 'UNKNOWN' END AS relation FROM l),
+w AS (SELECT annex, n, relation, canonical, CASE WHEN relation IN ('CONFLICTING', 'COMPLEMENTARY', 'UNKNOWN') THEN array_to_string(list_transform(list_filter(range(1, n + 1), lambda i: texts[i] <> ''), lambda i: 'SOURCE_MEMBER | ' || members[i] || chr(10) || texts[i]), chr(10)) ELSE first END AS rendered FROM v)"""
 
 
-@query(f"WITH {_ANNEX} SELECT annex, relation, canonical, md5(rendered) AS digest FROM w")
+@query(f"WITH {_ANNEX} SELECT annex, n, relation, canonical, md5(rendered) AS digest FROM w")
 def annex_merge(spark, sf):
-    return annex.units(_annex_blocks(spark, sf)).select("annex", "relation", "canonical", F.md5(F.col("rendered").cast("binary")).alias("digest"))
+    return annex.units(_annex_blocks(spark, sf)).select("annex", F.size("members").cast("long").alias("n"), "relation", "canonical", F.md5(F.col("rendered").cast("binary")).alias("digest"))
 
 
-@query(f"WITH {_ANNEX} SELECT annex, md5(rendered) AS digest, len(rendered) AS n_chars, CASE WHEN relation = 'COMPLEMENTARY' THEN 2 ELSE 1 END AS least FROM w WHERE relation <> 'CONFLICTING'")
+@query(f"WITH {_ANNEX} SELECT annex, md5(rendered) AS digest, CAST(len(rendered) AS BIGINT) AS n_chars, CASE WHEN relation = 'COMPLEMENTARY' THEN n ELSE 0 END AS heads, true AS packed FROM w WHERE relation NOT IN ('CONFLICTING', 'UNKNOWN')")
 def annex_chunks(spark, sf):
-    made = annex.units(_annex_blocks(spark, sf)).where("relation <> 'CONFLICTING'")
-    c = annex.chunks(made, 40)
+    b = _annex_blocks(spark, sf)
+    c = annex.chunks(b, 400, made=annex.units(b).where("relation not in ('CONFLICTING', 'UNKNOWN')"))
     again = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda x: x["text"]), "")
-    g = c.groupBy("annex").agg(again.alias("t"), F.max("char_end").alias("n_chars"), F.count_if(F.col("text").rlike("(?s)^\n?SOURCE_MEMBER")).alias("heads"))
-    return g.select("annex", F.md5(F.col("t").cast("binary")).alias("digest"), "n_chars", F.greatest(F.col("heads"), F.lit(1)).alias("least"))
+    one = F.col("oversized") & (F.size(F.filter("pieces", lambda p: p["source_order"] >= 0)) > 0) & (F.size("oversized_pieces") == 1)
+    g = c.groupBy("annex").agg(again.alias("t"), F.max("char_end").alias("n_chars"), F.count_if(F.col("text").rlike("(?s)^\n?SOURCE_MEMBER")).alias("heads"), F.bool_and((F.length("text") <= 400) | one).alias("packed"))
+    return g.select("annex", F.md5(F.col("t").cast("binary")).alias("digest"), F.col("n_chars").cast("long").alias("n_chars"), "heads", "packed")
 
 
 #: A statute by lines, D the document's number: where each line goes is in the SQL.
@@ -362,9 +369,9 @@ def _written(spark, values: DataFrame, name: str) -> str:
     return path
 
 
-@query("SELECT 'd' || doc_id AS document_id, n - 1 AS index, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL)")
+@query("SELECT 'd' || doc_id AS document_id, n - 1 AS index, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents WHERE text IS NOT NULL)")
 def paragraphs_payload(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 50 = 0 and text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("index", "text"))
+    d = table(spark, sf, "documents").where("text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("index", "text"))
     payload = questions.paragraphs_json(d.withColumn("style_name", F.lit("Normal")).withColumn("footnotes", F.lit(None).cast("array<int>")), "x.docx")
     path = scratch(spark, "paragraphs")
     payload.withColumn("name", F.col("document_id")).select("name", "value").write.partitionBy("name").text(path)  # a file a document
@@ -390,9 +397,9 @@ def question_sets_combined(spark, sf):
     return again.select("id", F.array_join(F.array_sort("source_keys", lambda x, y: F.length(x) - F.length(y)), ",").alias("source_keys"), F.array_join("document_ids", ",").alias("documents"))
 
 
-@query("SELECT doc_id, md5('EK-' || doc_id || chr(10) || regexp_replace(substr(text, 1, 200), '[^a-zA-Z \n]', '?', 'g') || chr(9) || 'ş') AS digest FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, md5('EK-' || doc_id || chr(10) || regexp_replace(text, '[^a-zA-Z \n]', '?', 'g') || chr(9) || 'ş') AS digest FROM documents WHERE text IS NOT NULL")
 def rtf_decode(spark, sf):
-    plain = F.regexp_replace(F.substring("text", 1, 200), r"[^a-zA-Z \n]", "?")
+    plain = F.regexp_replace("text", r"[^a-zA-Z \n]", "?")
     body = F.replace(plain, F.lit("\n"), F.lit("\\line "))
     rtf = F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}}EK-"), F.col("doc_id").cast("string"), F.lit("\\par "), body, F.lit("\\tab \\u351?}"))
 
@@ -406,12 +413,12 @@ def rtf_decode(spark, sf):
     return d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fail' ELSE 'ok' END AS audit FROM documents WHERE doc_id % 2 = 0""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fail' ELSE 'ok' END AS audit FROM documents""")
 def envelope_rules(spark, sf):
     from lexmill.operators import citations
 
     i = F.col("doc_id")
     text = F.when(i % 3 == 0, "DURUM: BELKİ\nCEVAP: x").when(i % 3 == 1, " \nDURUM:  yeterli \n\nCEVAP:\nx [KAYNAK 1]\n").otherwise("DURUM: Yetersiz\nCEVAP: x")
-    d = table(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id", citations.envelope(text).alias("e"))
+    d = table(spark, sf, "documents").select("doc_id", citations.envelope(text).alias("e"))
     good = F.col("e.status") == F.when(i % 3 == 1, "YETERLI").otherwise("YETERSIZ")
     return d.select("doc_id", F.when(F.col("e.status") == "FORMAT_ERROR", "fail").when(good & F.col("e.body").startswith("x"), "ok").otherwise("wrong").alias("audit"))

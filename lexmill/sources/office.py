@@ -178,30 +178,120 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, PARAGRAPHS)
 
 
-def read_archive(spark: SparkSession, path: str, normalized: DataFrame | None = None) -> DataFrame:
-    """Blocks of all members of ZIP archives. normalized(member, content): converted bytes that stand in for members in legacy formats."""
+#: Bytes of members that a task reads.
+TASK_BYTES = 32 << 20
+_MEMBERS = "path string, archive_sha256 string, member string, member_order int, size long"
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _opened(path: str):
+    """A seekable file of the shared file system; None if only Spark can read it."""
+    from pyarrow import ArrowInvalid, fs
+
+    try:
+        system, at = fs.FileSystem.from_uri(path)
+    except (ArrowInvalid, OSError):
+        return None
+    return system.open_input_file(at)
+
+
+def members(spark: SparkSession, path: str) -> DataFrame:
+    """A row a member of ZIP archives, from their central directories: path, archive_sha256, member, member_order, size. An archive is read as a stream for its hash, never held."""
+    paths = spark.read.format("binaryFile").load(path).select("path")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b.path:
+                with _opened(p) as f:
+                    h = hashlib.sha256()
+                    while part := f.read(1 << 20):
+                        h.update(part)
+                    f.seek(0)
+                    with zipfile.ZipFile(f) as z:
+                        found = [i for i in z.infolist() if not i.is_dir()]
+                yield pd.DataFrame([(p, h.hexdigest(), i.filename, k, i.file_size) for k, i in enumerate(found)], columns=["path", "archive_sha256", "member", "member_order", "size"])
+
+    return paths.repartition(max(1, paths.count())).mapInPandas(rows, _MEMBERS)
+
+
+def _contents(found: DataFrame, tasks: int) -> DataFrame:
+    """members() + content: each member is read by itself, wherever in its archive it stands."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, archive = None, None
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if r.path != at:
+                    at, archive = r.path, zipfile.ZipFile(_opened(r.path))
+                yield pd.DataFrame([(*r, archive.read(r.member))], columns=[*b.columns, "content"])
+
+    return found.repartition(tasks, "path", "member").sortWithinPartitions("path", "member_order").mapInPandas(rows, f"{_MEMBERS}, content binary")
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """The same for archives in a store that only Spark reads: an archive is one task's."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, c in zip(b.path, b.content, strict=True):
                 with zipfile.ZipFile(io.BytesIO(bytes(c))) as z:
-                    for i in z.infolist():
-                        if not i.is_dir():
-                            yield pd.DataFrame([(p, i.filename, z.read(i))], columns=["path", "member", "content"])
+                    for k, i in enumerate(i for i in z.infolist() if not i.is_dir()):
+                        yield pd.DataFrame([(p, hashlib.sha256(bytes(c)).hexdigest(), i.filename, k, i.file_size, z.read(i))], columns=["path", "archive_sha256", "member", "member_order", "size", "content"])
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "path string, member string, content binary")
-    if normalized is not None:
-        found = found.join(normalized.select("member", F.col("content").alias("other")), "member", "left").select("path", "member", F.coalesce("other", "content").alias("content"))
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, f"{_MEMBERS}, content binary")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in ("path", "member", "member_sha256", "detected", "source_order", "kind", "text", "rows", "sheet_name", "cells", "warning")]
+
+CONVERSION = "archive_member_path string, conversion_status string, normalized_relative_path string, normalized_sha256 string, normalization_tool string, normalization_tool_version string, normalization_command_family string"
+
+
+def load_conversions(spark: SparkSession, path: str) -> DataFrame:
+    """A normalisation manifest (JSON with source_zip_sha256 and entries) as a row an entry, with the archive's hash. A member that is there twice raises."""
+    d = spark.read.schema(f"source_zip_sha256 string, entries array<struct<{CONVERSION.replace(' string', ':string')}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    out = d.select("source_zip_sha256", F.inline("entries"))
+    twice = out.groupBy("source_zip_sha256", "archive_member_path").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"the manifest has {twice[0][1]} twice")
+    return out
+
+
+def converted(found: DataFrame, conversions: DataFrame, files: DataFrame) -> DataFrame:
+    """found (path, archive_sha256, member, ..., content) with the bytes of successful conversions in place of their members', and what they are.
+
+    files(path, content): the converted files; an entry's is the one whose path ends in its normalized_relative_path. A conversion
+    of another archive than the one that is read and one whose file isn't there or has another hash raise; entries of members that aren't there are ignored.
+    """
+    ok = conversions.where("conversion_status = 'SUCCESS'")
+    f = files.select(F.col("path").alias("_file"), F.col("content").alias("_bytes"), F.sha2("content", 256).alias("_sha"), F.element_at(F.split("path", "/"), -1).alias("_name"))
+    e = ok.withColumn("_name", F.element_at(F.split("normalized_relative_path", "/"), -1)).join(f, "_name", "left").where(F.col("_file").isNull() | F.col("_file").endswith(F.concat(F.lit("/"), F.col("normalized_relative_path"))))
+    j = found.join(e.withColumnRenamed("archive_member_path", "member"), "member", "left")
+    what = F.when(F.col("normalized_sha256").isNull(), None).when(F.col("source_zip_sha256") != F.col("archive_sha256"), "conversion of another archive: ").when(F.col("_bytes").isNull(), "no converted file for ").when(F.col("_sha") != F.col("normalized_sha256"), "another hash than the manifest's: ")
+    content = F.when(what.isNotNull(), F.raise_error(F.concat(what, F.col("member"))).cast("binary")).otherwise(F.coalesce("_bytes", "content"))
+    of = F.when(F.col("normalized_sha256").isNotNull(), F.struct("normalization_tool", "normalization_tool_version", "normalization_command_family", "normalized_relative_path", "normalized_sha256"))
+    return j.select(*(found[c] for c in found.columns if c != "content"), F.col("content").alias("_own"), content.alias("content"), of.alias("normalized"))
+
+
+def read_archive(spark: SparkSession, path: str, conversions: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Blocks of all members of ZIP archives, with hashes of member and archive; a member without blocks has one row.
+
+    Members are rows and read one by one, so a large archive is many tasks' (in a store that pyarrow reads). conversions
+    (load_conversions) and files (binaryFile of the converted ones): what stands in for members in legacy formats; see converted().
+    member_sha256 and original are of the member as it is in the archive, detected is of what was read.
+    """
+    some = spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+    if some and _opened(some[0][0]) is None:
+        found = _whole(spark, path)
+    else:
+        rows = members(spark, path)
+        total = rows.agg(F.sum("size")).first()[0] or 0
+        found = _contents(rows, max(1, -(-total // TASK_BYTES)))
+    found = converted(found, conversions, files) if conversions is not None else found.withColumn("_own", F.col("content")).withColumn("normalized", F.lit(None).cast("struct<normalization_tool:string,normalization_tool_version:string,normalization_command_family:string,normalized_relative_path:string,normalized_sha256:string>"))
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for p, m, c in zip(b.path, b.member, b.content, strict=True):
-                data = bytes(c)
-                kind, blocks, warning = blocks_of(data)
-                for k, x in enumerate(blocks or [{}]):
-                    out.append((p, m, hashlib.sha256(data).hexdigest(), kind, k, x.get("kind"), x.get("text"), x.get("rows"), x.get("sheet_name"), x.get("cells"), warning))
-            yield pd.DataFrame(out, columns=names)
-
-    return found.select("path", "member", "content").mapInPandas(rows, BLOCKS)
+            for r in b.itertuples(index=False):
+                data, own = bytes(r.content), bytes(r.own)
+                kind, made, warning = blocks_of(data)
+                out = [(r.path, r.archive_sha256, r.member, r.member_order, hashlib.sha256(own).hexdigest(), detect(own), kind, r.normalized, k, x.get("kind"), x.get("text"), x.get("rows"), x.get("sheet_name"), x.get("cells"), warning) for k, x in enumerate(made or [{}])]
+                yield pd.DataFrame(out, columns=["path", "archive_sha256", "member", "member_order", "member_sha256", "original", "detected", "normalized", "source_order", "kind", "text", "rows", "sheet_name", "cells", "warning"])
+
+    schema = BLOCKS.replace("path string, member string, member_sha256 string, detected string,", "path string, archive_sha256 string, member string, member_order int, member_sha256 string, original string, detected string, normalized string,")
+    return found.select("path", "archive_sha256", "member", "member_order", "content", F.col("_own").alias("own"), F.to_json("normalized").alias("normalized")).mapInPandas(blocks, schema)

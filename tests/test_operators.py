@@ -175,10 +175,11 @@ def test_office_sources(spark, tmp_path):
     assert u["48"].canonical == "EK 48 kopya.docx" and u["48"].relation == "EXACT_DUPLICATE" and u["48"].rendered == "EK-48\nmetin"
     assert u["48/A"].relation == "SINGLE" and u["48/A"].rendered == "EK-48/A\nalt" + table
     assert u["7"].rendered == "giris\ngovde EK-80 geçer" + table and u["9/B"].rendered == "önce" and u["77/A"].rendered.endswith("EK 77/A\nsonra" + table)
-    c = annex.chunks(made, 8).orderBy("annex", "chunk_no").collect()
+    c = annex.chunks(b, 8).orderBy("annex", "chunk_no").collect()
     assert "".join(r.text for r in c if r.annex == "48/A") == "EK-48/A\nalt" + table and all(r.char_end - r.char_start == len(r.text) for r in c)
     d = annex.diagnostics(b, made).first()
-    assert (d.members, d.units, d.multi_source, d.empty, d.unresolved, d.storage_collisions) == (5, 6, 1, 1, 0, 0)
+    assert (d.members, d.units, d.multi_source, d.empty, d.unresolved, d.storage_collisions, d.failures, d.unreadable) == (5, 6, 1, 1, 0, 0, 1, 1)
+    assert d.readers == {"docx": 3, "rtf": 1, "legacy_doc": 1} and d.provenance and not d.normalization
     with zipfile.ZipFile(tmp_path / "y.zip", "w") as z:
         z.writestr("kopya.docx", docx([("EK-48", False)]))
     with pytest.raises(Exception, match="no annex label"):
@@ -191,14 +192,7 @@ def test_annex_relations_and_chunks(spark):
     assert rel("Uzun METİN burada", "metin") == "STRUCTURALLY_EQUIVALENT"
     assert rel("Eski metin: x", "Yeni metin: y") == "CONFLICTING" and rel("Eski metin: x", "Yeni metin: y, mülga") == "COMPLEMENTARY"
     assert rel("bir", "iki") == "COMPLEMENTARY" and rel("bir", "") == "UNKNOWN"
-    text = "SOURCE_MEMBER | a\nbir iki\nüç\nSOURCE_MEMBER | b\ndört"
-    made = spark.createDataFrame([("5", ["a", "b"], "COMPLEMENTARY", "a", text)], "annex string, members array<string>, relation string, canonical string, rendered string")
-    c = annex.chunks(made, 30).orderBy("chunk_no").collect()
-    assert [r.text for r in c] == ["SOURCE_MEMBER | a\nbir iki\nüç", "\nSOURCE_MEMBER | b\ndört"] and [r.chunk_no for r in c] == [1, 2]
-    with pytest.raises(Exception, match="unresolved"):
-        annex.chunks(made.withColumn("relation", F.lit("CONFLICTING"))).collect()
-    with pytest.raises(Exception, match="annex twice"):
-        annex.chunks(made.union(made)).collect()
+
 
 
 def test_article_ids_and_numbers(spark):

@@ -6,10 +6,10 @@ import pytest
 from lexmill.operators import sequences as S
 
 
-def fold(sizes, limit, joint, most):
+def fold(sizes, limit, joint, most, lone=True):
     out, g, total, n = [], -1, 0, 0
     for x in sizes:
-        if g < 0 or total + joint + x > limit or (most is not None and n >= most):
+        if g < 0 or total + joint + x > limit and (lone or total) or (most is not None and n >= most):
             g, total, n = g + 1, x, 1
         else:
             total, n = total + joint + x, n + 1
@@ -41,6 +41,14 @@ def test_cut_of_one_key_of_all_rows(spark):
     assert S.cut(df.limit(0), "k", "i", "s", 10).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1, 4, 30])
+def test_empty_items_wait_for_what_follows(spark, rows):
+    rng = random.Random(rows)
+    sizes = [rng.choice([0, 0, 0, 3, 50]) for _ in range(90)]
+    df = spark.createDataFrame([("k", i, s) for i, s in enumerate(sizes)], "k string, i long, s long")
+    assert [r.batch for r in S.cut(df, "k", "i", "s", 9, lone=False, rows=rows).orderBy("i").collect()] == fold(sizes, 9, 0, None, False)
+
+
 def test_doubling():
     rng = np.random.default_rng(1)
     for _ in range(50):
