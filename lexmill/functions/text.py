@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+import unicodedata
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Upper-case Turkish letters beyond A-Z, and the decomposed pairs that NFC puts together (fixed values).
@@ -171,3 +175,23 @@ def detect(c: Column | str, numbers: list[str]) -> Column:
 def whitespace_hash(c: Column | str) -> Column:
     """SHA-256 of the text with white space collapsed."""
     return F.sha2(F.regexp_replace(strip(c), r"(?U)\s+", " ").cast("binary"), 256)
+
+
+@functools.cache
+def not_composed() -> str:
+    """A pattern of the characters that composition (NFC) may change: marks, parts of Hangul syllables, and those that it replaces by themselves."""
+    c = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c)) != chr(c)])
+    runs = np.split(c, np.flatnonzero(np.diff(c) > 1) + 1)
+    return r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + "".join(f"\\x{{{r[0]:X}}}-\\x{{{r[-1]:X}}}" for r in runs) + "]"
+
+
+def composed(df: DataFrame, c: str) -> DataFrame:
+    """df with column c composed (NFC). Rows that may change are the only ones that leave the JVM."""
+    may = F.coalesce(F.col(c).rlike(not_composed()), F.lit(False))
+
+    def run(batches):
+        for b in batches:
+            b[c] = [unicodedata.normalize("NFC", t) for t in b[c]]
+            yield b
+
+    return df.where(~may).union(df.where(may).mapInPandas(run, df.schema))

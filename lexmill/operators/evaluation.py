@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as T
+
 CUTOFFS = (1, 3, 5)
 
 
@@ -207,3 +209,30 @@ def source_ranks(distances: DataFrame, gold: DataFrame) -> DataFrame:
     r = inside.withColumn("rank", F.row_number().over(w)).withColumn("candidates", F.count("*").over(Window.partitionBy("query_id")))
     first = r.groupBy("query_id", "key").agg(F.min("rank").alias("rank"), F.max("candidates").alias("candidates"))
     return gold.select("query_id", "key").distinct().join(first, ["query_id", "key"], "left")
+
+
+#: What ends a line.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"
+
+
+def best_lines(asked: DataFrame, chunks: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
+    """asked(query_id, question, id), chunks(id, text) -> query_id, id, line_no (from 1), line, shared: the line of the chunk with the most distinct tokens of the question (but those in stop), the first of those; none is shared: the first line.
+
+    Lines meet questions by chunk and token; a row a shared token is what is joined, and each task takes its own maxima first. A text without lines gives no row.
+    """
+    lines = chunks.select("id", F.posexplode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), f"({LINE_END})$", ""), LINE_END, -1)).alias("n", "line")).where("line <> '' or n > 0")
+    ask = asked.select("query_id", "id", F.explode(F.array_except(F.array_distinct(T.tokens("question")), F.array(*map(F.lit, stop)).cast("array<string>"))).alias("token"))
+    wanted = ask.select("id", "token").distinct()
+    has = lines.select("id", "n", F.explode(F.array_distinct(T.tokens("line"))).alias("token")).join(wanted, ["id", "token"])
+    hits = has.join(ask, ["id", "token"]).groupBy("query_id", "id", "n").agg(F.array_sort(F.collect_list("token")).alias("shared"))
+    top = hits.groupBy("query_id", "id").agg(F.max_by(F.struct("n", "shared"), F.struct(F.size("shared"), -F.col("n"))).alias("top"))
+    j = asked.select("query_id", "id").join(top, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("top.n", F.lit(0)).alias("n"), F.coalesce("top.shared", F.array().cast("array<string>")).alias("shared"))
+    return j.join(lines, ["id", "n"]).select("query_id", "id", (F.col("n") + 1).alias("line_no"), "line", "shared")
+
+
+def term_comparison(question: Column, right: Column, wrong: Column) -> list[Column]:
+    """Tokens of a question in the right and in the wrong source: overlapping, only in the right one, in the wrong one, only in the wrong one; each in order."""
+    q, r, w = (F.array_distinct(T.tokens(c)) for c in (question, right, wrong))
+    both = F.array_intersect
+    made = {"overlapping": both(both(q, r), w), "only_right": F.array_except(both(q, r), w), "favour_wrong": both(q, w), "only_wrong": F.array_except(both(q, w), r)}
+    return [F.array_sort(c).alias(n) for n, c in made.items()]

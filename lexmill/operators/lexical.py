@@ -1,6 +1,6 @@
 """A stored lexical index: BM25 over postings in blocks, built once and asked often; retrieval variants from two rankings.
 
-build() cuts each text into terms once and writes a row for each term and shard of documents: the ids, their BM25 weights and
+build() composes (NFC) and cuts each text into terms once and writes a row for each term and shard of documents: the ids, their BM25 weights and
 the greatest of these. Rows lie in parts by hash of the term, in order of term. A question reads the parts that its
 terms fall into (the part is a folder), there the rows of its terms, first without ids: the sum of its terms'
 greatest weights bounds every score of a shard. The FIRST shards of highest bound are scored; the k-th score found is a floor,
@@ -30,7 +30,7 @@ UNIT, FIRST, SHARD_DOCS = 1e13, 2, 4096
 def build(docs: DataFrame, root: str, doc_id: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS, parts: int | None = None) -> LexicalIndex:
     """Writes the index of docs under root (a new folder) and opens it."""
     spark = docs.sparkSession
-    cut = retrieval.spread(docs.select(doc_id, text)).select(F.col(doc_id).alias("id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms").cast("double"))
+    cut = T.composed(retrieval.spread(docs.select(doc_id, text)), text).select(F.col(doc_id).alias("id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms").cast("double"))
     whole = cut.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = whole["n"], whole["avgdl"] or 1.0
     shards = max(1, math.ceil(n / shard_docs))
@@ -68,7 +68,7 @@ class LexicalIndex:
 
     def blocks(self, questions: DataFrame) -> DataFrame:
         """questions(query_id, question) -> query_id and the postings' rows of its distinct terms, from the parts that have any."""
-        asked = questions.select("query_id", F.explode(F.array_distinct(T.tokens("question"))).alias("term")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(self.about["parts"])).cast("int"))
+        asked = T.composed(questions.select("query_id", "question"), "question").select("query_id", F.explode(F.array_distinct(T.tokens("question"))).alias("term")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(self.about["parts"])).cast("int"))
         some = [r[0] for r in asked.select("part").distinct().collect()]  # at most `parts`, which are at most 4096
         return self.postings().where(F.col("part").isin(some)).join(asked, ["part", "term"])
 

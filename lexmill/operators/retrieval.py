@@ -64,6 +64,68 @@ def dense_topk(queries: DataFrame, collection: DataFrame, k: int, metric: str =
     return rank(near, [F.round("distance", 9).asc(), F.col("id").asc()], k, "query_id", *keys[2:])
 
 
+def exact_ranks(queries: DataFrame, collection: DataFrame, gold: DataFrame, metric: str = "cosine") -> DataFrame:
+    """Where gold keys stand when everything in a question's document is ranked, without ranking it.
+
+    queries(query_id, q, document), collection(id, v, document, key), gold(query_id, key) -> query_id, key, rank (null if no row has the key), candidates. A row never
+    meets itself as a question. The distance of a key's nearest row is found among the key's rows alone; its rank is one more than the rows of
+    the document that are nearer (ties of distances rounded to 9 places by id), which blocks count. A row is a question and key, never a pair of vectors.
+    """
+    blocks, shards = max(1, math.ceil(queries.count() / QUERY_BLOCK)), max(1, math.ceil(collection.count() / SHARD_ROWS))
+    pairs = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.join(gold.select("query_id", "key").distinct(), "query_id").select("query_id", "document", F.col("q").cast("array<double>").alias("q"), "key", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    rows = collection.select("id", "document", "key", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", pairs(blocks))
+
+    def distances(x, y):
+        if metric == "cosine":
+            x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
+            return np.round(1 - y @ x.T, 9)
+        return np.round(((y[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 9)
+
+    def nearest(_, left, right):
+        """The nearest row of each question's key in a shard."""
+        out = []
+        if left.num_rows and right.num_rows:
+            y, ids, keys = np.array(right.column("v").to_pylist(), np.float64), right.column("id").to_numpy(), right.column("key").to_pylist()
+            of: dict = {}
+            for n, k in enumerate(keys):
+                of.setdefault(k, []).append(n)
+            for q, x, k in zip(left.column("query_id").to_pylist(), left.column("q").to_pylist(), left.column("key").to_pylist(), strict=True):
+                some = [n for n in of.get(k, ()) if ids[n] != q]
+                if some:
+                    d = distances(np.array([x]), y[some])[:, 0]
+                    best = min(range(len(some)), key=lambda n: (d[n], ids[some[n]]))
+                    out.append((q, k, float(d[best]), int(ids[some[best]])))
+        c = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table({"query_id": pa.array(c[0], pa.int64()), "key": pa.array(c[1], pa.int64()), "d": pa.array(c[2], pa.float64()), "id": pa.array(c[3], pa.int64())})
+
+    sent = asked.withColumn("shard", pairs(shards))
+    near = sent.groupBy("block", "shard", "document").cogroup(rows.groupBy("block", "shard", "document")).applyInArrow(nearest, "query_id long, key long, d double, id long")
+    best = near.groupBy("query_id", "key").agg(F.min(F.struct("d", "id")).alias("best"))
+
+    def count(_, left, right):
+        """Rows of a shard that are nearer than each question's best, and all it may meet."""
+        out = ([], [], [], [])
+        if left.num_rows and right.num_rows:
+            y, ids = np.array(right.column("v").to_pylist(), np.float64), right.column("id").to_numpy()
+            x, q = np.array(left.column("q").to_pylist(), np.float64), left.column("query_id").to_numpy()
+            keys, d0, i0 = left.column("key").to_pylist(), left.column("d").to_numpy(), left.column("id").to_numpy()
+            for at in range(0, len(x), 64):
+                d = distances(x[at : at + 64], y)
+                other = ids[:, None] != q[None, at : at + 64]
+                nearer = (d < d0[at : at + 64]) | ((d == d0[at : at + 64]) & (ids[:, None] < i0[at : at + 64]))
+                out[0].extend(q[at : at + 64].tolist())
+                out[1].extend(keys[at : at + 64])
+                out[2].extend((nearer & other).sum(axis=0).tolist())
+                out[3].extend(other.sum(axis=0).tolist())
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "key", "nearer", "candidates"), out, strict=True)})
+
+    known = sent.join(best, ["query_id", "key"]).select("query_id", "document", "q", "key", "block", "shard", "best.d", "best.id")
+    counted = known.groupBy("block", "shard", "document").cogroup(rows.select("block", "shard", "document", "id", "v").groupBy("block", "shard", "document")).applyInArrow(count, "query_id long, key long, nearer long, candidates long")
+    made = counted.groupBy("query_id", "key").agg((F.sum("nearer") + 1).alias("rank"), F.sum("candidates").alias("candidates"))
+    return gold.select("query_id", "key").distinct().join(made, ["query_id", "key"], "left")
+
+
 def rank(scored: DataFrame, order: list[Column], k: int | None = None, *by: str) -> DataFrame:
     """Adds rank (from 1) in each query's order; the first k."""
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or ("query_id",))).orderBy(*order)))

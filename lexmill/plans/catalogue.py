@@ -603,4 +603,4 @@ def article_chunks_lossless(spark, sf):
     return a.select("article_id").join(c, "article_id", "left").select("article_id", F.md5(F.col("again").cast("binary")).alias("digest"))
 
 
-from lexmill.plans import evaluations, stores  # noqa: E402,F401  add their queries to those above
+from lexmill.plans import calls, evaluations, stores  # noqa: E402,F401  add their queries to those above

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import annex, answering, audits, chunking, evaluation, identity, parsing
+from lexmill.operators import annex, answering, audits, chunking, evaluation, identity, parsing, retrieval
 from lexmill.sources import office, questions
 from lexmill.sources.files import scratch
 from lexmill.plans.catalogue import _COS, _METRICS, _gold, _ranked_sql, _scored, query, ranked, table, vectors
@@ -160,13 +160,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance
 SELECT g.query_id, g.key, CAST(min(rank) AS BIGINT) AS rank, max(candidates) AS candidates FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.key = g.key GROUP BY ALL""")
 def source_ranks(spark, sf):
     q, c = vectors(spark, sf)
-    asked = q.join(c.select(F.col("id").alias("query_id"), F.col("label").alias("document")), "query_id")
-    cos = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    pairs = asked.join(c.withColumnRenamed("label", "document"), "document").where("query_id <> id")
-    d = 1 - cos(F.col("q"), F.col("v")) / (F.sqrt(cos(F.col("q"), F.col("q"))) * F.sqrt(cos(F.col("v"), F.col("v"))))
-    gold = asked.select("query_id", ((F.col("query_id") + 1) % 40).alias("key"), "document")
-    out = evaluation.source_ranks(pairs.select("query_id", "id", (F.col("id") % 40).alias("key"), "document", F.round(d, 9).alias("distance")), gold)
-    return out.withColumn("rank", F.col("rank").cast("long"))
+    asked = q.join(c.select(F.col("id").alias("query_id"), F.col("label").cast("long").alias("document")), "query_id")
+    rows = c.select("id", "v", F.col("label").cast("long").alias("document"), (F.col("id") % 40).alias("key"))
+    return retrieval.exact_ranks(asked, rows, asked.select("query_id", ((F.col("query_id") + 1) % 40).alias("key")))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'annex' WHEN doc_id % 5 = 1 THEN 'mixed' ELSE 'article' END AS type, doc_id % 5 IN (1, 2) AS multi,
