@@ -9,12 +9,12 @@ Sets: a document's distinct k-word shingles, as in jaccard.py. Two documents lin
    in which it differs with probability 1 - LOST at least. So the exclusive or of two sketches and its population count settle
    at once whether a pair is similar enough to be looked at.
 2. Buckets. Sets with a key in common are a bucket. Within one, sets whose sketches differ in `most` bits or fewer are joined to trees, so that a
-   bucket gives fewer edges than it has sets: all against the first, then the rest breadth-first, each against those that aren't in a tree yet.
-   A bucket of more than TILE sets is dealt to parts; trees of different parts are then tested against each other
-   in pairs of tiles (`tiled`), but for those that are one component already.
-3. The edges are confirmed on full sets, which only sets with an edge send. Components of confirmed edges are classes. Where an
-   edge failed, sets of different classes in one component of edges are tested pair by pair, again in tiles: by sketch,
-   then on full sets unless they have become one class meanwhile. So every pair that shares a band and passes by its sketch is either
+   bucket gives fewer edges than it has sets: all against the least one, then the rest breadth-first, each against those that aren't in a tree yet.
+   A bucket of more than TILE sets is dealt to parts.
+3. The edges are confirmed on full sets, which only sets with an edge or in such a bucket send. Components of confirmed edges are classes. In buckets that were dealt to
+   parts, sets of different classes are then tested across parts in pairs of tiles (`tiled`), again for trees. Edges that failed and those across parts
+   join classes to groups; in a group, sets of different classes are tested pair by pair, in tiles too: by sketch, then on full sets unless
+   they have become one class meanwhile. So every pair that shares a band and passes by its sketch is either
    confirmed, refused, or in one class, and no group's pairs become rows.
 
 What is lost is a linked pair that shares no band or differs in too many samples: LOST for each, 10^-9, whatever the tables.
@@ -241,38 +241,65 @@ def _sides(t: pa.Table, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(tile == i), np.flatnonzero(tile == j)
 
 
-def candidate_edges(one: DataFrame, most: int) -> DataFrame:
-    """one(node, bands, sketch) -> edges that join all sets that share a band and whose sketches differ in `most` bits or fewer."""
+#: Edges up to which one task finds components; more go by rounds over tables.
+FEW = 20_000
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """graph.components(), in one task if there are FEW edges or less."""
+    edges = C.materialize(edges.where("a <> b"), "odd-graph")
+    if edges.count() > FEW:
+        return graph.components(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = sorted((root(x), root(y)))
+                up[y] = x
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.binary()), pa.array([root(x) for x in up], pa.binary())], ["node", "root"])
+
+    return C.materialize(edges.select("a", "b").repartition(1).mapInArrow(run, "node binary, root binary"), "odd-roots")
+
+
+def candidate_edges(one: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """one(node, bands, sketch) -> (edges that join all sets of a part of a bucket whose sketches differ in `most` bits or fewer; members (grp, node) of the buckets of several parts, if any)."""
     posts = one.select("node", F.explode("bands").alias("band"))
     sizes = C.materialize(posts.groupBy("band").count().where("count > 1"), "odd-buckets")
     told = sizes.select("band", F.col("count").alias("rows_of_key"), "count")
     n = sizes.agg(F.sum("count"), F.max("count")).first()
-    parts = F.ceil(F.col("count") / TILE).cast("int")
+    # parts by powers of two, so that a set's part is the same in most of its buckets
+    parts = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("count") / TILE)))).cast("int")
     member = C.spread_lookup(posts, "band", told, n[0] or 0).where("count is not null").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).select("band", "part", "node", "count")
     hot = (n[1] or 0) > TILE
     if hot:
         member = C.materialize(member, "odd-members")
     seen = member.join(one.select("node", "sketch"), "node").select("band", "part", "node", "sketch")
-    edges = seen.repartition("band", "part").sortWithinPartitions("band", "part").mapInArrow(lambda it: bucket_trees(it, most), _EDGES)
+    edges = seen.repartition("band", "part").sortWithinPartitions("band", "part", "node").mapInArrow(lambda it: bucket_trees(it, most), _EDGES)
     edges = C.materialize(edges.distinct(), "odd-edges")
-    if hot:
-        tied = graph.components(edges)
-        large = member.where(F.col("count") > TILE).select(F.col("band").alias("grp"), "node")
-        large = large.join(tied, "node", "left").select("grp", F.coalesce("root", "node").alias("comp"), "node")
-        pairs = tiled(large, TILE).join(one.select("node", "sketch"), "node")
+    C.drop(sizes)
+    return edges, member.where(F.col("count") > TILE).select(F.col("band").alias("grp"), "node") if hot else None
 
-        def across(key, t):
-            C.begin("odd")
-            a, b = _sides(t, key[1].as_py(), key[2].as_py())
-            name = t.column("node").to_pylist()
-            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U).reshape(len(name), -1)
-            return _edges([(name[x], name[y]) for x, y in trees(sk, most)])
 
-        more = C.materialize(pairs.groupBy("grp", "i", "j").applyInArrow(across, _EDGES).distinct(), "odd-across")
-        edges = C.materialize(edges.union(more), "odd-edges")
-        C.drop(member, more)
-    C.drop(sizes)
-    return edges
+def across_parts(large: DataFrame, one: DataFrame, klass: DataFrame, most: int) -> DataFrame:
+    """Edges between sets of different classes of one bucket of several parts."""
+    large = large.join(klass.select("node", F.col("root").alias("comp")), "node", "left").select("grp", F.coalesce("comp", "node").alias("comp"), "node")
+    pairs = tiled(large, TILE).join(one.select("node", "sketch"), "node")
+
+    def across(key, t):
+        C.begin("odd")
+        name = t.column("node").to_pylist()
+        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U).reshape(len(name), -1)
+        return _edges([(name[x], name[y]) for x, y in trees(sk, most)])
+
+    return C.materialize(pairs.groupBy("grp", "i", "j").applyInArrow(across, _EDGES).distinct(), "odd-across")
 
 
 def _confirmed(s: np.ndarray, r: np.ndarray, num: int, den: int) -> bool:
@@ -281,11 +308,12 @@ def _confirmed(s: np.ndarray, r: np.ndarray, num: int, den: int) -> bool:
 
 
 def links(dealt: DataFrame, known: DataFrame, k: int, num: int, den: int, most: int) -> DataFrame:
-    """nodes()'s rows -> links a, b, confirmed on full sets, that join all that link."""
+    """nodes()'s rows -> node, root: one root for all that links join; sets that link with none are absent. Links are confirmed on full sets."""
     one = known.where("bands is not null").groupBy("node").agg(F.min(F.struct("chunk", "text_md5")).alias("at"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     one = C.materialize(one.select("node", "at.chunk", "at.text_md5", "bands", "sketch"), "odd-sets")
-    edges = candidate_edges(one, most)
-    wanted = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().join(one.select("node", "chunk", "text_md5"), "node")
+    edges, large = candidate_edges(one, most)
+    some = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node")))
+    wanted = (some if large is None else some.union(large.select("node"))).distinct().join(one.select("node", "chunk", "text_md5"), "node")
 
     def full(key, t, w):
         C.begin("odd")
@@ -308,10 +336,18 @@ def links(dealt: DataFrame, known: DataFrame, k: int, num: int, den: int, most:
 
     a, b = sets.select(F.col("node").alias("a"), F.col("items").alias("sa")), sets.select(F.col("node").alias("b"), F.col("items").alias("sb"))
     tested = C.materialize(edges.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(confirm, "a binary, b binary, ok boolean"), "odd-tested")
-    found = tested.where("ok").select("a", "b")
-    if not tested.where("not ok").isEmpty():
-        group, klass = graph.components(edges), graph.components(found)
-        member = group.select(F.col("root").alias("grp"), "node").join(klass.select("node", F.col("root").alias("comp")), "node", "left").select("grp", F.coalesce("comp", "node").alias("comp"), "node")
+    klass = components(tested.where("ok").select("a", "b"))
+    left = tested.where("not ok").select("a", "b")
+    if large is not None:
+        left = left.union(across_parts(large, one, klass, most))
+    of = lambda c: klass.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    by_class = left.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b").distinct()
+    by_class = C.materialize(by_class, "odd-left")
+    if not by_class.isEmpty():
+        group = components(by_class).select(F.col("root").alias("grp"), F.col("node").alias("comp"))
+        every = klass.select("node", F.col("root").alias("comp"))
+        single = group.select(F.col("comp").alias("node"), "comp").join(klass.select("node"), "node", "left_anti")
+        member = every.unionByName(single).join(group, "comp").select("grp", "comp", "node")
         pairs = tiled(C.materialize(member, "odd-classes"), TILE // 4).join(one.select("node", "sketch"), "node").join(sets, "node")
 
         def settle(key, t):
@@ -349,10 +385,14 @@ def links(dealt: DataFrame, known: DataFrame, k: int, num: int, den: int, most:
             C.give_back()
             return _edges(out)
 
-        found = C.materialize(found.union(pairs.groupBy("grp", "i", "j").applyInArrow(settle, _EDGES)), "odd-links")
-        C.drop(tested)
-    C.drop(one, edges, sets)
-    return found
+        new = C.materialize(pairs.groupBy("grp", "i", "j").applyInArrow(settle, _EDGES), "odd-links")
+        # classes that have become one
+        more = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        one_of = components(more.where("a <> b").distinct()).select(F.col("node").alias("_class"), F.col("root").alias("_root"))
+        joined = every.unionByName(single).join(one_of, F.col("comp") == F.col("_class"), "left")
+        klass = C.materialize(joined.select("node", F.coalesce("_root", "comp").alias("root")), "odd-roots")
+    C.drop(one, edges, sets, tested)
+    return klass
 
 
 def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -360,7 +400,7 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     bands, rows, most = plan(num, den)
     dealt, _ = chunks.deal(docs.select("doc_id", "text"))
     known = nodes(dealt, k, bands, rows)
-    tied = graph.components(links(dealt, known, k, num, den, most))
+    tied = links(dealt, known, k, num, den, most)
     mine = C.materialize(known.select("doc_id", "n_shingles", "node").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"), "odd-rows")
     C.drop(dealt, known)
     kept: Column = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")

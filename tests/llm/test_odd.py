@@ -36,8 +36,10 @@ def chain(seed):
     return rows
 
 
-def test_hot_buckets_and_refused_edges_in_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_hot_buckets_and_refused_edges_in_tiles(spark, monkeypatch, few):
     monkeypatch.setattr(O, "TILE", 8)
+    monkeypatch.setattr(O, "FEW", few)
     for rows in (chain(1), corpus(4)):
         assert got(spark, rows, 2, 80) == wanted(rows, 2, 80)
 
