@@ -62,9 +62,15 @@ def parse_source_key(key: Column | str) -> Column:
 
 
 def annex_key(document_id: Column | str, label: Column | str) -> Column:
-    """document/annex/number[/letter] of a label such as EK-77/A; null where the label is none."""
-    m = lambda k: F.regexp_extract(strip(label), r"(?iuU)^EK\s*[-–—]?\s*([1-9]\d*)(?:\s*[/-]\s*(\p{L}))?$", k)
-    return F.when(m(1) != "", F.concat(col(document_id), F.lit("/annex/"), m(1), F.when(m(2) != "", F.concat(F.lit("/"), F.upper(m(2)))).otherwise("")))
+    """document/annex/number[/letter] of a label such as EK-77/A, EK 77-A or EK 77 A; null where the label is none."""
+    m = lambda k: F.regexp_extract(strip(label), r"(?iuU)^EK\s*[-–—]?\s*0*([1-9]\d*)(?:(?:\s*[/–—-]\s*|\s+)([A-Za-zÇĞİÖŞÜçğıöşü]))?$", k)
+    return F.when(m(1) != "", F.concat(col(document_id), F.lit("/annex/"), m(1), F.when(m(2) != "", F.concat(F.lit("/"), F.lower(m(2)))).otherwise("")))
+
+
+def annex_order(key: Column | str) -> Column:
+    """By what annexes are in order: document, number, then the annex itself before its parts by letter."""
+    p = F.split(col(key), "/")
+    return F.struct(p[0].alias("document_id"), F.get(p, F.lit(2)).cast("int").alias("annex_no"), F.coalesce(F.get(p, F.lit(3)), F.lit("")).alias("subpart"))
 
 
 def annex_storage_id(key: Column | str) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from lexmill.functions import text as T
 
@@ -56,6 +57,25 @@ def embed_texts(df: DataFrame, text: str, provider: Provider, batch: int = 64) -
     return df.join(once, df[text] == once["__text"]).drop("__text")
 
 
+def token_counts(df: DataFrame, text: str, ranks: str, pattern: str, name: str = "tokens") -> DataFrame:
+    """df + how many tokens each text has in a byte-level vocabulary of the tiktoken library (ranks: its file, pattern: how it parts texts); special tokens' strings are plain text, null has 0. For planning only: nothing is sent."""
+    schema = T_.StructType([*(T_.StructField(f.name, f.dataType, f.nullable) for f in df.schema), T_.StructField(name, T_.LongType())])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import base64
+
+        import tiktoken
+
+        with open(ranks, "rb") as f:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+        for p in parts:
+            p[name] = [len(enc.encode_ordinary(t or "")) for t in p[text]]
+            yield p
+
+    return df.mapInPandas(run, schema)
+
+
 def display_title(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     """chunks(document_id, legislation_number, ...) + display_title from the manifest, by document, else by number; the number goes before a title that doesn't have it; else the document's id."""
     by_id = manifest.select("document_id", F.col("title").alias("t1"), F.col("legislation_number").alias("n1"))

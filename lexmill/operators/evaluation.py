@@ -63,11 +63,11 @@ RATES = tuple(f"{name}_{k}" for name in ("any", "all", "law") for k in CUTOFFS)
 
 
 def rates(results: DataFrame, *by: str) -> DataFrame:
-    """The nine rates, unexpected top laws (count and share of the known), the mean share_5 and questions, by group or over all."""
+    """The nine rates, unexpected top laws (count and share of the known), the mean share_5 and questions, and errors where rows tell of them, by group or over all."""
     rows = results
     for c in by:
         rows = rows.where(F.col(c).isNotNull())
-    sums = [F.count("*").alias("questions"), *(share(F.col(c)).alias(c) for c in RATES), F.count_if("unexpected_top").alias("unexpected_tops"), (F.count_if("unexpected_top") / F.nullif(F.count("top_law"), F.lit(0))).alias("unexpected_top_rate"), F.avg("share_5").alias("mean_share_5")]
+    sums = [F.count("*").alias("questions"), *(share(F.col(c)).alias(c) for c in RATES), F.count_if("unexpected_top").alias("unexpected_tops"), (F.count_if("unexpected_top") / F.nullif(F.count("top_law"), F.lit(0))).alias("unexpected_top_rate"), F.avg("share_5").alias("mean_share_5"), *([F.count("error").alias("errors")] if "error" in rows.columns else [])]
     return rows.groupBy(*by).agg(*sums)
 
 
@@ -220,7 +220,7 @@ def best_lines(asked: DataFrame, chunks: DataFrame, stop: tuple[str, ...] = ())
 
     Lines meet questions by chunk and token; a row a shared token is what is joined, and each task takes its own maxima first. A text without lines gives no row.
     """
-    lines = chunks.select("id", F.posexplode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), f"({LINE_END})$", ""), LINE_END, -1)).alias("n", "line")).where("line <> '' or n > 0")
+    lines = chunks.where("text <> ''").select("id", F.posexplode(F.split(F.regexp_replace("text", f"({LINE_END})\\z", ""), LINE_END, -1)).alias("n", "line"))
     ask = asked.select("query_id", "id", F.explode(F.array_except(F.array_distinct(T.tokens("question")), F.array(*map(F.lit, stop)).cast("array<string>"))).alias("token"))
     wanted = ask.select("id", "token").distinct()
     has = lines.select("id", "n", F.explode(F.array_distinct(T.tokens("line"))).alias("token")).join(wanted, ["id", "token"])

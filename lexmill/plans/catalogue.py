@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import audits, chunking, citations, collection, metrics, parsing, retrieval, routing, sequences
+from lexmill.operators import audits, chunking, citations, collection, metrics, parsing, reports, retrieval, routing, sequences
+from lexmill.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -323,7 +324,7 @@ def normalize_article_no(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.article_no_legacy(_raw()).alias("legacy"), T.article_no(_raw()).alias("canonical"))
 
 
-@query("SELECT doc_id, source || '/' || (['normal', 'ek', 'gecici'])[CAST(doc_id % 3 AS INT) + 1] || '/' || doc_id AS key, source || '/annex/' || (doc_id + 1) || CASE WHEN doc_id % 2 = 0 THEN '/A' ELSE '' END AS annex, source || '-ek-' || (doc_id + 1) || CASE WHEN doc_id % 2 = 0 THEN '-a' ELSE '' END AS storage FROM documents")
+@query("SELECT doc_id, source || '/' || (['normal', 'ek', 'gecici'])[CAST(doc_id % 3 AS INT) + 1] || '/' || doc_id AS key, source || '/annex/' || (doc_id + 1) || CASE WHEN doc_id % 2 = 0 THEN '/a' ELSE '' END AS annex, source || '-ek-' || (doc_id + 1) || CASE WHEN doc_id % 2 = 0 THEN '-a' ELSE '' END AS storage FROM documents")
 def source_keys(spark, sf):
     kind = F.element_at(F.array(*map(F.lit, ("normal", "ek", "gecici"))), (F.col("doc_id") % 3 + 1).cast("int"))
     label = F.concat(F.lit("EK-"), (F.col("doc_id") + 1).cast("string"), F.when(F.col("doc_id") % 2 == 0, "/a").otherwise(""))
@@ -331,11 +332,12 @@ def source_keys(spark, sf):
     return d.withColumn("key", F.concat_ws("/", T.parse_source_key("key")["document_id"], T.parse_source_key("key")["article_type"], T.parse_source_key("key")["article_no"])).withColumn("storage", T.annex_storage_id("annex"))
 
 
-@query("WITH m AS (SELECT source, min(lang) AS lang FROM documents GROUP BY 1) SELECT d.doc_id, m.source AS document_id, m.lang = d.lang AS agrees, d.source || ' ' || d.lang AS title FROM documents d JOIN m USING (source)")
+@query("WITH m AS (SELECT source, min(lang) AS lang FROM documents GROUP BY 1) SELECT d.doc_id, m.source AS document_id, 'T ' || m.source AS title, CASE WHEN m.lang = 'de' THEN NULL ELSE m.lang END AS legislation_number FROM documents d JOIN m USING (source)")
 def manifest_admission(spark, sf):
-    d = table(spark, sf, "documents")
-    m = d.groupBy("source").agg(F.min("lang").alias("m_lang"))
-    return d.join(m, "source", "left").select("doc_id", F.when(F.col("m_lang").isNull(), F.raise_error(F.lit("not in the manifest")).cast("string")).otherwise(F.col("source")).alias("document_id"), (F.col("m_lang") == F.col("lang")).alias("agrees"), F.concat_ws(" ", "source", "lang").alias("title"))
+    d = table(spark, sf, "documents").where("source is not null")
+    m = d.groupBy("source").agg(F.min("lang").alias("lang")).select(F.col("source").alias("document_id"), F.concat(F.lit("T "), "source").alias("title"), F.lit("law").alias("document_type"), F.when(F.col("lang") != "de", F.col("lang")).alias("legislation_number"), F.concat(F.lit("data/raw/"), "source", F.lit(".docx")).alias("local_file"))
+    spelt = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/p/data/./raw/"), "source", F.lit(".docx"))).otherwise(F.concat(F.lit("data/raw/old/../"), "source", F.lit(".docx")))
+    return files.admitted(d.select("doc_id", F.col("source").alias("document_id"), spelt.alias("source_file")), m, "/p").select("doc_id", "document_id", "title", "legislation_number")
 
 
 @query("SELECT count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS matched, count(*) FILTER (l.doc_id IS NULL) AS missing_right, count(*) FILTER (d.doc_id IS NULL) AS missing_left, 0::BIGINT AS repeated_left, 0::BIGINT AS repeated_right FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id")
@@ -453,10 +455,8 @@ def group_summary_rollup(spark, sf):
 @query(f"""WITH d AS (SELECT lang, {_TOK.format("text")} AS t FROM documents), c AS (SELECT lang, len(t) AS n, CAST(len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS BIGINT) AS hits FROM d)
 SELECT lang, CAST(sum(hits) AS BIGINT) AS hits, count(*) FILTER (hits > 0) AS documents, round(10000.0 * sum(hits) / sum(n), 6) AS per_10k FROM c GROUP BY 1""")
 def phrase_stats(spark, sf):
-    d = retrieval.spread(table(spark, sf, "documents").select("lang", "text")).select("lang", T.tokens("text").alias("t")).withColumn("n", F.size("t"))
-    pairs = F.zip_with("t", F.slice("t", F.lit(2), F.greatest(F.col("n"), F.lit(1))), lambda a, b: (a == "of") & F.coalesce(b == "the", F.lit(False)))
-    c = d.withColumn("hits", F.size(F.filter(pairs, lambda x: x)).cast("long"))
-    return c.groupBy("lang").agg(F.sum("hits").alias("hits"), F.count_if(F.col("hits") > 0).alias("documents"), F.round(10000.0 * F.sum("hits") / F.sum("n"), 6).alias("per_10k"))
+    made = reports.phrase_rates(retrieval.spread(table(spark, sf, "documents").select("lang", "text")), T.tokens("text"), "of", "the", "lang")
+    return made.withColumn("per_10k", F.round("per_10k", 6))
 
 
 @query("SELECT md5(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')))) AS key, count(*) AS n, min(conv_id) AS first_conv FROM conversations WHERE role = 'user' GROUP BY 1")
@@ -603,4 +603,4 @@ def article_chunks_lossless(spark, sf):
     return a.select("article_id").join(c, "article_id", "left").select("article_id", F.md5(F.col("again").cast("binary")).alias("digest"))
 
 
-from lexmill.plans import calls, evaluations, stores  # noqa: E402,F401  add their queries to those above
+from lexmill.plans import calls, evaluations, reporting, stores  # noqa: E402,F401  add their queries to those above

@@ -370,8 +370,8 @@ def paragraphs_payload(spark, sf):
     d = table(spark, sf, "documents").where("text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("index", "text"))
     payload = questions.paragraphs_json(d.withColumn("style_name", F.lit("Normal")).withColumn("footnotes", F.lit(None).cast("array<int>")), "x.docx")
     path = scratch(spark, "paragraphs")
-    payload.withColumn("name", F.col("document_id")).select("name", "value").write.partitionBy("name").text(path)  # a file a document
-    return questions.load_paragraphs(spark, f"{path}/*").select("document_id", F.col("index").cast("long").alias("index"), "text")
+    payload.select("value").write.text(path)  # a document a line
+    return questions.load_paragraphs(spark, path, lines=True).select("document_id", F.col("index").cast("long").alias("index"), "text")
 
 
 @query("""SELECT printf('q%03d', item_id + 1) AS id, '5326_kabahatler/normal/' || (item_id + 1) || ',5326_kabahatler/normal/' || (item_id + 1) || '/a' AS source_keys, '5326_kabahatler' AS documents FROM benchmark WHERE item_id < 30

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators import chunking, parsing
 from lexmill.operators.identity import to_source_keys
+from lexmill.sources import files
 
 #: Allowed values (fixed values of the data).
 CASE_TYPES = ("paraphrase", "exception_condition", "multi_part", "long_tail", "ambiguity_resistant")
@@ -145,23 +147,33 @@ _PARAGRAPHS = "document_id string, source_file string, paragraph_count long, par
 _CHUNKS = "document_id string, chunk_count long, chunks array<struct<chunk_id:string,article_id:string,article_no:string,article_type:string,article_title:string,section_context:string,text:string,paragraph_numbers:array<string>>>"
 
 
-def _payload(spark: SparkSession, path: str, schema: str, rows: str, count: str) -> DataFrame:
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def _payload(spark: SparkSession, path: str, schema: str, rows: str, count: str, lines: bool) -> DataFrame:
+    df = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     _fail_unless_empty(df.where(F.col("document_id").isNull() | F.col(rows).isNull() | ~F.col(count).eqNullSafe(F.size(rows).cast("long"))).select("document_id"), f"{count} is not the number of {rows}")
-    return df.select("document_id", F.inline(rows))
+    return df.select("document_id", *(["source_file"] if "source_file" in df.columns else []), F.inline(rows))
 
 
-def load_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """Files of one document's paragraphs each -> document_id, index, text, style_name, footnotes; the declared number must be right."""
-    return _payload(spark, path, _PARAGRAPHS, "paragraphs", "paragraph_count").withColumnRenamed("footnote_reference_ids", "footnotes")
+def load_paragraphs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Files of one document's paragraphs each (lines: files with a document a line) -> document_id, source_file, index, text, style_name, footnotes; the declared number must be right."""
+    return _payload(spark, path, _PARAGRAPHS, "paragraphs", "paragraph_count", lines).withColumnRenamed("footnote_reference_ids", "footnotes")
 
 
-def load_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Files of one document's chunks each -> document_id and the chunk's fields."""
-    return _payload(spark, path, _CHUNKS, "chunks", "chunk_count")
+def load_chunks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Files of one document's chunks each (lines: files with a document a line) -> document_id and the chunk's fields."""
+    return _payload(spark, path, _CHUNKS, "chunks", "chunk_count", lines)
 
 
 def paragraphs_json(paragraphs: DataFrame, source_file: str) -> DataFrame:
     """document_id, value: the payload that load_paragraphs() reads."""
     rows = F.array_sort(F.collect_list(F.struct("index", "text", "style_name", F.col("footnotes").alias("footnote_reference_ids"))))
     return paragraphs.groupBy("document_id").agg(rows.alias("p")).select("document_id", F.to_json(F.struct("document_id", F.lit(source_file).alias("source_file"), F.size("p").alias("paragraph_count"), F.col("p").alias("paragraphs"))).alias("value"))
+
+
+def parse_documents(spark: SparkSession, path: str, manifest: DataFrame, project_root: str = "/", limit: int | None = 4000) -> tuple[DataFrame, DataFrame]:
+    """Paragraph files, admitted by the manifest (files.admitted), as (articles, chunks), each with its document_id."""
+    p = files.admitted(load_paragraphs(spark, path), manifest, project_root)
+    articles = parsing.articles(p)
+    keyed = articles.withColumn("article_id", F.concat_ws("\u001f", "document_id", "article_id"))
+    c = chunking.article_chunks(keyed, limit)
+    of = lambda c: F.split(c, "\u001f")
+    return articles, c.select(of("chunk_id")[0].alias("document_id"), of("article_id")[1].alias("article_id"), of("chunk_id")[1].alias("chunk_id"), "paragraph_numbers", "text")

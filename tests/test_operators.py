@@ -35,7 +35,9 @@ def test_source_keys(spark):
         one(spark, T.parse_source_key(F.lit("law_1/normal/42/B")))
     with pytest.raises(Exception, match="not valid"):
         one(spark, T.source_key(F.lit("Law"), F.lit("ek"), F.lit("3")))
-    assert one(spark, T.annex_key(F.lit("d"), F.lit("EK-77/a"))) == "d/annex/77/A"
+    assert one(spark, T.annex_key(F.lit("d"), F.lit("EK-77/A"))) == "d/annex/77/a" == one(spark, T.annex_key(F.lit("d"), F.lit("EK 77 a"))) == one(spark, T.annex_key(F.lit("d"), F.lit("ek–77-A")))
+    keys = spark.createDataFrame([("d/annex/10",), ("d/annex/2/b",), ("d/annex/2",), ("c/annex/99",)], "k string")
+    assert [r.k for r in keys.orderBy(T.annex_order("k")).collect()] == ["c/annex/99", "d/annex/2", "d/annex/2/b", "d/annex/10"]
     assert one(spark, T.annex_key(F.lit("d"), F.lit("EK-0"))) is None
     assert one(spark, T.annex_storage_id(F.lit("d/annex/77/A"))) == "d-ek-77-a"
 
