@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +31,15 @@ def _bounded_heap() -> None:
     try:
         ctypes.CDLL(None).mallopt(-3, OWN_PAGES)  # M_MMAP_THRESHOLD
         pa.set_memory_pool(pa.system_memory_pool())
+        in_tasks.append(True)
     except (AttributeError, OSError):  # another C library
         pass
 
 
-_bounded_heap()
+#: Whether this process is a task's and has set its allocator so.
+in_tasks: list[bool] = []
+if TaskContext.get() is not None:  # a worker that loads this module for a task; the driver's process is left as it is
+    _bounded_heap()
 
 
 def give_back() -> None:
