@@ -24,7 +24,8 @@ from lexmill.functions import text as T
 from lexmill.operators import metrics, retrieval
 from lexmill.sources import shared
 
-UNIT, FIRST, SHARD_DOCS = 1e13, 2, 4096
+FIRST, SHARD_DOCS = 2, 4096
+UNIT = retrieval.UNIT
 
 
 def build(docs: DataFrame, root: str, doc_id: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS, parts: int | None = None) -> LexicalIndex:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 
 K1, B, RRF_K, POOL = 1.5, 0.75, 60, 20
+#: BM25 weights are added up as whole multiples of 1 / UNIT, so a sum doesn't depend on its order.
+UNIT = 1e13
 #: Rows of a block of queries and of a shard of the collection: what one task holds.
 QUERY_BLOCK, SHARD_ROWS = 4096, 50_000
 #: Question terms (over all questions) up to which a block of questions is scored in one pass over documents; beyond, by joins.
@@ -162,12 +164,12 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = POOL, doc_id: str = "doc_
     tf = cut.select("id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").cast("double").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    weighted = tf.join(df, "term").select("id", "term", weight.alias("w"))
+    weighted = tf.join(df, "term").select("id", "term", F.round(weight * UNIT).cast("long").alias("w"))
     pairs = asked.limit(ASKED + 1).toPandas()
     if len(pairs) <= ASKED:
         scored = _score_block(weighted, pairs, k)
     else:
-        scored = weighted.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
+        scored = weighted.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w") / UNIT, 6).alias("score")).where("score > 0")
     return rank(scored, [F.col("score").desc(), F.col("id").asc()], k)
 
 
@@ -185,10 +187,10 @@ def _score_block(weighted: DataFrame, pairs, k: int) -> DataFrame:
         floor = np.zeros(len(names))
         for b in batches:
             for i, ts, ws in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = np.zeros(len(names))
+                s = np.zeros(len(names), np.int64)
                 for t, w in zip(ts, ws, strict=True):
                     s[which[terms[t]]] += w
-                s = np.round(s, 6)
+                s = np.round(s / UNIT, 6)
                 for q in np.flatnonzero((s > 0) & (s >= floor)):
                     best[q].append((-float(s[q]), i))
                     if len(best[q]) >= 4 * k:

@@ -323,14 +323,15 @@ def annex_chunks(spark, sf):
     return g.select("annex", F.md5(F.col("t").cast("binary")).alias("digest"), F.col("n_chars").cast("long").alias("n_chars"), "heads", "packed")
 
 
-#: A statute by lines, D the document's number: where each line goes is in the SQL.
+#: A statute by lines, D the document's number, T its whole text on one line: where each line goes is in the SQL.
 _STATUTE = (
-    "BİRİNCİ KISIM", "Genel Hükümler", "Amaç D", "MADDE D- (1) Bu metin D içindir.", "(2) İkinci fıkra.", "Kapsam", "Madde  9/Ç – (Değişik: 1/1/2020-5/1 md.) (1) Metin.", "satır",
+    "BİRİNCİ KISIM", "Genel Hükümler", "Amaç D", "MADDE D- (1) Bu metin D içindir.", "(2) İkinci fıkra: T.", "Kapsam", "Madde  9/Ç – (Değişik: 1/1/2020-5/1 md.) (1) Metin.", "satır T.",
     "İKİNCİ BÖLÜM", "EK MADDE 1- Ek metin D.", "GEÇİCİ MADDE 2- Geçici metin.", "5326 SAYILI KANUNA İŞLENEMEYEN HÜKÜMLER", "Başlık D", "GEÇİCİ MADDE 3- Son metin.", "son satır.", "5326 SAYILI KANUNA EK VE DEĞİŞİKLİK GETİREN MEVZUAT", "MADDE 99- yok",
 )
+_FLAT = "(SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^a-z]+', ' ', 'g')) AS t FROM documents)"
 _ARTICLES = [
-    ("'5326-madde-' || doc_id", "CAST(doc_id AS VARCHAR)", "normal", "'Amaç ' || doc_id", "Birinci Kısım", 3, "'MADDE ' || doc_id || '- (1) Bu metin ' || doc_id || ' içindir.' || chr(10) || '(2) İkinci fıkra.'", None, 2),
-    ("'5326-madde-9-c-cedilla'", "'9/Ç'", "normal", "'Kapsam'", "Birinci Kısım", 6, "'Madde  9/Ç – (Değişik: 1/1/2020-5/1 md.) (1) Metin.' || chr(10) || 'satır'", None, 1),
+    ("'5326-madde-' || doc_id", "CAST(doc_id AS VARCHAR)", "normal", "'Amaç ' || doc_id", "Birinci Kısım", 3, "'MADDE ' || doc_id || '- (1) Bu metin ' || doc_id || ' içindir.' || chr(10) || '(2) İkinci fıkra: ' || t || '.'", None, 2),
+    ("'5326-madde-9-c-cedilla'", "'9/Ç'", "normal", "'Kapsam'", "Birinci Kısım", 6, "'Madde  9/Ç – (Değişik: 1/1/2020-5/1 md.) (1) Metin.' || chr(10) || 'satır ' || t || '.'", None, 1),
     ("'5326-ek-madde-1'", "'1'", "ek", "NULL", "Birinci Kısım > İkinci Bölüm", 9, "'EK MADDE 1- Ek metin ' || doc_id || '.'", None, 1),
     ("'5326-gecici-madde-2'", "'2'", "gecici", "NULL", "Birinci Kısım > İkinci Bölüm", 10, "'GEÇİCİ MADDE 2- Geçici metin.'", None, 1),
     ("'5326-islenemeyen-hukum-gecici-madde-3'", "'3'", "islenemeyen_hukum", "'Başlık ' || doc_id", "5326 SAYILI KANUNA İŞLENEMEYEN HÜKÜMLER", 13, "'GEÇİCİ MADDE 3- Son metin.' || chr(10) || 'son satır.'", None, 1),
@@ -339,18 +340,22 @@ _ARTICLES = [
 
 def _statutes(spark, sf) -> DataFrame:
     lines = F.array(*map(F.lit, _STATUTE))
-    p = table(spark, sf, "documents").select("doc_id", F.posexplode(lines).alias("index", "line"))
-    text = F.regexp_replace("line", r"\bD\b", F.col("doc_id").cast("string"))
+    p = table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole"), F.posexplode(lines).alias("index", "line"))
+    flat = F.trim(F.regexp_replace(F.coalesce("whole", F.lit("")), "[^a-z]+", " "))
+    text = F.replace(F.regexp_replace("line", r"\bD\b", F.col("doc_id").cast("string")), F.lit("T."), F.concat(flat, F.lit(".")))
     return p.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), "index", text.alias("text"), F.lit(None).cast("array<int>").alias("footnotes"), F.lit("5326").alias("legislation_number"))
 
 
-@query(" UNION ALL ".join(f"SELECT 'd' || doc_id AS document_id, {i} AS article_id, {n} AS article_no, '{k}' AS article_type, {t} AS article_title, '{c}' AS section_context, CAST({a} AS BIGINT) AS first, md5({x}) AS digest FROM documents" for i, n, k, t, c, a, x, _, _ in _ARTICLES))
+@query(" UNION ALL ".join(f"SELECT 'd' || doc_id AS document_id, {i} AS article_id, {n} AS article_no, '{k}' AS article_type, {t} AS article_title, '{c}' AS section_context, CAST({a} AS BIGINT) AS first, md5({x}) AS digest FROM {_FLAT}" for i, n, k, t, c, a, x, _, _ in _ARTICLES))
 def statutes_parse(spark, sf):
     a = parsing.articles(_statutes(spark, sf))
     return a.select("document_id", "article_id", "article_no", "article_type", "article_title", "section_context", F.col("start").cast("long").alias("first"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query(" UNION ALL ".join(f"SELECT 'd' || doc_id AS document_id, {i} || '-chunk-001' AS chunk_id, {numbers} AS numbers FROM documents" for (i, *_), numbers in zip(_ARTICLES, ("'1,2'", "'1'", "NULL", "NULL", "NULL"), strict=True)))
+_FITS = f"length({_ARTICLES[0][6]}) <= 4000"
+
+
+@query(" UNION ALL ".join(f"SELECT 'd' || doc_id AS document_id, {i} || '-chunk-001' AS chunk_id, {numbers} AS numbers FROM {_FLAT}" for (i, *_), numbers in zip(_ARTICLES, (f"CASE WHEN {_FITS} THEN '1,2' ELSE '1' END", "'1'", "NULL", "NULL", "NULL"), strict=True)) + f" UNION ALL SELECT 'd' || doc_id, {_ARTICLES[0][0]} || '-chunk-002', '2' FROM {_FLAT} WHERE NOT ({_FITS})")
 def statute_chunks(spark, sf):
     a = parsing.articles(_statutes(spark, sf)).withColumn("article_id", F.concat_ws("|", "document_id", "article_id"))
     c = chunking.article_chunks(a, 4000)
