@@ -68,6 +68,34 @@ def test_recall_on_the_test_table(spark):
     assert len(got) == sum(i % 100 == 0 for i in ids) and hits / (10 * len(got)) >= 0.9
 
 
+def test_recall_on_queries_that_were_no_trials(spark):
+    """What the number of candidates was fitted on doesn't count: four queries in five, at least, are others."""
+    import os
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    points = A.valid(spark.read.parquet(path), "vec_id", "embedding")
+    rows = points.collect()
+    ids, x = np.array([r.id for r in rows]), A.matrix(spark.createDataFrame(rows, points.schema).toArrow().column("vec"))
+    queries = A.asked(points, 4)
+    share = A.TRIALS / queries.count()
+    held = {r.id for r in queries.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) >= int(share * 1_000_000) + 1).collect()}
+    assert len(held) > 0.7 * queries.count()
+    got = {}
+    for r in A.Forest(points, 10).search(queries).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in held:
+        d = ((x - x[ids == q][0]) ** 2).sum(1)
+        near = [int(i) for i in ids[np.argsort(d, kind="stable")] if i != q][:10]
+        hits += len(got[q] & set(near))
+    assert hits / (10 * len(held)) >= 0.9
+
+
 def test_clashing_columns_and_two_vectors_of_one_id(spark):
     rows = [(100, [1.0, 0.0], 1, [9.0]), (100, [0.5, 0.0], 1, [9.0]), (1, [1.0, 0.1], 2, [9.0]), (2, [0.0, 5.0], 3, [9.0])]
     p = A.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, vec array<double>"), "vec_id", "embedding")
