@@ -2,10 +2,16 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
+from lexmill.llm import common as C
 from lexmill.llm import media as M
 
 
+def features(docs):
+    return M.read_tensors(M.features(M.media(docs), C.new_path(docs.sparkSession, "t")))
+
+
 def test_resample_equals_direct_filter():
     x = np.random.default_rng(0).normal(size=1001).astype(np.float32)
     h = np.empty(M.TAPS * M.UP)
@@ -36,7 +42,7 @@ def test_segments_equal_a_state_machine():
 def test_rows(spark):
     texts = [(1, "hello world " * 50), (2, None), (3, ""), (None, "x" * 192), (4, "hello world " * 50), (5, "é" * 40_000)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    rows = M.features(M.media(docs)).collect()
+    rows = features(docs).collect()
     assert len(rows) == 6
     for r in rows:
         t = next(t for i, t in texts if i == r.doc_id)
@@ -47,9 +53,11 @@ def test_rows(spark):
         assert all(a < b for a, b in zip(r.starts, r.ends, strict=True))
     one, four = (next(r for r in rows if r.doc_id == k) for k in (1, 4))
     assert one.tensors == four.tensors and one.starts == four.starts
-    t = M.tensor_table(M.features(M.media(docs)).toArrow())
-    assert t.schema.field("tensor").type.shape == [M.SLICES, M.MELS]
-    assert M.features(M.media(docs.limit(0))).count() == 0
+    files = sorted({r.file for r in rows})
+    t = pa.concat_tables([pa.ipc.open_file(f.removeprefix("file://")).read_all() for f in files])
+    assert t.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), [M.SLICES, M.MELS]) and t.num_rows == sum(r.segments for r in rows)
+    assert sorted(zip(*(t.column(c).to_pylist() for c in ("doc_id", "start_s", "end_s")), strict=True), key=repr) == sorted(((r.doc_id, a, b) for r in rows for a, b in zip(r.starts, r.ends, strict=True)), key=repr)
+    assert features(docs.limit(0)).count() == 0
 
 
 def test_log_mel_equals_plain_transform():
@@ -72,7 +80,7 @@ def test_describe_averages_frames_of_each_segment():
     x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
     mel, energy = M.log_mel(M.resample(x - x.mean()))
     spans = M.segments(energy)
-    t = np.frombuffer(tensors, np.float32).reshape(len(spans), M.SLICES, M.MELS)
+    t = tensors
     step = M.HOP * M.DOWN / (M.UP * M.RATE)
     assert len(starts) == len(ends) == len(spans)
     for s, (b, e), a, z in zip(t, spans.tolist(), starts, ends, strict=True):
@@ -84,5 +92,5 @@ def test_describe_averages_frames_of_each_segment():
 
 def test_extra_columns_are_ignored(spark):
     d = spark.createDataFrame([(1, "abc", 5, b"x")], "doc_id long, text string, n_bytes int, media binary")
-    r = M.features(M.media(d)).collect()
+    r = features(d).collect()
     assert len(r) == 1 and r[0].n_bytes == 3 and r[0].payload_bytes == 192
