@@ -184,8 +184,8 @@ def with_originals(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return found.union(small.select("page_id", "url", "html", F.lit(None).cast("long"), F.lit(None).cast("string")))
 
 
-def write_archives(pages: DataFrame, root: str, version: int = 2, batch: int = 500) -> DataFrame:
-    """with_originals()'s rows to .warc.gz files under root, by way of ARC; returns the manifest: path, n_records."""
+def write_archives(pages: DataFrame, root: str, version: int = 2, nbytes: int = 4 << 20) -> DataFrame:
+    """with_originals()'s rows to .warc.gz files under root, by way of ARC, about nbytes of pages at a time; returns the manifest: path, n_records."""
     fs, at = C.filesystem(root)
     fs.create_dir(at, recursive=True)
 
@@ -196,21 +196,19 @@ def write_archives(pages: DataFrame, root: str, version: int = 2, batch: int = 5
         fs, at = C.filesystem(f"{root}/{name}.warc.gz")
         tmp, n = f"{at}.{uuid.uuid4().hex}.tmp", 0
         out = None
-        for b in batches:
-            for k in range(0, b.num_rows, batch):
-                rows = b.slice(k, batch).to_pylist()
-                arc, original = io.BytesIO(), {}
-                arc.write(arc_head(version, f"{name}.arc"))
-                for r in rows:
-                    where = f"page:{r['page_id']}"
-                    payload = r["html"].encode("utf-8", "surrogatepass")
-                    arc.write(arc_record(version, clean_url(r["url"], r["page_id"]), payload, arc.tell(), f"{name}.arc", where))
-                    if r["refers_to"] is not None:
-                        original[where, hashlib.sha1(payload).hexdigest()] = (f"page:{r['refers_to']}", clean_url(r["refers_url"], r["refers_to"]))
-                out = out or fs.open_output_stream(tmp, compression=None)
-                for x in convert(arc.getvalue(), original):
-                    out.write(gz(x))
-                n += len(rows)
+        for b in C.slices(batches, nbytes):
+            rows, arc, original = b.to_pylist(), io.BytesIO(), {}
+            arc.write(arc_head(version, f"{name}.arc"))
+            for r in rows:
+                where = f"page:{r['page_id']}"
+                payload = r["html"].encode("utf-8", "surrogatepass")
+                arc.write(arc_record(version, clean_url(r["url"], r["page_id"]), payload, arc.tell(), f"{name}.arc", where))
+                if r["refers_to"] is not None:
+                    original[where, hashlib.sha1(payload).hexdigest()] = (f"page:{r['refers_to']}", clean_url(r["refers_url"], r["refers_to"]))
+            out = out or fs.open_output_stream(tmp, compression=None)
+            for x in convert(arc.getvalue(), original):
+                out.write(gz(x))
+            n += len(rows)
         if out:
             out.close()
             fs.move(tmp, at)
@@ -235,7 +233,7 @@ def read_archives(manifest: DataFrame, files: int) -> DataFrame:
         for b in batches:
             for path in b.column(0).to_pylist():
                 fs, at = C.filesystem(path)
-                rows = []
+                rows, held = [], 0
                 with fs.open_input_stream(at, compression=None) as f:
                     for m in members(f):
                         for h, block in parse_warc(m):
@@ -248,9 +246,10 @@ def read_archives(manifest: DataFrame, files: int) -> DataFrame:
                                 if hashlib.sha1(body).hexdigest() != digest:
                                     raise ValueError(f"{path}: {h['warc-record-id']} has another payload than its digest says")
                             rows.append((page(h["x-source-location"]), h["warc-target-uri"].encode("utf-8", "surrogateescape").decode("utf-8", "replace"), h["warc-type"], len(body) if body is not None else int(h["x-payload-length"]), digest, page(h.get("x-refers-to-location")), body))
-                            if len(rows) == 200:
+                            held += 1000 + len(body or b"")
+                            if held > 4 << 20:
                                 yield flush(rows)
-                                rows = []
+                                rows, held = [], 0
                 if rows:
                     yield flush(rows)
 

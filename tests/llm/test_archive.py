@@ -77,3 +77,12 @@ def test_rows_of_one_page_id_keep_their_own_payloads(spark):
     got = A.read_archives(A.write_archives(A.with_originals(df), C.new_path(spark, "w")), 1).collect()
     want = [(i, hashlib.sha1(h.encode()).hexdigest(), *((9, None) if h == same and i != 9 else (None, h.encode()))) for i, _, h in rows]
     assert sorted(((r.page_id, r.payload_digest, r.refers_to, r.payload and bytes(r.payload)) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_very_long_and_very_many_payloads(spark):
+    rows = [(1, "http://a/", "é" * 3_000_000), (2, "http://b/", "é" * 3_000_000)] + [(k, f"http://c/{k}", f"page {k}") for k in range(3, 400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    manifest = A.write_archives(A.with_originals(pages), C.new_path(spark, "t"), nbytes=1000)
+    got = {r.page_id: r for r in A.read_archives(manifest, 2).collect()}
+    assert len(got) == 399 and (got[1].record_type, got[1].refers_to, got[2].record_type, got[1].payload_bytes) == ("revisit", 2, "response", 6_000_000)
+    assert bytes(got[7].payload) == b"page 7"
