@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import checks
 from lexmill.functions import text as T
 from lexmill.operators import sequences
 
@@ -177,8 +178,7 @@ def chunks(blocks: DataFrame, limit: int = 4000, document_id: str = "document",
     an error is raised; so it is where contributors are unresolved or limit isn't positive. A unit without blocks is one empty chunk.
     made: units(blocks), if it is there already.
     """
-    if isinstance(limit, bool) or not isinstance(limit, int) or limit <= 0:
-        raise ValueError("limit must be a positive whole number")
+    checks.positive("limit", limit)
     made = resolved(units(blocks) if made is None else made)
     b = segments(blocks if "member_order" in blocks.columns else blocks.withColumn("member_order", F.lit(0)))
     of = b.select("path", "member", "part", "annex", "member_order").distinct()

@@ -65,3 +65,37 @@ def metadata(df: DataFrame, on: str, fields: list[str]) -> DataFrame:
     """on, metadata: canonical JSON of the fields, absent ones (null or empty) left out."""
     clean = [F.when(F.size(F.col(f)) > 0, F.col(f)).alias(f) if dict(df.dtypes)[f].startswith("array") else F.col(f) for f in sorted(fields)]
     return df.select(on, F.to_json(F.struct(*clean)).alias("metadata"))
+
+
+def dataset_problems(questions: DataFrame, evidence: DataFrame, texts: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """questions(id, question, source_keys array), evidence(id, key, excerpt), texts(key, text) and maybe the ids that must be there (id) -> id, problem, what, a row a
+    problem: missing_id, unexpected_id, repeated_id, repeated_question (white space and case aside), no_evidence (a source without excerpt), foreign_evidence (an excerpt of no
+    source of the question), no_source, not_literal."""
+    q = questions.select("id", "question", F.array_distinct("source_keys").alias("keys"))
+    found = q.groupBy("id").count().where("count > 1").select("id", F.lit("repeated_id").alias("problem"), F.lit(None).cast("string").alias("what"))
+    key = F.lower(F.regexp_replace(F.trim("question"), r"(?U)\s+", " "))
+    twice = q.groupBy(key.alias("k")).agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1).select(F.explode("ids").alias("id"), "k")
+    found = found.union(twice.select("id", F.lit("repeated_question"), "k"))
+    pairs, proof = q.select("id", F.explode("keys").alias("key")).distinct(), evidence.select("id", "key").distinct()
+    found = found.union(pairs.join(proof, ["id", "key"], "left_anti").select("id", F.lit("no_evidence"), "key")).union(proof.join(pairs, ["id", "key"], "left_anti").select("id", F.lit("foreign_evidence"), "key"))
+    literal = excerpt_audit(evidence.select(F.col("id").alias("question_id"), "key", "excerpt"), texts).where("audit <> 'ok'")
+    found = found.union(literal.select(F.col("question_id").alias("id"), "audit", "key"))
+    if ids is not None:
+        found = found.union(ids.join(q, "id", "left_anti").select("id", F.lit("missing_id"), F.lit(None).cast("string"))).union(q.join(ids, "id", "left_anti").select("id", F.lit("unexpected_id"), F.lit(None).cast("string")))
+    return found
+
+
+def composition(questions: DataFrame, *fields: str) -> DataFrame:
+    """field, value, questions: how many questions each value of the fields has; source_type (annex, article, mixed) and sources (their number) are made of source_keys."""
+    from lexmill.operators.evaluation import question_type
+
+    d = questions.withColumn("source_type", question_type(F.col("source_keys"))).withColumn("sources", F.size(F.array_distinct("source_keys")).cast("string"))
+    names = (*fields, "source_type", "sources")
+    one = F.array(*(F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in names))
+    return d.select(F.explode(one).alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("questions"))
+
+
+def rank_hashes(ranks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """ranks(query_id, rank, id, text_sha256) of a saved run against chunks(id, text) -> query_id, rank, id, state: same, changed, or gone (no such chunk)."""
+    j = ranks.join(chunks.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("now")), "id", "left")
+    return j.select("query_id", "rank", "id", F.when(F.col("now").isNull(), "gone").when(F.col("now") == F.col("text_sha256"), "same").otherwise("changed").alias("state"))

@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def alignment(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """One row: ids on both sides, missing on either, repeated on either. Both must be 1:1 before an inner join."""
+def alignment(left: DataFrame, right: DataFrame, on: str, vector: str | None = None) -> DataFrame:
+    """One row: ids on both sides, missing on either, repeated on either. Both must be 1:1 before an inner join. vector (of right): also how many
+    sizes its vectors have, and how many are null, empty or hold what is no finite number."""
     count = lambda d, n: d.groupBy(on).agg(F.count("*").alias(n))
+    if vector:
+        v = F.col(vector)
+        bad = F.coalesce(F.size(v) < 1, F.lit(True)) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        sizes = right.agg(F.countDistinct(F.when(F.size(v) > 0, F.size(v))).alias("sizes"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad_vectors"))
+        return alignment(left, right, on).crossJoin(F.broadcast(sizes))  # one row each
     both = count(left, "l").join(count(right, "r"), on, "full_outer")
     return both.agg(F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("matched"), F.count_if(F.col("r").isNull()).alias("missing_right"), F.count_if(F.col("l").isNull()).alias("missing_left"), F.count_if(F.col("l") > 1).alias("repeated_left"), F.count_if(F.col("r") > 1).alias("repeated_right"))
 

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions import checks
 from lexmill.operators import answering, retrieval
 from lexmill.sources import shared
 
@@ -84,8 +85,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, embed: Embed, k: int, metr
 
     Filter chunks before, as for dense_topk. Questions with no chunk have no results. Each question is embedded once: what is embedded is written.
     """
-    if isinstance(k, bool) or not isinstance(k, int) or k <= 0:
-        raise ValueError("k must be a positive whole number")
+    checks.positive("k", k), checks.positive("in_flight", in_flight)
     from lexmill.sources.files import scratch
 
     spark = questions.sparkSession

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import checks
 from lexmill.functions import text as T
 
 K1, B, RRF_K, POOL = 1.5, 0.75, 60, 20
@@ -30,6 +31,7 @@ def dense_topk(queries: DataFrame, collection: DataFrame, k: int, metric: str =
     keeps k rows a query, so the shuffle carries vectors once a block and the rank sees k rows a shard.
     within: a column of longs on both sides; a query meets only rows of its own value and is ranked by value.
     """
+    checks.positive("k", k), checks.one_of("metric", metric, ("l2", "cosine"))
     keys = ["block", "shard", *([within] if within else [])]
     blocks, shards = max(1, math.ceil(queries.count() / QUERY_BLOCK)), max(1, math.ceil(collection.count() / SHARD_ROWS))
     pairs = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -156,6 +158,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = POOL, doc_id: str = "doc_
     Each text is cut into terms once; only terms that a question has go on (a semi-join before the first
     shuffle), so the postings that are joined grow with the questions' terms, not with the vocabulary.
     """
+    checks.positive("k", k)
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens("question"))).alias("term"))
     docs = spread(docs.select(doc_id, text))
     cut = docs.select(F.col(doc_id).alias("id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms").cast("double"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.operators import evaluation, reports
+from lexmill.operators import audits, evaluation, reports
 from lexmill.plans.catalogue import _COS, _ranked_sql, query, ranked, table
 
 _KEY = "'d' || {0} % 5 || CASE WHEN {0} % 2 = 0 THEN '/annex/' ELSE '/normal/' END || {0}"
@@ -88,3 +88,35 @@ def answered_summary(spark, sf):
     e = table(spark, sf, "events").select("event_type", (i % 11 > 0).alias("completed"), (i % 3 == 0).alias("cited"), (i % 2 == 0).alias("complete"), F.when(i % 7 > 0, F.floor(F.col("value") * 10).cast("long")).alias("tokens"), F.col("value").alias("latency_ms"))
     s = reports.answered_summary(e, ("cited", "complete"), ("tokens",), "event_type")
     return s.withColumns({c: F.round(c, 6) for c in ("cited", "complete")} | {"latency_ms": F.round("latency_ms", 4)})
+
+
+@query("""WITH q AS (SELECT doc_id AS id, CASE WHEN doc_id % 50 = 1 THEN 'Same  question' WHEN doc_id % 50 = 2 THEN ' same QUESTION' ELSE 'q ' || doc_id END AS question, text, doc_id % 4 AS m FROM documents WHERE text IS NOT NULL),
+t AS (SELECT list(id ORDER BY id) AS ids FROM q WHERE id % 50 IN (1, 2))
+SELECT unnest(ids)::VARCHAR AS id, 'repeated_question' AS problem, 'same question' AS what FROM t WHERE len(ids) > 1
+UNION ALL SELECT id::VARCHAR, 'no_evidence', 'k' || id FROM q WHERE m = 1 UNION ALL SELECT id::VARCHAR, 'foreign_evidence', 'x' || id FROM q WHERE m = 1 UNION ALL SELECT id::VARCHAR, 'no_source', 'x' || id FROM q WHERE m = 1
+UNION ALL SELECT id::VARCHAR, 'not_literal', 'k' || id FROM q WHERE m = 2 AND NOT contains(text, substr(text, 5, 30) || '#')
+UNION ALL SELECT CAST(-1 AS VARCHAR), 'missing_id', NULL UNION ALL SELECT id::VARCHAR, 'unexpected_id', NULL FROM q WHERE m = 3""")
+def dataset_problems(spark, sf):
+    i = F.col("doc_id")
+    d = table(spark, sf, "documents").where("text is not null").withColumn("k", F.concat(F.lit("k"), i.cast("string")))
+    q = d.select(i.alias("id"), F.when(i % 50 == 1, "Same  question").when(i % 50 == 2, " same QUESTION").otherwise(F.concat(F.lit("q "), i.cast("string"))).alias("question"), F.array("k").alias("source_keys"))
+    cut = F.substring("text", 5, 30)
+    e = d.select(i.alias("id"), F.when(i % 4 == 1, F.concat(F.lit("x"), i.cast("string"))).otherwise(F.col("k")).alias("key"), F.when(i % 4 == 2, F.concat(cut, F.lit("#"))).otherwise(cut).alias("excerpt"))
+    ids = d.where("doc_id % 4 <> 3").select(i.alias("id")).union(spark.range(1).select(F.lit(-1).cast("long")))
+    return audits.dataset_problems(q, e, d.select(F.col("k").alias("key"), "text"), ids).select(F.col("id").cast("string").alias("id"), "problem", "what")
+
+
+@query("""SELECT 'lang' AS field, lang AS value, count(*) AS questions FROM documents GROUP BY 2 UNION ALL SELECT 'source_type', CASE doc_id % 3 WHEN 0 THEN 'annex' WHEN 1 THEN 'mixed' ELSE 'article' END, count(*) FROM documents GROUP BY 2 UNION ALL SELECT 'sources', CASE WHEN doc_id % 3 = 1 THEN '2' ELSE '1' END, count(*) FROM documents GROUP BY 2""")
+def dataset_composition(spark, sf):
+    i = F.col("doc_id") % 3
+    a, b = F.lit("d/annex/1"), F.lit("d/normal/2")
+    return audits.composition(table(spark, sf, "documents").select("lang", F.when(i == 0, F.array(a, a)).when(i == 1, F.array(a, b)).otherwise(F.array(b)).alias("source_keys")), "lang")
+
+
+@query(f"""WITH {_ranked_sql(5)} SELECT query_id, rank, id, CASE WHEN id % 13 = 0 THEN 'gone' WHEN id % 7 = 0 THEN 'changed' ELSE 'same' END AS state FROM r""")
+def rank_hashes(spark, sf):
+    r = ranked(spark, sf, 5)
+    text = F.concat(F.lit("text "), F.col("id").cast("string"))
+    saved = r.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    now = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")).where("id % 13 <> 0").select("id", F.when(F.col("id") % 7 == 0, F.concat(text, F.lit("!"))).otherwise(text).alias("text"))
+    return audits.rank_hashes(saved, now)

@@ -81,3 +81,25 @@ def test_admission(spark, tmp_path):
     (tmp_path / "p" / "a.json").write_text(json.dumps(payload | {"document_id": "d-b"}))
     with pytest.raises(Exception, match="another document"):
         questions.parse_documents(spark, str(tmp_path / "p"), m, "/p")[0].collect()
+
+
+def test_checks_of_parameters(spark):
+    from lexmill.functions import checks
+    from lexmill.operators import audits, collection, retrieval
+
+    assert checks.positive("k", 3) == 3 and checks.one_of("m", "a", ("a", "b")) == "a"
+    for bad in (0, -1, True, 1.0, "3", None):
+        with pytest.raises(ValueError, match="positive"):
+            checks.positive("k", bad)
+    with pytest.raises(ValueError, match="one of"):
+        retrieval.dense_topk(spark.range(1), spark.range(1), 3, "dot")
+    d = spark.createDataFrame([("a",), (" ",)], "t string")
+    assert d.limit(1).select(checks.not_blank("t", "a question")).first()[0] == "a"
+    with pytest.raises(Exception, match="a question must not be empty"):
+        d.select(checks.not_blank("t", "a question")).collect()
+    left = spark.createDataFrame([(1,), (2,)], "id long")
+    right = spark.createDataFrame([(1, [1.0]), (2, [1.0, float("nan")]), (3, None), (3, [])], "id long, v array<double>")
+    a = collection.alignment(left, right, "id", "v").first()
+    assert (a.matched, a.missing_left, a.repeated_right, a.sizes, a.bad_vectors) == (2, 1, 1, 2, 3)
+    c = {(r.field, r.value): r.questions for r in audits.composition(spark.createDataFrame([("x", ["a/annex/1", "b/ek/1"]), ("y", ["b/ek/1"])], "kind string, source_keys array<string>"), "kind").collect()}
+    assert c == {("kind", "x"): 1, ("kind", "y"): 1, ("source_type", "mixed"): 1, ("source_type", "article"): 1, ("sources", "1"): 1, ("sources", "2"): 1}
