@@ -94,7 +94,7 @@ def test_checks_of_parameters(spark):
     with pytest.raises(ValueError, match="one of"):
         retrieval.dense_topk(spark.range(1), spark.range(1), 3, "dot")
     d = spark.createDataFrame([("a",), (" ",)], "t string")
-    assert d.limit(1).select(checks.not_blank("t", "a question")).first()[0] == "a"
+    assert d.where("t = 'a'").select(checks.not_blank("t", "a question")).first()[0] == "a"
     with pytest.raises(Exception, match="a question must not be empty"):
         d.select(checks.not_blank("t", "a question")).collect()
     left = spark.createDataFrame([(1,), (2,)], "id long")
