@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,39 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def route(queries: DataFrame, centers: DataFrame, by: str) -> DataFrame:
-    """queries(query_id, q) x centers(by, c) -> query_id, rank, by, similarity; ties by name. Centres are one a document of the registry and are broadcast when Spark finds them small."""
-    q = queries.select("query_id", F.transform("q", lambda x: x.cast("double") / norm(F.col("q"))).alias("q"), F.lit(1).alias("all"))
-    s = q.join(centers.withColumn("all", F.lit(1)), "all").select("query_id", by, dot(F.col("q"), F.col("c")).alias("similarity"))
+#: Questions and centres of a task.
+QUESTIONS, CENTRES = 4096, 50_000
+
+
+def route(queries: DataFrame, centers: DataFrame, by: str, k: int | None = None) -> DataFrame:
+    """queries(query_id, q) and centers(by, c) -> query_id, rank, by, similarity: the first k centres of each question by cosine, or all of them; ties (of similarities rounded to 9 places) by name.
+
+    Blocks of questions meet shards of centres in matrix products; with k only k rows a question and shard are shuffled.
+    """
+    blocks, shards = max(1, -(-queries.count() // QUESTIONS)), max(1, -(-centers.count() // CENTRES))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", F.col("q").cast("array<double>").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", each(shards))
+    c = centers.select(by, F.col("c").cast("array<double>").alias("c"), F.pmod(F.xxhash64(by), F.lit(shards)).cast("int").alias("shard")).withColumn("block", each(blocks))
+
+    def compare(key, left, right):
+        out = ([], [], [])
+        if left.num_rows and right.num_rows:
+            x, y = np.array(left.column("q").to_pylist(), np.float64), np.array(right.column("c").to_pylist(), np.float64)
+            names, ids = right.column(by).to_pylist(), left.column("query_id").to_pylist()
+            order = np.array(sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i])))
+            near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ y[order].T
+            for i, s in zip(ids, near, strict=True):
+                best = np.argsort(-np.round(s, 9), kind="stable")[:k]
+                out[0].extend([i] * len(best))
+                out[1].extend(names[j] for j in order[best].tolist())
+                out[2].extend(s[best].tolist())
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), by: pa.array(out[1], right.schema.field(by).type), "similarity": pa.array(out[2], pa.float64())})
+
+    kind = centers.schema[by].dataType.simpleString()
+    near = q.groupBy("block", "shard").cogroup(c.groupBy("block", "shard")).applyInArrow(compare, f"query_id long, {by} {kind}, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), F.col(by).asc())
-    return s.withColumn("rank", F.row_number().over(order))
+    out = near.withColumn("rank", F.row_number().over(order))
+    return out if k is None else out.where(F.col("rank") <= k)
 
 
 def margins(routes: DataFrame) -> DataFrame:

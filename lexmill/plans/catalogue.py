@@ -238,7 +238,7 @@ def centroids(spark, sf):
 
 def _routes(spark, sf):
     q, _ = vectors(spark, sf)
-    return routing.route(q, routing.centroids(table(spark, sf, "embeddings"), "label"), "label")
+    return routing.route(q, routing.centroids(table(spark, sf, "embeddings"), "label"), "label", 2)
 
 
 @query(f"WITH {_ROUTES} SELECT query_id, rank, CAST(label AS BIGINT) AS label, round(similarity, 6) AS similarity FROM o WHERE rank <= 2")
