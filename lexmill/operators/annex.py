@@ -10,30 +10,41 @@ from lexmill.functions import text as T
 from lexmill.operators import sequences
 
 _LETTER = "[A-Za-zÇĞİÖŞÜçğıöşü]"
-#: Labels and headings of annexes (fixed values): EK-77, EK 77/A, EK-77-A, EK 77 A; a heading is a line of its own, maybe quoted.
-LABEL = rf"(?iuU)\bEK\s*[-–—]?\s*(\d{{1,3}})(?:(?:\s*[/–—-]\s*|\s+)({_LETTER}))?\b"
-HEADING = rf"(?iuU)^\s*[(\"“]?\s*EK\s*[-–—]?\s*\d{{1,3}}(?:\s*[/–—-]\s*{_LETTER})?\s*[\"”]?\s*$"
+#: Digits of an annex's number (the reference's); collections with more annexes say so.
+DIGITS = 3
+
+
+def label(digits: int = DIGITS) -> str:
+    """Pattern of labels: EK-77, EK 77/A, EK-77-A, EK 77 A."""
+    return rf"(?iuU)\bEK\s*[-–—]?\s*(\d{{1,{digits}}})(?:(?:\s*[/–—-]\s*|\s+)({_LETTER}))?\b"
+
+
+def heading(digits: int = DIGITS) -> str:
+    """Pattern of headings: a label as a line of its own, maybe quoted."""
+    return rf"(?iuU)^\s*[(\"“]?\s*EK\s*[-–—]?\s*\d{{1,{digits}}}(?:\s*[/–—-]\s*{_LETTER})?\s*[\"”]?\s*$"
+
+
 #: What tells versions of one text (fixed values).
 VERSION_MARKS = ("version", "eski metin", "yeni metin", "yürürlük tarihi", "değişik")
 SAME = ("SINGLE", "EXACT_DUPLICATE", "WHITESPACE_EQUIVALENT", "STRUCTURALLY_EQUIVALENT")
 
 
-def _key(text: Column) -> Column:
+def _key(text: Column, digits: int) -> Column:
     """n or n/X of the first label; null without one; annex 0 raises."""
-    n, sub = F.regexp_extract(text, LABEL, 1), F.regexp_extract(text, LABEL, 2)
-    number = F.when(n.cast("int") > 0, n.cast("int").cast("string")).otherwise(F.raise_error(F.concat(F.lit("not an annex number: "), n)).cast("string"))
+    n, sub = F.regexp_extract(text, label(digits), 1), F.regexp_extract(text, label(digits), 2)
+    number = F.when(n.cast("long") > 0, n.cast("long").cast("string")).otherwise(F.raise_error(F.concat(F.lit("not an annex number: "), n)).cast("string"))
     return F.when(n != "", F.concat(number, F.when(sub != "", F.concat(F.lit("/"), F.upper(sub))).otherwise("")))
 
 
-def heading_key(text: Column) -> Column:
+def heading_key(text: Column, digits: int = DIGITS) -> Column:
     """n or n/X of a heading: a line that is a label and nothing else, or one of up to 120 characters that cites the gazette (RG-), wherever the label stands in it."""
     t = T.strip(text)
-    return F.when(t.rlike(HEADING) | ((F.length(t) <= 120) & F.contains(F.upper(t), F.lit("RG-"))), _key(text))
+    return F.when(t.rlike(heading(digits)) | ((F.length(t) <= 120) & F.contains(F.upper(t), F.lit("RG-"))), _key(text, digits))
 
 
-def member_key(member: Column) -> Column:
+def member_key(member: Column, digits: int = DIGITS) -> Column:
     """n or n/X of a member's file name; null where it has none."""
-    return _key(F.regexp_replace(F.element_at(F.split(member, "/"), -1), r"(?<=.)\.[^.]*$", ""))
+    return _key(F.regexp_replace(F.element_at(F.split(member, "/"), -1), r"(?<=.)\.[^.]*$", ""), digits)
 
 
 def cell_value(c: Column) -> Column:
@@ -48,25 +59,27 @@ def render(kind: Column, text: Column, rows: Column, sheet: Column, cells: Colum
     return F.when(kind == "table", table).when(kind == "spreadsheet", F.array_join(F.concat(F.array(F.concat(F.lit("SHEET | "), sheet)), F.transform(cells, one)), "\n")).otherwise(F.coalesce(text, F.lit("")))
 
 
-def segments(blocks: DataFrame) -> DataFrame:
+def segments(blocks: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Adds annex and part: a member's first part is its file name's annex's, and a heading of another annex than the one before begins the next.
 
     An annex that comes back is a part of its own. A member whose name has no label raises. Windows are over the blocks of one file.
+    digits: the most that an annex's number has, 1 to 18.
     """
+    checks.one_of("digits", digits, tuple(range(1, 19)))
     w = Window.partitionBy("path", "member").orderBy("source_order")
-    own = member_key(F.col("member"))
+    own = member_key(F.col("member"), digits)
     none = F.raise_error(F.concat(F.lit("no annex label in "), F.col("member"))).cast("string")
-    here = F.when(F.col("kind") == "paragraph", heading_key(F.col("text")))
+    here = F.when(F.col("kind") == "paragraph", heading_key(F.col("text"), digits))
     b = blocks.withColumn("own", F.when(own.isNull(), none).otherwise(own)).withColumn("here", here)
     b = b.withColumn("annex", F.coalesce(F.last("here", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "own"))
     new = F.col("annex") != F.coalesce(F.lag("annex").over(w), F.col("own"))
     return b.withColumn("new", new.cast("int")).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new", "here")
 
 
-def contributors(blocks: DataFrame) -> DataFrame:
+def contributors(blocks: DataFrame, digits: int = DIGITS) -> DataFrame:
     """A row for each part of a member: path, member, member_order, part, annex, detected, warning, text (its blocks rendered, by lines). The file name's own part is there even if nothing stands in it."""
     order = "member_order" if "member_order" in blocks.columns else None
-    b = segments(blocks if order else blocks.withColumn("member_order", F.lit(0)))
+    b = segments(blocks if order else blocks.withColumn("member_order", F.lit(0)), digits)
     r = b.withColumn("r", render(F.col("kind"), F.col("text"), F.col("rows"), F.col("sheet_name"), F.col("cells")))
     lines = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("source_order", "r"))), lambda x: x["r"]), lambda x: x != "")
     warning = F.max("warning") if "warning" in blocks.columns else F.lit(None).cast("string")
@@ -96,15 +109,15 @@ def relation(texts: Column) -> Column:
     )
 
 
-def units(blocks: DataFrame) -> DataFrame:
+def units(blocks: DataFrame, digits: int = DIGITS) -> DataFrame:
     """path, annex, members (of its contributors, in archive order), relation, canonical (member, part), rendered, warnings.
 
     Duplicates are rendered as the canonical contributor (one whose file name is this annex's first, then docx and xlsx, then by
     name); others one after another in archive order with headers, those without text left out.
     """
-    m = contributors(blocks)
+    m = contributors(blocks, digits)
     at = F.struct("member_order", "member", "part")
-    dedicated = member_key(F.col("member")) == F.col("annex")
+    dedicated = member_key(F.col("member"), digits) == F.col("annex")
     place = F.struct((~dedicated).alias("a"), (~F.col("detected").isin("docx", "xlsx")).alias("b"), F.col("member").alias("m"), F.col("part").alias("p"))
     g = m.groupBy("path", "annex").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "member", "part", "text", "warning"))).alias("s"), F.min(place).alias("c"))
     g = g.withColumn("relation", relation(F.transform("s", lambda x: x["text"])))

@@ -293,6 +293,8 @@ def _annex_blocks(spark, sf) -> DataFrame:
     return lines.select(F.lit("z").alias("path"), F.concat(F.lit("EK-"), "a", F.lit(" "), (F.col("i") % 3).cast("string"), F.lit(".docx")).alias("member"), (-F.col("i")).cast("int").alias("member_order"), F.lit("docx").alias("detected"), "source_order", F.lit("paragraph").alias("kind"), "text", nothing("array<array<string>>").alias("rows"), nothing("string").alias("sheet_name"), nothing(cells).alias("cells"))
 
 
+#: Annexes are numbered by documents, so their numbers have more digits than the reference's three.
+_DIGITS = 18
 #: Members stand in archive order by descending doc_id. A part of a member is a contributor; blank lines aren't rendered.
 _ANNEX = """d AS (SELECT doc_id, doc_id // 3 + 1 AS a, doc_id // 3 AS f, regexp_replace(coalesce(text, ''), '[^a-z \n]', 'x', 'g') AS t FROM documents),
 j AS (SELECT d.*, coalesce(o.t, '') AS t0 FROM d LEFT JOIN d o ON o.f = d.f AND o.doc_id % 3 = 0),
@@ -310,7 +312,7 @@ w AS (SELECT annex, n, relation, canonical, CASE WHEN relation IN ('CONFLICTING'
 
 @query(f"WITH {_ANNEX} SELECT annex, n, relation, canonical, md5(rendered) AS digest FROM w")
 def annex_merge(spark, sf):
-    return annex.units(_annex_blocks(spark, sf)).select("annex", F.size("members").cast("long").alias("n"), "relation", "canonical", F.md5(F.col("rendered").cast("binary")).alias("digest"))
+    return annex.units(_annex_blocks(spark, sf), _DIGITS).select("annex", F.size("members").cast("long").alias("n"), "relation", "canonical", F.md5(F.col("rendered").cast("binary")).alias("digest"))
 
 
 @query(f"WITH {_ANNEX} SELECT annex, md5(rendered) AS digest, CAST(len(rendered) AS BIGINT) AS n_chars, CASE WHEN relation = 'COMPLEMENTARY' THEN n ELSE 0 END AS heads, true AS packed FROM w WHERE relation NOT IN ('CONFLICTING', 'UNKNOWN')")

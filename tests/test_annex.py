@@ -50,6 +50,18 @@ def test_an_annex_that_comes_back_is_another_contributor(spark):
     assert u["1"].rendered == "SOURCE_MEMBER | EK-1.docx\none\nSOURCE_MEMBER | EK-1.docx\nEK-1\nthree" and u["5"].rendered == u["9"].rendered == ""
 
 
+def test_numbers_of_more_digits_where_the_collection_has_them(spark):
+    b = blocks(spark, ("EK-1000 0.docx", ["one", "EK-1000/Z", "alt", "EK-1000", "back"]), ("EK-3000000000 1.docx", ["two"]))
+    with pytest.raises(Exception, match="no annex label in EK-1000 0.docx"):
+        annex.units(b).collect()
+    u = {r.annex: r for r in annex.units(b, 10).collect()}
+    assert sorted(u) == ["1000", "1000/Z", "3000000000"] and u["3000000000"].canonical == "EK-3000000000 1.docx"
+    assert u["1000"].rendered == "SOURCE_MEMBER | EK-1000 0.docx\none\nSOURCE_MEMBER | EK-1000 0.docx\nEK-1000\nback"
+    for bad in (0, 19, None):
+        with pytest.raises(ValueError, match="digits"):
+            annex.units(b, bad)
+
+
 def test_contributors_stand_in_archive_order_and_warnings_are_kept(spark):
     b = blocks(spark, ("z EK-1.docx", ["last by name"]), ("a EK-1.docx", ["first by name"])).withColumn("warning", F.when(F.col("member_order") == 1, "w"))
     u = annex.units(b).first()
