@@ -183,17 +183,17 @@ def fragments(b: DataFrame, limit: int) -> DataFrame:
     return plain.union(rows).union(lines).union(sheets).withColumnRenamed("t", "text")
 
 
-def chunks(blocks: DataFrame, limit: int = 4000, document_id: str = "document", made: DataFrame | None = None) -> DataFrame:
+def chunks(blocks: DataFrame, limit: int = 4000, document_id: str = "document", made: DataFrame | None = None, digits: int = DIGITS) -> DataFrame:
     """blocks -> path, annex, chunk_no (from 1), chunk_id, member, text, char_start, char_end, oversized, pieces (source_order, kind, first, last, sheet_name, coordinates), oversized_pieces.
 
     Pieces (fragments) of each unit's contributors packed in order, never over limit but where one piece is; a contributor begins a chunk, with its
     SOURCE_MEMBER line if they are rendered one after another. A unit's chunks joined without anything between are its rendered text, or
     an error is raised; so it is where contributors are unresolved or limit isn't positive. A unit without blocks is one empty chunk.
-    made: units(blocks), if it is there already.
+    made: units(blocks, digits), if it is there already.
     """
     checks.positive("limit", limit)
-    made = resolved(units(blocks) if made is None else made)
-    b = segments(blocks if "member_order" in blocks.columns else blocks.withColumn("member_order", F.lit(0)))
+    made = resolved(units(blocks, digits) if made is None else made)
+    b = segments(blocks if "member_order" in blocks.columns else blocks.withColumn("member_order", F.lit(0)), digits)
     of = b.select("path", "member", "part", "annex", "member_order").distinct()
     unit = made.select("path", "annex", F.col("relation").isin(*SAME).alias("same"), "canonical", "canonical_part", "rendered")
     use = of.join(unit.drop("rendered"), ["path", "annex"]).where(~F.col("same") | ((F.col("member") == F.col("canonical")) & (F.col("part") == F.col("canonical_part"))))

@@ -318,7 +318,7 @@ def annex_merge(spark, sf):
 @query(f"WITH {_ANNEX} SELECT annex, md5(rendered) AS digest, CAST(len(rendered) AS BIGINT) AS n_chars, CASE WHEN relation = 'COMPLEMENTARY' THEN n ELSE 0 END AS heads, true AS packed FROM w WHERE relation NOT IN ('CONFLICTING', 'UNKNOWN')")
 def annex_chunks(spark, sf):
     b = _annex_blocks(spark, sf)
-    c = annex.chunks(b, 400, made=annex.units(b).where("relation not in ('CONFLICTING', 'UNKNOWN')"))
+    c = annex.chunks(b, 400, made=annex.units(b, _DIGITS).where("relation not in ('CONFLICTING', 'UNKNOWN')"), digits=_DIGITS)
     again = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda x: x["text"]), "")
     one = F.col("oversized") & (F.size(F.filter("pieces", lambda p: p["source_order"] >= 0)) > 0) & (F.size("oversized_pieces") == 1)
     g = c.groupBy("annex").agg(again.alias("t"), F.max("char_end").alias("n_chars"), F.count_if(F.col("text").rlike("(?s)^\n?SOURCE_MEMBER")).alias("heads"), F.bool_and((F.length("text") <= 400) | one).alias("packed"))

@@ -62,6 +62,11 @@ def test_numbers_of_more_digits_where_the_collection_has_them(spark):
             annex.units(b, bad)
 
 
+def test_chunks_of_annexes_with_more_digits(spark):
+    c = chunked(spark, 4000, ("EK-1000 0.docx", ["one", "EK-1000/Z", "alt"]), digits=4)
+    assert [(r.annex, r.text) for r in c] == [("1000", "one"), ("1000/Z", "EK-1000/Z\nalt")]
+
+
 def test_contributors_stand_in_archive_order_and_warnings_are_kept(spark):
     b = blocks(spark, ("z EK-1.docx", ["last by name"]), ("a EK-1.docx", ["first by name"])).withColumn("warning", F.when(F.col("member_order") == 1, "w"))
     u = annex.units(b).first()
