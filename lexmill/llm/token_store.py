@@ -36,12 +36,17 @@ from pyspark.sql import functions as F
 from lexmill.llm import common as C
 
 MAGIC = b"LMTOKID1"
-#: Pieces whose ids a worker keeps before it starts anew (and eight times as many ids).
-CACHE = 1_000_000
+#: Pieces whose ids a worker keeps before it starts anew (and eight times as many ids), and new pieces encoded at a time: the library
+#: takes some hundred bytes a token while it encodes.
+CACHE, NEW = 500_000, 20_000
 
 #: A space after which white space or nothing follows: the pre-tokenizer of byte-level vocabularies may take it with what is before it.
 _GAP = re.compile(r" (?=\s|\Z)")
 _ODD = re.compile(r"\s")
+#: Words that the pre-tokenizers leave whole and the normalisers change by lower case alone: composed Latin letters, maybe a space before.
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: How byte-level vocabularies write bytes as characters.
+_BYTES = {b: chr(c) for b, c in zip(range(256), (lambda shown: [b if b in shown else 256 + sum(x not in shown for x in range(b)) for b in range(256)])({*range(33, 127), *range(161, 173), *range(174, 256)}), strict=True)}
 _MARKS = ".,;:!?"
 #: Marks that aren't between a letter or digit and white space, line ends beside white space.
 _INNER = re.compile(r"[.,;:!?\n](?:(?<=[.,;:!?])(?:(?![ \n]|\Z)|(?<![^\W_].))|(?<=\n)(?:(?=\s|\Z)|(?<!\S\n)))")
@@ -60,6 +65,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.model = self.tok.model
         self.kind = kind
         self.clear()
         self.mark, self.between = ("\n", "\n") if kind == "byte" else ("|", " | ")
@@ -108,6 +114,20 @@ class Encoder:
     def encode_new(self, new: list[str]) -> None:
         """Adds pieces. Those without white space but one leading space are encoded as one text, parted by a mark that none of
         them has and that is one token by itself; should a mark have gone into another token, all are encoded alone."""
+        for at in range(0, len(new), NEW):
+            self._encode_some(new[at : at + NEW])
+
+    def _encode_some(self, new: list[str]) -> None:
+        words = [x for x in new if _LETTERS.fullmatch(x)]
+        if words:  # one pre-token each: the model alone
+            low = words if self.kind == "byte" else [x.strip(" ").lower() for x in words]
+            each = [[t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(_BYTES))] for x in low]
+            length = np.fromiter(map(len, each), np.int64, len(each))
+            self.add(words, np.fromiter(chain.from_iterable(each), "<u4", int(length.sum())), length)
+            rest = set(words)
+            new = [x for x in new if x not in rest]
+        if not new:
+            return
         odd = [x for x in new if self.mark in x or not x or x == " " or _ODD.search(x, x[0] == " ")]
         rest = set(odd)
         plain = [x for x in new if x not in rest]

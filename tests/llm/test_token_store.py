@@ -103,3 +103,26 @@ def test_a_key_of_many_rows_is_spread_and_null_is_no_key(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.read_store(S.write_store(docs, C.new_path(spark, "t"), public_tokenizers.path("word_bpe_49k.json"), "word", 2)).count() == 0
+
+
+@pytest.mark.parametrize(("file", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_the_library_gets_few_pieces_at_a_time_and_plain_words_go_to_the_model(file, kind, monkeypatch):
+    enc, given = S.Encoder(public_tokenizers.path(file), kind), []
+
+    class Spy:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode_batch_fast(self, texts, **how):
+            given.append(texts[0].count(enc.mark))
+            return self.tok.encode_batch_fast(texts, **how)
+
+        def encode_batch(self, texts, **how):
+            return self.tok.encode_batch(texts, **how)
+
+    whole = Tokenizer.from_file(public_tokenizers.path(file))
+    enc.tok = Spy(enc.tok)
+    monkeypatch.setattr(S, "NEW", 4)
+    text = "Größe ÀÉ ñu µm ªb straße É×É a1 b2 c3 d4 e5 f6 Ünïcode xÿz ﬁn ſo"
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert given and max(given) <= 4
