@@ -81,6 +81,8 @@ def test_index_equals_bm25_and_drops_shards(spark, tmp_path):
     read = {r.query_id: r for r in again.shards_read(asked, 1).collect()}
     assert read[1].read < read[1].touched and 3 not in read
     assert "documents" not in again.topk(asked, 5)._jdf.queryExecution().optimizedPlan().toString()
+    plan = again.topk(asked, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" not in plan and "FlatMapCoGroupsInArrow" in plan  # postings go to their shard's task, not to each question
     with pytest.raises(FileNotFoundError):
         lexical.LexicalIndex(spark, str(tmp_path / "none"))
     one = lexical.build(docs.where("doc_id < 30"), str(tmp_path / "one"))
