@@ -229,3 +229,10 @@ def test_embed_once_and_stream(spark, tmp_path):
     questions.answer_stream(s, e.select("id", F.col("embedding").alias("v")), 1, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r.query_id: r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[1] == 2 and got[2] == 1
+
+
+def test_what_spark_infers_stays_behind_the_spread(spark, tmp_path):
+    spark.range(5).selectExpr("id as doc_id", "'a b' as text").coalesce(1).write.parquet(str(tmp_path / "d"))
+    d = retrieval.spread(spark.read.parquet(str(tmp_path / "d"))).select("doc_id", F.explode(T.tokens("text")).alias("term"))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert d.count() == 10 and "regexp_extract_all" not in plan[plan.index("Repartition") :]
