@@ -236,3 +236,10 @@ def test_what_spark_infers_stays_behind_the_spread(spark, tmp_path):
     d = retrieval.spread(spark.read.parquet(str(tmp_path / "d"))).select("doc_id", F.explode(T.tokens("text")).alias("term"))
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert d.count() == 10 and "regexp_extract_all" not in plan[plan.index("Repartition") :]
+
+
+def test_vectors_as_rows():
+    import pyarrow as pa
+
+    c = pa.chunked_array([pa.array([[9.0, 9.0], [1.0, 2.0]])[1:], pa.array([[3.0, 4.0], [5.0, 6.0]])])
+    assert retrieval._matrix(c).tolist() == [[1, 2], [3, 4], [5, 6]]
