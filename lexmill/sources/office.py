@@ -111,7 +111,7 @@ def xlsx_blocks(data: bytes) -> list[dict]:
     return out
 
 
-_RTF = re.compile(rb"\\([a-z]{1,32})(-?\d{1,10})?[ ]?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[\r\n]+|(.)", re.I | re.S)
+_RTF = re.compile(rb"\\([a-z]{1,32})(-?\d{1,10})?[ ]?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[\r\n]+|([^\\{}\r\n]+|.)", re.I | re.S)
 #: Groups without text of the document (fixed values of the format).
 _SKIP = {b"fonttbl", b"colortbl", b"stylesheet", b"info", b"pict", b"object", b"header", b"footer", b"themedata", b"datastore", b"generator", b"listtable", b"listoverridetable", b"rsidtbl"}
 
@@ -119,7 +119,7 @@ _SKIP = {b"fonttbl", b"colortbl", b"stylesheet", b"info", b"pict", b"object", b"
 def rtf_text(data: bytes, codepage: str = "cp1252") -> str:
     """Plain text of RTF: paragraphs and tabs, \\'xx in the codepage, \\uN with its substitute skipped; tables of fonts and the like left out."""
     stack, skip, uc, drop, out = [], False, 1, 0, []
-    for word, arg, hexa, sign, brace, char in _RTF.findall(data):
+    for word, arg, hexa, sign, brace, plain in (m.groups(b"") for m in _RTF.finditer(data)):
         if brace == b"{":
             stack.append((skip, uc))
         elif brace == b"}":
@@ -140,14 +140,17 @@ def rtf_text(data: bytes, codepage: str = "cp1252") -> str:
                 n = int(arg)
                 out.append(chr(n + 65536 if n < 0 else n))
                 drop = uc
-        elif hexa or char or sign:
+        elif plain:
+            if drop:
+                drop, plain = max(0, drop - len(plain)), plain[drop:]
+            if not skip:
+                out.append(plain.decode(codepage, "replace"))
+        elif hexa or sign:
             if drop:
                 drop -= 1
             elif not skip:
                 if hexa:
                     out.append(bytes([int(hexa, 16)]).decode(codepage, "replace"))
-                elif char:
-                    out.append(char.decode(codepage, "replace"))
                 elif sign in (b"\\", b"{", b"}"):
                     out.append(sign.decode())
                 elif sign == b"~":

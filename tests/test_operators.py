@@ -243,3 +243,8 @@ def test_vectors_as_rows():
 
     c = pa.chunked_array([pa.array([[9.0, 9.0], [1.0, 2.0]])[1:], pa.array([[3.0, 4.0], [5.0, 6.0]])])
     assert retrieval._matrix(c).tolist() == [[1, 2], [3, 4], [5, 6]]
+
+
+def test_rtf_runs_of_plain_bytes_are_one_step():
+    assert office._RTF.findall(b"plain words here\\par more")[0][-1] == b"plain words here"
+    assert office.rtf_text(b"{\\rtf1 a\\uc2\\u351xyz\\uc1 \\u304?b\\fonttbl no}{c\\'e9\x81\\par d}") == "aşzİbcé�\nd"
