@@ -342,9 +342,9 @@ _ARTICLES = [
 
 def _statutes(spark, sf) -> DataFrame:
     lines = F.array(*map(F.lit, _STATUTE))
-    p = table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole"), F.posexplode(lines).alias("index", "line"))
-    flat = F.trim(F.regexp_replace(F.coalesce("whole", F.lit("")), "[^a-z]+", " "))
-    text = F.replace(F.regexp_replace("line", r"\bD\b", F.col("doc_id").cast("string")), F.lit("T."), F.concat(flat, F.lit(".")))
+    flat = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]+", " "))  # once a document, not once a line
+    p = retrieval.spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", flat.alias("flat")).select("doc_id", "flat", F.posexplode(lines).alias("index", "line"))
+    text = F.replace(F.regexp_replace("line", r"\bD\b", F.col("doc_id").cast("string")), F.lit("T."), F.concat("flat", F.lit(".")))
     return p.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), "index", text.alias("text"), F.lit(None).cast("array<int>").alias("footnotes"), F.lit("5326").alias("legislation_number"))
 
 
@@ -412,7 +412,7 @@ def rtf_decode(spark, sf):
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "text": [office.rtf_text(x.encode()) for x in b.rtf]})
 
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", rtf.alias("rtf")).mapInPandas(run, "doc_id long, text string")
+    d = retrieval.spread(table(spark, sf, "documents").select("doc_id", "text")).where("text is not null").select("doc_id", rtf.alias("rtf")).mapInPandas(run, "doc_id long, text string")
     return d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

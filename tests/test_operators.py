@@ -248,3 +248,10 @@ def test_vectors_as_rows():
 def test_rtf_runs_of_plain_bytes_are_one_step():
     assert office._RTF.findall(b"plain words here\\par more")[0][-1] == b"plain words here"
     assert office.rtf_text(b"{\\rtf1 a\\uc2\\u351xyz\\uc1 \\u304?b\\fonttbl no}{c\\'e9\x81\\par d}") == "aşzİbcé�\nd"
+
+
+def test_statutes_flatten_a_text_once(spark):
+    from lexmill.plans import evaluations
+
+    plan = evaluations._statutes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^a-z]+" in plan[plan.index("Generate") :] and "[^a-z]+" not in plan[: plan.index("Generate")]
