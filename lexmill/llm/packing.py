@@ -35,6 +35,9 @@ from lexmill.llm.token_store import encoder
 
 WINDOW, SHARD, K1, B = 2048, 1_000_000, 1.2, 0.75
 
+#: Bytes of texts that are encoded at a time.
+ENCODED = 8 << 20
+
 #: An id in more than one of so many units of a shard is kept as a row over all of them.
 COMMON = 8
 
@@ -43,20 +46,23 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def units(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFrame:
     """docs(doc_id, text) -> doc_id, doc_tokens, crcs (of its whole windows), tail (ids of the rest, 4 bytes each), bag (distinct ids of the whole text, then their counts)."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, step = encoder(tokenizer, kind), 4 * WINDOW
-        for b in C.slices(batches):
-            n, crcs, tails, bags = [], [], [], []
-            for x in enc.encode_all(b.column(1).to_pylist()):
-                ids = x + end
-                whole = len(ids) // step
-                n.append(len(ids) // 4)
-                crcs.append([zlib.crc32(ids[k * step : (k + 1) * step]) for k in range(whole)])
-                tails.append(C.pack_planes(np.frombuffer(ids[whole * step :], "<u4")))
-                bags.append(C.pack_planes(np.concatenate(np.unique(np.frombuffer(ids, "<u4"), return_counts=True)).astype("<u4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), C.binary_array(tails), C.binary_array(bags)], ["doc_id", "doc_tokens", "crcs", "tail", "bag"])
+        enc = encoder(tokenizer, kind)
+        for b in C.slices(batches, ENCODED):
+            got, size = enc.encode_column(b.column(1))
+            size, to = size + 1, np.cumsum(size + 1)  # with the end id
+            ids = np.full(int(to[-1]), end_id, "<u4")
+            at = np.ones(len(ids), bool)
+            at[to - 1] = False
+            ids[at] = got
+            crcs, tails, bags = [], [], []
+            for begin, n in zip((to - size).tolist(), size.tolist(), strict=True):
+                x, whole = ids[begin : begin + n], n // WINDOW
+                crcs.append([zlib.crc32(x[k * WINDOW : (k + 1) * WINDOW]) for k in range(whole)])
+                tails.append(C.pack_planes(x[whole * WINDOW :]))
+                bags.append(C.pack_planes(np.concatenate(np.unique(x, return_counts=True)).astype("<u4")))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), C.binary_array(tails), C.binary_array(bags)], ["doc_id", "doc_tokens", "crcs", "tail", "bag"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, doc_tokens long, crcs array<long>, tail binary, bag binary")
 
@@ -165,12 +171,19 @@ class Index:
 
     def score(self, ids: np.ndarray) -> np.ndarray:
         """Every unit's BM25 score by all distinct ids."""
-        t = np.unique(ids)
+        return self.score_distinct(np.unique(ids))
+
+    def score_distinct(self, t: np.ndarray) -> np.ndarray:
+        """score() of ids that are distinct and ascend."""
         row = self.row[t]
         out = self.dense[row[row >= 0]].sum(axis=0)
-        for k in t[row < 0].tolist():
-            s = slice(self.at[k], self.at[k + 1])
-            out[self.unit[s]] += self.weight[s]
+        rare = t[row < 0]
+        begin = self.at[rare]
+        n = self.at[rare + 1] - begin
+        to = np.cumsum(n)
+        if len(to):  # all postings in the order of ids
+            at = np.repeat(begin - to + n, n) + np.arange(int(to[-1]))
+            np.add.at(out, self.unit[at], self.weight[at])
         return out
 
 
@@ -210,7 +223,7 @@ def fill(tails: list[np.ndarray], index: Index, window: int = WINDOW) -> list[li
                     u = first
                 else:
                     tried_scores = True
-                    s = index.score(index.bags[seed][0])
+                    s = index.score_distinct(index.bags[seed][0])
                     s[used] = 0
                     order = ranked(s)
                     continue

@@ -126,3 +126,75 @@ def test_the_library_gets_few_pieces_at_a_time_and_plain_words_go_to_the_model(f
     text = "Größe ÀÉ ñu µm ªb straße É×É a1 b2 c3 d4 e5 f6 Ünïcode xÿz ﬁn ſo"
     assert np.frombuffer(enc.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
     assert given and max(given) <= 4
+
+
+def byte_encoder():
+    return S.encoder(public_tokenizers.path("byte_bpe_50k.json"), "byte")
+
+
+def whole(enc, texts):
+    """Ids of whole texts by the library, and each text's number."""
+    each = [x.ids for x in enc.rest.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    return [i for x in each for i in x], [len(x) for x in each]
+
+
+def test_columns_are_cut_where_the_pre_tokenizer_cuts():
+    import itertools
+    import random
+
+    import pyarrow as pa
+
+    enc, rng = byte_encoder(), random.Random(4)
+    assert isinstance(enc, S.ByteEncoder)
+    kinds = ["a", "s", "1", ".", "'", " ", "\n", "\t", "é", "×", " ", "　", "中", "́"]
+    texts = ["".join(x) for n in range(5) for x in itertools.product(kinds, repeat=n)]
+    texts += ["".join(rng.choice(kinds) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += [*TEXTS, *(x for w in WHITE for x in (w, f"a{w}", f"{w}a", f"a{w}b", f"a {w}b", f"a{w} b", f"\n{w}\na", f"{w}{w}'s")), None]
+    letters = [chr(c) for c in (*range(0x80, 0x530), *range(0x900, 0x930), 0x1E9E, 0xFB01, 0x1F600)]
+    texts += [f"a{c}b {c}1{c} .{c}. {c}\n{c}'{c}{c}  {c}\n" for c in letters]
+    rng.shuffle(texts)
+    texts[5] = None
+    want = whole(enc, texts)
+    for column in (pa.array(texts), pa.array(["x y", *texts, "z"], pa.large_string()).slice(1, len(texts))):
+        enc.clear()
+        for _ in range(2):
+            ids, n = enc.encode_column(column)
+            assert n.tolist() == want[1] and ids.tolist() == want[0]
+    for column in (pa.array([], pa.string()), pa.array([None, "", None], pa.string())):
+        ids, n = enc.encode_column(column)
+        assert len(ids) == 0 and n.tolist() == [0] * len(column)
+
+
+def test_words_go_to_the_library_many_at_a_time_and_repeated_ones_are_kept(monkeypatch):
+    import pyarrow as pa
+
+    enc, given = byte_encoder(), []
+    enc.clear()
+
+    class Spy:
+        def encode_batch_fast(self, texts, words=enc.words, **how):
+            given.append(len(texts[0].split()))
+            return words.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(enc, "words", Spy())
+    monkeypatch.setattr(enc.rest, "library", None)
+    monkeypatch.setattr(enc.rest, "encode_new", None)  # which plain words don't need
+    text = " ".join(f"w{k}x, größe{k}." for k in range(900))
+    first = enc.encode_column(pa.array([text, text]))
+    assert len(given) == 1 and given[0] < 5000
+    again = enc.encode_column(pa.array([text]))
+    assert len(given) == 1 and again[0].tolist() == first[0][: len(again[0])].tolist()
+    monkeypatch.setattr(S, "CACHE", 3)
+    assert enc.encode_column(pa.array([text]))[0].tolist() == again[0].tolist() and len(given) == 2
+
+
+def test_a_vocabulary_without_some_byte_is_noticed(monkeypatch):
+    import pyarrow as pa
+
+    enc = byte_encoder()
+    enc.clear()
+    monkeypatch.setattr(enc, "size", enc.size + 1)  # so that ids and pieces don't have the same bytes
+    texts = ["one two", "three, four"]
+    ids, n = enc.encode_column(pa.array(texts))
+    assert (ids.tolist(), n.tolist()) == whole(enc, texts)
+    enc.clear()
