@@ -198,3 +198,22 @@ def test_a_vocabulary_without_some_byte_is_noticed(monkeypatch):
     ids, n = enc.encode_column(pa.array(texts))
     assert (ids.tolist(), n.tolist()) == whole(enc, texts)
     enc.clear()
+
+
+def test_pieces_met_again_stay_when_there_are_too_many(monkeypatch):
+    import pyarrow as pa
+
+    enc = byte_encoder()
+    enc.clear()
+    monkeypatch.setattr(S, "CACHE", 10)
+    texts = ["aa bb aa bb", " ".join(f"x{k}" for k in "abcdefgh"), "cc bb. 'tis é×", "aa dd"]
+    for t in texts * 3:
+        ids, n = enc.encode_column(pa.array([t]))
+        assert (ids.tolist(), n.tolist()) == whole(enc, [t])
+        assert len(enc.known) == len(enc.length) == len(enc.met) and int(enc.length.sum()) == len(enc.ids)
+    enc.clear()
+    enc.encode_column(pa.array([" bb bb bb", " " + texts[1], " cc", " ee"]))
+    assert len(enc.known) > 10
+    enc.encode_column(pa.array([" dd"]))
+    assert enc.known.to_pylist() == [b" bb", b" dd"]
+    enc.clear()
