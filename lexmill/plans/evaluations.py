@@ -284,8 +284,11 @@ def _annex_blocks(spark, sf) -> DataFrame:
     Every fourth document goes on with another annex and comes back."""
     d = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^a-z \n]", "x").alias("t"))
     i, a = F.col("doc_id"), F.floor(F.col("doc_id") / 3) + 1
-    j = d.withColumn("f", F.floor(i / 3)).join(d.where("doc_id % 3 = 0").select(F.floor(i / 3).alias("f"), F.col("t").alias("t0")), "f", "left").withColumn("t0", F.coalesce("t0", F.lit("")))
-    body = F.when((i % 3 == 1) & (a % 4 == 0), F.col("t0")).when((i % 3 == 1) & (a % 4 == 1), F.concat("t0", F.lit("  "))).when(a % 4 == 2, F.concat(F.when(i % 3 == 0, "yeni metin ").otherwise("eski metin "), "t")).otherwise(F.col("t"))
+    copies = (i % 3 == 1) & (a % 4).isin(0, 1)  # only those need another document's text, and not their own
+    t0 = d.where((i % 3 == 0) & (a % 4).isin(0, 1)).select(F.floor(i / 3).alias("f"), F.col("t").alias("t0"))
+    own = d.where(~copies).select("doc_id", F.when(a % 4 == 2, F.concat(F.when(i % 3 == 0, "yeni metin ").otherwise("eski metin "), "t")).otherwise(F.col("t")).alias("body"))
+    second = d.where(copies).select("doc_id", F.floor(i / 3).alias("f")).join(t0, "f", "left").select("doc_id", F.concat(F.coalesce("t0", F.lit("")), F.when(a % 4 == 1, "  ").otherwise("")).alias("body"))
+    j, body = own.union(second), F.col("body")
     back = F.when(i % 4 == 0, F.array(F.concat(F.lit("EK-"), a.cast("string"), F.lit("/Z")), F.lit("alt"), F.concat(F.lit("EK-"), a.cast("string")), F.lit("geri"))).otherwise(F.array().cast("array<string>"))
     lines = j.select(i.alias("i"), a.cast("string").alias("a"), F.posexplode(F.concat(F.split(body, "\n", -1), back)).alias("source_order", "text"))
     nothing = lambda kind: F.lit(None).cast(kind)
@@ -318,10 +321,10 @@ def annex_merge(spark, sf):
 @query(f"WITH {_ANNEX} SELECT annex, md5(rendered) AS digest, CAST(len(rendered) AS BIGINT) AS n_chars, CASE WHEN relation = 'COMPLEMENTARY' THEN n ELSE 0 END AS heads, true AS packed FROM w WHERE relation NOT IN ('CONFLICTING', 'UNKNOWN')")
 def annex_chunks(spark, sf):
     b = _annex_blocks(spark, sf)
-    c = annex.chunks(b, 400, made=annex.units(b, _DIGITS).where("relation not in ('CONFLICTING', 'UNKNOWN')"), digits=_DIGITS)
+    c = annex.chunks(b, 400, digits=_DIGITS, unresolved="drop")
     again = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda x: x["text"]), "")
     one = F.col("oversized") & (F.size(F.filter("pieces", lambda p: p["source_order"] >= 0)) > 0) & (F.size("oversized_pieces") == 1)
-    g = c.groupBy("annex").agg(again.alias("t"), F.max("char_end").alias("n_chars"), F.count_if(F.col("text").rlike("(?s)^\n?SOURCE_MEMBER")).alias("heads"), F.bool_and((F.length("text") <= 400) | one).alias("packed"))
+    g = c.groupBy("path", "annex").agg(again.alias("t"), F.max("char_end").alias("n_chars"), F.count_if(F.col("text").rlike("(?s)^\n?SOURCE_MEMBER")).alias("heads"), F.bool_and((F.length("text") <= 400) | one).alias("packed"))
     return g.select("annex", F.md5(F.col("t").cast("binary")).alias("digest"), F.col("n_chars").cast("long").alias("n_chars"), "heads", "packed")
 
 

@@ -3,10 +3,11 @@ import io
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import annex
+from lexmill.operators import annex, sequences
 from lexmill.sources import office
 from tests.test_operators import docx
 
@@ -128,6 +129,39 @@ def test_what_is_unresolved_or_differs_raises(spark):
         annex.chunks(b.where("member = 'EK-1.docx'"), made=one.union(one)).collect()
 
 
+def test_blocks_are_shuffled_once_by_file_and_once_by_annex(spark):
+    b = blocks(spark, ("EK-33 bir.docx", ["bir iki", "üç"]), ("EK-33 iki.docx", ["dört"])).where("kind <> 'spreadsheet'")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = annex.chunks(b, 44)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    by = [line.split("hashpartitioning(")[1].split(", ENSURE")[0] for line in plan.splitlines() if "Exchange hashpartitioning" in line and "source_order" not in line]
+    assert len(by) == 2 and "annex" in by[0] and "member" in by[1] and "Python" not in plan and "Arrow" not in plan
+
+
+def test_packing_equals_next_starts(spark):
+    rng = np.random.default_rng(7)
+    rows = [rng.choice([0, 0, 3, 20, 41, 90], n).tolist() for n in (1, 2, 127, 128, 129, 700)] + [[0, 0, 99, 0, 1], [0] * 300]
+    d = spark.createDataFrame([(k, [(x, x + 1) for x in r]) for k, r in enumerate(rows)], "k int, s array<struct<size:bigint,bare:bigint>>")
+    got = {r.k: r.c for r in d.select("k", annex._packed(F.col("s"), 40).alias("c")).collect()}
+    for k, r in enumerate(rows):
+        nxt, starts, p = sequences.next_starts(np.array(r), 40, lone=False), [], 0
+        while p < len(r):
+            starts.append(p)
+            p = int(nxt[p])
+        assert [i for i, c in enumerate(got[k]) if c.new or i == 0] == starts
+        assert [c.before for c in got[k]] == [sum(r[:i]) + i for i in range(len(r))]
+
+
+def test_unresolved_units_are_left_out_where_asked(spark):
+    b = blocks(spark, ("EK-1.docx", ["body"]), ("EK-2 bir.docx", ["Eski metin: x"]), ("EK-2 iki.docx", ["Yeni metin: y"]))
+    assert [(r.annex, r.text) for r in annex.chunks(b, unresolved="drop").collect()] == [("1", "body")]
+    assert [(r.annex, r.text) for r in annex.chunks(b, unresolved="drop", made=annex.units(b)).collect()] == [("1", "body")]
+    with pytest.raises(ValueError, match="unresolved"):
+        annex.chunks(b, unresolved="keep")
+
+
 def archive(path, **members):
     with zipfile.ZipFile(path, "w") as z:
         for name, data in members.items():
