@@ -1,9 +1,11 @@
 import json
 import threading
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions import text
 from lexmill.operators import lexical, retrieval, snapshots
 from lexmill.sources import shared
 
@@ -90,6 +92,36 @@ def test_index_equals_bm25_and_drops_shards(spark, tmp_path):
     assert lexical.build(docs.limit(0), str(tmp_path / "e")).topk(asked).count() == 0
 
 
+def test_index_of_several_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "SEGMENT_DOCS", 50)
+    words = lambda i: " ".join(["common"] * (i % 3 + 1) + [f"w{i % 23}"] * (1 + i % 5) + [f"u{i}"] * (i % 7) + ["I\u0307z"] * (i % 11 == 0))
+    docs = spark.createDataFrame([(f"d{i:03d}", words(i)) for i in range(400)] + [("none", None), ("empty", "")], "doc_id string, text string")
+    asked = spark.createDataFrame([(1, "w7 common"), (2, "İz u300 w2"), (3, "nothing"), (4, "common")], "query_id long, question string")
+    index = lexical.build(docs, str(tmp_path / "i"), shard_docs=10)
+    assert index.about["segments"] == 9 and index.about["documents"] == 402 and index.about["shards"] >= 41
+    # a row a term and segment, not a shard, and each document in one segment
+    p = index.postings()
+    assert p.where("term = 'common'").count() == 9 and p.where("part = -1").selectExpr("explode(ids) id").distinct().count() == 402 == p.where("part = -1").selectExpr("sum(size(ids))").first()[0]
+    composed = docs.withColumn("text", F.replace("text", F.lit("I\u0307"), F.lit("İ")))
+    for k in (1, 7, 500):
+        want = sorted(map(tuple, retrieval.bm25(asked, composed, k).select("query_id", "rank", "id", "score").collect()))
+        assert sorted(map(tuple, index.topk(asked, k).select("query_id", "rank", "id", "score").collect())) == want
+    monkeypatch.setattr(lexical, "ASKED", 0)  # too many terms to broadcast
+    assert sorted(map(tuple, index.topk(asked, 500).select("query_id", "rank", "id", "score").collect())) == want
+    read = {r.query_id: r for r in index.shards_read(asked, 1).collect()}
+    assert sorted(read) == [1, 2, 4] and all(r.read <= r.touched <= index.about["shards"] for r in read.values())
+
+
+def test_what_composition_may_change_is_found(spark):
+    changed = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c))]
+    assert min(changed) >= "\u0300"
+    d = spark.createDataFrame([(f"ab{c}cd",) for c in changed], "t string")
+    assert d.where(~F.col("t").rlike(text.not_composed())).count() == 0
+    assert spark.createDataFrame([("plain",), ("çğıİöşü é",), ("слово 字 “x”",)], "t string").where(F.col("t").rlike(text.not_composed())).count() == 0
+    # letters before the first mark, of which most texts are, are told by one comparison and not by hundreds
+    assert text.not_composed().startswith(r"[\x{300}-\x{10FFFF}&&")
+
+
 def test_variants(spark):
     dense = spark.createDataFrame([(1, r, i) for r, i in enumerate([10, 11, 12, 13], 1)], "query_id long, rank int, id long")
     found = spark.createDataFrame([(1, r, i) for r, i in enumerate([13, 20], 1)], "query_id long, rank int, id long")
