@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text
 from lexmill.operators import lexical, retrieval, snapshots
+from lexmill.plans import stores
 from lexmill.sources import shared
 
 
@@ -99,9 +100,11 @@ def test_index_of_several_segments(spark, tmp_path, monkeypatch):
     asked = spark.createDataFrame([(1, "w7 common"), (2, "İz u300 w2"), (3, "nothing"), (4, "common")], "query_id long, question string")
     index = lexical.build(docs, str(tmp_path / "i"), shard_docs=10)
     assert index.about["segments"] == 9 and index.about["documents"] == 402 and index.about["shards"] >= 41
-    # a row a term and segment, not a shard, and each document in one segment
+    # a row a term and segment, not a shard, and each document in one segment; a part is one file
     p = index.postings()
     assert p.where("term = 'common'").count() == 9 and p.where("part = -1").selectExpr("explode(ids) id").distinct().count() == 402 == p.where("part = -1").selectExpr("sum(size(ids))").first()[0]
+    parts = [p for p in (tmp_path / "i" / "postings").iterdir() if p.is_dir()]
+    assert len(parts) == 10 and all(len(list(p.glob("*.parquet"))) == 1 for p in parts)
     composed = docs.withColumn("text", F.replace("text", F.lit("I\u0307"), F.lit("İ")))
     for k in (1, 7, 500):
         want = sorted(map(tuple, retrieval.bm25(asked, composed, k).select("query_id", "rank", "id", "score").collect()))
@@ -130,3 +133,19 @@ def test_variants(spark):
     for r in lexical.variants(dense, found, keys, 3).orderBy("variant", "rank").collect():
         got.setdefault(r.variant, []).append(r.id)
     assert got == {"B0": [10, 11, 12], "B1": [13, 20], "B2": [13, 10, 11], "B3": [13, 10, 12]}
+
+
+def test_variants_search_only_what_is_asked_and_once(spark, tmp_path, monkeypatch):
+    spark.range(400).selectExpr("id vec_id", "array(cast(id % 17 as float), cast(id % 5 as float)) embedding", "cast(id % 3 as int) label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.range(60).selectExpr("id doc_id", "concat('w', id % 7, ' common') text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "w1 w2"), (7, "common"), (19, "w6"), (500, "w3")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    searched, asked, dense, topk = [], [], retrieval.dense_topk, lexical.LexicalIndex.topk
+    monkeypatch.setattr(retrieval, "dense_topk", lambda q, *a: searched.append(q.count()) or dense(q, *a))
+    monkeypatch.setattr(lexical.LexicalIndex, "topk", lambda self, q, *a: asked.append(q.count()) or topk(self, q, *a))
+    v, _, gold = stores._variants(spark, str(tmp_path))
+    assert searched == [3] and asked == [3] and gold.count() == 3  # of 20 vectors and four passages
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" not in plan  # rankings are read where they are taken
+    q, c = spark.read.parquet(str(tmp_path / "embeddings.parquet")).where("vec_id in (0, 140, 380)").selectExpr("vec_id query_id", "embedding q"), spark.read.parquet(str(tmp_path / "embeddings.parquet")).selectExpr("vec_id id", "embedding v")
+    want = sorted((r.query_id // 20, r["rank"], r.id) for r in dense(q, c, 5).collect())
+    assert sorted((r.query_id, r["rank"], r.id) for r in v.where("variant = 'B0'").collect()) == want
