@@ -149,3 +149,6 @@ def test_variants_search_only_what_is_asked_and_once(spark, tmp_path, monkeypatc
     q, c = spark.read.parquet(str(tmp_path / "embeddings.parquet")).where("vec_id in (0, 140, 380)").selectExpr("vec_id query_id", "embedding q"), spark.read.parquet(str(tmp_path / "embeddings.parquet")).selectExpr("vec_id id", "embedding v")
     want = sorted((r.query_id // 20, r["rank"], r.id) for r in dense(q, c, 5).collect())
     assert sorted((r.query_id, r["rank"], r.id) for r in v.where("variant = 'B0'").collect()) == want
+    s = stores.retrieval_variants_summary(spark, str(tmp_path))
+    assert len(searched) == len(asked) == 2 and {r.variant: r.questions for r in s.collect()} == {"B0": 3, "B1": 3, "B2": 3, "B3": 3}
+    assert "doc_id" not in s._jdf.queryExecution().optimizedPlan().toString() and s._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0  # nothing is ranked again
