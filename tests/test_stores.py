@@ -109,6 +109,9 @@ def test_index_of_several_segments(spark, tmp_path, monkeypatch):
     for k in (1, 7, 500):
         want = sorted(map(tuple, retrieval.bm25(asked, composed, k).select("query_id", "rank", "id", "score").collect()))
         assert sorted(map(tuple, index.topk(asked, k).select("query_id", "rank", "id", "score").collect())) == want
+    monkeypatch.setattr(lexical, "SEGMENT_BYTES", 800)  # long texts: fewer documents a segment
+    long_ = lexical.build(docs, str(tmp_path / "long"), shard_docs=10)
+    assert long_.about["segments"] > 9 and sorted(map(tuple, long_.topk(asked, 500).select("query_id", "rank", "id", "score").collect())) == want
     monkeypatch.setattr(lexical, "ASKED", 0)  # too many terms to broadcast
     assert sorted(map(tuple, index.topk(asked, 500).select("query_id", "rank", "id", "score").collect())) == want
     read = {r.query_id: r for r in index.shards_read(asked, 1).collect()}
